@@ -1,0 +1,39 @@
+"""Connected components over a table of links, wholly distributed.
+
+Alternating large-star and small-star rounds: every round is two grouped minima and two joins, cut by a written table in
+the shared folder. Links come as a forest from each cell of a search (see the callers), so their number stays below the number of rows.
+Nothing but a count of changed links reaches the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessitura.llm.scratch import written
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    joined = down.join(low, "u")
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """``links`` (u, v: long). Returns (node, root) for every linked node but the roots; the root is the component's smallest node."""
+    e = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    seen = None
+    for _ in range(rounds):
+        e = written(_small_star(_large_star(e).distinct()).distinct(), "stars")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == now:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = now
+    raise RuntimeError("the components did not settle")
