@@ -5,7 +5,7 @@ import corpus_pipeline as cp
 
 def test_stages(spark, frame, texts, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
-    own = [*texts, "leak " + item, "mail bob.x@example.com please " + texts[9], "12345 !!", texts[4]]
+    own = [*texts, "leak " + item, "mail bob.x@example.com please and answer soon", "12345 !!", texts[4]]
     docs = frame(own)
     kept = {}
     for name, stage in cp.STAGES[:-1]:
