@@ -27,6 +27,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
 FLOOR = 1e-5  # least likelihood of a word relative to its best language: one odd word never decides
 MAX_LANGS = 64  # of a model
+BLOCK = 20_000  # words that are inferred at once, or one longer document
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +44,7 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 3000) -> dict:
     """Trigram log-probabilities (languages x 2**BITS) from a bounded sample of the labelled rows."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    sizes = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()
+    sizes = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()
     langs = sorted(r["_lang"] for r in sizes)
     if not langs:
         return {"langs": [], "logp": np.zeros((0, 1 << BITS), np.float32)}
@@ -147,7 +148,7 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
                     held.append(words)
                     rows.append(i)
                     size += len(words)
-                if held and (size > 200_000 or i == len(b) - 1):
+                if held and (size > BLOCK or i == len(b) - 1):
                     for r, x in zip(rows, block(held), strict=True):
                         out[r] = x
                     held, rows, size = [], [], 0
@@ -162,16 +163,18 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double, n_langs long, langs string")
 
 
-def keep_known(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` without rejected rows: those without a letter, and those whose trigrams every language finds less likely than chance
-    (a mean log-probability below that of the uniform distribution). Nothing is rejected for being short, mixed or noisy."""
+def keep_known(docs: DataFrame, model: dict, text: str = "text", least: int = 500) -> DataFrame:
+    """``docs`` without rejected rows: those without a letter, and those of ``least`` trigrams or more that every language finds less
+    likely than chance (a mean log-probability below the uniform distribution's). Nothing goes for being short, mixed or noisy."""
     shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
 
     def known(t: str | None) -> bool:
         words = WORD.findall(t.lower()) if t else []
         if not words or not len(shared.value):
             return False
-        g, at = trigrams(words)
+        g, _ = trigrams(words)
+        if len(g) < least:
+            return True
         n = np.bincount(g, minlength=1 << BITS)
         return float((shared.value.astype(np.float64) @ n).max()) / n.sum() >= -BITS * np.log(2)
 
