@@ -24,7 +24,8 @@ from tessitura.llm.components import components
 from tessitura.llm.fingerprints import forest
 from tessitura.llm.scratch import written
 
-SAMPLE, QUERIES, BLOCK = 8192, 512, 2048
+SAMPLE, QUERIES, BLOCK = 8192, 512, 512
+UNMEASURED = 16  # cells that are visited where no sample query has a neighbour
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -82,7 +83,8 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
     """Rows (a, b, n): ``b`` null: ``a`` links with n vectors; else a and b are linked. ``distinct``: a written table of id, v, n."""
     spark = distinct.sparkSession
     total = distinct.count()
-    sample = unit(distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["v"])
+    drawn = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    sample, names = unit(drawn["v"]), drawn["id"].to_numpy()[:QUERIES]
     grid = Grid(sample, int(np.clip(round((total / 24) ** 0.5), 1, min(128, len(sample)))))
     queries, k = sample[:QUERIES], grid.k
     shared = spark.sparkContext.broadcast((grid, queries, grid.traverse(queries, 1)[:, 0]))  # bounded by SAMPLE, QUERIES and 128 codewords
@@ -94,7 +96,7 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
             u = unit(b["v"])
             for lo in range(0, len(u), 4096):
                 part = u[lo : lo + 4096]
-                y, q = np.nonzero(part @ queries.T >= threshold)
+                y, q = np.nonzero((part @ queries.T >= threshold) & (b["id"].to_numpy()[lo : lo + 4096, None] != names[None, :]))
                 if not len(y):
                     continue
                 home = grid.traverse(part, 1)[:, 0]
@@ -106,8 +108,10 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
         yield pd.DataFrame({"rank": rank, "n": held[rank]})
 
     found = distinct.mapInPandas(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()  # a row for each cell at most
-    share = found["n"].cumsum() / found["n"].sum()
-    cells = int(found["rank"][(share >= recall).idxmax()]) + 1
+    cells = min(k * k, UNMEASURED)
+    if len(found):
+        share = found["n"].cumsum() / found["n"].sum()
+        cells = int(found["rank"][(share >= recall).idxmax()]) + 1
 
     def place(batches):
         grid = shared.value[0]
@@ -167,7 +171,7 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
     return dealt.groupBy("cell", "block").applyInPandas(search, "a long, b long, n long"), cells
 
 
-def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.98) -> DataFrame:
+def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.995) -> DataFrame:
     """key, n_links, component_id and kept of every vector."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
