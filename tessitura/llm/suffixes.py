@@ -1,10 +1,10 @@
 """Exact byte-level deduplication: every byte that a repeated 100-byte string covers, where an earlier copy exists.
 
 The strings that can repeat are found first, so that suffixes need not be sorted for the whole corpus: every 100-byte window
-chooses the least of the 32-byte stretches in it (its anchor), equal windows choose equal anchors, and the windows with one anchor
+chooses the least of the 48-byte stretches in it (its anchor), equal windows choose equal anchors, and the windows with one anchor
 form a run. Runs are dealt into buckets by anchor. Runs that are equal as a whole lose all but the earliest; a run whose anchor
 occurs nowhere else holds no repeat. What is left are runs that share an anchor but differ further out, a small part of the text. Their
-strings are gathered and each bucket resolves them by Burrows-Wheeler transforms: a transform for every shard of strings, merged by iterative
+strings are gathered, cut down to the windows whose rolling hash occurs twice in the bucket, and resolved there by Burrows-Wheeler transforms: a transform for every shard of strings, merged by iterative
 interleave refinement (one stable pass over the merged transform for each further byte of context, a block splitting where
 its suffixes first differ, which gives the common prefixes), without sorting suffixes across shards. Blocks that are
 whole after 100 passes are the repeated intervals; all members but the earliest are repeats.
@@ -27,7 +27,7 @@ from tessitura.llm.rolling import Prefix, mix, sliding_min
 from tessitura.llm.scratch import partitions, release, written
 from tessitura.llm.substrings import NULL_KEY, covered, repeats, runs_of
 
-GRAM = 32  # bytes of an anchor
+GRAM = 48  # bytes of an anchor
 CHUNK = 8 << 20  # bytes that are hashed at once; a longer document is cut into overlapping pieces
 PLACE = np.uint64((1 << 26) - 1)  # the low bits of an anchor's key are its place
 SHARD = 1 << 16  # bytes of a transform
@@ -124,9 +124,9 @@ def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
 
     Each string ends in byte -1 (stored as 0, all others one higher) and goes round at its end. Suffixes are places in the joined shard.
     """
-    parts = [np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, 0) for s in strings]
-    t = np.concatenate(parts)
-    lens = np.array([len(p) for p in parts])
+    raw = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)  # no byte of UTF-8
+    t = raw + np.uint8(1)  # wraps to 0 at the ends
+    lens = np.array([len(s) + 1 for s in strings])
     base = np.repeat(np.cumsum(lens) - lens, lens)
     step = np.arange(len(t)) - base
     lens = np.repeat(lens, lens)
@@ -144,22 +144,43 @@ def merged_blocks(shards: list[list[bytes]], depth: int) -> tuple[np.ndarray, np
     """Shard, suffix and block of every suffix in merged order; suffixes of a block agree in their first ``depth`` bytes."""
     got = [transform(s, depth) for s in shards]
     order, bwt = [o for o, _ in got], np.concatenate([b for _, b in got])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(o) for o in order])
-    block = np.zeros(len(z), np.int32)
-    symbols = np.empty(len(z), np.uint16)
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), [len(o) for o in order])
+    first = np.zeros(len(z), bool)  # where a block begins
+    first[:1] = True
+    symbols = np.empty(len(z), np.uint8)
     for _ in range(depth):
         symbols[np.argsort(z, kind="stable")] = bwt  # each shard's transform is read in its own order
         to = np.argsort(symbols, kind="stable")
-        z, c, old = z[to], symbols[to], block[to]
-        new = np.cumsum(np.concatenate([[0], (c[1:] != c[:-1]) | (old[1:] != old[:-1])]), dtype=np.int32)
-        block = new
+        z, c, old = z[to], symbols[to], np.cumsum(first, dtype=np.int32)[to]
+        np.not_equal(old[1:], old[:-1], out=first[1:])
+        first[1:] |= c[1:] != c[:-1]
+    block = np.cumsum(first)
     suffix = np.empty(len(z), np.int64)
     suffix[np.argsort(z, kind="stable")] = np.concatenate(order)
     return z, suffix, block
 
 
+def cut_down(strings: list[bytes], doc: np.ndarray, first: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The strings without what stands before and after their first and last window whose hash occurs more than once."""
+    lens = np.array([len(s) for s in strings])
+    base = np.cumsum(lens) - lens
+    h = Prefix(TOKENS[np.frombuffer(b"".join(strings), np.uint8)]).every(size)
+    of = np.repeat(np.arange(len(strings)), lens)[: len(h)]
+    at = np.flatnonzero(np.arange(len(h)) + size <= (base + lens)[of])
+    _, where, many = np.unique(h[at], return_inverse=True, return_counts=True)
+    at = at[many[where] > 1]
+    if not len(at):
+        return [], doc[:0], first[:0]
+    own, lead = np.unique(of[at], return_index=True)
+    low, high = at[lead] - base[own], at[np.append(lead[1:], len(at)) - 1] - base[own] + size
+    return [strings[i][a:b] for i, a, b in zip(own, low, high, strict=True)], doc[own], first[own] + low
+
+
 def resolve(strings: list[bytes], doc: np.ndarray, first: np.ndarray, size: int) -> pd.DataFrame:
     """Repeated windows (doc, first, last) among strings; string i holds the windows of ``doc[i]`` from ``first[i]`` on."""
+    strings, doc, first = cut_down(strings, doc, first, size)
+    if not strings:
+        return pd.DataFrame({"doc": doc, "first": first, "last": first})
     shards, held, total = [], [], 0
     for s in strings:
         if held and total + len(s) > SHARD:
@@ -206,7 +227,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
         group = group.sort_values(["doc", "first"], kind="stable")
         return resolve(list(group["string"]), group["doc"].to_numpy(np.int64), group["first"].to_numpy(np.int64), size)
 
-    buckets = 8 * partitions(docs.sparkSession)
+    buckets = 16 * partitions(docs.sparkSession)
     joined = docs.join(open_runs, docs["_key"] == open_runs["doc"]).select("_key", "_text", "_runs")
     found = joined.mapInPandas(strings, "doc long, first int, anchor long, string binary")
     solved = written(found.groupBy(F.pmod("anchor", F.lit(buckets)).alias("b")).applyInPandas(solve, "doc long, first int, last int"), "repeats")
