@@ -28,7 +28,7 @@ from tessitura.llm.scratch import partitions, release, written
 from tessitura.llm.substrings import NULL_KEY, covered, repeats, runs_of
 
 GRAM = 48  # bytes of an anchor
-CHUNK = 8 << 20  # bytes that are hashed at once; a longer document is cut into overlapping pieces
+CHUNK = 2 << 20  # bytes that are hashed at once; a longer document is cut into overlapping pieces
 PLACE = np.uint64((1 << 26) - 1)  # the low bits of an anchor's key are its place
 SHARD = 1 << 16  # bytes of a transform
 TOKENS = mix(np.arange(256, dtype=np.uint64), 11)
