@@ -164,19 +164,25 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
 
 
 def keep_known(docs: DataFrame, model: dict, text: str = "text", least: int = 500) -> DataFrame:
-    """``docs`` without rejected rows: those without a letter, and those of ``least`` trigrams or more that every language finds less
-    likely than chance (a mean log-probability below the uniform distribution's). Nothing goes for being short, mixed or noisy."""
+    """``docs`` without rejected rows: those without a letter, and those of ``least`` trigrams or more whose words, each in the
+    language that suits it best, are less likely than chance (a mean log-probability below the uniform distribution's).
+    Nothing goes for being short, mixed or noisy."""
     shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
 
     def known(t: str | None) -> bool:
         words = WORD.findall(t.lower()) if t else []
         if not words or not len(shared.value):
             return False
-        g, _ = trigrams(words)
-        if len(g) < least:
+        if sum(map(len, words)) < least:
             return True
-        n = np.bincount(g, minlength=1 << BITS)
-        return float((shared.value.astype(np.float64) @ n).max()) / n.sum() >= -BITS * np.log(2)
+        names, n = np.unique(np.array(words, object), return_counts=True)
+        g, at = trigrams(list(names))
+        stop = np.append(at[1:] - 2, len(g))
+        best = np.full(len(names), -np.inf)
+        for p in shared.value:
+            total = np.concatenate([[0.0], np.cumsum(p[g], dtype=np.float64)])
+            best = np.maximum(best, total[stop] - total[at])
+        return float(best @ n) / float((stop - at) @ n) >= -BITS * np.log(2)
 
     def run(batches):
         for b in batches:
