@@ -96,7 +96,7 @@ def merge_playlists_by_name(playlists: DataFrame, items: DataFrame) -> DataFrame
     import pandas as pd
 
     lists = items.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
-    rows = playlists.join(lists, "playlist_id").select("playlist_id", "name", "created_at", F.col("m.track_id").alias("tracks"))
+    rows = playlists.join(lists, "playlist_id").select("playlist_id", "name", "created_at", F.col("m.track_id").alias("tracks"), F.lit(1).alias("all"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["created_at", "playlist_id"], ascending=[False, True], na_position="last", kind="stable")
@@ -112,4 +112,4 @@ def merge_playlists_by_name(playlists: DataFrame, items: DataFrame) -> DataFrame
         out = [(anchor[n], n, i + 1, t) for n, x in held.items() for i, t in enumerate(x)]
         return pd.DataFrame(out, columns=["playlist_id", "name", "position", "track_id"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(fold, "playlist_id long, name string, position int, track_id long")
+    return rows.groupBy("all").applyInPandas(fold, "playlist_id long, name string, position int, track_id long")
