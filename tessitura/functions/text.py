@@ -40,6 +40,8 @@ DECORATIONS = [
     r"^\|\d+\|\s+",
     "collectors edition",
 ]
+#: What every one of them needs somewhere: a name without it goes through one pattern instead of all.
+DECORATED = r"(?iuUd)[\[(|-]|\s+ep$|feat\. |^\d|collectors edition"
 # Characters deleted from names, and characters replaced in path parts.
 PUNCTUATION = "-–,.:\"*[]()'’‘…►™"
 UNSAFE = '*<>:"/\\|?’“”'
@@ -55,9 +57,11 @@ def _nfkc(names):
 
 def normalize_name(name: Column, nfkc: bool = True) -> Column:
     """The comparison form of a name; '' for null. ``nfkc=False`` leaves out the one step that needs Python (no change for ASCII)."""
-    c = F.coalesce(name, F.lit(""))
+    plain = F.coalesce(name, F.lit(""))
+    c = plain
     for pattern in DECORATIONS:
         c = F.regexp_replace(c, f"(?iuUd){pattern}", "")
+    c = F.when(plain.rlike(DECORATED), c).otherwise(plain)
     c = F.translate(c, "/\\", "  ")
     # one at a time, each only while two characters are left
     chars = F.array(*[F.lit(x) for x in PUNCTUATION])

@@ -40,7 +40,8 @@ def buckets(tracks: DataFrame, sets: tuple[tuple[str, ...], ...]) -> DataFrame:
     return rows.join(least, ["title_norm", "k"]).select("title_norm", "id", "least")
 
 
-def _unite(group: pd.DataFrame) -> pd.DataFrame:
+def _unite(batches):
+    """Union-find over a whole partition, which holds all links of its titles."""
     root: dict[int, int] = {}
 
     def find(x):
@@ -49,22 +50,23 @@ def _unite(group: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    for a, b in zip(group["id"], group["least"], strict=True):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    ids = list(root)
-    return pd.DataFrame({"id": ids, "component": [find(x) for x in ids]})
+    for b in batches:
+        for x, y in zip(b["id"].tolist(), b["least"].tolist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"id": list(root), "component": [find(x) for x in list(root)]}, dtype="int64")
 
 
 def united(links: DataFrame) -> DataFrame:
-    """(id, component) of the bucket rows; a component never crosses titles, so titles are united side by side."""
-    links = links.distinct()
-    sizes = links.groupBy("title_norm").count()
-    large = sizes.where(F.col("count") > GROUP).select("title_norm")
+    """(id, component) of the bucket rows; a component never crosses titles, so titles are united side by side.
+
+    Links are dealt by title and united in each task; titles with more than GROUP links go through distributed rounds.
+    """
+    links = written(links.distinct(), "links")
+    large = links.groupBy("title_norm").count().where(F.col("count") > GROUP).select("title_norm")
     if large.isEmpty():
-        return links.select("title_norm", "id", "least").groupBy("title_norm").applyInPandas(_unite, "id long, component long")
-    links = written(links, "links")
-    small = links.join(large, "title_norm", "left_anti").groupBy("title_norm").applyInPandas(_unite, "id long, component long")
+        return links.repartition("title_norm").select("id", "least").mapInPandas(_unite, "id long, component long")
+    small = links.join(large, "title_norm", "left_anti").repartition("title_norm").select("id", "least").mapInPandas(_unite, "id long, component long")
     rest = links.join(large, "title_norm", "left_semi")
     roots = components(rest.select(F.col("id").alias("u"), F.col("least").alias("v")))
     nodes = rest.select("id").union(rest.select("least")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import SIMILAR, gram_similarity, trigrams
+from tessitura.plans.scratch import written
 
 TITLE_SIMILAR, LEAST_LENGTH, THRESHOLD = 0.45, 4, 0.4
 
@@ -24,17 +25,21 @@ def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     Prefix filter for Jaccard: with grams in order of rarity a pair that similar shares one of the first
     ``n - ceil(0.3 n) + 1`` grams of each side; lengths may differ by the same factor at most.
     """
-    titles = left.select("t").union(right.select("t")).where("t <> ''").distinct().withColumn("g", trigrams(F.col("t")))
-    freq = titles.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = titles.select("t", F.size("g").alias("size"), F.explode("g").alias("gram")).join(freq, "gram")
-    ordered = ranked.groupBy("t", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("o"))
-    keep = (F.col("size") - F.expr("(3 * size + 9) div 10") + 1).cast("int")
-    prefix = ordered.select("t", "size", F.col("o.gram").alias("g"), F.explode(F.slice(F.col("o.gram"), F.lit(1), keep)).alias("gram"))
-    a = prefix.join(left.select("t").distinct(), "t", "left_semi").select(F.col("t").alias("a"), F.col("g").alias("ga"), F.col("size").alias("na"), "gram")
-    b = prefix.join(right.select("t").distinct(), "t", "left_semi").select(F.col("t").alias("b"), F.col("g").alias("gb"), F.col("size").alias("nb"), "gram")
-    met = a.join(b, "gram").where("10 * na >= 3 * nb and 10 * nb >= 3 * na")
+    sides = left.select("t", F.lit(True).alias("l")).union(right.select("t", F.lit(False).alias("l"))).where("t <> ''")
+    titles = sides.groupBy("t").agg(F.bool_or("l").alias("l"), F.bool_or(~F.col("l")).alias("r")).withColumn("g", F.transform(trigrams(F.col("t")), lambda x: F.xxhash64(x)))
+    titles = written(titles.withColumn("id", F.xxhash64("t")), "titles")  # equal hashes only bring a pair more to verify
+    grams = titles.select("id", "l", "r", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    freq = grams.groupBy("gram").agg(F.count("*").alias("f"))
+    ranked = grams.join(freq, "gram").groupBy("id", "l", "r", "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
+    keep = (F.col("n") - F.expr("(3 * n + 9) div 10") + 1).cast("int")
+    prefix = ranked.select("id", "l", "r", "n", F.explode(F.slice(F.col("o.gram"), F.lit(1), keep)).alias("gram"))
+    prefix = written(prefix, "prefixes")
+    a = prefix.where("l").select(F.col("id").alias("ia"), F.col("n").alias("na"), "gram")
+    b = prefix.where("r").select(F.col("id").alias("ib"), F.col("n").alias("nb"), "gram")
+    met = a.join(b, "gram").where("10 * na >= 3 * nb and 10 * nb >= 3 * na").select("ia", "ib").distinct()  # narrow rows move; arrays join afterwards
+    whole = met.join(titles.select(F.col("id").alias("ia"), F.col("t").alias("a"), F.col("g").alias("ga")), "ia").join(titles.select(F.col("id").alias("ib"), F.col("t").alias("b"), F.col("g").alias("gb")), "ib")
     sim = gram_similarity(F.col("ga"), F.col("gb"))
-    return met.withColumn("sim", sim).where(F.col("sim") >= F.lit(SIMILAR).cast("float")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return whole.select("a", "b", sim.alias("sim")).where(F.col("sim") >= F.lit(SIMILAR).cast("float"))
 
 
 def match_fuzzy(aliases: DataFrame, tracks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -9,6 +9,7 @@ from tessitura.functions import text as X
 from tessitura.operators import dedup, history, match, playlists, unify
 from tessitura.plans import views as V
 from tessitura.plans.oracle import SQL
+from tessitura.plans.scratch import written
 
 
 def _norm(df: DataFrame, *fields: str) -> DataFrame:
@@ -17,7 +18,8 @@ def _norm(df: DataFrame, *fields: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
-    return _norm(V.track_v(spark, sf), "title", "artist", "album", "album_artist")
+    """Tracks with their comparison forms, written once: several steps of a query read them."""
+    return written(_norm(V.track_v(spark, sf), "title", "artist", "album", "album_artist"), "tracks")
 
 
 def aliases(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,12 +27,12 @@ def aliases(spark: SparkSession, sf: str) -> DataFrame:
     return a.withColumn("alias_key", X.alias_label(F.col("title"), F.col("artist"), F.col("album")))
 
 
-def canon(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.find_duplicates(tracks(spark, sf)).select("id", "canon_id")
+def normalize_name(spark, sf):
+    return _norm(V.track_v(spark, sf), "title", "artist", "album", "album_artist").select("id", "title_norm", "artist_norm", "album_norm", "album_artist_norm")
 
 
-def normalize_name(spark, sf):
-    return tracks(spark, sf).select("id", "title_norm", "artist_norm", "album_norm", "album_artist_norm")
+def canon(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.find_duplicates(tracks(spark, sf)).select("id", "canon_id")
 
 
 def trigram_similarity(spark, sf):

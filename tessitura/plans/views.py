@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessitura.session import table
+from tessitura.session import spread, table
 
 RUN_TS = 1_600_000_000  # the time that is passed to operators as "now"
 
@@ -16,7 +16,7 @@ def _int(c: Column) -> Column:
 
 
 def track_v(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     k, size = F.col("p_partkey"), F.col("p_size")
     base = F.concat(F.col("p_name"), F.lit(" vol "), F.floor(k / 100).cast("long").cast("string"))
     title = F.when(k % 5 == 0, F.concat(base, F.lit(" (Remastered)"))).when(k % 5 == 1, F.concat(base, F.lit(" - Single"))).when(k % 5 == 2, F.upper(base)).otherwise(base)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,3 +26,9 @@ def build_session(master: str = "local[8]", partitions: int = 8, **more: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables of a data folder, read by Spark's own reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt over the cores where its files give fewer tasks than that; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
