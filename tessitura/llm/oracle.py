@@ -1,3 +1,74 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, by brute force.
 
-SQL: dict[str, str] = {}
+Not here: 1 and 9 (fitted models), 2 (byte strings), 4 (XXH64), 10 (a tokenizer) and the pipeline that holds them; tests/llm hold those
+against plain Python.
+"""
+
+from __future__ import annotations
+
+import string
+
+from tessitura.llm.licenses import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD, least_shared
+from tessitura.llm.secrets import BASE, RULES, java
+
+q = lambda s: "'" + s.replace("'", "''") + "'"
+LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+WORDS = rf"regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SUBSTRINGS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+  again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+  gone AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS p FROM again),
+  spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY 1),
+  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+CONTAMINATION = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+  spot AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+  hit AS (SELECT doc_id, item_id, i, n FROM spot JOIN win USING (n, k)), covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(n)) AS p FROM hit) GROUP BY 1),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _secrets() -> str:
+    parts = []
+    for at, rule in enumerate(RULES):
+        p = q(java(rule))
+        parts.append(
+            f"SELECT doc_id, {at} AS o, '{rule.kind}' AS kind, list_sum(list_transform(b[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s, length(m[i]) AS n, length(g[i]) AS c, {rule.least} AS least FROM "
+            f"(SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {rule.group}) AS g, string_split_regex(t, {p}) AS b FROM d WHERE regexp_matches(t, {p})))"
+        )
+    counts = ", ".join(f"count(*) FILTER (o = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    named = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    span = "kind || ':' || s || ':' || (s + n)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE c >= least),
+  each AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY s, o) FILTER (o < {len(BASE)}) AS b, string_agg({span}, ',' ORDER BY s, o) AS a FROM found GROUP BY 1)
+  SELECT doc_id, {named}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN each USING (doc_id)"""
+
+
+def _licenses() -> str:
+    phrases = []
+    for p, label in PHRASES.items():
+        ws = p.split(" ")
+        at = " AND ".join(f"w[i + {j}] = {q(x)}" for j, x in enumerate(ws))
+        phrases.append(f"SELECT doc_id, i - 1 AS p, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {at}")
+    rows = ", ".join(f"({q(n)}, {q(t)}, {least_shared(len(ws), THRESHOLD)}, {len(ws)})" for n, text in TEMPLATES.items() for ws in [list(dict.fromkeys(text.split(" ")))] for t in ws)
+    back = -(-BLOCK // STRIDE)
+    return f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), tok(label, x, need, size) AS (VALUES {rows}), base AS ({' UNION ALL '.join(phrases)}),
+  places AS (SELECT doc_id, label, need, size, x, (p // {STRIDE}) - unnest(range({back})) AS b FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d) JOIN tok USING (x)),
+  block AS (SELECT doc_id, label, b, count(DISTINCT x) AS n, any_value(need) AS need, any_value(size) AS size FROM places WHERE b >= 0 GROUP BY 1, 2, 3 HAVING count(DISTINCT x) >= any_value(need)),
+  more AS (SELECT doc_id, label, max(n / size::DOUBLE) AS share FROM block GROUP BY 1, 2),
+  b1 AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
+  l1 AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM more) GROUP BY 1), s1 AS (SELECT doc_id, max(share) AS share FROM more GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+  FROM d LEFT JOIN b1 USING (doc_id) LEFT JOIN l1 USING (doc_id) LEFT JOIN s1 USING (doc_id)"""
+
+
+VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), g AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+  reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.id),
+  c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+  SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id"""
+
+SQL: dict[str, str] = {"op3_secrets": _secrets(), "op5_licenses": _licenses(), "op6_decontamination": CONTAMINATION, "op7_embeddings": VECTORS, "op8_substrings": SUBSTRINGS}

@@ -18,9 +18,14 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _count(spans: str, wanted, name: str):
+    """How many spans are wanted. (A function of one argument only: Spark takes a second one for the index.)"""
+    return F.size(F.filter(spans, lambda s: wanted(s))).cast("long").alias(name)
+
+
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.detect(_read(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("found", lambda s, i=i: s["base"] & (s["kind"] == i))).cast("long").alias(f"n_{k}") for i, k in enumerate(personal.BASE)]
+    count = [_count("found", lambda s, at=at: s["base"] & (s["kind"] == at), f"n_{k}") for at, k in enumerate(personal.BASE)]
     return found.select("doc_id", *count, F.sha2(personal.span_text(F.col("found"), True), 256).alias("base_sha256"), personal.span_text(F.col("found"), False).alias("spans"))
 
 
@@ -30,7 +35,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(_read(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    count = [_count("spans", lambda s, at=at: s["kind"] == at, f"n_{r.kind}") for at, r in enumerate(secrets.BASE)]
     return rows.select("doc_id", *count, F.sha2(secrets.span_text(F.col("spans"), secrets.RULES, True), 256).alias("base_sha256"), secrets.span_text(F.col("spans"), secrets.RULES).alias("spans"))
 
 

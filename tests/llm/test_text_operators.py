@@ -59,6 +59,34 @@ def test_personal_base(frame, texts):
         assert set(filter(None, r["b"].split(","))) <= set(r["s"].split(","))
 
 
+def test_query_counts(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    names = ["email", "ip", "card", "phone"]
+    for i, r in by_id(registry.op1_personal_data(spark, "/root/testdata/sf0.01")).items():
+        assert [r[f"n_{k}"] for k in names] == [len(x) for x in plain_personal(docs[i])]
+        base = sorted((x for k in plain_personal(docs[i]) for x in k), key=lambda s: (s[0], names.index(s[2])))
+        assert r["base_sha256"] == sha(",".join(f"{k}:{a}:{b}" for a, b, k in base))
+    for i, r in by_id(registry.op3_secrets(spark, "/root/testdata/sf0.01")).items():
+        assert r["n_access"] == sum(len(m) >= 20 for m in re.findall("AKIA[A-Z0-9]+", docs[i])) and r["n_hex"] == sum(len(m) >= 24 for m in re.findall("[0-9a-f]+", docs[i]))
+
+
+def test_twins(spark):
+    """The queries that SQL can express, against DuckDB."""
+    import duckdb
+
+    from tessitura.llm.oracle import SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in SQL.items():
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        got = con.execute(sql)
+        at, order = [c[0] for c in got.description], sorted(df.columns)
+        want = sorted(tuple(str(r[at.index(c)]) for c in order) for r in got.fetchall())
+        assert sorted(tuple(str(r[c]) for c in order) for r in df.collect()) == want, name
+
+
 def test_personal_more_and_masking(frame):
     own = ["My name is Maria Lopez, ssn 123-45-6789", "write to bob at mail dot com", "plain words only", None, "card 4111 1111 1111 1111 ok", "iban DE89 3704 0044 0532 0130 00"]
     got = {r["doc_id"]: r["text"] for r in personal.masked(frame(own)).collect()}
