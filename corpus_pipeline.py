@@ -15,8 +15,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest doc_id, of each group of near duplicates."""
-    groups = fingerprints.near_duplicates(docs)
+    """Keep one document, the smallest doc_id, of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    groups = fingerprints.similar_documents(docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 

@@ -32,11 +32,12 @@ SAMPLE = 16_384  # fingerprints that the upper levels are made from
 DEPTH = 10  # upper levels at most
 LEAF = 192  # homes that are compared directly
 BLOCK = 3072  # rows of a grid block
+DENSE, NEAREST = 32, 8  # pairs for each row of a cell beyond which only the nearest ones go on
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, k: int = 3) -> int:
-    """Bits set in over half the hashes of the ``k``-word shingles, repeats included."""
+def fingerprint(text: str | None, k: int = 3, distinct: bool = False) -> int:
+    """Bits set in over half the hashes of the ``k``-word shingles, repeats included unless ``distinct``."""
     import xxhash
 
     words = WORD.findall(text.translate(LOWER)) if text else []
@@ -50,6 +51,8 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     begin, stop = (ends - lens + 1)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(begin, stop, strict=True)), np.uint64, len(begin))
+    if distinct:
+        h = np.unique(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
@@ -70,8 +73,10 @@ def distances(a: np.ndarray, v) -> np.ndarray:
     return np.bitwise_count(a ^ v).astype(np.int16)
 
 
-def half(fp: np.ndarray, tree: int) -> np.ndarray:
-    return ((fp >> np.uint64(32)) if tree == 0 else (fp & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+def part_of(fp: np.ndarray, tree: int, parts: int = 2) -> np.ndarray:
+    """The tree's own bits of each fingerprint."""
+    width = 64 // parts
+    return ((fp >> np.uint64(width * (parts - 1 - tree))) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def vantage(points: np.ndarray) -> tuple[int, int] | None:
@@ -120,26 +125,26 @@ def route(h: np.ndarray, nodes: dict[int, tuple[int, int]], radius: int) -> tupl
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
-def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, home) of distinct fingerprints within ``radius`` bits whose halves are within ``radius // 2``."""
-    part = radius // 2
-    out, todo = [], [(home, query, 0)]
+def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int, parts: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places (query, home) of all pairs within ``radius`` bits whose own bits of the tree are within ``radius // parts``."""
+    own = radius // parts
+    hb, qb = part_of(home, tree, parts), part_of(query, tree, parts)
+    out, todo = [], [(np.arange(len(home)), np.arange(len(query)), 0)]
     while todo:
         hs, qs, level = todo.pop()
         if not len(hs) or not len(qs):
             continue
-        cut = vantage(half(hs, tree)) if len(hs) > LEAF and level < 24 else None
+        cut = vantage(hb[hs]) if len(hs) > LEAF and level < 24 else None
         if cut:
-            dh, dq = distances(half(hs, tree), np.uint32(cut[0])), distances(half(qs, tree), np.uint32(cut[0]))
-            inner, inside, outside = dh <= cut[1], dq <= cut[1] + part, dq > cut[1] - part
+            dh, dq = distances(hb[hs], np.uint32(cut[0])), distances(qb[qs], np.uint32(cut[0]))
+            inner, inside, outside = dh <= cut[1], dq <= cut[1] + own, dq > cut[1] - own
             if min(inner.sum(), (~inner).sum()) >= len(hs) // 16 and inside.sum() + outside.sum() < 1.8 * len(qs):
                 todo += [(hs[inner], qs[inside], level + 1), (hs[~inner], qs[outside], level + 1)]
                 continue
         step = max(1, (1 << 21) // len(hs))
         for at in range(0, len(qs), step):
-            q, h = np.nonzero(np.bitwise_count(qs[at : at + step, None] ^ hs[None, :]) <= radius)
-            q, h = qs[at + q], hs[h]
-            out.append((q[q != h], h[q != h]))
+            q, h = np.nonzero(np.bitwise_count(query[qs[at : at + step], None] ^ home[hs][None, :]) <= radius)
+            out.append((qs[at + q], hs[h]))
     return out
 
 
@@ -165,28 +170,27 @@ def forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return names[moved], names[root[moved]]
 
 
-def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (u, v) that connect every two of the distinct fingerprints (column ``fp``, a written table) within ``radius`` bits."""
-    spark = distinct.sparkSession
-    part = radius // 2
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    total = distinct.count()
+def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``rows`` (id, fp; a written table) dealt to shards: (shard, cell, home, id, fp). A shard's tree is ``shard % parts``."""
+    spark = rows.sparkSession
+    sample = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    total = rows.count()
     depth = int(min(DEPTH, max(0, np.ceil(np.log2(max(total, 1) / 512)))))
-    trees = spark.sparkContext.broadcast([upper_tree(half(sample, t), depth) for t in (0, 1)])  # at most 2 x 2**DEPTH nodes
+    trees = spark.sparkContext.broadcast([upper_tree(part_of(sample, t, parts), depth) for t in range(parts)])  # at most parts x 2**DEPTH nodes
 
     def place(batches):
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            for t in (0, 1):
-                rows, shards, homes = route(half(fp.view(np.uint64), t), trees.value[t], part)
-                yield pd.DataFrame({"shard": shards * 2 + t, "home": homes, "fp": fp[rows]})
+            fp, ids = b["fp"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+            for t in range(parts):
+                at, shards, homes = route(part_of(fp.view(np.uint64), t, parts), trees.value[t], radius // parts)
+                yield pd.DataFrame({"shard": shards * parts + t, "home": homes, "id": ids[at], "fp": fp[at]})
 
-    placed = distinct.select("fp").mapInPandas(place, "shard long, home boolean, fp long")
+    placed = rows.select("id", "fp").mapInPandas(place, "shard long, home boolean, id long, fp long")
     if depth == 0:
-        sizes = [{"shard": 2 + t, "homes": total, "queries": total} for t in (0, 1)]
+        sizes = [{"shard": parts + t, "homes": total, "queries": total} for t in range(parts)]
     else:
         placed = written(placed, "placed")
-        sizes = placed.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("queries")).collect()  # at most 2 x 2**DEPTH rows
+        sizes = placed.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("queries")).collect()  # at most parts x 2**DEPTH rows
     grid = {int(r["shard"]): (-(-r["homes"] // BLOCK), -(-r["queries"] // BLOCK)) for r in sizes}
     grid = spark.sparkContext.broadcast({k: v for k, v in grid.items() if v != (1, 1)})
 
@@ -195,7 +199,7 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             wide = b["shard"].map(lambda s: grid.value.get(s, (1, 1)))
             nh, nq = np.array([x[0] for x in wide], np.int64), np.array([x[1] for x in wide], np.int64)
             nh, nq = np.maximum(nh, 1), np.maximum(nq, 1)
-            mixed = (b["fp"].to_numpy(np.int64).view(np.uint64) * MIX) >> np.uint64(33)
+            mixed = ((b["fp"].to_numpy(np.int64) ^ b["id"].to_numpy(np.int64)).view(np.uint64) * MIX) >> np.uint64(33)
             for as_home, many, own in ((True, nq, nh), (False, nh, nq)):
                 pick = b["home"].to_numpy(bool) if as_home else np.ones(len(b), bool)
                 times = many[pick]
@@ -203,17 +207,96 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
                 other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
                 mine = (mixed[at] % own[at].astype(np.uint64)).astype(np.int64)
                 cell = mine * nq[at] + other if as_home else other * nq[at] + mine
-                yield pd.DataFrame({"shard": b["shard"].to_numpy()[at], "cell": cell, "home": as_home, "fp": b["fp"].to_numpy()[at]})
+                yield pd.DataFrame({"shard": b["shard"].to_numpy()[at], "cell": cell, "home": as_home, "id": b["id"].to_numpy()[at], "fp": b["fp"].to_numpy()[at]})
+
+    return placed.mapInPandas(deal, "shard long, cell long, home boolean, id long, fp long")
+
+
+def near_links(distinct: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
+    """Links (u, v) that connect every two of the distinct fingerprints (column ``fp``, a written table) within ``radius`` bits."""
 
     def search(keys, group):
         fp, home = group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool)
-        u, v = forest(links_within(fp[home], fp[~home], int(keys[0]) % 2, radius))
+        h, q = fp[home], fp[~home]
+        u, v = forest([(q[a], h[b]) for a, b in links_within(h, q, int(keys[0]) % parts, radius, parts)])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = placed.mapInPandas(deal, "shard long, cell long, home boolean, fp long")
+    dealt = cells(distinct.select(F.lit(0).cast("long").alias("id"), "fp"), radius, parts)
     return dealt.groupBy("shard", "cell").applyInPandas(search, "u long, v long")
 
 
+def near_pairs(rows: DataFrame, radius: int, parts: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (id, fp; a written table) within ``radius`` bits, to be verified.
+
+    A cell with up to DENSE pairs for each row gives them all. In a denser one, which a large group of copies makes, every row is paired with its
+    NEAREST nearest and with its smallest partner, so the pairs grow with the rows and not with their square.
+    """
+
+    def search(keys, group):
+        fp, ids, home = group["fp"].to_numpy(np.int64).view(np.uint64), group["id"].to_numpy(np.int64), group["home"].to_numpy(bool)
+        h, q, hi, qi = fp[home], fp[~home], ids[home], ids[~home]
+        found = links_within(h, q, int(keys[0]) % parts, radius, parts)
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        keep = qi[x] != hi[y]
+        x, y = x[keep], y[keep]
+        if len(x) > DENSE * len(group):
+            d = np.bitwise_count(q[x] ^ h[y])
+            order = np.lexsort((hi[y], d, x))
+            lead = np.concatenate([[0], np.flatnonzero(np.diff(x[order])) + 1])
+            rank = np.arange(len(order)) - np.repeat(lead, np.diff(np.append(lead, len(order))))
+            low = np.lexsort((hi[y], x))
+            pick = np.unique(np.concatenate([order[rank < NEAREST], low[np.concatenate([[True], np.diff(x[low]) > 0])]]))
+            x, y = x[pick], y[pick]
+        pairs = np.unique(np.stack([np.minimum(qi[x], hi[y]), np.maximum(qi[x], hi[y])], 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return cells(rows, radius, parts).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
+
+
+def shingles(docs: DataFrame, k: int, key: str = "_id", text: str = "_text") -> DataFrame:
+    """``key`` and ``s``: the hashes of a text's distinct ``k``-word shingles (fewer words: one shingle; none: no shingle)."""
+    import xxhash
+
+    def one(t):
+        words = WORD.findall(t.translate(LOWER)) if t else []
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))), np.uint64)).view(np.int64) if words else np.zeros(0, np.int64)
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "s": [one(t) for t in b[text]]})
+
+    return docs.select(key, text).mapInPandas(run, f"{key} long, s array<long>")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 7, parts: int = 4) -> DataFrame:
+    """(key, component_id) of every document: groups of texts linked by a Jaccard similarity of their ``k``-word shingles of at least ``threshold``.
+
+    Equal texts are one row. Candidates are texts whose SimHash fingerprints over distinct words differ in at most ``radius`` bits, found in
+    vantage-point trees over ``parts`` parts of the bits; every candidate is verified on the shingles themselves. Replacing one word changes one
+    element of the word set but ``k`` shingles, so texts at the threshold differ in about 2 % of their words and 4 bits. Null is empty; texts
+    without words are alike only if equal; rows with a null key are in no group but that of their text's other rows.
+    """
+
+    def prints(batches):
+        for b in batches:
+            yield pd.DataFrame({"_key": b["_key"], "h1": b["h1"], "h2": b["h2"], "fp": np.array([fingerprint(t, 1, True) for t in b["_text"]], np.uint64).view(np.int64)})
+
+    plain = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("_key"), plain.alias("_text"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"))
+    table = written(rows.mapInPandas(prints, f"_key {docs.schema[key].dataType.simpleString()}, h1 long, h2 long, fp long"), "word_prints")
+    texts = written(table.groupBy("h1", "h2", "fp").agg(F.min("_key").cast("long").alias("id")), "texts")
+    pairs = written(near_pairs(texts.where("id is not null").select("id", "fp"), radius, parts), "pairs")
+    wanted = pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct()
+    own = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("_want"), "left_semi")
+    sets = written(shingles(own, k).dropDuplicates(["_id"]), "shingles")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = both.where((shared > 0) & (shared >= threshold * (F.size("sa") + F.size("sb") - shared))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(links)
+    of = texts.join(roots, texts["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
+    return table.join(of, ["h1", "h2"], "left").select(F.col("_key").alias(key), "component_id")
+
+
 def grouped(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
     """``prints`` (key, fp) with ``component_id``: the smallest key of the fingerprints reachable by links."""
     prints = written(prints, "prints")

@@ -318,13 +318,14 @@ def test_vantage_trees_find_all_pairs(spark):
     fp = np.unique(np.concatenate([base, near]))
     found = set()
     for tree in (0, 1):
-        nodes = fingerprints.upper_tree(fingerprints.half(fp, tree), 5)
-        rows, shards, homes = fingerprints.route(fingerprints.half(fp, tree), nodes, 1)
+        nodes = fingerprints.upper_tree(fingerprints.part_of(fp, tree), 5)
+        rows, shards, homes = fingerprints.route(fingerprints.part_of(fp, tree), nodes, 1)
         assert homes.sum() == len(fp)
         for s in np.unique(shards):
             own = rows[shards == s]
-            for a, b in fingerprints.links_within(fp[own[homes[shards == s]]], fp[own], tree, 3):
-                found |= {(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b, strict=True)}
+            h, q = fp[own[homes[shards == s]]], fp[own]
+            for a, b in fingerprints.links_within(h, q, tree, 3):
+                found |= {(int(min(x, y)), int(max(x, y))) for x, y in zip(q[a], h[b], strict=True) if x != y}
     d = np.bitwise_count(fp[:, None] ^ fp[None, :])
     want = {(int(fp[i]), int(fp[j])) for i, j in zip(*np.nonzero(d <= 3), strict=True) if i < j}
     assert found == want and len(want) >= 250
@@ -343,3 +344,36 @@ def test_language(spark, frame, texts):
     assert {x.split(":")[0] for x in mixed["langs"].split(",")} == {"de", "fr"} and 0.3 < mixed["score"] < 0.7
     assert {r["lang_pred"] for r in language.identify(frame(["abc"]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("dense", [32, 0])
+def test_similar_documents(frame, texts, dense, monkeypatch):
+    """Pairs of at least 0.8 over five-word shingles, against brute force; no other pair is linked."""
+    monkeypatch.setattr(fingerprints, "DENSE", dense)
+    rng = random.Random(11)
+    long = [t for t in texts if t and len(t.split()) > 90][:40]
+    own = list(texts)
+    for t in long:
+        w = t.split(" ")
+        for rate in (0.005, 0.01, 0.08):
+            own.append(" ".join("zz" if rng.random() < rate else x for x in w))
+    got = by_id(fingerprints.similar_documents(frame(own)))
+    sets = []
+    for t in own:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets.append({" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if own[i] != own[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0]
+    caught = sum(got[i]["component_id"] == got[j]["component_id"] for i, j in pairs)
+    assert len(pairs) > 60 and caught >= 0.95 * len(pairs)
+    root = list(range(len(own)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in [*pairs, *[(i, j) for i in range(len(own)) for j in range(i) if (own[i] or "") == (own[j] or "")]]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    assert all(find(i) == find(r["component_id"]) for i, r in got.items())
+    assert fingerprints.similar_documents(frame([])).count() == 0
