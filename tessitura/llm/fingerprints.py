@@ -32,7 +32,7 @@ SAMPLE = 16_384  # fingerprints that the upper levels are made from
 DEPTH = 10  # upper levels at most
 LEAF = 192  # homes that are compared directly
 BLOCK = 3072  # rows of a grid block
-DENSE, NEAREST = 32, 8  # pairs for each row of a cell beyond which only the nearest ones go on
+NEAREST = 2  # partners of a row in a cell that are verified besides the spanning forest
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,11 +225,40 @@ def near_links(distinct: DataFrame, radius: int = 3, parts: int = 2) -> DataFram
     return dealt.groupBy("shard", "cell").applyInPandas(search, "u long, v long")
 
 
+def spanning(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the pairs that make a least spanning forest over ``n`` rows (rounds of each group's nearest pair)."""
+    key = (d.astype(np.int64) << 40) | np.arange(len(x))
+    root, taken = np.arange(n), []
+    while len(x):
+        a, b = root[x], root[y]
+        open_ = a != b
+        if not open_.any():
+            break
+        x, y, key, a, b = x[open_], y[open_], key[open_], a[open_], b[open_]
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, a, key)
+        np.minimum.at(best, b, key)
+        picked = np.unique(best[best < np.iinfo(np.int64).max])
+        taken.append(picked & ((1 << 40) - 1))
+        at = np.searchsorted(key, picked, sorter=(order := np.argsort(key, kind="stable")))
+        u, v = a[order[at]], b[order[at]]
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], low)
+            np.minimum.at(new, root[v], low)
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+    return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+
+
 def near_pairs(rows: DataFrame, radius: int, parts: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows (id, fp; a written table) within ``radius`` bits, to be verified.
 
-    A cell with up to DENSE pairs for each row gives them all. In a denser one, which a large group of copies makes, every row is paired with its
-    NEAREST nearest and with its smallest partner, so the pairs grow with the rows and not with their square.
+    In each cell a row is paired with its NEAREST nearest partners, and a least spanning forest of all pairs joins the rest, so
+    that pairs grow with the rows and not with the square of a group, and no group within the radius falls apart.
     """
 
     def search(keys, group):
@@ -239,13 +268,13 @@ def near_pairs(rows: DataFrame, radius: int, parts: int) -> DataFrame:
         x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         keep = qi[x] != hi[y]
         x, y = x[keep], y[keep]
-        if len(x) > DENSE * len(group):
+        if len(x):
             d = np.bitwise_count(q[x] ^ h[y])
             order = np.lexsort((hi[y], d, x))
             lead = np.concatenate([[0], np.flatnonzero(np.diff(x[order])) + 1])
             rank = np.arange(len(order)) - np.repeat(lead, np.diff(np.append(lead, len(order))))
-            low = np.lexsort((hi[y], x))
-            pick = np.unique(np.concatenate([order[rank < NEAREST], low[np.concatenate([[True], np.diff(x[low]) > 0])]]))
+            names, at = np.unique(np.concatenate([qi[x], hi[y]]), return_inverse=True)
+            pick = np.unique(np.concatenate([order[rank < NEAREST], spanning(at[: len(x)], at[len(x) :], d, len(names))]))
             x, y = x[pick], y[pick]
         pairs = np.unique(np.stack([np.minimum(qi[x], hi[y]), np.maximum(qi[x], hi[y])], 1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})

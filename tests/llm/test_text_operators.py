@@ -346,10 +346,8 @@ def test_language(spark, frame, texts):
     assert language.identify(frame([])).count() == 0
 
 
-@pytest.mark.parametrize("dense", [32, 0])
-def test_similar_documents(frame, texts, dense, monkeypatch):
+def test_similar_documents(frame, texts):
     """Pairs of at least 0.8 over five-word shingles, against brute force; no other pair is linked."""
-    monkeypatch.setattr(fingerprints, "DENSE", dense)
     rng = random.Random(11)
     long = [t for t in texts if t and len(t.split()) > 90][:40]
     own = list(texts)
