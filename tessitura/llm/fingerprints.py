@@ -32,7 +32,7 @@ SAMPLE = 16_384  # fingerprints that the upper levels are made from
 DEPTH = 10  # upper levels at most
 LEAF = 192  # homes that are compared directly
 BLOCK = 3072  # rows of a grid block
-NEAREST = 2  # partners of a row in a cell that are verified besides the spanning forest
+QUERY, HOME, BOTH = 0, 1, 2  # what a row is in its cell
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,9 +125,9 @@ def route(h: np.ndarray, nodes: dict[int, tuple[int, int]], radius: int) -> tupl
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
-def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int, parts: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Places (query, home) of all pairs within ``radius`` bits whose own bits of the tree are within ``radius // parts``."""
-    own = radius // parts
+def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int, parts: int = 2, own: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places (query, home) of all pairs within ``radius`` bits whose own bits of the tree are within ``own`` (``radius // parts``)."""
+    own = radius // parts if own is None else own
     hb, qb = part_of(home, tree, parts), part_of(query, tree, parts)
     out, todo = [], [(np.arange(len(home)), np.arange(len(query)), 0)]
     while todo:
@@ -171,8 +171,9 @@ def forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
-    """``rows`` (id, fp; a written table) dealt to shards: (shard, cell, home, id, fp). A shard's tree is ``shard % parts``."""
-    spark = rows.sparkSession
+    """``rows`` (id, fp and any other columns; a written table) dealt to shards: (shard, cell, side, ...). A shard's tree is ``shard % parts``."""
+    spark, columns = rows.sparkSession, rows.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     sample = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     total = rows.count()
     depth = int(min(DEPTH, max(0, np.ceil(np.log2(max(total, 1) / 512)))))
@@ -180,12 +181,12 @@ def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
 
     def place(batches):
         for b in batches:
-            fp, ids = b["fp"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+            fp = b["fp"].to_numpy(np.int64).view(np.uint64)
             for t in range(parts):
-                at, shards, homes = route(part_of(fp.view(np.uint64), t, parts), trees.value[t], radius // parts)
-                yield pd.DataFrame({"shard": shards * parts + t, "home": homes, "id": ids[at], "fp": fp[at]})
+                at, shards, homes = route(part_of(fp, t, parts), trees.value[t], radius // parts)
+                yield pd.DataFrame({"shard": shards * parts + t, "home": homes, **{c: b[c].to_numpy()[at] for c in columns}})
 
-    placed = rows.select("id", "fp").mapInPandas(place, "shard long, home boolean, id long, fp long")
+    placed = rows.mapInPandas(place, f"shard long, home boolean, {schema}")
     if depth == 0:
         sizes = [{"shard": parts + t, "homes": total, "queries": total} for t in range(parts)]
     else:
@@ -200,24 +201,25 @@ def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
             nh, nq = np.array([x[0] for x in wide], np.int64), np.array([x[1] for x in wide], np.int64)
             nh, nq = np.maximum(nh, 1), np.maximum(nq, 1)
             mixed = ((b["fp"].to_numpy(np.int64) ^ b["id"].to_numpy(np.int64)).view(np.uint64) * MIX) >> np.uint64(33)
-            for as_home, many, own in ((True, nq, nh), (False, nh, nq)):
-                pick = b["home"].to_numpy(bool) if as_home else np.ones(len(b), bool)
+            whole = (nh == 1) & (nq == 1)
+            home = b["home"].to_numpy(bool)
+            for side, many, own, pick in ((BOTH, nq, nh, whole & home), (QUERY, nq, nq, whole & ~home), (HOME, nq, nh, ~whole & home), (QUERY, nh, nq, ~whole)):
                 times = many[pick]
                 at = np.repeat(np.flatnonzero(pick), times)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
                 mine = (mixed[at] % own[at].astype(np.uint64)).astype(np.int64)
-                cell = mine * nq[at] + other if as_home else other * nq[at] + mine
-                yield pd.DataFrame({"shard": b["shard"].to_numpy()[at], "cell": cell, "home": as_home, "id": b["id"].to_numpy()[at], "fp": b["fp"].to_numpy()[at]})
+                cell = other * nq[at] + mine if side == QUERY else mine * nq[at] + other
+                yield pd.DataFrame({"shard": b["shard"].to_numpy()[at], "cell": cell, "side": np.int8(side), **{c: b[c].to_numpy()[at] for c in columns}})
 
-    return placed.mapInPandas(deal, "shard long, cell long, home boolean, id long, fp long")
+    return placed.mapInPandas(deal, f"shard long, cell long, side tinyint, {schema}")
 
 
 def near_links(distinct: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     """Links (u, v) that connect every two of the distinct fingerprints (column ``fp``, a written table) within ``radius`` bits."""
 
     def search(keys, group):
-        fp, home = group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool)
-        h, q = fp[home], fp[~home]
+        fp, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy()
+        h, q = fp[side != QUERY], fp[side != HOME]
         u, v = forest([(q[a], h[b]) for a, b in links_within(h, q, int(keys[0]) % parts, radius, parts)])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
@@ -254,36 +256,102 @@ def spanning(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
 
 
-def near_pairs(rows: DataFrame, radius: int, parts: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows (id, fp; a written table) within ``radius`` bits, to be verified.
+def sketch(text: str | None, k: int) -> tuple[int, int, int]:
+    """How many distinct ``k``-word shingles a text has (fewer words: one; none: zero), and both halves of their 128-bit SimHash (signed)."""
+    import xxhash
+
+    words = WORD.findall(text.translate(LOWER)) if text else []
+    if not words:
+        return 0, 0, 0
+    found = {xxhash.xxh3_128_digest(" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))}
+    bits, ones = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16), np.zeros(128, np.int64)
+    for at in range(0, len(bits), 1 << 15):
+        ones += np.unpackbits(bits[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)
+    low, high = np.packbits(2 * ones > len(bits)).view(np.int64).tolist()
+    return len(bits), low, high
+
+
+def candidates(group: pd.DataFrame, tree: int, parts: int, reach: int, wide: int, threshold: float):
+    """Places (x, y) in a cell of pairs within ``reach`` bits of the fingerprint and ``wide`` of the sketch whose sizes allow the threshold."""
+    fp, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy()
+    ids, n = group["id"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+    low, high = (group[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high"))
+    h, q, alone = np.flatnonzero(side != QUERY), np.flatnonzero(side != HOME), (side == BOTH).all()
+    for x, y in links_within(fp[h], fp[q], tree, reach, parts, 0):
+        x, y = q[x], h[y]
+        keep = (ids[x] < ids[y]) if alone else (ids[x] != ids[y])
+        keep &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
+        x, y = x[keep], y[keep]
+        keep = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= wide
+        yield x[keep], y[keep]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of hashes falls on each of 4 to 8 bits for each hash. Half of it xor the other half is the map of half as many bits."""
+    wide = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).tobytes()
+
+
+def unlike(maps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of how many shingles are in one text of each pair only: the bits in which their parity maps differ."""
+    size = np.fromiter((len(m) for m in maps), np.int64, len(maps))
+    least, out = np.minimum(size[x], size[y]), np.zeros(len(x), np.int64)
+    for s in np.unique(least):
+        own = np.flatnonzero(least == s)
+        rows, at = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+        flat = np.zeros((len(rows), s), np.uint8)
+        for i, r in enumerate(rows):
+            flat[i] = np.bitwise_xor.reduce(np.frombuffer(maps[r], np.uint8).reshape(-1, s), 0)
+        flat, step = flat.view(np.uint64), max(1, (1 << 24) // int(s))
+        for lo in range(0, len(own), step):
+            i, j = at[lo : min(lo + step, len(own))], at[len(own) + lo : len(own) + min(lo + step, len(own))]
+            out[own[lo : lo + step]] = np.bitwise_count(flat[i] ^ flat[j]).sum(1, dtype=np.int64)
+    return out
+
+
+def with_partner(rows: DataFrame, parts: int, reach: int, wide: int, threshold: float) -> DataFrame:
+    """The ids of rows (id, fp, n, low, high; a written table) that have any candidate partner."""
+
+    def search(keys, group):
+        found = np.zeros(len(group), bool)
+        for x, y in candidates(group, int(keys[0]) % parts, parts, reach, wide, threshold):
+            found[x] = found[y] = True
+        return pd.DataFrame({"id": np.unique(group["id"].to_numpy(np.int64)[found])})
 
-    In each cell a row is paired with its NEAREST nearest partners, and a least spanning forest of all pairs joins the rest, so
-    that pairs grow with the rows and not with the square of a group, and no group within the radius falls apart.
+    return cells(rows, 0, parts).groupBy("shard", "cell").applyInPandas(search, "id long").distinct()
+
+
+def near_pairs(rows: DataFrame, whole: bool, parts: int, reach: int, wide: int, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (id, fp, n, low, high, bits, root; a written table) of different roots, to be verified.
+
+    Pairs whose parity maps prove a similarity below the threshold are left out in the cell. Of the others, ``whole`` takes all and
+    else a least spanning forest by the distance of the maps, which has fewer pairs than the cell has rows.
     """
 
     def search(keys, group):
-        fp, ids, home = group["fp"].to_numpy(np.int64).view(np.uint64), group["id"].to_numpy(np.int64), group["home"].to_numpy(bool)
-        h, q, hi, qi = fp[home], fp[~home], ids[home], ids[~home]
-        found = links_within(h, q, int(keys[0]) % parts, radius, parts)
-        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        keep = qi[x] != hi[y]
-        x, y = x[keep], y[keep]
-        if len(x):
-            d = np.bitwise_count(q[x] ^ h[y])
-            order = np.lexsort((hi[y], d, x))
-            lead = np.concatenate([[0], np.flatnonzero(np.diff(x[order])) + 1])
-            rank = np.arange(len(order)) - np.repeat(lead, np.diff(np.append(lead, len(order))))
-            names, at = np.unique(np.concatenate([qi[x], hi[y]]), return_inverse=True)
-            pick = np.unique(np.concatenate([order[rank < NEAREST], spanning(at[: len(x)], at[len(x) :], d, len(names))]))
+        ids, n, root = (group[c].to_numpy(np.int64) for c in ("id", "n", "root"))
+        maps, (names, place) = group["bits"].tolist(), np.unique(ids, return_inverse=True)
+        xs, ys, ds = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for x, y in candidates(group, int(keys[0]) % parts, parts, reach, wide, threshold):
+            keep = root[x] != root[y]
+            x, y = x[keep], y[keep]
+            d, both = unlike(maps, x, y), n[x] + n[y]
+            keep = d * (1 + threshold) <= (1 - threshold) * both + 1e-6
+            xs.append(place[x[keep]].astype(np.int32))
+            ys.append(place[y[keep]].astype(np.int32))
+            ds.append(d[keep] * 100_000 // both[keep])
+        x, y, d = (np.concatenate(v) for v in (xs, ys, ds))
+        if not whole:
+            pick = spanning(x, y, d, len(names))
             x, y = x[pick], y[pick]
-        pairs = np.unique(np.stack([np.minimum(qi[x], hi[y]), np.maximum(qi[x], hi[y])], 1), axis=0)
+        pairs = np.unique(np.stack([names[np.minimum(x, y)], names[np.maximum(x, y)]], 1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return cells(rows, radius, parts).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
+    return cells(rows, 0, parts).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
 
 
 def shingles(docs: DataFrame, k: int, key: str = "_id", text: str = "_text") -> DataFrame:
-    """``key`` and ``s``: the hashes of a text's distinct ``k``-word shingles (fewer words: one shingle; none: no shingle)."""
+    """``key``, ``s``: the hashes of a text's distinct ``k``-word shingles (fewer words: one shingle; none: no shingle), and ``bits``, their parity map."""
     import xxhash
 
     def one(t):
@@ -292,36 +360,56 @@ def shingles(docs: DataFrame, k: int, key: str = "_id", text: str = "_text") ->
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({key: b[key], "s": [one(t) for t in b[text]]})
+            found = [one(t) for t in b[text]]
+            yield pd.DataFrame({key: b[key], "s": found, "bits": [parity(h.view(np.uint64)) for h in found]})
 
-    return docs.select(key, text).mapInPandas(run, f"{key} long, s array<long>")
+    return docs.select(key, text).mapInPandas(run, f"{key} long, s array<long>, bits binary")
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 7, parts: int = 4) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v): the pairs (a, b) whose shingles reach the threshold."""
+    both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    reached = (shared > 0) & (shared >= threshold * (F.size("sa") + F.size("sb") - shared))
+    return written(both.where(reached).select(F.col("a").alias("u"), F.col("b").alias("v")), "found")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, parts: int = 8, reach: int = 12, wide: int = 40) -> DataFrame:
     """(key, component_id) of every document: groups of texts linked by a Jaccard similarity of their ``k``-word shingles of at least ``threshold``.
 
-    Equal texts are one row. Candidates are texts whose SimHash fingerprints over distinct words differ in at most ``radius`` bits, found in
-    vantage-point trees over ``parts`` parts of the bits; every candidate is verified on the shingles themselves. Replacing one word changes one
-    element of the word set but ``k`` shingles, so texts at the threshold differ in about 2 % of their words and 4 bits. Null is empty; texts
-    without words are alike only if equal; rows with a null key are in no group but that of their text's other rows.
+    Equal texts are one row. Candidates have an equal part among ``parts`` parts of their 64-bit SimHash over distinct words, so every two that
+    differ in fewer bits than there are parts meet, and most of those within ``reach`` bits; vantage-point trees over each part deal the rows. They also differ in at most
+    ``wide`` bits of a 128-bit SimHash over the shingles (at the threshold 19 bits are expected, 64 between unrelated texts). Replacing one word
+    changes one element of the word set but ``k`` shingles, so the first finds edited texts and the second rejects those that only share words.
+    Rows without a candidate drop out. The others return with a parity map of their shingles, in which the bits that differ are a lower
+    bound of the shingles that two texts don't share, so that unlike pairs end in their cell. What is left is verified on the shingles
+    themselves: a spanning forest of each cell first, then all pairs that still lie between different groups, so no candidate link is lost.
+
+    Null is empty; texts without words are alike only if equal; rows with a null key are in no group but that of their text's other rows.
     """
 
     def prints(batches):
         for b in batches:
-            yield pd.DataFrame({"_key": b["_key"], "h1": b["h1"], "h2": b["h2"], "fp": np.array([fingerprint(t, 1, True) for t in b["_text"]], np.uint64).view(np.int64)})
+            parts_of = [(fingerprint(t, 1, True), *sketch(t, k)) for t in b["_text"]]
+            fp = np.array([p[0] for p in parts_of], np.uint64).view(np.int64)
+            yield pd.DataFrame({"_key": b["_key"], "h1": b["h1"], "h2": b["h2"], "fp": fp, **{c: np.array([p[at] for p in parts_of], np.int64) for at, c in ((1, "n"), (2, "low"), (3, "high"))}})
 
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), plain.alias("_text"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"))
-    table = written(rows.mapInPandas(prints, f"_key {docs.schema[key].dataType.simpleString()}, h1 long, h2 long, fp long"), "word_prints")
-    texts = written(table.groupBy("h1", "h2", "fp").agg(F.min("_key").cast("long").alias("id")), "texts")
-    pairs = written(near_pairs(texts.where("id is not null").select("id", "fp"), radius, parts), "pairs")
-    wanted = pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct()
-    own = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("_want"), "left_semi")
+    table = written(rows.mapInPandas(prints, f"_key {docs.schema[key].dataType.simpleString()}, h1 long, h2 long, fp long, n long, low long, high long"), "word_prints")
+    texts = written(table.groupBy("h1", "h2", "fp", "n", "low", "high").agg(F.min("_key").cast("long").alias("id")), "texts")
+    bounds = (parts, reach, wide, threshold)
+    plain_rows = written(texts.where("id is not null and n > 0").select("id", "fp", F.col("n").cast("int").alias("n"), "low", "high"), "open")
+    wanted = written(with_partner(plain_rows, *bounds), "wanted")
+    own = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("id"), "left_semi")
     sets = written(shingles(own, k).dropDuplicates(["_id"]), "shingles")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where((shared > 0) & (shared >= threshold * (F.size("sa") + F.size("sb") - shared))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = plain_rows.join(sets.select(F.col("_id").alias("id"), "bits"), "id")
+    first = written(near_pairs(written(rest.withColumn("root", F.col("id")), "mapped"), False, *bounds), "pairs")
+    links = _verified(first, sets, threshold)
     roots = components(links)
+    rest = rest.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    last = written(near_pairs(written(rest, "mapped"), True, *bounds).join(first, ["a", "b"], "left_anti"), "pairs")
+    roots = components(links.union(_verified(last, sets, threshold)))
     of = texts.join(roots, texts["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
     return table.join(of, ["h1", "h2"], "left").select(F.col("_key").alias(key), "component_id")
 

@@ -331,6 +331,18 @@ def test_vantage_trees_find_all_pairs(spark):
     assert found == want and len(want) >= 250
 
 
+def test_parity_maps_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    for n, m, shared in ((5, 5, 4), (300, 260, 250), (1000, 1100, 990), (64, 65, 0)):
+        h = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = h[:n], np.concatenate([h[:shared], h[n : n + m - shared]])
+        got = int(fingerprints.unlike([fingerprints.parity(a), fingerprints.parity(b)], np.array([0]), np.array([1]))[0])
+        true = n + m - 2 * shared
+        assert 0.7 * true <= got <= true and (got - true) % 2 == 0
+
+
 def test_language(spark, frame, texts):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -346,8 +358,10 @@ def test_language(spark, frame, texts):
     assert language.identify(frame([])).count() == 0
 
 
-def test_similar_documents(frame, texts):
+@pytest.mark.parametrize("block", [3072, 40])
+def test_similar_documents(frame, texts, block, monkeypatch):
     """Pairs of at least 0.8 over five-word shingles, against brute force; no other pair is linked."""
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
     rng = random.Random(11)
     long = [t for t in texts if t and len(t.split()) > 90][:40]
     own = list(texts)
