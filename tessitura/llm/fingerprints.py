@@ -201,6 +201,13 @@ def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
             nh, nq = np.array([x[0] for x in wide], np.int64), np.array([x[1] for x in wide], np.int64)
             nh, nq = np.maximum(nh, 1), np.maximum(nq, 1)
             mixed = ((b["fp"].to_numpy(np.int64) ^ b["id"].to_numpy(np.int64)).view(np.uint64) * MIX) >> np.uint64(33)
+            if radius < parts:  # every row is at home only: blocks meet once, in either order
+                at = np.repeat(np.arange(len(b)), nh)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(nh) - nh, nh)
+                mine = (mixed[at] % nh[at].astype(np.uint64)).astype(np.int64)
+                cell, side = np.minimum(mine, other) * nh[at] + np.maximum(mine, other), np.where(mine == other, BOTH, np.where(mine < other, HOME, QUERY))
+                yield pd.DataFrame({"shard": b["shard"].to_numpy()[at], "cell": cell, "side": side.astype(np.int8), **{c: b[c].to_numpy()[at] for c in columns}})
+                continue
             whole = (nh == 1) & (nq == 1)
             home = b["home"].to_numpy(bool)
             for side, many, own, pick in ((BOTH, nq, nh, whole & home), (QUERY, nq, nq, whole & ~home), (HOME, nq, nh, ~whole & home), (QUERY, nh, nq, ~whole)):
