@@ -17,6 +17,7 @@ whole sequence; repeated rows get equal results; the component's id is the small
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ SAMPLE = 16_384  # fingerprints that the upper levels are made from
 DEPTH = 10  # upper levels at most
 LEAF = 192  # homes that are compared directly
 BLOCK = 3072  # rows of a grid block
+SHARD = 2048  # rows of a shard of equal own bits, at about
 QUERY, HOME, BOTH = 0, 1, 2  # what a row is in its cell
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,10 +75,22 @@ def distances(a: np.ndarray, v) -> np.ndarray:
     return np.bitwise_count(a ^ v).astype(np.int16)
 
 
-def part_of(fp: np.ndarray, tree: int, parts: int = 2) -> np.ndarray:
+def masks(parts: int, equal: int = 1) -> tuple[int, ...]:
+    """The own bits of each tree: every choice of ``equal`` of ``parts`` parts of the 64 bits.
+
+    Fingerprints within ``r`` bits are within ``r // parts`` in some part, and agree on some choice wholly if ``r <= parts - equal``.
+    """
+    edges = [64 * i // parts for i in range(parts + 1)]
+    blocks = [(1 << 64 - a) - (1 << 64 - b) for a, b in zip(edges, edges[1:], strict=False)]
+    return tuple(sum(c) for c in combinations(blocks, equal))
+
+
+HALVES = masks(2)
+
+
+def part_of(fp: np.ndarray, tree: int, trees: tuple[int, ...] = HALVES) -> np.ndarray:
     """The tree's own bits of each fingerprint."""
-    width = 64 // parts
-    return ((fp >> np.uint64(width * (parts - 1 - tree))) & np.uint64((1 << width) - 1)).astype(np.uint32)
+    return fp & np.uint64(trees[tree])
 
 
 def vantage(points: np.ndarray) -> tuple[int, int] | None:
@@ -100,7 +114,7 @@ def upper_tree(points: np.ndarray, depth: int) -> dict[int, tuple[int, int]]:
         at, own, left = todo.pop()
         if left and len(own) >= 8 and (cut := vantage(own)):
             nodes[at] = cut
-            inner = distances(own, np.uint32(cut[0])) <= cut[1]
+            inner = distances(own, np.uint64(cut[0])) <= cut[1]
             todo += [(2 * at, own[inner], left - 1), (2 * at + 1, own[~inner], left - 1)]
     return nodes
 
@@ -119,16 +133,15 @@ def route(h: np.ndarray, nodes: dict[int, tuple[int, int]], radius: int) -> tupl
             homes.append(home)
             continue
         v, mu = nodes[at]
-        d = distances(h[own], np.uint32(v))
+        d = distances(h[own], np.uint64(v))
         inside, outside = d <= mu + radius, d > mu - radius
         todo += [(2 * at, own[inside], home[inside] & (d[inside] <= mu)), (2 * at + 1, own[outside], home[outside] & (d[outside] > mu))]
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
-def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int, parts: int = 2, own: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Places (query, home) of all pairs within ``radius`` bits whose own bits of the tree are within ``own`` (``radius // parts``)."""
-    own = radius // parts if own is None else own
-    hb, qb = part_of(home, tree, parts), part_of(query, tree, parts)
+def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int, trees: tuple[int, ...] = HALVES, own: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places (query, home) of all pairs within ``radius`` bits whose own bits are within ``own``, and maybe others within ``radius``."""
+    hb, qb = part_of(home, tree, trees), part_of(query, tree, trees)
     out, todo = [], [(np.arange(len(home)), np.arange(len(query)), 0)]
     while todo:
         hs, qs, level = todo.pop()
@@ -136,7 +149,7 @@ def links_within(home: np.ndarray, query: np.ndarray, tree: int, radius: int, pa
             continue
         cut = vantage(hb[hs]) if len(hs) > LEAF and level < 24 else None
         if cut:
-            dh, dq = distances(hb[hs], np.uint32(cut[0])), distances(qb[qs], np.uint32(cut[0]))
+            dh, dq = distances(hb[hs], np.uint64(cut[0])), distances(qb[qs], np.uint64(cut[0]))
             inner, inside, outside = dh <= cut[1], dq <= cut[1] + own, dq > cut[1] - own
             if min(inner.sum(), (~inner).sum()) >= len(hs) // 16 and inside.sum() + outside.sum() < 1.8 * len(qs):
                 todo += [(hs[inner], qs[inside], level + 1), (hs[~inner], qs[outside], level + 1)]
@@ -170,30 +183,46 @@ def forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return names[moved], names[root[moved]]
 
 
-def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
-    """``rows`` (id, fp and any other columns; a written table) dealt to shards: (shard, cell, side, ...). A shard's tree is ``shard % parts``."""
-    spark, columns = rows.sparkSession, rows.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    sample = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    total = rows.count()
-    depth = int(min(DEPTH, max(0, np.ceil(np.log2(max(total, 1) / 512)))))
-    trees = spark.sparkContext.broadcast([upper_tree(part_of(sample, t, parts), depth) for t in range(parts)])  # at most parts x 2**DEPTH nodes
+def cells(rows: DataFrame, own: int, trees: tuple[int, ...]) -> DataFrame:
+    """``rows`` (id, fp and any other columns; a written table) dealt to shards: (shard, cell, side, ...). A shard's tree is ``shard % len(trees)``.
 
-    def place(batches):
-        for b in batches:
-            fp = b["fp"].to_numpy(np.int64).view(np.uint64)
-            for t in range(parts):
-                at, shards, homes = route(part_of(fp, t, parts), trees.value[t], radius // parts)
-                yield pd.DataFrame({"shard": shards * parts + t, "home": homes, **{c: b[c].to_numpy()[at] for c in columns}})
-
-    placed = rows.mapInPandas(place, f"shard long, home boolean, {schema}")
-    if depth == 0:
-        sizes = [{"shard": parts + t, "homes": total, "queries": total} for t in range(parts)]
-    else:
+    Every two rows that differ in at most ``own`` of a tree's own bits meet in one of its cells. With a column ``wanted`` a row is dealt to the trees of its
+    bits only. If ``own`` is 0, equal own bits are all that can meet, so a leaf is split further by their hash, which copies no row.
+    """
+    spark, columns, n = rows.sparkSession, [c for c in rows.columns if c != "wanted"], len(trees)
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    sample = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    total = max(1, rows.count())
+    depth = int(min(DEPTH if own else DEPTH // 2, max(0, np.ceil(np.log2(total / (512 if own else SHARD))))))
+    split = 1 if own else max(1, min(1 << (14 - depth), -(-total // (SHARD << depth))))
+    uppers = spark.sparkContext.broadcast([upper_tree(part_of(sample, t, trees), depth) for t in range(n)])  # at most n x 2**DEPTH nodes
+
+    def placed_by(kept: list[str]):
+        def place(batches):
+            for b in batches:
+                fp = b["fp"].to_numpy(np.int64).view(np.uint64)
+                bits = b["wanted"].to_numpy(np.int64) if "wanted" in b else np.full(len(b), -1)
+                for t in range(n):
+                    some = np.flatnonzero(bits >> t & 1)
+                    if not len(some):
+                        continue
+                    key = part_of(fp[some], t, trees)
+                    at, leaves, homes = route(key, uppers.value[t], own)
+                    sub = ((key[at] ^ key[at] >> np.uint64(29)) * MIX >> np.uint64(33)) % np.uint64(split)
+                    yield pd.DataFrame({"shard": (leaves * split + sub.astype(np.int64)) * n + t, "home": homes, **{c: b[c].to_numpy()[some[at]] for c in kept}})
+
+        return place
+
+    placed = rows.mapInPandas(placed_by(columns), f"shard long, home boolean, {schema}")
+    if own and depth:
         placed = written(placed, "placed")
-        sizes = placed.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("queries")).collect()  # at most parts x 2**DEPTH rows
-    grid = {int(r["shard"]): (-(-r["homes"] // BLOCK), -(-r["queries"] // BLOCK)) for r in sizes}
-    grid = spark.sparkContext.broadcast({k: v for k, v in grid.items() if v != (1, 1)})
+        counted = placed
+    else:
+        counted = rows.select("fp", *({"wanted"} & set(rows.columns))).mapInPandas(placed_by([]), "shard long, home boolean")
+    sizes = counted.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("queries"))
+    sizes = sizes.where(F.col("queries") > BLOCK).toPandas()  # at most n x 2**DEPTH rows, or n x 2**14 if own is 0
+    grid = {int(k): (-(-int(h) // BLOCK), -(-int(q) // BLOCK)) for k, h, q in zip(sizes["shard"], sizes["homes"], sizes["queries"], strict=True)}
+    grid = spark.sparkContext.broadcast(grid)
 
     def deal(batches):
         for b in batches:
@@ -201,7 +230,7 @@ def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
             nh, nq = np.array([x[0] for x in wide], np.int64), np.array([x[1] for x in wide], np.int64)
             nh, nq = np.maximum(nh, 1), np.maximum(nq, 1)
             mixed = ((b["fp"].to_numpy(np.int64) ^ b["id"].to_numpy(np.int64)).view(np.uint64) * MIX) >> np.uint64(33)
-            if radius < parts:  # every row is at home only: blocks meet once, in either order
+            if not own:  # every row is at home only: blocks meet once, in either order
                 at = np.repeat(np.arange(len(b)), nh)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(nh) - nh, nh)
                 mine = (mixed[at] % nh[at].astype(np.uint64)).astype(np.int64)
@@ -210,11 +239,11 @@ def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
                 continue
             whole = (nh == 1) & (nq == 1)
             home = b["home"].to_numpy(bool)
-            for side, many, own, pick in ((BOTH, nq, nh, whole & home), (QUERY, nq, nq, whole & ~home), (HOME, nq, nh, ~whole & home), (QUERY, nh, nq, ~whole)):
+            for side, many, mine_of, pick in ((BOTH, nq, nh, whole & home), (QUERY, nq, nq, whole & ~home), (HOME, nq, nh, ~whole & home), (QUERY, nh, nq, ~whole)):
                 times = many[pick]
                 at = np.repeat(np.flatnonzero(pick), times)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                mine = (mixed[at] % own[at].astype(np.uint64)).astype(np.int64)
+                mine = (mixed[at] % mine_of[at].astype(np.uint64)).astype(np.int64)
                 cell = other * nq[at] + mine if side == QUERY else mine * nq[at] + other
                 yield pd.DataFrame({"shard": b["shard"].to_numpy()[at], "cell": cell, "side": np.int8(side), **{c: b[c].to_numpy()[at] for c in columns}})
 
@@ -223,14 +252,15 @@ def cells(rows: DataFrame, radius: int, parts: int) -> DataFrame:
 
 def near_links(distinct: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     """Links (u, v) that connect every two of the distinct fingerprints (column ``fp``, a written table) within ``radius`` bits."""
+    trees, own = masks(parts), radius // parts
 
     def search(keys, group):
         fp, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy()
         h, q = fp[side != QUERY], fp[side != HOME]
-        u, v = forest([(q[a], h[b]) for a, b in links_within(h, q, int(keys[0]) % parts, radius, parts)])
+        u, v = forest([(q[a], h[b]) for a, b in links_within(h, q, int(keys[0]) % parts, radius, trees, own)])
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = cells(distinct.select(F.lit(0).cast("long").alias("id"), "fp"), radius, parts)
+    dealt = cells(distinct.select(F.lit(0).cast("long").alias("id"), "fp"), own, trees)
     return dealt.groupBy("shard", "cell").applyInPandas(search, "u long, v long")
 
 
@@ -278,18 +308,27 @@ def sketch(text: str | None, k: int) -> tuple[int, int, int]:
     return len(bits), low, high
 
 
-def candidates(group: pd.DataFrame, tree: int, parts: int, reach: int, wide: int, threshold: float):
-    """Places (x, y) in a cell of pairs within ``reach`` bits of the fingerprint and ``wide`` of the sketch whose sizes allow the threshold."""
+def candidates(group: pd.DataFrame, tree: int, trees: tuple[int, ...], reach: int, wide: int, threshold: float):
+    """Places (x, y) in a cell of pairs within ``reach`` bits of the fingerprint and ``wide`` of the sketch whose sizes allow the threshold.
+
+    A pair belongs to the first tree on whose own bits it agrees, so that no pair is worked on twice and none depends on what else is in its cell.
+    """
     fp, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy()
     ids, n = group["id"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
     low, high = (group[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high"))
     h, q, alone = np.flatnonzero(side != QUERY), np.flatnonzero(side != HOME), (side == BOTH).all()
-    for x, y in links_within(fp[h], fp[q], tree, reach, parts, 0):
+    for x, y in links_within(fp[h], fp[q], tree, reach, trees, 0):
         x, y = q[x], h[y]
         keep = (ids[x] < ids[y]) if alone else (ids[x] != ids[y])
         keep &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
         x, y = x[keep], y[keep]
-        keep = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= wide
+        unequal = fp[x] ^ fp[y]
+        keep = (part_of(unequal, tree, trees)) == 0
+        keep &= np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= wide
+        x, y, unequal = x[keep], y[keep], unequal[keep]
+        keep = np.ones(len(x), bool)
+        for earlier in range(tree):
+            keep &= part_of(unequal, earlier, trees) != 0
         yield x[keep], y[keep]
 
 
@@ -316,20 +355,21 @@ def unlike(maps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_partner(rows: DataFrame, parts: int, reach: int, wide: int, threshold: float) -> DataFrame:
-    """The ids of rows (id, fp, n, low, high; a written table) that have any candidate partner."""
+def with_partner(rows: DataFrame, trees: tuple[int, ...], reach: int, wide: int, threshold: float) -> DataFrame:
+    """The ids of rows (id, fp, n, low, high; a written table) that have any candidate partner, and ``wanted``: the trees where they have one, as bits."""
 
     def search(keys, group):
-        found = np.zeros(len(group), bool)
-        for x, y in candidates(group, int(keys[0]) % parts, parts, reach, wide, threshold):
+        found, tree = np.zeros(len(group), bool), int(keys[0]) % len(trees)
+        for x, y in candidates(group, tree, trees, reach, wide, threshold):
             found[x] = found[y] = True
-        return pd.DataFrame({"id": np.unique(group["id"].to_numpy(np.int64)[found])})
+        return pd.DataFrame({"id": np.unique(group["id"].to_numpy(np.int64)[found]), "tree": 1 << tree})
 
-    return cells(rows, 0, parts).groupBy("shard", "cell").applyInPandas(search, "id long").distinct()
+    found = cells(rows, 0, trees).groupBy("shard", "cell").applyInPandas(search, "id long, tree long")
+    return found.groupBy("id").agg(F.bit_or("tree").alias("wanted"))
 
 
-def near_pairs(rows: DataFrame, whole: bool, parts: int, reach: int, wide: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows (id, fp, n, low, high, bits, root; a written table) of different roots, to be verified.
+def near_pairs(rows: DataFrame, whole: bool, trees: tuple[int, ...], reach: int, wide: int, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of rows (id, wanted, fp, n, low, high, bits, root; a written table) of different roots, to be verified.
 
     Pairs whose parity maps prove a similarity below the threshold are left out in the cell. Of the others, ``whole`` takes all and
     else a least spanning forest by the distance of the maps, which has fewer pairs than the cell has rows.
@@ -339,7 +379,7 @@ def near_pairs(rows: DataFrame, whole: bool, parts: int, reach: int, wide: int,
         ids, n, root = (group[c].to_numpy(np.int64) for c in ("id", "n", "root"))
         maps, (names, place) = group["bits"].tolist(), np.unique(ids, return_inverse=True)
         xs, ys, ds = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for x, y in candidates(group, int(keys[0]) % parts, parts, reach, wide, threshold):
+        for x, y in candidates(group, int(keys[0]) % len(trees), trees, reach, wide, threshold):
             keep = root[x] != root[y]
             x, y = x[keep], y[keep]
             d, both = unlike(maps, x, y), n[x] + n[y]
@@ -354,7 +394,7 @@ def near_pairs(rows: DataFrame, whole: bool, parts: int, reach: int, wide: int,
         pairs = np.unique(np.stack([names[np.minimum(x, y)], names[np.maximum(x, y)]], 1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return cells(rows, 0, parts).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
+    return cells(rows, 0, trees).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
 
 
 def shingles(docs: DataFrame, k: int, key: str = "_id", text: str = "_text") -> DataFrame:
@@ -381,14 +421,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return written(both.where(reached).select(F.col("a").alias("u"), F.col("b").alias("v")), "found")
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, parts: int = 8, reach: int = 12, wide: int = 40) -> DataFrame:
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, parts: int = 9, equal: int = 2, reach: int = 12, wide: int = 40) -> DataFrame:
     """(key, component_id) of every document: groups of texts linked by a Jaccard similarity of their ``k``-word shingles of at least ``threshold``.
 
-    Equal texts are one row. Candidates have an equal part among ``parts`` parts of their 64-bit SimHash over distinct words, so every two that
-    differ in fewer bits than there are parts meet, and most of those within ``reach`` bits; vantage-point trees over each part deal the rows. They also differ in at most
+    Equal texts are one row. Candidates are within ``reach`` bits and agree on ``equal`` of the ``parts`` parts of their 64-bit SimHash over distinct words, so every two
+    that differ in at most ``parts - equal`` bits meet; one vantage-point tree over each choice of parts deals the rows, as often at every size. They also differ in at most
     ``wide`` bits of a 128-bit SimHash over the shingles (at the threshold 19 bits are expected, 64 between unrelated texts). Replacing one word
     changes one element of the word set but ``k`` shingles, so the first finds edited texts and the second rejects those that only share words.
-    Rows without a candidate drop out. The others return with a parity map of their shingles, in which the bits that differ are a lower
+    Rows without a candidate drop out. The others return, only to the trees where they have one, with a parity map of their shingles, in which the bits that differ are a lower
     bound of the shingles that two texts don't share, so that unlike pairs end in their cell. What is left is verified on the shingles
     themselves: a spanning forest of each cell first, then all pairs that still lie between different groups, so no candidate link is lost.
 
@@ -405,12 +445,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).alias("_key"), plain.alias("_text"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"))
     table = written(rows.mapInPandas(prints, f"_key {docs.schema[key].dataType.simpleString()}, h1 long, h2 long, fp long, n long, low long, high long"), "word_prints")
     texts = written(table.groupBy("h1", "h2", "fp", "n", "low", "high").agg(F.min("_key").cast("long").alias("id")), "texts")
-    bounds = (parts, reach, wide, threshold)
+    bounds = (masks(parts, equal), reach, wide, threshold)
     plain_rows = written(texts.where("id is not null and n > 0").select("id", "fp", F.col("n").cast("int").alias("n"), "low", "high"), "open")
     wanted = written(with_partner(plain_rows, *bounds), "wanted")
     own = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("id"), "left_semi")
     sets = written(shingles(own, k).dropDuplicates(["_id"]), "shingles")
-    rest = plain_rows.join(sets.select(F.col("_id").alias("id"), "bits"), "id")
+    rest = plain_rows.join(wanted, "id").join(sets.select(F.col("_id").alias("id"), "bits"), "id")
     first = written(near_pairs(written(rest.withColumn("root", F.col("id")), "mapped"), False, *bounds), "pairs")
     links = _verified(first, sets, threshold)
     roots = components(links)
