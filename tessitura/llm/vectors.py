@@ -2,8 +2,9 @@
 
 The vectors are scaled to length one and cut in halves. A codebook for each half is fitted (k-means) on a bounded sample; the pairs of
 codewords form a grid of cells, and every vector is indexed in its nearest cell. A query walks the grid by multi-sequence traversal, cells in order of the
-summed distances of their codewords, as far as a number of cells that is measured: a bounded set of sample queries is compared with all vectors, and the
-least number at which they reach ``recall`` is taken. Every vector is a query. All candidates are verified in double precision.
+summed distances of their codewords, as far as a number of cells that is measured: a bounded set of sample queries, drawn evenly from the cells, is compared
+with all vectors, and the least number is taken at which ``recall`` is reached in each of three means: over their pairs, over the queries (a large group's pairs
+don't outweigh the others) and over groups (nor do its rows). Every vector is a query. All candidates are verified in double precision.
 
 Equal vectors are one row throughout. A cell returns, for each row, how many vectors it links with, and a spanning forest of its links, never the
 pairs. A pair that both directions visit is credited once by each direction, one that a single direction visits is credited to both ends.
@@ -84,14 +85,15 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
     spark = distinct.sparkSession
     total = distinct.count()
     drawn = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    sample, names = unit(drawn["v"]), drawn["id"].to_numpy()[:QUERIES]
+    sample = unit(drawn["v"])
     grid = Grid(sample, int(np.clip(round((total / 24) ** 0.5), 1, min(128, len(sample)))))
-    queries, k = sample[:QUERIES], grid.k
+    turn = pd.Series(grid.traverse(sample, 1)[:, 0])
+    turn = turn.groupby(turn).cumcount().to_numpy().argsort(kind="stable")[:QUERIES]  # one of each cell, then a second: a full cell doesn't crowd out the others
+    queries, names, k = sample[turn], drawn["id"].to_numpy()[turn], grid.k
     shared = spark.sparkContext.broadcast((grid, queries, grid.traverse(queries, 1)[:, 0]))  # bounded by SAMPLE, QUERIES and 128 codewords
 
     def ranks(batches):
         grid, queries, at = shared.value
-        held = np.zeros(k * k, np.int64)
         for b in batches:
             u = unit(b["v"])
             for lo in range(0, len(u), 4096):
@@ -103,15 +105,18 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
                 for s in range(0, len(y), 1024):
                     ys, qs = y[s : s + 1024], q[s : s + 1024]
                     r = np.minimum(grid.rank(queries[qs], home[ys]), grid.rank(part[ys], at[qs]))
-                    held += np.bincount(r, minlength=k * k)
-        rank = np.flatnonzero(held)
-        yield pd.DataFrame({"rank": rank, "n": held[rank]})
-
-    found = distinct.mapInPandas(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()  # a row for each cell at most
+                    pair, n = np.unique(qs * (k * k) + r, return_counts=True)
+                    yield pd.DataFrame({"query": pair // (k * k), "rank": pair % (k * k), "n": n})
+
+    held = distinct.mapInPandas(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
+    held = written(held, "ranks")  # at most QUERIES rows for each cell
+    held = held.join(held.groupBy("query").agg(F.sum("n").alias("all")), "query")
+    means = {"pairs": F.col("n"), "queries": F.col("n") / F.col("all"), "groups": F.col("n") / (F.col("all") * (F.col("all") + 1))}
+    found = held.groupBy("rank").agg(*[F.sum(x).alias(c) for c, x in means.items()]).orderBy("rank").toPandas()  # a row for each cell at most
     cells = min(k * k, UNMEASURED)
     if len(found):
-        share = found["n"].cumsum() / found["n"].sum()
-        cells = int(found["rank"][(share >= recall).idxmax()]) + 1
+        share = found[list(means)].cumsum() / found[list(means)].sum()
+        cells = int(found["rank"][(share.min(axis=1) >= recall).idxmax()]) + 1
 
     def place(batches):
         grid = shared.value[0]

@@ -44,3 +44,23 @@ def test_links(spark, sf, block, monkeypatch):
     assert sum(got[i]["component_id"] == root[i] for i in root) >= 0.97 * len(root)
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.001, 0.1])
+def test_large_group(spark, noise):
+    """One group of near copies with a third of the rows doesn't lower the recall of the others."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1400, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = rng.normal(size=(600, 64))
+    close = base[:600] + 0.42 * step / np.linalg.norm(step, axis=1)[:, None]
+    step = rng.normal(size=(1000, 64))
+    hot = base[-1] + noise * step / np.linalg.norm(step, axis=1)[:, None]
+    rows = np.concatenate([base, close, hot])
+    order = rng.permutation(len(rows))
+    table = [(int(i), rows[at].tolist()) for i, at in enumerate(order)]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
+    links, _ = brute(table)
+    rest = [i for i, at in enumerate(order) if at < 1399 or 1400 <= at < 2000]
+    want, have = sum(len(links[i]) for i in rest), sum(got[i]["n_links"] for i in rest)
+    assert have >= 0.98 * want
