@@ -35,7 +35,9 @@ LEAF = 192  # homes that are compared directly
 BLOCK = 3072  # rows of a grid block
 SHARD = 2048  # rows of a shard of equal own bits, at about
 QUERY, HOME, BOTH = 0, 1, 2  # what a row is in its cell
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+BANDS, DEEP = 16, 4  # bands of least shingle hashes, and hashes in each
+SEEDS = np.arange(1, BANDS * DEEP + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def fingerprint(text: str | None, k: int = 3, distinct: bool = False) -> int:
@@ -183,42 +185,52 @@ def forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return names[moved], names[root[moved]]
 
 
-def cells(rows: DataFrame, own: int, trees: tuple[int, ...]) -> DataFrame:
-    """``rows`` (id, fp and any other columns; a written table) dealt to shards: (shard, cell, side, ...). A shard's tree is ``shard % len(trees)``.
+def cells(rows: DataFrame, own: int, trees: tuple[int, ...], bands: int = 0) -> DataFrame:
+    """``rows`` (id, fp and any other columns; a written table) dealt to shards: (shard, cell, side, ...). A shard's tree is ``shard % (len(trees) + bands)``.
 
     Every two rows that differ in at most ``own`` of a tree's own bits meet in one of its cells. With a column ``wanted`` a row is dealt to the trees of its
     bits only. If ``own`` is 0, equal own bits are all that can meet, so a leaf is split further by their hash, which copies no row.
+    With ``bands`` (``own`` 0) the keys in the column of that name are as many further trees, in which rows of equal key meet; the key is dealt as ``key``.
     """
-    spark, columns, n = rows.sparkSession, [c for c in rows.columns if c != "wanted"], len(trees)
+    spark, columns, n = rows.sparkSession, [c for c in rows.columns if c not in ("wanted", "bands")], len(trees) + bands
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
     sample = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     total = max(1, rows.count())
     depth = int(min(DEPTH if own else DEPTH // 2, max(0, np.ceil(np.log2(total / (512 if own else SHARD))))))
     split = 1 if own else max(1, min(1 << (14 - depth), -(-total // (SHARD << depth))))
-    uppers = spark.sparkContext.broadcast([upper_tree(part_of(sample, t, trees), depth) for t in range(n)])  # at most n x 2**DEPTH nodes
+    spread = max(1, min(1 << 14, -(-total // SHARD)))
+    uppers = spark.sparkContext.broadcast([upper_tree(part_of(sample, t, trees), depth) for t in range(len(trees))])  # at most n x 2**DEPTH nodes
 
     def placed_by(kept: list[str]):
         def place(batches):
             for b in batches:
                 fp = b["fp"].to_numpy(np.int64).view(np.uint64)
                 bits = b["wanted"].to_numpy(np.int64) if "wanted" in b else np.full(len(b), -1)
+                banded = np.frombuffer(b"".join(b["bands"]), np.uint64).reshape(len(b), -1) if bands else None
                 for t in range(n):
                     some = np.flatnonzero(bits >> t & 1)
                     if not len(some):
                         continue
-                    key = part_of(fp[some], t, trees)
-                    at, leaves, homes = route(key, uppers.value[t], own)
-                    sub = ((key[at] ^ key[at] >> np.uint64(29)) * MIX >> np.uint64(33)) % np.uint64(split)
-                    yield pd.DataFrame({"shard": (leaves * split + sub.astype(np.int64)) * n + t, "home": homes, **{c: b[c].to_numpy()[some[at]] for c in kept}})
+                    if t < len(trees):
+                        key, parted = part_of(fp[some], t, trees), split
+                        at, leaves, homes = route(key, uppers.value[t], own)
+                    else:
+                        key, parted = banded[some, t - len(trees)], spread
+                        at, leaves, homes = np.arange(len(some)), np.ones(len(some), np.int64), np.ones(len(some), bool)
+                    sub = ((key[at] ^ key[at] >> np.uint64(29)) * MIX >> np.uint64(33)) % np.uint64(parted)
+                    out = pd.DataFrame({"shard": (leaves * parted + sub.astype(np.int64)) * n + t, "home": homes, **{c: b[c].to_numpy()[some[at]] for c in kept if c != "key"}})
+                    yield out.assign(key=key[at].view(np.int64) if t >= len(trees) else 0) if "key" in kept else out
 
         return place
 
+    if bands:
+        columns, schema = [*columns, "key"], f"{schema}, key long"
     placed = rows.mapInPandas(placed_by(columns), f"shard long, home boolean, {schema}")
     if own and depth:
         placed = written(placed, "placed")
         counted = placed
     else:
-        counted = rows.select("fp", *({"wanted"} & set(rows.columns))).mapInPandas(placed_by([]), "shard long, home boolean")
+        counted = rows.select("fp", *sorted({"wanted", "bands"} & set(rows.columns))).mapInPandas(placed_by([]), "shard long, home boolean")
     sizes = counted.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("queries"))
     sizes = sizes.where(F.col("queries") > BLOCK).toPandas()  # at most n x 2**DEPTH rows, or n x 2**14 if own is 0
     grid = {int(k): (-(-int(h) // BLOCK), -(-int(q) // BLOCK)) for k, h, q in zip(sizes["shard"], sizes["homes"], sizes["queries"], strict=True)}
@@ -293,36 +305,74 @@ def spanning(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
 
 
-def sketch(text: str | None, k: int) -> tuple[int, int, int]:
-    """How many distinct ``k``-word shingles a text has (fewer words: one; none: zero), and both halves of their 128-bit SimHash (signed)."""
+def bands_of(hashes: np.ndarray) -> bytes:
+    """Keys of ``BANDS`` bands, each of the least of the hashes in ``DEEP`` orders: two sets of similarity s have a band's key in common with chance s ** DEEP."""
+    least = np.full(len(SEEDS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        x = (hashes[None, at : at + 1024] ^ SEEDS[:, None]) * MIX
+        x ^= x >> np.uint64(29)
+        x *= STIR
+        least = np.minimum(least, (x ^ x >> np.uint64(32)).min(1))
+    keys = np.zeros(BANDS, np.uint64)
+    for own in least.reshape(BANDS, DEEP).T:
+        keys = (keys ^ own) * MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.tobytes()
+
+
+def sketch(text: str | None, k: int) -> tuple[int, int, int, bytes]:
+    """How many distinct ``k``-word shingles a text has (fewer words: one; none: zero), both halves of their 128-bit SimHash (signed), and their bands."""
     import xxhash
 
     words = WORD.findall(text.translate(LOWER)) if text else []
     if not words:
-        return 0, 0, 0
+        return 0, 0, 0, b""
     found = {xxhash.xxh3_128_digest(" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))}
     bits, ones = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16), np.zeros(128, np.int64)
     for at in range(0, len(bits), 1 << 15):
         ones += np.unpackbits(bits[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)
     low, high = np.packbits(2 * ones > len(bits)).view(np.int64).tolist()
-    return len(bits), low, high
+    return len(bits), low, high, bands_of(bits.view(np.uint64)[:, 0])
+
+
+def equal_keys(query: np.ndarray, home: np.ndarray):
+    """Places (query, home) of all pairs of equal keys, in runs of bounded size."""
+    order = np.argsort(home, kind="stable")
+    low, high = (np.searchsorted(home[order], query, side) for side in ("left", "right"))
+    some = np.flatnonzero(high > low)
+    turn = np.cumsum(high[some] - low[some]) >> 21
+    for own in np.split(some, np.flatnonzero(np.diff(turn)) + 1):
+        times = high[own] - low[own]
+        at = np.repeat(np.arange(len(own)), times)
+        yield own[at], order[low[own][at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)]
 
 
 def candidates(group: pd.DataFrame, tree: int, trees: tuple[int, ...], reach: int, wide: int, threshold: float):
     """Places (x, y) in a cell of pairs within ``reach`` bits of the fingerprint and ``wide`` of the sketch whose sizes allow the threshold.
 
     A pair belongs to the first tree on whose own bits it agrees, so that no pair is worked on twice and none depends on what else is in its cell.
+    In the trees of the bands, pairs of equal key are taken whose sizes allow the threshold and that no other tree takes, whatever their fingerprints.
     """
     fp, side = group["fp"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy()
     ids, n = group["id"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
     low, high = (group[c].to_numpy(np.int64).view(np.uint64) for c in ("low", "high"))
     h, q, alone = np.flatnonzero(side != QUERY), np.flatnonzero(side != HOME), (side == BOTH).all()
-    for x, y in links_within(fp[h], fp[q], tree, reach, trees, 0):
+    banded = tree >= len(trees)
+    met = equal_keys(group["key"].to_numpy(np.int64)[q], group["key"].to_numpy(np.int64)[h]) if banded else links_within(fp[h], fp[q], tree, reach, trees, 0)
+    for x, y in met:
         x, y = q[x], h[y]
         keep = (ids[x] < ids[y]) if alone else (ids[x] != ids[y])
         keep &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
         x, y = x[keep], y[keep]
         unequal = fp[x] ^ fp[y]
+        if banded:
+            near = np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= wide
+            near = np.flatnonzero(near & (np.bitwise_count(unequal) <= reach))
+            keep = np.ones(len(x), bool)
+            for t in range(len(trees)):
+                keep[near] &= part_of(unequal[near], t, trees) != 0
+            yield x[keep], y[keep]
+            continue
         keep = (part_of(unequal, tree, trees)) == 0
         keep &= np.bitwise_count(low[x] ^ low[y]) + np.bitwise_count(high[x] ^ high[y]) <= wide
         x, y, unequal = x[keep], y[keep], unequal[keep]
@@ -356,20 +406,20 @@ def unlike(maps: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def with_partner(rows: DataFrame, trees: tuple[int, ...], reach: int, wide: int, threshold: float) -> DataFrame:
-    """The ids of rows (id, fp, n, low, high; a written table) that have any candidate partner, and ``wanted``: the trees where they have one, as bits."""
+    """The ids of rows (id, fp, n, low, high, bands; a written table) that have any candidate partner, and ``wanted``: the trees where they have one, as bits."""
 
     def search(keys, group):
-        found, tree = np.zeros(len(group), bool), int(keys[0]) % len(trees)
+        found, tree = np.zeros(len(group), bool), int(keys[0]) % (len(trees) + BANDS)
         for x, y in candidates(group, tree, trees, reach, wide, threshold):
             found[x] = found[y] = True
         return pd.DataFrame({"id": np.unique(group["id"].to_numpy(np.int64)[found]), "tree": 1 << tree})
 
-    found = cells(rows, 0, trees).groupBy("shard", "cell").applyInPandas(search, "id long, tree long")
+    found = cells(rows, 0, trees, BANDS).groupBy("shard", "cell").applyInPandas(search, "id long, tree long")
     return found.groupBy("id").agg(F.bit_or("tree").alias("wanted"))
 
 
 def near_pairs(rows: DataFrame, whole: bool, trees: tuple[int, ...], reach: int, wide: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows (id, wanted, fp, n, low, high, bits, root; a written table) of different roots, to be verified.
+    """Distinct pairs (a, b), a < b, of rows (id, wanted, fp, n, low, high, bands, bits, root; a written table) of different roots, to be verified.
 
     Pairs whose parity maps prove a similarity below the threshold are left out in the cell. Of the others, ``whole`` takes all and
     else a least spanning forest by the distance of the maps, which has fewer pairs than the cell has rows.
@@ -379,7 +429,7 @@ def near_pairs(rows: DataFrame, whole: bool, trees: tuple[int, ...], reach: int,
         ids, n, root = (group[c].to_numpy(np.int64) for c in ("id", "n", "root"))
         maps, (names, place) = group["bits"].tolist(), np.unique(ids, return_inverse=True)
         xs, ys, ds = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for x, y in candidates(group, int(keys[0]) % len(trees), trees, reach, wide, threshold):
+        for x, y in candidates(group, int(keys[0]) % (len(trees) + BANDS), trees, reach, wide, threshold):
             keep = root[x] != root[y]
             x, y = x[keep], y[keep]
             d, both = unlike(maps, x, y), n[x] + n[y]
@@ -394,7 +444,7 @@ def near_pairs(rows: DataFrame, whole: bool, trees: tuple[int, ...], reach: int,
         pairs = np.unique(np.stack([names[np.minimum(x, y)], names[np.maximum(x, y)]], 1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return cells(rows, 0, trees).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
+    return cells(rows, 0, trees, BANDS).groupBy("shard", "cell").applyInPandas(search, "a long, b long").distinct()
 
 
 def shingles(docs: DataFrame, k: int, key: str = "_id", text: str = "_text") -> DataFrame:
@@ -428,6 +478,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     that differ in at most ``parts - equal`` bits meet; one vantage-point tree over each choice of parts deals the rows, as often at every size. They also differ in at most
     ``wide`` bits of a 128-bit SimHash over the shingles (at the threshold 19 bits are expected, 64 between unrelated texts). Replacing one word
     changes one element of the word set but ``k`` shingles, so the first finds edited texts and the second rejects those that only share words.
+    A passage that is added, cut or swapped moves more bits of the word set than that; such pairs are candidates by an equal band of least shingle hashes, whose chance depends
+    on the similarity alone (at the threshold at least one of ``BANDS`` is equal with 0.9998), with no bound on the bits.
     Rows without a candidate drop out. The others return, only to the trees where they have one, with a parity map of their shingles, in which the bits that differ are a lower
     bound of the shingles that two texts don't share, so that unlike pairs end in their cell. What is left is verified on the shingles
     themselves: a spanning forest of each cell first, then all pairs that still lie between different groups, so no candidate link is lost.
@@ -439,14 +491,14 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for b in batches:
             parts_of = [(fingerprint(t, 1, True), *sketch(t, k)) for t in b["_text"]]
             fp = np.array([p[0] for p in parts_of], np.uint64).view(np.int64)
-            yield pd.DataFrame({"_key": b["_key"], "h1": b["h1"], "h2": b["h2"], "fp": fp, **{c: np.array([p[at] for p in parts_of], np.int64) for at, c in ((1, "n"), (2, "low"), (3, "high"))}})
+            yield pd.DataFrame({"_key": b["_key"], "h1": b["h1"], "h2": b["h2"], "fp": fp, "bands": [p[4] for p in parts_of], **{c: np.array([p[at] for p in parts_of], np.int64) for at, c in ((1, "n"), (2, "low"), (3, "high"))}})
 
     plain = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("_key"), plain.alias("_text"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"))
-    table = written(rows.mapInPandas(prints, f"_key {docs.schema[key].dataType.simpleString()}, h1 long, h2 long, fp long, n long, low long, high long"), "word_prints")
-    texts = written(table.groupBy("h1", "h2", "fp", "n", "low", "high").agg(F.min("_key").cast("long").alias("id")), "texts")
+    table = written(rows.mapInPandas(prints, f"_key {docs.schema[key].dataType.simpleString()}, h1 long, h2 long, fp long, bands binary, n long, low long, high long"), "word_prints")
+    texts = written(table.groupBy("h1", "h2", "fp", "n", "low", "high", "bands").agg(F.min("_key").cast("long").alias("id")), "texts")
     bounds = (masks(parts, equal), reach, wide, threshold)
-    plain_rows = written(texts.where("id is not null and n > 0").select("id", "fp", F.col("n").cast("int").alias("n"), "low", "high"), "open")
+    plain_rows = written(texts.where("id is not null and n > 0").select("id", "fp", F.col("n").cast("int").alias("n"), "low", "high", "bands"), "open")
     wanted = written(with_partner(plain_rows, *bounds), "wanted")
     own = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("id"), "left_semi")
     sets = written(shingles(own, k).dropDuplicates(["_id"]), "shingles")

@@ -389,3 +389,21 @@ def test_similar_documents(frame, texts, block, monkeypatch):
         root[b] = a
     assert all(find(i) == find(r["component_id"]) for i, r in got.items())
     assert fingerprints.similar_documents(frame([])).count() == 0
+
+
+def test_similar_passages(frame, texts):
+    """Copies with a passage appended, cut off or swapped, of similarity 0.80 to 0.86, are found."""
+    long = [t.split() for t in dict.fromkeys(t for t in texts if t) if len(t.split()) >= 120][:60]
+    own, pairs = [], []
+    for i, w in enumerate(long):
+        other = [x + "q" for x in long[i - 1]] * 3
+        n = len(w)
+        for edit in (w + other[: int(n * 0.22)], w[: int(n * 0.83)], other[: int(n * 0.09)] + w[int(n * 0.09) :]):
+            sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in ([x.lower() for x in w], [x.lower() for x in edit])]
+            if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.86:
+                pairs.append((len(own), len(own) + 1))
+                # each pair has words of its own, so that no other pair links it
+                own += [" ".join(f"{x}{len(pairs)}" for x in t) for t in (w, edit)]
+    got = by_id(fingerprints.similar_documents(frame(own)))
+    caught = sum(got[a]["component_id"] == got[b]["component_id"] for a, b in pairs)
+    assert len(pairs) > 60 and caught >= 0.99 * len(pairs), (caught, len(pairs))
