@@ -77,15 +77,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return {"langs": langs, "logp": logp.astype(np.float32)}
 
 
-def likelihoods(words: list[str], logp: np.ndarray) -> np.ndarray:
-    """Words x languages: likelihoods relative to each word's best language, FLOOR at least."""
+def likelihoods(words: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words x languages: likelihoods relative to each word's best language, FLOOR at least; the best log-likelihoods; the words' numbers of trigrams."""
     g, at = trigrams(words)
     out = np.empty((len(words), len(logp)), np.float32)
     stop = np.append(at[1:] - 2, len(g))
     for j, p in enumerate(logp):
         s = np.concatenate([[0.0], np.cumsum(p[g], dtype=np.float64)])
         out[:, j] = s[stop] - s[at]
-    return np.maximum(np.exp(out - out.max(1, keepdims=True)), FLOOR)
+    best = out.max(1)
+    return np.maximum(np.exp(out - best[:, None]), FLOOR), best, stop - at
 
 
 def em(lik: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +121,8 @@ def mixtures(lik: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray,
     return best_pi, size
 
 
-def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = 2.0, most: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the carried columns, ``lang_pred``, ``score``, ``n_langs`` and ``langs`` (name:share, largest share first)."""
-    langs = model["langs"]
-    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
+def infer(texts, langs: list[str], logp: np.ndarray, penalty: float, most: int) -> list[tuple]:
+    """Of each text ``lang_pred``, ``score``, ``n_langs``, ``langs``, its number of trigrams, and how far its log-likelihood under its mixture is above chance."""
 
     def block(docs_words: list[list[str]]) -> list[tuple]:
         vocabulary: dict[str, int] = {}
@@ -132,29 +131,39 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
         pairs, n = np.unique(np.concatenate([i + d * size for d, i in enumerate(ids)]), return_counts=True)
         doc, word = pairs // size, pairs % size
         total = np.array([len(i) for i in ids], float)
-        pi, k = mixtures(likelihoods(list(vocabulary), shared.value)[word], n.astype(float), doc, total, penalty, most)
+        relative, best, grams = likelihoods(list(vocabulary), logp)
+        lik, starts = relative[word], np.flatnonzero(np.diff(doc, prepend=-1))
+        pi, k = mixtures(lik, n.astype(float), doc, total, penalty, most)
+        above = np.add.reduceat(n * (np.log((lik * pi[doc]).sum(1)) + best[word] + grams[word] * BITS * np.log(2)), starts)
+        long = np.add.reduceat(n * grams[word], starts)
         out = []
-        for p, m in zip(pi, k, strict=True):
+        for p, m, g, x in zip(pi, k, long, above, strict=True):
             top = np.argsort(-p, kind="stable")[:m]
-            out.append((langs[top[0]], float(min(1.0, p[top[0]])), int(m), ",".join(f"{langs[j]}:{p[j]:.3f}" for j in top)))
+            out.append((langs[top[0]], float(min(1.0, p[top[0]])), int(m), ",".join(f"{langs[j]}:{p[j]:.3f}" for j in top), int(g), float(x)))
         return out
 
+    out: list = [(UNKNOWN, 0.0, 0, "", 0, 0.0)] * len(texts)
+    held, rows, size = [], [], 0
+    for i, t in enumerate(texts):
+        if langs and t and (words := WORD.findall(t.lower())):
+            held.append(words)
+            rows.append(i)
+            size += len(words)
+        if held and (size > BLOCK or i == len(texts) - 1):
+            for r, x in zip(rows, block(held), strict=True):
+                out[r] = x
+            held, rows, size = [], [], 0
+    return out
+
+
+def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = 2.0, most: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the carried columns, ``lang_pred``, ``score``, ``n_langs`` and ``langs`` (name:share, largest share first)."""
+    langs = model["langs"]
+    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
+
     def run(batches):
         for b in batches:
-            out: list = [(UNKNOWN, 0.0, 0, "")] * len(b)
-            held, rows, size = [], [], 0
-            for i, t in enumerate(b["_text"]):
-                if langs and t and (words := WORD.findall(t.lower())):
-                    held.append(words)
-                    rows.append(i)
-                    size += len(words)
-                if held and (size > BLOCK or i == len(b) - 1):
-                    for r, x in zip(rows, block(held), strict=True):
-                        out[r] = x
-                    held, rows, size = [], [], 0
-            if held:
-                for r, x in zip(rows, block(held), strict=True):
-                    out[r] = x
+            out = [x[:4] for x in infer(b["_text"], langs, shared.value, penalty, most)]
             got = pd.DataFrame(out, columns=["lang_pred", "score", "n_langs", "langs"], index=b.index)
             yield pd.concat([b.drop(columns="_text"), got], axis=1)
 
@@ -163,30 +172,19 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double, n_langs long, langs string")
 
 
-def keep_known(docs: DataFrame, model: dict, text: str = "text", least: int = 500) -> DataFrame:
-    """``docs`` without rejected rows: those without a letter, and those of ``least`` trigrams or more whose words, each in the
-    language that suits it best, are less likely than chance (a mean log-probability below the uniform distribution's).
-    Nothing goes for being short, mixed or noisy."""
-    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
+def keep_known(docs: DataFrame, model: dict, text: str = "text", penalty: float = 2.0, most: int = 4, slack: float = 24.0) -> DataFrame:
+    """``docs`` without the rows that the mixture inference rejects: ``und``, and those less likely under their mixture than by chance
+    (the uniform distribution over trigrams) by more than ``slack`` times the root of their number of trigrams.
 
-    def known(t: str | None) -> bool:
-        words = WORD.findall(t.lower()) if t else []
-        if not words or not len(shared.value):
-            return False
-        if sum(map(len, words)) < least:
-            return True
-        names, n = np.unique(np.array(words, object), return_counts=True)
-        g, at = trigrams(list(names))
-        stop = np.append(at[1:] - 2, len(g))
-        best = np.full(len(names), -np.inf)
-        for p in shared.value:
-            total = np.concatenate([[0.0], np.cumsum(p[g], dtype=np.float64)])
-            best = np.maximum(best, total[stop] - total[at])
-        return float(best @ n) / float((stop - at) @ n) >= -BITS * np.log(2)
+    For each trigram the bound is ``slack / sqrt(trigrams)`` below chance, so the shorter a text, the less likely it may be; no length is exempt.
+    A text that suits no language goes from about ten trigrams on."""
+    langs = model["langs"]
+    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
 
     def run(batches):
         for b in batches:
-            yield b[[known(t) for t in b[text]]]
+            found = infer(b[text], langs, shared.value, penalty, most)
+            yield b[[lang != UNKNOWN and above >= -slack * n**0.5 for lang, _, _, _, n, above in found]]
 
     return docs.mapInPandas(run, docs.schema)
 

@@ -407,3 +407,17 @@ def test_similar_passages(frame, texts):
     got = by_id(fingerprints.similar_documents(frame(own)))
     caught = sum(got[a]["component_id"] == got[b]["component_id"] for a, b in pairs)
     assert len(pairs) > 60 and caught >= 0.99 * len(pairs), (caught, len(pairs))
+
+
+def test_rejected_languages(spark, frame):
+    """The pipeline's first stage rejects by the mixture's fit at any length: unlearned scripts go, short texts of learned languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs)
+    rng = random.Random(2)
+    greek = " ".join("".join(chr(rng.randrange(0x3B1, 0x3C9)) for _ in range(rng.randrange(3, 9))) for _ in range(400))
+    foreign = [greek[:n] for n in (60, 100, 200, 400, 499, 600, 2000)]
+    plain = [r["text"] for r in docs.where("n_chars > 700 and doc_id < 200").collect()]
+    plain = [t[: t.index(" ", n)] for t in plain for n in (3, 20, 100, 400, 600)]
+    own = [*foreign, *plain, None, "12 34"]
+    kept = {r["doc_id"] for r in language.keep_known(frame(own), model).collect()}
+    assert len(plain) > 100 and kept == set(range(len(foreign), len(own) - 2))
