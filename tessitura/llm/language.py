@@ -6,7 +6,7 @@ of languages is the one of the nested candidates with the largest penalised log-
 (``log-likelihood - penalty * (languages - 1) * log(words)``).
 
 The trigram counts come from a bounded sample: at most about ``rows_per_lang`` labelled rows of each language, chosen by a
-hash of the row's key. Every document is predicted over its whole text.
+hash of the row's key. Every label is learned, however rare. Every document is predicted over its whole text.
 
 Defined results: a null text, or one without a letter, gets ``und``, score 0 and no languages; with no labelled row at all every
 document gets that. Labels that are null teach nothing. Repeated rows are predicted alike; ties go to the language that
@@ -26,8 +26,8 @@ UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
 FLOOR = 1e-5  # least likelihood of a word relative to its best language: one odd word never decides
-MAX_LANGS = 64  # of a model
-BLOCK = 20_000  # words that are inferred at once, or one longer document
+BLOCK = 20_000  # words that are inferred at once, or one longer document; fewer with more than WIDE languages
+WIDE = 64
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,49 +41,64 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BITS)).astype(np.int64), at
 
 
+def dense(p: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Trigram log-probabilities (2**BITS) of one language of a model."""
+    out = np.full(1 << BITS, p[0], np.float32)
+    out[p[1]] = p[2]
+    return out
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 3000) -> dict:
-    """Trigram log-probabilities (languages x 2**BITS) from a bounded sample of the labelled rows."""
+    """Of every label the log-probability of unseen trigrams, the trigrams seen and their log-probabilities, from a bounded sample of the labelled rows."""
+    spark = docs.sparkSession
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    sizes = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["_lang"] for r in sizes)
-    if not langs:
-        return {"langs": [], "logp": np.zeros((0, 1 << BITS), np.float32)}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["_lang"], min(1.0, rows_per_lang / r["count"]))])
+    sizes = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).count().collect()  # one row for each label
+    sizes = sorted((r["_lang"], r["count"]) for r in sizes)
+    if not sizes:
+        return {"langs": [], "logp": []}
+    share = spark.createDataFrame([(x, at, min(1.0, rows_per_lang / n)) for at, (x, n) in enumerate(sizes)], "_lang string, _at int, _share double")
     draw = F.pmod(F.xxhash64(F.col("_key"), F.lit("language sample")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = rows.where(F.col("_lang").isin(langs) & (draw < share[F.col("_lang")]))
+    sample = rows.join(F.broadcast(share), "_lang").where(draw < F.col("_share")).select("_at", "_text")
+
+    def counts(held):
+        for at, n in held.items():
+            k = np.flatnonzero(n)
+            yield pd.DataFrame({"_at": at, "gram": k, "n": n[k]})
 
     def count(batches):
-        held: dict[str, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            for name, t in zip(b["_lang"], b["_text"], strict=True):
+            for name, t in zip(b["_at"], b["_text"], strict=True):
                 if words := WORD.findall(t.lower()):
                     g, at = trigrams(words)
                     keep = np.ones(len(g), bool)
                     keep[at[1:] - 1] = False  # the two gaps between words are none of their trigrams
                     keep[at[1:] - 2] = False
+                    if name not in held and len(held) == WIDE:  # memory for so many; the sums are the same
+                        yield from counts(held)
+                        held = {}
                     held.setdefault(name, np.zeros(1 << BITS, np.int64))
                     held[name] += np.bincount(g[keep], minlength=1 << BITS)
-        for name, n in held.items():
-            k = np.flatnonzero(n)
-            yield pd.DataFrame({"_lang": name, "gram": k, "n": n[k]})
+        yield from counts(held)
 
-    grams = sample.mapInPandas(count, "_lang string, gram long, n long").groupBy("_lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_LANGS x 2**BITS rows
-    logp = np.zeros((len(langs), 1 << BITS))
-    for i, name in enumerate(langs):
-        own = grams[grams["_lang"] == name]
+    grams = sample.mapInPandas(count, "_at int, gram int, n long").groupBy("_at", "gram").agg(F.sum("n").alias("n")).toPandas()  # the trigrams seen in each language
+    grams = grams.sort_values(["_at", "gram"])
+    bounds, logp = np.searchsorted(grams["_at"].to_numpy(), np.arange(len(sizes) + 1)), []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
         n = np.full(1 << BITS, 0.02)
-        n[own["gram"].to_numpy(np.int64)] += own["n"].to_numpy(np.float64)
-        logp[i] = np.log(n / n.sum())
-    return {"langs": langs, "logp": logp.astype(np.float32)}
+        n[seen := grams["gram"].to_numpy()[lo:hi]] += grams["n"].to_numpy(np.float64)[lo:hi]
+        p = np.log(n / n.sum()).astype(np.float32)
+        logp.append((np.float32(np.log(0.02 / n.sum())), seen.astype(np.uint16), p[seen]))
+    return {"langs": [x for x, _ in sizes], "logp": logp}
 
 
-def likelihoods(words: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def likelihoods(words: list[str], logp: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words x languages: likelihoods relative to each word's best language, FLOOR at least; the best log-likelihoods; the words' numbers of trigrams."""
     g, at = trigrams(words)
     out = np.empty((len(words), len(logp)), np.float32)
     stop = np.append(at[1:] - 2, len(g))
     for j, p in enumerate(logp):
-        s = np.concatenate([[0.0], np.cumsum(p[g], dtype=np.float64)])
+        s = np.concatenate([[0.0], np.cumsum(dense(p)[g], dtype=np.float64)])
         out[:, j] = s[stop] - s[at]
     best = out.max(1)
     return np.maximum(np.exp(out - best[:, None]), FLOOR), best, stop - at
@@ -121,7 +136,7 @@ def mixtures(lik: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray,
     return best_pi, size
 
 
-def infer(texts, langs: list[str], logp: np.ndarray, penalty: float, most: int) -> list[tuple]:
+def infer(texts, langs: list[str], logp: list, penalty: float, most: int) -> list[tuple]:
     """Of each text ``lang_pred``, ``score``, ``n_langs``, ``langs``, its number of trigrams, and how far its log-likelihood under its mixture is above chance."""
 
     def block(docs_words: list[list[str]]) -> list[tuple]:
@@ -143,13 +158,13 @@ def infer(texts, langs: list[str], logp: np.ndarray, penalty: float, most: int)
         return out
 
     out: list = [(UNKNOWN, 0.0, 0, "", 0, 0.0)] * len(texts)
-    held, rows, size = [], [], 0
+    held, rows, size, most_words = [], [], 0, BLOCK * WIDE // max(WIDE, len(langs))
     for i, t in enumerate(texts):
         if langs and t and (words := WORD.findall(t.lower())):
             held.append(words)
             rows.append(i)
             size += len(words)
-        if held and (size > BLOCK or i == len(texts) - 1):
+        if held and (size > most_words or i == len(texts) - 1):
             for r, x in zip(rows, block(held), strict=True):
                 out[r] = x
             held, rows, size = [], [], 0
@@ -159,7 +174,7 @@ def infer(texts, langs: list[str], logp: np.ndarray, penalty: float, most: int)
 def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = 2.0, most: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the carried columns, ``lang_pred``, ``score``, ``n_langs`` and ``langs`` (name:share, largest share first)."""
     langs = model["langs"]
-    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # the trigrams seen in each language
 
     def run(batches):
         for b in batches:
@@ -179,7 +194,7 @@ def keep_known(docs: DataFrame, model: dict, text: str = "text", penalty: float
     For each trigram the bound is ``slack / sqrt(trigrams)`` below chance, so the shorter a text, the less likely it may be; no length is exempt.
     A text that suits no language goes from about ten trigrams on."""
     langs = model["langs"]
-    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # at most MAX_LANGS x 2**BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # the trigrams seen in each language
 
     def run(batches):
         for b in batches:

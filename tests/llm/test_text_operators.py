@@ -421,3 +421,15 @@ def test_rejected_languages(spark, frame):
     own = [*foreign, *plain, None, "12 34"]
     kept = {r["doc_id"] for r in language.keep_known(frame(own), model).collect()}
     assert len(plain) > 100 and kept == set(range(len(foreign), len(own) - 2))
+
+
+def test_many_languages(spark, frame):
+    """Every label is learned: 90 languages, of which the last has the fewest rows."""
+    rng = random.Random(4)
+    kinds = [["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(30)] for _ in range(90)]
+    rows = [(f"l{at:02}", " ".join(rng.choices(words, k=60))) for at, words in enumerate(kinds) for _ in range(2 + (at < 70))]
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string").repartition(3)
+    model = language.fit(docs)
+    assert model["langs"] == [f"l{at:02}" for at in range(90)]
+    got = by_id(language.predict(docs, model))
+    assert all(got[i]["lang_pred"] == lang for i, (lang, _) in enumerate(rows))
