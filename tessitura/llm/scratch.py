@@ -2,33 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from tessitura.plans.scratch import shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"/tmp/checkpoints/tessitura-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are done with: it does so when the driver collects their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["partitions", "shared_dir", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

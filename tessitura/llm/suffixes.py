@@ -2,45 +2,53 @@
 
 The strings that can repeat are found first, so that suffixes need not be sorted for the whole corpus: every 100-byte window
 chooses the least of the 48-byte stretches in it (its anchor), equal windows choose equal anchors, and the windows with one anchor
-form a run. Runs are dealt into buckets by anchor. Runs that are equal as a whole lose all but the earliest; a run whose anchor
+form a run. Runs are dealt into buckets by anchor. Runs that are equal as a whole (by the 64-bit hashes of the run and of its anchor, 128 bits) lose all but the earliest; a run whose anchor
 occurs nowhere else holds no repeat. What is left are runs that share an anchor but differ further out, a small part of the text. Their
 strings are gathered, cut down to the windows whose rolling hash occurs twice in the bucket, and resolved there by Burrows-Wheeler transforms: a transform for every shard of strings, merged by iterative
 interleave refinement (one stable pass over the merged transform for each further byte of context, a block splitting where
 its suffixes first differ, which gives the common prefixes), without sorting suffixes across shards. Blocks that are
 whole after 100 passes are the repeated intervals; all members but the earliest are repeats.
 
-Defined results: null and empty texts have no bytes; a document shorter than the window loses nothing; matches never cross documents. Rows
-that share a key are one document: they never count as earlier than each other at the same place. A null key sorts before all
-others; further columns are ignored.
+Buckets are counted from the bytes of all texts, so what one holds doesn't grow with the data. An anchor with so many different runs that they
+are too much for a task (more than HOT, or a ten-thousandth of all open runs) is split: its windows are dealt by their own hash and compared by two
+64-bit hashes, 128 bits.
+
+Defined results: null and empty texts have no bytes; a document shorter than the window loses nothing; matches never cross documents. Keys may
+have any type; a null key sorts before all others; rows with one key and different texts are different documents, in the order of their texts'
+SHA-256, and never cut each other's bytes; rows that are equal in key and text are one document and get equal results. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.llm.numbering import buckets, numbered
 from tessitura.llm.rolling import Prefix, mix, sliding_min
-from tessitura.llm.scratch import partitions, release, written
-from tessitura.llm.substrings import NULL_KEY, covered, repeats, runs_of
+from tessitura.llm.scratch import written
+from tessitura.llm.substrings import NONE, intervals, judged, runs_of, spans_frame
 
 GRAM = 48  # bytes of an anchor
 CHUNK = 2 << 20  # bytes that are hashed at once; a longer document is cut into overlapping pieces
 PLACE = np.uint64((1 << 26) - 1)  # the low bits of an anchor's key are its place
 SHARD = 1 << 16  # bytes of a transform
+HOT = 2000  # different runs of one anchor that a task resolves by transforms, at least
 TOKENS = mix(np.arange(256, dtype=np.uint64), 11)
-SCHEMA = "bucket int, anchors binary, hashes binary, docs binary, starts binary, counts binary, gone boolean"
+OTHER = mix(np.arange(256, dtype=np.uint64), 12)  # for the second hash of a window
+SCHEMA = "bucket long, anchors binary, hashes binary, docs binary, starts binary, counts binary, gone boolean"
 
 
 def chunks(batches, size: int):
     """Pieces (document, offset, bytes) in lists of about CHUNK bytes; pieces of one document overlap by a window less one byte."""
     held, total = [], 0
     for b in batches:
-        for doc, text in zip(b["_key"], b["_text"], strict=True):
-            raw = text.encode() if text else b""
+        for doc, text in zip(b["_no"], b["_text"], strict=True):
+            raw = text.encode()
             for at in range(0, max(1, len(raw) - size + 1), CHUNK):
                 piece = raw[at : at + CHUNK + size - 1]
                 if held and total + len(piece) > CHUNK:
@@ -75,46 +83,44 @@ def runs(pieces: list[tuple[int, int, bytes]], size: int) -> tuple[np.ndarray, .
 def deal(pieces, size: int, buckets: int):
     """Packed rows of SCHEMA: each distinct run of the chunk once, and the later copies as gone."""
     anchor, whole, doc, first, n = runs(pieces, size)
-    order, again = repeats(whole, doc, first)
-    later, kept = order[again], order[~again]
+    earliest, again, _ = judged(whole, anchor, doc, first)
+    later, kept = np.flatnonzero(again), np.flatnonzero(earliest)
 
     def pack(bucket, own, gone):
         return bucket, b"" if gone else anchor[own].tobytes(), b"" if gone else whole[own].tobytes(), doc[own].tobytes(), first[own].astype(np.int32).tobytes(), n[own].astype(np.int32).tobytes(), gone
 
     if len(later):
-        yield pack(int(anchor[later[0]] % np.uint64(buckets)), np.sort(later), True)
-    b = (anchor[kept] % np.uint64(buckets)).astype(np.int32)
+        yield pack(int(anchor[later[0]] % np.uint64(buckets)), later, True)
+    b = (anchor[kept] % np.uint64(buckets)).astype(np.int64)
     by = np.lexsort((first[kept], doc[kept], b))
     kept, b = kept[by], b[by]
     for at, k in zip(*runs_of(np.concatenate([[False], b[1:] == b[:-1]])), strict=True):
         yield pack(int(b[at]), kept[at : at + k], False)
 
 
-def marked_runs(docs: DataFrame, size: int) -> DataFrame:
+def marked_runs(docs: DataFrame, size: int, n: int) -> DataFrame:
     """doc, first, last and anchor: runs that are repeats as a whole (anchor null), and those that share an anchor with another run."""
-    buckets = 4 * partitions(docs.sparkSession)
 
     def send(batches):
         for held in chunks(batches, size):
-            rows = list(deal(held, size, buckets))
+            rows = list(deal(held, size, n))
             for at in range(0, len(rows), 256):
                 yield pd.DataFrame(rows[at : at + 256], columns=["bucket", "anchors", "hashes", "docs", "starts", "counts", "gone"])
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         take = lambda rows, c, t: np.frombuffer(b"".join(rows[c]), t)
-        gone, own = group[group["gone"]], group[~group["gone"]]
-        anchor, whole, doc = take(own, "anchors", np.uint64), take(own, "hashes", np.uint64), take(own, "docs", np.int64)
-        first, n = take(own, "starts", np.int32), take(own, "counts", np.int32)
-        order, again = repeats(whole, doc, first)
-        later, kept = order[again], order[~again]
-        names, at, many = np.unique(anchor[kept], return_inverse=True, return_counts=True)
-        shared = kept[many[at] > 1]
-        d = np.concatenate([take(gone, "docs", np.int64), doc[later], doc[shared]])
-        f = np.concatenate([take(gone, "starts", np.int32), first[later], first[shared]])
-        k = np.concatenate([take(gone, "counts", np.int32), n[later], n[shared]])
-        alone = pd.Series(np.concatenate([np.zeros(len(d) - len(shared), np.int64), anchor[shared].view(np.int64)]), dtype="Int64")
-        alone[: len(d) - len(shared)] = pd.NA
-        return pd.DataFrame({"doc": d, "first": f, "last": f + k - 1, "anchor": alone})
+        held = (*NONE, np.zeros(0, np.int32))  # hash, anchor, document, first window, number of windows: each distinct run once
+        for group in batches:
+            gone, own = group[group["gone"]], group[~group["gone"]]
+            new = tuple(take(own, c, t) for c, t in (("hashes", np.uint64), ("anchors", np.uint64), ("docs", np.int64), ("starts", np.int32), ("counts", np.int32)))
+            held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            earliest, later, _ = judged(*held[:4])
+            d, f, k = (np.concatenate([take(gone, c, t), held[i][later]]) for c, t, i in (("docs", np.int64, 2), ("starts", np.int32, 3), ("counts", np.int32, 4)))
+            yield pd.DataFrame({"doc": d, "first": f, "last": f + k - 1, "anchor": pd.Series([pd.NA] * len(d), dtype="Int64")})
+            held = tuple(x[earliest] for x in held)
+        _, at, many = np.unique(held[1], return_inverse=True, return_counts=True)
+        _, anchor, d, f, k = (x[many[at] > 1] for x in held)
+        yield pd.DataFrame({"doc": d, "first": f, "last": f + k - 1, "anchor": pd.Series(anchor.view(np.int64), dtype="Int64")})
 
     return docs.mapInPandas(send, SCHEMA).groupBy("bucket").applyInPandas(settle, "doc long, first int, last int, anchor long")
 
@@ -198,62 +204,90 @@ def resolve(strings: list[bytes], doc: np.ndarray, first: np.ndarray, size: int)
     at = place - starts[of]
     whole = at + size < lens[of]
     of, at, block = of[whole], at[whole], block[whole]
-    order, again = repeats(block, doc[of], first[of] + at)
-    own = order[again]
-    d, p = doc[of[own]], first[of[own]] + at[own]
-    by = np.lexsort((p, d))
-    d, p = d[by], p[by]
-    if not len(d):
-        return pd.DataFrame({"doc": d, "first": p, "last": p})
-    start, n = runs_of(np.concatenate([[False], (d[1:] == d[:-1]) & (p[1:] <= p[:-1] + 1)]))
-    return pd.DataFrame({"doc": d[start], "first": p[start], "last": p[start + n - 1]})
-
-
-def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """Runs of repeated windows: doc, first, last. ``docs``: _key, _text."""
-    marked = written(marked_runs(docs, size), "runs")
-    release(docs.sparkSession)
-    open_runs = marked.where("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("_runs"))
+    _, again, _ = judged(block, block, doc[of], first[of] + at)
+    own = of[again]
+    return spans_frame(doc[own], first[own] + at[again])
+
+
+def window_rows(doc: int, first: int, raw: bytes, size: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of a run's bytes: hash, second hash, document and place."""
+    b = np.frombuffer(raw, np.uint8)
+    h, more = (Prefix(tokens[b]).every(size) for tokens in (TOKENS, OTHER))
+    return h, more, np.full(len(h), doc, np.int64), np.arange(first, first + len(h), dtype=np.int32)
+
+
+def repeated_windows(docs: DataFrame, size: int, total: int, least_hot: int | None = None) -> DataFrame:
+    """Runs of repeated windows: doc, first, last. ``docs``: _no, _text; ``total``: bytes of all texts."""
+    n = buckets(docs, total)
+    marked = written(marked_runs(docs, size, n), "runs")
+    shared = marked.where("anchor is not null")
+    most = max(HOT if least_hot is None else least_hot, shared.count() // 10_000)
+    hot = {r["anchor"] for r in shared.groupBy("anchor").count().where(F.col("count") > most).select("anchor").collect()}  # 10,000 at most
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
+    open_runs = shared.groupBy("doc").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("_runs"))
 
     def strings(batches):
         for b in batches:
-            out = []
-            for doc, t, own in zip(b["_key"], b["_text"], b["_runs"], strict=True):
-                raw = t.encode() if t else b""
-                out += [(doc, r["first"], r["anchor"], raw[r["first"] : r["last"] + size]) for r in own]
-            yield pd.DataFrame(out, columns=["doc", "first", "anchor", "string"])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc", "first"], kind="stable")
-        return resolve(list(group["string"]), group["doc"].to_numpy(np.int64), group["first"].to_numpy(np.int64), size)
-
-    buckets = 16 * partitions(docs.sparkSession)
-    joined = docs.join(open_runs, docs["_key"] == open_runs["doc"]).select("_key", "_text", "_runs")
-    found = joined.mapInPandas(strings, "doc long, first int, anchor long, string binary")
-    solved = written(found.groupBy(F.pmod("anchor", F.lit(buckets)).alias("b")).applyInPandas(solve, "doc long, first int, last int"), "repeats")
-    release(docs.sparkSession)
+            out, wide = [], []
+            for doc, t, own in zip(b["_no"], b["_text"], b["_runs"], strict=True):
+                raw = t.encode()
+                for r in own:
+                    string = raw[r["first"] : r["last"] + size]
+                    if r["anchor"] in hot.value:
+                        wide.append(window_rows(doc, r["first"], string, size))
+                    else:
+                        out.append((r["anchor"] % n, doc, r["first"], r["anchor"], string))
+            for at in range(0, len(wide), 1024):  # windows of hot anchors, dealt by their own hash
+                h, more, doc, pos = (np.concatenate(x) for x in zip(*wide[at : at + 1024], strict=True))
+                to = h % np.uint64(n)
+                by = np.argsort(to, kind="stable")
+                for start, k in zip(*runs_of(np.concatenate([[False], to[by[1:]] == to[by[:-1]]])), strict=True):
+                    own = by[start : start + k]
+                    out.append((int(to[own[0]]), None, None, None, b"".join(x[own].tobytes() for x in (h, more, doc, pos.astype(np.int64)))))
+            yield pd.DataFrame(out, columns=["b", "doc", "first", "anchor", "string"]).astype({"doc": "Int64", "first": "Int64", "anchor": "Int64"})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, narrow = NONE, []
+        for group in batches:
+            wide = group["doc"].isna()
+            if wide.any():
+                split = [np.frombuffer(x, np.uint64).reshape(4, -1) for x in group["string"][wide]]
+                new = [np.concatenate([x[i] for x in split]) for i in range(4)]
+                every = tuple(np.concatenate(x) for x in zip(held, (new[0], new[1], new[2].view(np.int64), new[3].astype(np.int32)), strict=True))
+                first, later, _ = judged(*every)
+                yield spans_frame(every[2][later], every[3][later])
+                held = tuple(x[first] for x in every)
+            narrow.append(group[~wide])
+        group = pd.concat(narrow).sort_values(["doc", "first"], kind="stable")
+        if len(group):
+            yield resolve(list(group["string"]), group["doc"].to_numpy(np.int64), group["first"].to_numpy(np.int64), size)
+
+    joined = docs.join(open_runs, docs["_no"] == open_runs["doc"]).select("_no", "_text", "_runs")
+    found = joined.mapInPandas(strings, "b long, doc long, first long, anchor long, string binary")
+    solved = written(found.groupBy("b").applyInPandas(solve, "doc long, first int, last int"), "repeats")
     return marked.where("anchor is null").select("doc", "first", "last").union(solved)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 100, raw: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``raw`` also the kept bytes."""
-    rows = docs.select(F.coalesce(F.col(key), F.lit(NULL_KEY)).alias("_key"), F.col(text).alias("_text"))
-    each = repeated_windows(rows, size).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    rows, total = numbered(docs, key, text)
+    each = repeated_windows(rows.select("_no", "_text"), size, total).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
 
     def cut(batches):
         for b in batches:
             out = []
-            for doc, t, spans in zip(b["_key"], b["_text"], b["_spans"], strict=True):
-                data = t.encode() if t else b""
-                n, removed, n_spans = len(data), 0, 0
-                if spans is not None and len(spans):
-                    gone = covered(n, [(s["first"], s["last"]) for s in spans], size)
-                    removed, n_spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                    data = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((doc, n, removed, n_spans, hashlib.sha256(data).hexdigest(), data if raw else None))
-            yield pd.DataFrame(out, columns=["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = rows.join(each, rows["_key"] == each["doc"], "left").select("_key", "_text", "_spans")
-    out = joined.mapInPandas(cut, "_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    out = out.select(F.nullif("_key", F.lit(NULL_KEY)).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+            for t, spans in zip(b["_text"], b["_spans"], strict=True):
+                data, at, kept = t.encode(), 0, []
+                start, stop = intervals(spans if spans is not None else [], size)
+                for lo, hi in zip(start.tolist(), stop.tolist(), strict=True):
+                    kept.append(data[at:lo])
+                    at = hi
+                left = b"".join([*kept, data[at:]]) if kept else data
+                out.append((len(data), int((stop - start).sum()), len(start), hashlib.sha256(left).hexdigest(), left if raw else None))
+            b = b[["_key"]].reset_index(drop=True)
+            yield pd.concat([b, pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
+
+    joined = rows.join(each, rows["_no"] == each["doc"], "left").select("_key", "_text", "_spans")
+    out = joined.mapInPandas(cut, f"_key {dict(rows.dtypes)['_key']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumnRenamed("_key", key)
     return out if raw else out.drop("kept")

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,7 +245,7 @@ def test_suffixes_long_document_in_pieces(frame, monkeypatch):
     base = "".join(rng.choice("abcd") for _ in range(5000))
     monkeypatch.setattr(suffixes, "CHUNK", 700)
     pieces_ = [(0, base.encode()), (1, (base[1000:2500] + "zz" + base[3000:3150]).encode())]
-    got = [x for held in suffixes.chunks([{"_key": [0, 1], "_text": [base, pieces_[1][1].decode()]}], 100) for x in zip(*suffixes.runs(held, 100), strict=True)]
+    got = [x for held in suffixes.chunks([{"_no": [0, 1], "_text": [base, pieces_[1][1].decode()]}], 100) for x in zip(*suffixes.runs(held, 100), strict=True)]
     windows = {(int(d), int(f) + j) for _, _, d, f, n in got for j in range(int(n))}
     assert windows == {(d, j) for d, raw in pieces_ for j in range(len(raw) - 99)} and sum(int(x[4]) for x in got) == len(windows)
 
@@ -264,6 +266,7 @@ def test_merged_transforms():
 
 
 def test_same_key_rows_do_not_remove_each_other(frame):
+    """Equal rows of a key are one document; the null key sorts first."""
     t = " ".join(f"word{i}" for i in range(60))
     rows = substrings.deduplicated(frame([t, t, t], [5, 5, None])).collect()
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in rows) == [(False, 60), (False, 60), (True, 0)]
@@ -271,6 +274,60 @@ def test_same_key_rows_do_not_remove_each_other(frame):
     assert [r["n_removed"] for r in rows] == [0, 0]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_different_texts_of_one_key(spark, kind):
+    """Rows of one key with different texts are different documents, in the order of their SHA-256."""
+    rng = random.Random(11)
+    some = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(90)) for _ in range(6)]
+    own = [(-(1 << 63), some[0]), (None, some[1]), (7, some[2] + " " + some[0]), (7, some[3]), (8, some[3] + " " + some[1]), (7, some[4]), (7, some[4]), (9, some[5][:200] + some[4] + some[2])]
+    rows = [(k if kind == "long" or k is None else f"key {k:+03d}" if k > -100 else "", t) for k, t in own]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, sha(r[1])))
+    for run, size, cut, width in ((substrings, 20, str.split, "n_words"), (suffixes, 100, str.encode, "n_bytes")):
+        gone = brute_repeats({i: cut(t) for i, (_, t) in enumerate(order)}, size)
+        want = sorted((str(order[i][0]), len(gone[i]), sum(gone[i])) for i in range(len(order)) for _ in range(rows.count(order[i])))
+        assert sorted((str(r["doc_id"]), r[width], r["n_removed"]) for r in run.deduplicated(df).collect()) == want
+
+
+def test_substrings_in_small_chunks(frame, texts, monkeypatch):
+    """Long texts in pieces, very long words, several chunks to a task and split stretches give the same rows."""
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcd") * rng.randrange(1, 4) for _ in range(400)) for _ in range(3)]
+    own = texts[:40] + tricky(texts, rng)[:20] + [base[0], base[0][300:] + " " + "x" * 900 + " " + base[1], "z " + "x" * 900 + " " + base[1] + "\x0b\t" + base[2], "x" * 5000, "y" * 899 + " " + base[2]] + [base[1][:200]] * 30
+    monkeypatch.setattr(substrings, "CHUNK", 500)
+    monkeypatch.setattr(substrings, "LONG", 300)
+    monkeypatch.setattr(substrings, "KNOWN", 50)
+    docs = {i: (t or "").encode().split() for i, t in enumerate(own)}
+    gone = brute_repeats({i: [w.decode() for w in t] for i, t in docs.items()}, 20)
+    raw = [t.encode() for t in own if t]
+    for t in raw:  # pieces hold each window once
+        found = [(first + j) for first, p in substrings.pieces_of(t, 20) for j in range(len(p.split()) - 19)]
+        assert found == list(range(max(0, len(t.split()) - 19)))
+    leasts = np.unique(np.concatenate([substrings.window_hashes([(0, f, p)], 20)[1] for t in raw for f, p in substrings.pieces_of(t, 20)]))
+    rows = [(i, t or "") for i, t in enumerate(own)]
+    for hot in ((np.zeros(0, np.uint64), np.zeros(0, np.uint64)), (leasts[::2], np.full(len(leasts[::2]), 3, np.uint64))):
+        packed = []
+        for part in (rows[::2], rows[1::2]):
+            dealer = substrings.Dealer(20, 7, hot)
+            packed += [r for held in substrings.chunks([{"_no": [i for i, _ in part], "_text": [t for _, t in part]}], 20) for r in dealer.rows(held)]
+        frame_of = pd.DataFrame(packed, columns=["bucket", "hashes", "leasts", "docs", "starts", "counts", "gone"])
+        found = {}
+        for _, g in frame_of.groupby("bucket"):
+            for s in substrings.fold([g.iloc[at : at + 9] for at in range(0, len(g), 9)]):
+                for d, a, b in s.itertuples(index=False):
+                    found.setdefault(int(d), []).append({"first": a, "last": b})
+        for i, t in enumerate(own):
+            count, removed, _, kept = substrings.kept_words((t or "").encode(), found.get(i), 20)
+            want = b" ".join(w for w, x in zip(docs[i], gone[i], strict=True) if not x)
+            assert (b"".join(kept), removed, count[0]) == (want, sum(gone[i]), len(docs[i])), i
+
+
+def test_suffixes_with_hot_anchors(frame, texts, monkeypatch):
+    """Windows of anchors that are split by their own hash are judged alike."""
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    test_suffixes(frame, texts[:60])
+
+
 @pytest.mark.parametrize("depth", [0, 3])
 def test_fingerprints(spark, frame, texts, depth, monkeypatch):
     import xxhash
