@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,12 @@ def normalize_name(name: Column, nfkc: bool = True) -> Column:
     return F.translate(F.lower(c), "ёé", "ee")
 
 
+def renormalized(df: DataFrame, fields: tuple[str, ...] = ("title", "artist", "album", "album_artist"), nfkc: bool = True) -> DataFrame:
+    """``df`` with every comparison form (``<field>_norm``) worked out anew from its name, for the fields that it has."""
+    own = {f"{f}_norm": normalize_name(F.col(f), nfkc) for f in fields if f in df.columns}
+    return df.withColumns(own)
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words, each word with two blanks before and one behind."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -104,12 +110,16 @@ def two_digits(n: Column) -> Column:
     return F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
 
 
-def library_path(artist: Column, album: Column, title: Column, ext: Column, track_n: Column, disc_n: Column, suffix: Column, limit: Column) -> Column:
-    """Artist/Album/[disc-]NN Title[ suffix].ext, each part cut to ``limit``."""
+def file_name(title: Column, ext: Column, track_n: Column, disc_n: Column, suffix: Column, limit: Column) -> Column:
+    """[disc-]NN Title[ suffix].ext, cut to ``limit``."""
     number = F.when(track_n.isNotNull(), F.concat(F.when(disc_n.isNotNull(), F.concat(disc_n.cast("string"), F.lit("-"))).otherwise(F.lit("")), two_digits(track_n), F.lit(" "))).otherwise(F.lit(""))
     tail = F.concat(F.when(suffix > 0, F.concat(F.lit(" "), suffix.cast("string"))).otherwise(F.lit("")), F.lit("."), ext)
-    name = path_part(F.concat(number, F.coalesce(title, F.lit(""))), limit - F.length(tail), True)
-    return F.concat_ws("/", path_part(artist, limit), path_part(album, limit), F.concat(name, tail))
+    return F.concat(path_part(F.concat(number, F.coalesce(title, F.lit(""))), limit - F.length(tail), True), tail)
+
+
+def library_path(artist: Column, album: Column, title: Column, ext: Column, track_n: Column, disc_n: Column, suffix: Column, limit: Column) -> Column:
+    """Artist/Album/[disc-]NN Title[ suffix].ext, each part cut to ``limit``."""
+    return F.concat_ws("/", path_part(artist, limit), path_part(album, limit), file_name(title, ext, track_n, disc_n, suffix, limit))
 
 
 def path_artist(compilation: Column, album_artist: Column, artist: Column) -> Column:
@@ -153,6 +163,11 @@ def masked_dsn(dsn: Column) -> Column:
     return F.regexp_replace(dsn, r"://[^/@]*@", "://")
 
 
+def full_name(artist: Column, album: Column, title: Column) -> Column:
+    """Artist, [album] and title for messages; null as nothing."""
+    return F.concat(F.coalesce(artist, F.lit("")), F.lit(" ["), F.coalesce(album, F.lit("")), F.lit("] "), title)
+
+
 def group_label(artist: Column, title: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(artist, F.lit("")), F.lit("?")), F.lit(" — "), F.coalesce(F.nullif(title, F.lit("")), F.lit("?")))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from tessitura.plans.scratch import written
 FIELDS = ("artist", "album_artist", "album", "track_n", "disc_n", "year", "duration")
 DEFAULT_SETS = (("artist", "duration"), ("artist", "year"), ("album_artist", "duration"))
 REVIEW_SETS = (("artist",), ("album_artist",), ("album",))
-GROUP = 5000  # tracks of one title that a single task unites; larger titles go through distributed rounds
 
 
 def blank(c: Column, text: bool) -> Column:
@@ -40,37 +40,12 @@ def buckets(tracks: DataFrame, sets: tuple[tuple[str, ...], ...]) -> DataFrame:
     return rows.join(least, ["title_norm", "k"]).select("title_norm", "id", "least")
 
 
-def _unite(batches):
-    """Union-find over a whole partition, which holds all links of its titles."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for b in batches:
-        for x, y in zip(b["id"].tolist(), b["least"].tolist(), strict=True):
-            x, y = find(x), find(y)
-            root[max(x, y)] = min(x, y)
-    yield pd.DataFrame({"id": list(root), "component": [find(x) for x in list(root)]}, dtype="int64")
-
-
 def united(links: DataFrame) -> DataFrame:
-    """(id, component) of the bucket rows; a component never crosses titles, so titles are united side by side.
-
-    Links are dealt by title and united in each task; titles with more than GROUP links go through distributed rounds.
-    """
-    links = written(links.distinct(), "links")
-    large = links.groupBy("title_norm").count().where(F.col("count") > GROUP).select("title_norm")
-    if large.isEmpty():
-        return links.repartition("title_norm").select("id", "least").mapInPandas(_unite, "id long, component long")
-    small = links.join(large, "title_norm", "left_anti").repartition("title_norm").select("id", "least").mapInPandas(_unite, "id long, component long")
-    rest = links.join(large, "title_norm", "left_semi")
-    roots = components(rest.select(F.col("id").alias("u"), F.col("least").alias("v")))
-    nodes = rest.select("id").union(rest.select("least")).distinct()
-    return small.union(nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component")))
+    """(id, component) of the bucket rows; all rows of a bucket point to its smallest id, so buckets that share a row are one component."""
+    links = written(links.select("id", "least").distinct(), "bucket_links")
+    roots = components(links.select(F.col("id").alias("u"), F.col("least").alias("v")))
+    nodes = links.select("id").union(links.select("least")).distinct()
+    return nodes.join(roots, nodes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def rank_key(strategy: str = "added") -> Column:
@@ -124,6 +99,42 @@ def flatten(canon: DataFrame, rounds: int = 40) -> DataFrame:
     raise ValueError("canon chain with a cycle")
 
 
+@dataclass(frozen=True)
+class Deduplicated:
+    """``canon`` (id, canon_id) of every track, ``mains`` (root_id, file_id, n_files) and ``summary``, one row of counts."""
+
+    canon: DataFrame
+    mains: DataFrame
+    summary: DataFrame
+
+
+def auto_dedup(tracks: DataFrame, files: DataFrame, stored: DataFrame | None = None, sets=DEFAULT_SETS, strategy: str = "added") -> Deduplicated:
+    """Deduplicate from nothing: what was decided before is forgotten; rule sets, components and canon choice, then stored decisions on top, chains
+    flattened and the main file of every group chosen anew.
+
+    ``tracks`` with comparison forms; ``files``: id, track_id, bitrate, ext and ``is_main``, the mark as it was. The summary counts groups, twins, tracks that
+    a stored decision changed, twins that were re-pointed to the end of a chain, and groups whose main files changed.
+    """
+    found = find_duplicates(tracks, sets, strategy).select(F.col("id").alias("_f"), F.col("canon_id").alias("_c"))
+    auto = written(tracks.select("id").join(found, F.col("id") == F.col("_f"), "left").select("id", F.col("_c").alias("canon_id")), "auto")
+    told = auto if stored is None else written(apply_overrides(auto, tracks, stored), "told")
+    canon = flatten(told)
+    mains = written(main_files(files, canon), "mains")
+    moved = lambda a, b, name: a.join(b.select("id", F.col("canon_id").alias("_b")), "id").agg(F.count_if(~F.col("canon_id").eqNullSafe(F.col("_b"))).alias(name))
+    groups = canon.agg(F.countDistinct("canon_id").alias("n_groups"), F.count("canon_id").alias("n_twins"))
+    one = groups.crossJoin(moved(auto, told, "n_overridden")).crossJoin(moved(told, canon, "n_flattened")).crossJoin(changed_mains(files, canon, mains))  # four single rows
+    return Deduplicated(canon, mains, one)
+
+
+def changed_mains(files: DataFrame, canon: DataFrame, mains: DataFrame) -> DataFrame:
+    """One row, ``n_mains_changed``: groups whose files marked as main were not just the one that is chosen now."""
+    twins = canon.where("canon_id is not null").select(F.col("id").alias("twin"), "canon_id")
+    owned = files.join(twins, files["track_id"] == twins["twin"], "left").select(F.coalesce("canon_id", "track_id").alias("root_id"), "id", "is_main")
+    j = owned.join(mains.select("root_id", "file_id"), "root_id")
+    per = j.groupBy("root_id").agg(F.bool_and(F.coalesce("is_main", F.lit(False)) == (F.col("id") == F.col("file_id"))).alias("same"))
+    return per.agg(F.count_if(~F.col("same")).alias("n_mains_changed"))
+
+
 def file_rank() -> Column:
     """Best file: kbit/s, then flac, m4a, mp3, other, then the smallest id."""
     ext = F.lower("ext")

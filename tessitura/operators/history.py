@@ -29,9 +29,24 @@ def import_stats(scrobbles: DataFrame, fresh: DataFrame) -> DataFrame:
     return j.agg(F.sum("m").alias("scrobbles_created"), F.sum(F.col("n") - F.col("m")).alias("scrobbles_ignored"), F.count_if(F.col("m") == 0).alias("aliases_skipped"), F.count_if(F.col("m") > 0).alias("aliases_created"))
 
 
-def copy_plays(scrobbles: DataFrame, links: DataFrame) -> DataFrame:
-    """(scrobble_date, track_id, platform) of linked aliases. ``links``: title, artist, album, track_id."""
-    return scrobbles.join(links.where("track_id is not null"), ["title", "artist", "album"]).select(F.col("date").alias("played_at"), "track_id", "platform")
+def created_aliases(fresh: DataFrame, existing: DataFrame) -> DataFrame:
+    """(title, artist, album) that an import creates: those that bring a date and aren't there."""
+    keys = ["title", "artist", "album"]
+    return fresh.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
+
+
+def copy_plays(scrobbles: DataFrame, links: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(played_at, track_id, platform) of linked aliases. ``links``: title, artist, album, track_id.
+
+    With ``existing`` plays (play_id, played_at, track_id, platform; a scrobble is its date) the new state of the table: a scrobble that has a play keeps it,
+    pointed to the track that its alias is linked with now; new plays have no play_id yet; plays of unlinked aliases stay as they are.
+    """
+    found = scrobbles.join(links.where("track_id is not null"), ["title", "artist", "album"]).select(F.col("date").alias("played_at"), "track_id", "platform")
+    if existing is None:
+        return found
+    had = existing.select("play_id", "played_at", F.col("track_id").alias("_track"), F.col("platform").alias("_platform"))
+    j = found.join(had, "played_at", "full")
+    return j.select("play_id", "played_at", F.coalesce("track_id", "_track").alias("track_id"), F.coalesce("_platform", "platform").alias("platform"))
 
 
 def play_stats(plays: DataFrame, canon: DataFrame, rollup: DataFrame) -> DataFrame:

@@ -66,11 +66,12 @@ def ref_operations(want: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def playlist_totals(items: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Songs and seconds of each list; a list without known tracks has zeros."""
-    t = tracks.select(F.col("id").alias("track_id"), "duration")
-    every = items.select("playlist_id").distinct()
-    sums = items.join(t, "track_id").groupBy("playlist_id").agg(F.count("*").alias("song_count"), F.sum("duration").alias("seconds"))
-    return every.join(sums, "playlist_id", "left").select("playlist_id", F.coalesce("song_count", F.lit(0)).alias("song_count"), F.coalesce("seconds", F.lit(0)).alias("seconds"))
+    """Songs, seconds and, where tracks have a size, bytes of each list; a list without known tracks has zeros."""
+    sums = [c for c in ("duration", "size") if c in tracks.columns]
+    t = tracks.select(F.col("id").alias("track_id"), *sums)
+    named = {"duration": "seconds", "size": "size"}
+    known = items.join(t.withColumn("known", F.lit(1)), "track_id", "left")
+    return known.groupBy("playlist_id").agg(F.count("known").alias("song_count"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(named[c]) for c in sums])
 
 
 def remote_only(remote: DataFrame, known: DataFrame) -> DataFrame:

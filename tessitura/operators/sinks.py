@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,9 +23,14 @@ def missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFr
     return incoming.dropDuplicates(keys).join(existing, _same(incoming, existing, keys), "left_anti")
 
 
+def one_of_each(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row for each key, nulls equal: of every field the smallest value that isn't null."""
+    return rows.groupBy(*keys).agg(*[F.min(f).alias(f) for f in fields])
+
+
 def fill_nulls(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Existing rows with null fields filled from the incoming row of their key; nothing else changes."""
-    right = incoming.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f).alias(f"_{f}") for f in fields])
+    """Existing rows with null fields filled from the incoming rows of their key; nothing else changes, and no row is added or repeated."""
+    right = one_of_each(incoming, keys, fields).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f).alias(f"_{f}") for f in fields])
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -32,7 +39,14 @@ def fill_nulls(existing: DataFrame, incoming: DataFrame, keys: list[str], fields
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """The new state of a keyed table: incoming rows replace existing ones."""
+    """The new state of a keyed table: incoming rows replace existing ones. Of several incoming rows of a key the last in the order of all
+    their columns is taken, so a key stays unique."""
+    rest = [c for c in incoming.columns if c not in keys]
+    if rest:
+        last = incoming.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r"))
+        incoming = last.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in incoming.columns])
+    else:
+        incoming = incoming.distinct()
     return existing.join(incoming, _same(existing, incoming, keys), "left_anti").unionByName(incoming)
 
 
@@ -43,6 +57,46 @@ def appended(items: DataFrame, more: DataFrame, by: str = "playlist_id") -> Data
     return more.withColumn("r", rank).join(last, by, "left").select(by, "track_id", (F.coalesce("last", F.lit(0)) + F.col("r")).alias("position"))
 
 
+def replaced(items: DataFrame, merged: DataFrame, by: str = "playlist_id") -> DataFrame:
+    """The members of all lists once those of ``merged`` are overwritten; ``merged`` has their members in order, from ``position`` 1."""
+    return items.join(merged.select(by).distinct(), by, "left_anti").unionByName(merged.select(*items.columns))
+
+
+def emptied(tables: dict[str, DataFrame], name: str, parents: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables with ``name`` and all that depend on it empty. ``parents``: child table -> the table that it refers to."""
+    gone, more = {name}, True
+    while more:
+        more = {c for c, p in parents.items() if p in gone} - gone
+        gone |= more
+    return {n: t.where("false") if n in gone else t for n, t in tables.items()}
+
+
+def rebuilt_playlists(playlists: DataFrame, items: DataFrame, links: DataFrame, new_playlists: DataFrame, new_items: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All canonical playlists deleted, with members and links, and built anew; and one row, ``n_deleted``."""
+    state = emptied({"playlist": playlists, "item": items, "link": links}, "playlist", {"item": "playlist", "link": "playlist"})
+    state |= {"playlist": state["playlist"].unionByName(new_playlists), "item": state["item"].unionByName(new_items)}
+    return state, playlists.agg(F.count("*").alias("n_deleted"))
+
+
+def commit(plan: dict[str, DataFrame], folder: str, dry_run: bool = True) -> dict[str, str]:
+    """Write every table of a plan below ``folder``, each into a place of its own that is named only once it is whole; nothing with ``dry_run``.
+
+    Gives the new place of each table. A reader that has the old places is not disturbed, and a failed run leaves no half table behind a name.
+    """
+    places = {}
+    for name, rows in plan.items():
+        place = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not dry_run:
+            rows.write.parquet(place)
+        places[name] = place
+    return places
+
+
+def pending_tracks(tracks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tracks with any file that has no place in the library yet."""
+    return tracks.join(files.where("library_path is null").select(F.col("track_id").alias("id")), "id", "left_semi")
+
+
 def file_plan(files: DataFrame, tracks: DataFrame, mains: DataFrame) -> DataFrame:
     """(file_id, role, target): the group's best file goes to Library/Music, the others to Copies/Music with a number from 0, which isn't shown.
 

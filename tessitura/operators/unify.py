@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import half_even_seconds, library_path, path_album, path_artist, tag_year
+from tessitura.functions.text import file_name, half_even_seconds, path_album, path_artist, path_part, tag_year
+from tessitura.operators.components import components
+from tessitura.plans.scratch import written
 
 KEY = ("title", "artist", "album", "album_artist")
 SUFFIXES, LIMITS, EXTENSIONS = (0, 1, 2), (40, 35), ("mp3", "m4a")
@@ -21,6 +26,8 @@ def unify_tracks(source: DataFrame, run_ts) -> DataFrame:
         "track_n": F.col("track_number"), "disc_n": F.col("disc_number"), "compilation": F.col("compilation"), "year": F.col("year"),
         "duration": half_even_seconds(F.col("duration_ms")), "loved": F.when(F.col("loved"), True), "rating": F.when(~F.col("rating_computed"), F.col("rating")),
     }
+    if "album_rating" in source.columns:
+        fields |= {"album_loved": F.when(F.col("album_loved"), True), "album_rating": F.when(~F.col("album_rating_computed"), F.col("album_rating"))}
     first = [F.min_by(c, F.when(c.isNotNull(), F.col("id"))).alias(n) for n, c in fields.items()]
     added = F.coalesce(F.min_by(F.struct("date_added"), "id")["date_added"], run_ts).alias("date_added")
     return source.groupBy(*KEY).agg(F.min("id").alias("first_source"), F.count("*").alias("n_sources"), *first, added)
@@ -30,33 +37,51 @@ def expects_local_file(provider, extra_apple_music):
     return (provider == "apple_xml") & ~F.coalesce(extra_apple_music, F.lit(False))
 
 
+def missing_files(source: DataFrame, bound: DataFrame) -> DataFrame:
+    """Source rows that should have a local file and have none. ``source``: id, provider, apple_music. ``bound``: source_id of rows with a file."""
+    wanted = source.where(expects_local_file(F.col("provider"), F.col("apple_music")))
+    return wanted.join(bound.select(F.col("source_id").alias("id")), "id", "left_anti")
+
+
 def candidate_paths(source: DataFrame) -> DataFrame:
-    """(id, path): all places where a source track's file may lie, distinct."""
+    """(id, path): all places where a source track's file may lie, distinct.
+
+    The parts of a path are worked out step by step, in projections that the generated code can hold: folders once for each track and limit, names
+    for each option.
+    """
     discs = F.array_compact(F.array(F.struct(F.lit(None).cast("int").alias("d")), F.when(F.col("disc_number").isNotNull(), F.struct(F.col("disc_number").cast("int").alias("d")))))
-    options = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(n).alias("n"), F.lit(e).alias("e")) for s in SUFFIXES for n in LIMITS for e in EXTENSIONS])
-    rows = source.withColumn("o", F.explode(options)).withColumn("disc", F.explode(discs))
-    artist, album = path_artist(F.col("compilation"), F.col("album_artist"), F.col("artist")), path_album(F.col("album"))
-    path = library_path(artist, album, F.col("title"), F.col("o.e"), F.col("track_number"), F.col("disc.d"), F.col("o.s"), F.col("o.n"))
-    return rows.select("id", path.alias("path")).distinct()
+    options = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s in SUFFIXES for e in EXTENSIONS])
+    named = source.select("id", "title", "track_number", discs.alias("discs"), path_artist(F.col("compilation"), F.col("album_artist"), F.col("artist")).alias("pa"), path_album(F.col("album")).alias("pl"))
+    limited = named.withColumn("n", F.explode(F.array(*[F.lit(n) for n in LIMITS])))
+    folders = limited.select("id", "title", "track_number", "discs", "n", F.concat_ws("/", path_part(F.col("pa"), F.col("n")), path_part(F.col("pl"), F.col("n"))).alias("folder"))
+    rows = folders.select("id", "title", "track_number", "n", "folder", F.explode("discs").alias("disc")).withColumn("o", F.explode(options))
+    name = file_name(F.col("title"), F.col("o.e"), F.col("track_number"), F.col("disc.d"), F.col("o.s"), F.col("n"))
+    return rows.select("id", "folder", name.alias("name")).distinct().select("id", F.concat_ws("/", "folder", "name").alias("path"))
+
+
+def ends(part: Column) -> Column:
+    """What stands up to and including each file extension in a part of a path."""
+    pieces = F.split(part, "(?<=" + "|".join(rf"\.{e}" for e in EXTENSIONS) + ")")
+    upto = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), ""))
+    ending = lambda x: F.greatest(*[x.endswith(f".{e}") for e in EXTENSIONS])
+    return F.filter(upto, ending)
 
 
 def bind_files(source: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, source_id): each file with the smallest source track one of whose paths its own contains, letter case aside.
 
-    Blocked: a path's album folder is a whole folder of the file's path, and its file name begins the next part, so both sides
-    meet by folder and the name's first characters (16, or 4 for shorter names); containment is then tested.
+    A path that another contains has its album folder as a whole folder there, and its file name, which ends with an extension, begins the next part.
+    So both sides meet by folder and by what stands up to an extension, an equality on whole names; containment of the artist is then tested.
     """
-    c = candidate_paths(source).withColumn("low", F.lower("path"))
-    parts = F.split("low", "/")
-    name = F.get(parts, F.lit(2))
-    wide = F.when(F.length(name) >= 16, 16).otherwise(4)
-    c = c.select("id", "low", F.get(parts, F.lit(1)).alias("folder"), wide.alias("wide"), F.substring(name, F.lit(1), wide).alias("head"))
+    low = F.split("low", "/")
+    c = candidate_paths(source).select("id", F.lower("path").alias("low")).select("id", "low", F.get(low, F.lit(1)).alias("folder"), F.get(low, F.lit(2)).alias("name"))
     f = files.where(F.col("track_id").isNull()) if "track_id" in files.columns else files
     f = f.select(F.col("id").alias("file_id"), F.lower("source_path").alias("source_low"))
     own = F.split("source_low", "/")
-    f = f.select("file_id", "source_low", F.posexplode(own).alias("at", "folder"), own.alias("own"))
-    f = f.withColumn("wide", F.explode(F.array(F.lit(16), F.lit(4)))).withColumn("head", F.substring(F.get("own", F.col("at") + 1), F.lit(1), F.col("wide"))).drop("own").where(F.col("head").isNotNull())
-    met = f.join(c, ["folder", "wide", "head"]).where(F.col("source_low").contains(F.col("low")))
+    pairs = F.transform(own, lambda x, i: F.struct(x.alias("folder"), F.get(own, i + 1).alias("next")))
+    f = f.select("file_id", "source_low", F.explode(pairs).alias("p")).where(F.greatest(*[F.col("p.next").contains(f".{e}") for e in EXTENSIONS]))
+    f = f.select("file_id", "source_low", "p.folder", F.explode(ends(F.col("p.next"))).alias("name"))
+    met = f.join(c, ["folder", "name"]).where(F.col("source_low").contains(F.col("low")))
     return met.groupBy("file_id").agg(F.min("id").alias("source_id"))
 
 
@@ -86,30 +111,52 @@ def seed_playlists(playlists: DataFrame, items: DataFrame, source: DataFrame) ->
     return members.join(kept, "playlist_id").join(dates, "playlist_id").select("playlist_id", "track_id", "position", F.coalesce("created_at", "earliest").alias("created_at"), "latest")
 
 
+def fold_lists(group: pd.DataFrame) -> pd.DataFrame:
+    """The fold itself over the lists of some names, newest first."""
+    group = group.sort_values(["created_at", "playlist_id"], ascending=[False, True], na_position="last", kind="stable")
+    held: dict[str, list] = {}
+    anchor: dict[str, int] = {}
+    sets: dict[str, frozenset] = {}
+    for pid, name, tracks in zip(group["playlist_id"], group["name"], group["tracks"], strict=True):
+        tracks = list(tracks)
+        if name in held:
+            held[name] += [t for t in dict.fromkeys(tracks) if t not in sets[name]]
+        elif frozenset(tracks) not in sets.values():
+            held[name], anchor[name] = tracks, pid
+        else:
+            continue
+        sets[name] = frozenset(held[name])
+    out = [(anchor[n], n, i + 1, t) for n, x in held.items() for i, t in enumerate(x)]
+    return pd.DataFrame(out, columns=["playlist_id", "name", "position", "track_id"])
+
+
+def set_keys(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one name the hashes of its lists' track sets, and of every set that it can have: the lists from one to a later one together."""
+    group = group.sort_values(["created_at", "playlist_id"], ascending=[False, True], na_position="last", kind="stable")
+    lists, keys = [frozenset(t) for t in group["tracks"]], set()
+    for i in range(len(lists)):
+        now = frozenset()
+        for other in lists[i:]:
+            if other <= now:
+                continue
+            now |= other
+            keys.add(now)
+    raw = [hashlib.sha256(",".join(map(str, sorted(x))).encode()).hexdigest() for x in {*keys, *lists}]
+    return pd.DataFrame({"name": group["name"].iloc[0], "key": raw})
+
+
 def merge_playlists_by_name(playlists: DataFrame, items: DataFrame) -> DataFrame:
     """Fold playlists newest first: the same name appends new tracks to the list of this run; a new name whose track set equals an existing
     list's current set is skipped. The anchor keeps its repeats, appended tracks are distinct.
 
-    The fold is sequential by nature, so it runs in one task, over playlists, not over tracks of a library.
+    The fold is sequential, but two names touch each other only where one's track set can equal the other's. So names are grouped by the sets that
+    they can have, connected names are folded together in one task, and all others by themselves.
     ``playlists``: playlist_id, name, created_at. ``items``: playlist_id, pos, track_id.
     """
-    import pandas as pd
-
     lists = items.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
-    rows = playlists.join(lists, "playlist_id").select("playlist_id", "name", "created_at", F.col("m.track_id").alias("tracks"), F.lit(1).alias("all"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["created_at", "playlist_id"], ascending=[False, True], na_position="last", kind="stable")
-        held: dict[str, list] = {}
-        anchor: dict[str, int] = {}
-        for pid, name, tracks in zip(group["playlist_id"], group["name"], group["tracks"], strict=True):
-            tracks = list(tracks)
-            if name in held:
-                have = set(held[name])
-                held[name] += [t for t in dict.fromkeys(tracks) if t not in have]
-            elif not any(set(tracks) == set(x) for x in held.values()):
-                held[name], anchor[name] = tracks, pid
-        out = [(anchor[n], n, i + 1, t) for n, x in held.items() for i, t in enumerate(x)]
-        return pd.DataFrame(out, columns=["playlist_id", "name", "position", "track_id"])
-
-    return rows.groupBy("all").applyInPandas(fold, "playlist_id long, name string, position int, track_id long")
+    rows = written(playlists.join(lists, "playlist_id").select("playlist_id", "name", "created_at", F.col("m.track_id").alias("tracks")), "lists")
+    keys = rows.groupBy("name").applyInPandas(set_keys, "name string, key string").withColumn("id", F.xxhash64("name"))
+    links = keys.groupBy("key").agg(F.min("id").alias("least")).join(keys, "key").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    roots = components(links)
+    of = rows.withColumn("id", F.xxhash64("name")).join(roots, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("root", "id"))
+    return of.select("part", "playlist_id", "name", "created_at", "tracks").groupBy("part").applyInPandas(fold_lists, "playlist_id long, name string, position int, track_id long")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as X
-from tessitura.operators import dedup, history, match, playlists, unify
+from tessitura.operators import dedup, history, match, playlists, review, unify
+from tessitura.plans import imports, syncing
 from tessitura.plans import views as V
 from tessitura.plans.oracle import SQL
 from tessitura.plans.scratch import written
@@ -80,15 +81,59 @@ def dedup_canon_year(spark, sf):
 
 
 def _stored(spark, sf):
-    """Stored decisions: of every third group's component the member with the largest id is canon; one member of every sixth is unknown."""
+    """Stored decisions: of every group's component the member with the largest id is canon; one member of every sixth is unknown."""
     g = dedup.find_duplicates(tracks(spark, sf)).select("id", "component")
     h = dedup.hashed(V.track_v(spark, sf)).select("id", "duplicate_hash")
-    j = g.where("component % 3 = 0").join(h, "id")
+    j = g.join(h, "id")
     top = j.groupBy("component").agg(F.max_by("duplicate_hash", "id").alias("canon_hash"))
     gone = F.when((F.col("component") % 6 == 0) & (F.col("id") == F.col("component")), F.concat(F.lit("gone"), F.col("duplicate_hash"))).otherwise(F.col("duplicate_hash"))
     return j.join(top, "component").select(F.col("component").alias("group_id"), gone.alias("member_hash"), "canon_hash")
 
 
+def _whole(spark, sf):
+    files = V.file_v(spark, sf).withColumn("is_main", F.col("id") % 100000 % 7 == 0)
+    return dedup.auto_dedup(tracks(spark, sf), files, _stored(spark, sf))
+
+
+def auto_dedup(spark, sf):
+    """Deduplication from nothing to flattened canons."""
+    return _whole(spark, sf).canon
+
+
+def auto_dedup_mains(spark, sf):
+    return _whole(spark, sf).mains
+
+
+def auto_dedup_summary(spark, sf):
+    return _whole(spark, sf).summary
+
+
+def _review(spark, sf):
+    t = tracks(spark, sf)
+    g = dedup.find_duplicates(t)
+    return t, review.pages(t, g.select("id", "canon_id").where("component % 2 = 1"), _stored(spark, sf), sets=dedup.DEFAULT_SETS)
+
+
+def review_pages(spark, sf):
+    """Duplicate groups as pages, with what is confirmed and chosen; half of them aren't decided yet."""
+    page = _review(spark, sf)[1]
+    chosen = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"].cast("string"), F.coalesce(m["canon"].cast("string"), F.lit("-")))), ",")
+    return page.select("component", "label", "n_tracks", "confirmed", "auto_resolved", chosen.alias("members"))
+
+
+def review_filter(spark, sf):
+    """How many pages each of the four filters shows, with and without a part of a name, and the first of them in review order."""
+    t, page = _review(spark, sf)
+    out = None
+    for mode in review.FILTERS:
+        for partial in ("", "1"):
+            kept = review.filtered(page, t, mode, partial)
+            first = F.min(F.struct(~F.col("confirmed"), F.array_join("hashes", "\x00"), "component"))["component"]
+            one = kept.agg(F.lit(mode).alias("mode"), F.lit(partial).alias("partial"), F.count("*").alias("n_pages"), first.alias("first_page"))
+            out = one if out is None else out.union(one)
+    return out
+
+
 def dedup_manual_override(spark, sf):
     return dedup.apply_overrides(canon(spark, sf), V.track_v(spark, sf), _stored(spark, sf))
 
@@ -130,7 +175,9 @@ def alias_augment(spark, sf):
 
 
 def alias_match_exact(spark, sf):
-    t = tracks(spark, sf).withColumn("canon_id", F.lit(None).cast("long"))
+    t = tracks(spark, sf)
+    c = canon(spark, sf).withColumnRenamed("id", "own")
+    t = t.join(c, t["id"] == c["own"], "left").drop("own")
     a = _norm(V.scrobble_v(spark, sf).select("title", "artist", "album").distinct(), "title", "artist", "album")
     return match.match_exact(a.withColumn("alias_key", X.alias_label(F.col("title"), F.col("artist"), F.col("album"))), t)
 
@@ -153,8 +200,8 @@ def unify_tracks(spark, sf):
 
 
 def _disk_files(spark, sf):
-    """One file for each candidate path of a source track with even id, under one of two roots, some in upper case."""
-    c = unify.candidate_paths(V.source_track_v(spark, sf).where("id % 2 = 0"))
+    """One file for each candidate path of a source track, under one of two roots, some in upper case."""
+    c = unify.candidate_paths(V.source_track_v(spark, sf))
     low = F.concat(F.when(F.col("id") % 4 == 0, F.lit("/music/Library/")).otherwise(F.lit("/backup/old ")), F.when(F.col("id") % 3 == 0, F.upper("path")).otherwise(F.col("path")))
     return c.select(F.concat(F.col("id").cast("string"), F.lit(":"), F.col("path")).alias("id"), low.alias("source_path"))
 
@@ -164,7 +211,7 @@ def bind_files(spark, sf):
 
 
 def orphan_files(spark, sf):
-    f = V.source_track_v(spark, sf).where("id % 3 <> 0")
+    f = V.source_track_v(spark, sf)
     title = F.when(F.col("id") % 5 == 0, F.concat(F.col("title"), F.lit("?"))).otherwise(F.col("title"))
     date = F.when(F.col("id") % 7 == 0, F.lit("n/a")).otherwise(F.concat(F.col("year").cast("string"), F.lit("-01-01")))
     f = f.select("id", title.alias("title"), "artist", "album", "album_artist", date.alias("date"), F.lit(None).cast("long").alias("track_id"))
@@ -177,7 +224,7 @@ def _mine(spark, sf):
 
 def playlists_seed(spark, sf):
     items = _mine(spark, sf).select("playlist_id", "pos", (F.col("track_id") * 2).alias("source_track"))
-    source = V.source_track_v(spark, sf).where("id % 2 = 0").select(F.col("id").alias("source_id"), F.when(F.col("id") % 14 != 0, F.col("source_id")).alias("track_id"), "date_added")
+    source = V.source_track_v(spark, sf).where("provider = 'apple_xml'").select(F.col("id").alias("source_id"), F.when(F.col("id") % 14 != 0, F.col("source_id")).alias("track_id"), "date_added")
     lists = items.select("playlist_id").distinct().select("playlist_id", (F.col("playlist_id") % 9 == 0).alias("folder"), F.when(F.col("playlist_id") % 2 == 0, F.timestamp_seconds(F.lit(V.RUN_TS))).alias("created_at"))
     return unify.seed_playlists(lists, items, source)
 
@@ -227,7 +274,9 @@ def ref_count_ops(spark, sf):
 
 
 def playlist_totals(spark, sf):
-    return playlists.playlist_totals(_mine(spark, sf), V.track_v(spark, sf).where("id % 4 <> 0"))
+    """Totals of lists a quarter of whose members isn't known."""
+    items = _mine(spark, sf).withColumn("track_id", F.when(F.col("track_id") % 4 == 0, -1).otherwise(F.col("track_id")))
+    return playlists.playlist_totals(items, V.track_v(spark, sf).withColumn("size", (F.col("duration") * 1000 + F.col("track_n")).cast("long")))
 
 
 def backend_only(spark, sf):
@@ -265,14 +314,14 @@ def artist_stats(spark, sf):
 
 QUERIES = (
     normalize_name, trigram_similarity, path_generate, text_scalars, duplicate_hash, status_counts, scrobbles_by_platform, dedup_single_set, dedup_union_sets, dedup_canon_year, dedup_manual_override,
-    stored_groups, canon_flatten, main_file_pick, group_rollup, scrobble_fresh, scrobble_import_stats, alias_augment, alias_match_exact, alias_match_fuzzy, plays_copy, unify_tracks, bind_files, orphan_files, playlists_seed,
+    auto_dedup, auto_dedup_mains, auto_dedup_summary, review_pages, review_filter, stored_groups, canon_flatten, main_file_pick, group_rollup, scrobble_fresh, scrobble_import_stats, alias_augment, alias_match_exact, alias_match_fuzzy, plays_copy, unify_tracks, bind_files, orphan_files, playlists_seed,
     list_dedup_inflated, playlists_by_name, merge_with_base, merge_no_base, conflicts_detect, touched_tracks, resolve_auto, ref_count_ops, playlist_totals, backend_only, resolved_refs, play_stats, album_stats, artist_stats,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *imports.QUERIES, *syncing.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **imports.SQL, **syncing.SQL}

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from tessitura.functions.text import DECORATIONS, PUNCTUATION, UNSAFE
 from tessitura.plans.views import ALIAS, FILE, ITEM, RUN_TS, SCROBBLE, SOURCE, TRACK
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 
 
-def norm(x: str) -> str:
+# Fixed values, written down once more so that a wrong one in the code under test shows: what is deleted from names, and characters replaced in paths.
+DECORATIONS = (
+    r"\[\d{4}\]$", r"\s+\-\s+ep$", r"\s+ep$", r"\s+\-\s+single$", r"\(.*?feat\..*?\)", r"\(.*?ft\s+.*?\)", r"\[.*?feat\..*?\]", r"\(bonus track\)", r"\(.*?remastered.*?\)", r"feat\. .*?$", r"\(explicit\)$",
+    r"\[re-recorded\]$", r"\(re-recorded\)$", r"\(переиздание\)$", r"\(золотое издание\)$", r"\(.*?edition\)$", r"\- remaster$", r"\- re-recorded$", r"\(.*?remaster\)$", r"\[.*?remaster\]$", r"\(.*?version.*?\)$",
+    r"\(.*?deluxe.*?\)$", r"\[.*?deluxe.*?\]$", r"\(.*?motion picture.*?\)$", r"\(.*?extended play.*?\)$", r"\(.*?from.*?\)$", r"\(.*?soundtrack.*?\)$", r"^\d+\.\s+", r"^\d+\s+\-\s+", r"^\|\d+\|\s+", "collectors edition",
+)
+PUNCTUATION = ("-", "–", ",", ".", ":", '"', "*", "[", "]", "(", ")", "'", "’", "‘", "…", "►", "™")
+UNSAFE = '*<>:"/\\|?’“”'
+
+
+def norm(x: str, nfkc=lambda c: c) -> str:
     c = f"coalesce({x}, '')"
     for p in DECORATIONS:
         c = f"regexp_replace({c}, {q(p)}, '', 'gi')"
     chars = ", ".join(q(ch) for ch in PUNCTUATION)
     c = f"list_reduce([{chars}], lambda acc, ch: CASE WHEN length(acc) < 2 THEN acc ELSE replace(acc, ch, '') END, replace(replace({c}, '/', ' '), '\\', ' '))"
+    c = nfkc(c)
     return rf"translate(lower(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 'ёé', 'ee')"
 
 
@@ -58,7 +68,7 @@ DEFAULT = components(("artist", "duration"), ("artist", "year"), ("album_artist"
 YEAR = components(("artist", "duration"), ("artist", "year"), ("album_artist", "duration"), order="year ASC NULLS LAST, date_added ASC NULLS LAST, id")
 DEDUP = f"WITH RECURSIVE {TRACK}, {NORMED}, {DEFAULT}"
 ROLLUP = "rollup AS (SELECT coalesce(f.canon_id, t.id) AS root_id, count(*) AS n_tracks, max(CASE WHEN rating <> 0 THEN rating END) AS rating, coalesce(bool_or(loved), false) AS loved, min(date_added) AS date_added FROM t LEFT JOIN found f ON f.id = t.id GROUP BY 1)"
-STORED = f"""h AS (SELECT id, {hash_of()} AS duplicate_hash FROM track_v), top AS (SELECT component, arg_max(duplicate_hash, comp.id) AS canon_hash FROM comp JOIN h ON h.id = comp.id WHERE component % 3 = 0 GROUP BY 1),
+STORED = f"""h AS (SELECT id, {hash_of()} AS duplicate_hash FROM track_v), top AS (SELECT component, arg_max(duplicate_hash, comp.id) AS canon_hash FROM comp JOIN h ON h.id = comp.id GROUP BY 1),
   stored AS (SELECT component AS group_id, CASE WHEN component % 6 = 0 AND comp.id = component THEN 'gone' || duplicate_hash ELSE duplicate_hash END AS member_hash, canon_hash FROM comp JOIN h ON h.id = comp.id JOIN top USING (component))"""
 FRESH = """s AS (SELECT id, date, platform, title, coalesce(artist, '') AS artist, coalesce(album, '') AS album, min(id) OVER (PARTITION BY title, coalesce(artist, ''), coalesce(album, '')) AS place FROM scrobble_v),
   fresh AS (SELECT date, title, artist, album, platform FROM s QUALIFY row_number() OVER (PARTITION BY date ORDER BY place, id) = 1)"""
@@ -85,6 +95,21 @@ FIRST = ", ".join(f"arg_min({e}, id) FILTER ({e} IS NOT NULL) AS {n}" for n, e i
 NORM_ALIAS = f"a AS (SELECT *, '[' || title || ' / ' || artist || ' / ' || album || ']' AS alias_key, {norm('title')} AS title_norm, {norm('artist')} AS artist_norm, {norm('album')} AS album_norm FROM alias_v)"
 CHAIN = "chain AS (SELECT id, CASE WHEN id % 100 >= 4 THEN id - 4 END AS canon_id FROM track_v)"
 
+WHOLE = f"""{DEDUP}, {STORED}, first AS (SELECT duplicate_hash, min(id) AS f FROM h GROUP BY 1), ok AS (SELECT group_id FROM stored LEFT JOIN first ON member_hash = duplicate_hash GROUP BY 1 HAVING bool_and(f IS NOT NULL)),
+  dec AS (SELECT member_hash, arg_max(f, group_id) AS target FROM stored JOIN ok USING (group_id) JOIN first ON canon_hash = duplicate_hash GROUP BY 1), told AS (SELECT h.id, found.canon_id AS auto, CASE WHEN member_hash IS NULL THEN found.canon_id WHEN target <> h.id THEN target END AS canon_id FROM h LEFT JOIN found ON h.id = found.id LEFT JOIN dec ON member_hash = duplicate_hash),
+  walk(id, up, step) AS (SELECT id, canon_id, 1 FROM told WHERE canon_id IS NOT NULL UNION ALL SELECT w.id, t.canon_id, step + 1 FROM walk w JOIN told t ON t.id = w.up WHERE t.canon_id IS NOT NULL), flat AS (SELECT id, arg_max(up, step) AS root FROM walk GROUP BY 1),
+  final AS (SELECT told.id, flat.root AS canon_id FROM told LEFT JOIN flat ON flat.id = told.id)"""
+RANKED = """ranked AS (SELECT coalesce(f.canon_id, track_id) AS root_id, file_v.id, count(*) OVER (PARTITION BY coalesce(f.canon_id, track_id)) AS n,
+  row_number() OVER (PARTITION BY coalesce(f.canon_id, track_id) ORDER BY bitrate // 1000 DESC, CASE ext WHEN 'flac' THEN 3 WHEN 'm4a' THEN 2 WHEN 'mp3' THEN 1 ELSE 0 END DESC, file_v.id) AS r FROM file_v LEFT JOIN final f ON f.id = track_id)"""
+REVIEW = f"""{DEDUP}, {STORED}, rows AS (SELECT component, t.id, found.canon_id AS cand, CASE WHEN component % 2 = 1 THEN found.canon_id END AS now, duplicate_hash, title_norm, artist_norm, album_artist_norm, album_norm FROM found JOIN t ON t.id = found.id JOIN h ON h.id = t.id),
+  pg AS (SELECT component, count(*) AS n_tracks, string_agg(duplicate_hash, chr(0) ORDER BY duplicate_hash) AS hashes, bool_or(now IS NOT NULL) AS pointed, bool_or(contains(title_norm, '1') OR contains(artist_norm, '1') OR contains(album_artist_norm, '1') OR contains(album_norm, '1')) AS has_one,
+    any_value(coalesce(nullif(artist_norm, ''), nullif(album_artist_norm, ''), '?') || ' — ' || title_norm) FILTER (cand IS NULL) AS base_label FROM rows GROUP BY 1),
+  grp AS (SELECT group_id, string_agg(member_hash, chr(0) ORDER BY member_hash) AS hashes FROM stored GROUP BY 1), hit AS (SELECT component, max(group_id) AS group_id FROM pg JOIN grp USING (hashes) GROUP BY 1),
+  pick AS (SELECT rows.component, rows.id, now, canon_hash, (SELECT max(r2.id) FROM rows r2 WHERE r2.component = rows.component AND r2.duplicate_hash = canon_hash) AS target, group_id FROM rows LEFT JOIN hit USING (component) LEFT JOIN (SELECT DISTINCT * FROM stored) s USING (group_id) WHERE group_id IS NULL OR member_hash = duplicate_hash),
+  conf AS (SELECT component, bool_and(group_id IS NOT NULL AND (canon_hash IS NULL OR target IS NOT NULL)) AS confirmed FROM pick GROUP BY 1),
+  page AS (SELECT pg.component, base_label || CASE WHEN row_number() OVER (PARTITION BY base_label ORDER BY pg.component) > 1 THEN ' #' || row_number() OVER (PARTITION BY base_label ORDER BY pg.component) ELSE '' END AS label, n_tracks, confirmed, pointed, has_one, hashes,
+    (SELECT string_agg(id || ':' || coalesce(CAST(CASE WHEN confirmed THEN target ELSE now END AS VARCHAR), '-'), ',' ORDER BY id) FROM pick WHERE pick.component = pg.component) AS members FROM pg JOIN conf USING (component))"""
+
 SQL: dict[str, str] = {
     "normalize_name": f"WITH {TRACK}, {NORMED} SELECT id, title_norm, artist_norm, album_norm, album_artist_norm FROM t",
     "trigram_similarity": f"WITH {TRACK}, g AS (SELECT id, {grams('title')} AS a, {grams('title[1:3] || title[5:]')} AS b, {grams('album')} AS c FROM track_v) SELECT id, CAST({jaccard('a', 'b')} AS DOUBLE) AS to_typo, CAST({jaccard('a', 'c')} AS DOUBLE) AS to_album FROM g",
@@ -113,8 +138,8 @@ SQL: dict[str, str] = {
       SELECT CAST(sum(coalesce(m, 0)) AS BIGINT) AS scrobbles_created, CAST(sum(n - coalesce(m, 0)) AS BIGINT) AS scrobbles_ignored, count(*) FILTER (m IS NULL) AS aliases_skipped, count(m) AS aliases_created FROM came LEFT JOIN took USING (title, artist, album)""",
     "alias_augment": f"""WITH {TRACK}, {SCROBBLE}, {ALIAS}, {NORM_ALIAS} SELECT alias_key, CASE WHEN artist_norm = '' THEN coalesce((SELECT CASE WHEN count(DISTINCT b.artist_norm) = 1 THEN min(b.artist_norm) END FROM a b WHERE b.title_norm = a.title_norm AND b.artist_norm <> ''), '') ELSE artist_norm END AS artist_norm,
       CASE WHEN album_norm = '' THEN coalesce((SELECT CASE WHEN count(DISTINCT b.album_norm) = 1 THEN min(b.album_norm) END FROM a b WHERE b.title_norm = a.title_norm AND b.album_norm <> ''), '') ELSE album_norm END AS album_norm FROM a""",
-    "alias_match_exact": f"""WITH {TRACK}, {SCROBBLE}, {NORMED}, alias_v AS (SELECT DISTINCT title, artist, album FROM scrobble_v), {NORM_ALIAS}
-      SELECT alias_key, id AS track_id FROM (SELECT alias_key, id, row_number() OVER (PARTITION BY alias_key ORDER BY t.album_artist_norm, t.artist_norm, t.album_norm, id) AS r FROM a JOIN t USING (title_norm) WHERE a.artist_norm = '' AND title_norm <> '') WHERE r = 1""",
+    "alias_match_exact": f"""{DEDUP}, {SCROBBLE}, alias_v AS (SELECT DISTINCT title, artist, album FROM scrobble_v), {NORM_ALIAS}
+      SELECT alias_key, id AS track_id FROM (SELECT alias_key, t.id, row_number() OVER (PARTITION BY alias_key ORDER BY canon_id ASC NULLS FIRST, t.album_artist_norm, t.artist_norm, t.album_norm, t.id) AS r FROM a JOIN t USING (title_norm) LEFT JOIN found f ON f.id = t.id WHERE a.artist_norm = '' AND title_norm <> '') WHERE r = 1""",
     "alias_match_fuzzy": f"""WITH {TRACK}, {SCROBBLE}, {ALIAS}, {NORMED}, {NORM_ALIAS}, x AS (SELECT *, {grams('title_norm')} AS g, {grams('artist_norm')} AS ga, {grams('album_norm')} AS gb FROM a WHERE artist_norm <> '' AND title_norm <> ''),
       tt AS (SELECT title_norm AS b, {grams('title_norm')} AS g FROM (SELECT DISTINCT title_norm FROM t)), xt AS (SELECT DISTINCT title_norm AS a, g FROM x), p AS (SELECT a, b, {jaccard('xt.g', 'tt.g')} AS sim FROM xt, tt),
       ok AS (SELECT * FROM p WHERE sim >= CAST(0.3 AS FLOAT) AND (a = b OR CAST(sim AS DOUBLE) >= 0.45 OR (length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a))))),
@@ -123,14 +148,29 @@ SQL: dict[str, str] = {
       SELECT alias_key, id AS track_id, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY alias_key ORDER BY score DESC, sim DESC, id) = 1 AND z.score >= 0.4""",
     "plays_copy": f"""WITH {TRACK}, {SCROBBLE}, {FRESH}, m AS (SELECT title, min(id) AS id FROM track_v GROUP BY 1) SELECT date AS played_at, m.id AS track_id, platform FROM fresh JOIN m USING (title) WHERE m.id % 4 <> 0""",
     "unify_tracks": f"WITH {TRACK}, {SOURCE} SELECT title, artist, album, album_artist, min(id) AS first_source, count(*) AS n_sources, {FIRST}, coalesce(first(date_added ORDER BY id), make_timestamp({RUN_TS}000000)) AS date_added FROM source_v GROUP BY 1, 2, 3, 4",
-    "bind_files": f"""WITH {TRACK}, {SOURCE}, {PATHS}, f AS (SELECT id || ':' || path AS file_id, lower(CASE WHEN id % 4 = 0 THEN '/music/Library/' ELSE '/backup/old ' END || CASE WHEN id % 3 = 0 THEN upper(path) ELSE path END) AS p FROM paths WHERE id % 2 = 0),
+    "bind_files": f"""WITH {TRACK}, {SOURCE}, {PATHS}, f AS (SELECT id || ':' || path AS file_id, lower(CASE WHEN id % 4 = 0 THEN '/music/Library/' ELSE '/backup/old ' END || CASE WHEN id % 3 = 0 THEN upper(path) ELSE path END) AS p FROM paths),
       c AS (SELECT DISTINCT id, lower(path) AS low FROM paths), fp AS (SELECT file_id, p, string_split(p, '/')[-1] AS name FROM f), cp AS (SELECT id, low, string_split(low, '/')[-1] AS name FROM c) SELECT file_id, min(id) AS source_id FROM fp JOIN cp ON fp.name = cp.name AND contains(p, low) GROUP BY 1""",
-    "orphan_files": f"""WITH {TRACK}, {SOURCE}, f AS (SELECT id, CASE WHEN id % 5 = 0 THEN title || '?' ELSE title END AS title, artist, album, album_artist, CASE WHEN id % 7 = 0 THEN 'n/a' ELSE year || '-01-01' END AS date FROM source_v WHERE id % 3 <> 0)
+    "orphan_files": f"""WITH {TRACK}, {SOURCE}, f AS (SELECT id, CASE WHEN id % 5 = 0 THEN title || '?' ELSE title END AS title, artist, album, album_artist, CASE WHEN id % 7 = 0 THEN 'n/a' ELSE year || '-01-01' END AS date FROM source_v)
       SELECT f.id, min(t.id) AS found_track, TRY_CAST(any_value(f.date)[1:4] AS INT) AS year FROM f LEFT JOIN track_v t ON f.title = t.title AND f.artist IS NOT DISTINCT FROM t.artist AND f.album IS NOT DISTINCT FROM t.album AND f.album_artist IS NOT DISTINCT FROM t.album_artist GROUP BY f.id""",
-    "playlists_seed": f"""WITH {TRACK}, {SOURCE}, {ITEM}, l AS (SELECT playlist_id, pos, s.source_id AS track_id, date_added FROM item_v JOIN source_v s ON s.id = item_v.track_id * 2 WHERE side = 'ours' AND s.id % 14 <> 0),
+    "playlists_seed": f"""WITH {TRACK}, {SOURCE}, {ITEM}, l AS (SELECT playlist_id, pos, s.source_id AS track_id, date_added FROM item_v JOIN source_v s ON s.source_id = item_v.track_id AND provider = 'apple_xml' WHERE side = 'ours' AND s.id % 14 <> 0),
       m AS (SELECT playlist_id, track_id, min(pos) AS p FROM l GROUP BY 1, 2), d AS (SELECT playlist_id, min(date_added) AS lo, max(date_added) AS latest FROM l GROUP BY 1)
       SELECT playlist_id, track_id, row_number() OVER (PARTITION BY playlist_id ORDER BY p) AS position, CASE WHEN playlist_id % 2 = 0 THEN make_timestamp({RUN_TS}000000) ELSE lo END AS created_at, latest FROM m JOIN d USING (playlist_id) WHERE playlist_id % 9 <> 0""",
     "list_dedup_inflated": f"WITH {ITEM} SELECT playlist_id, track_id, row_number() OVER (PARTITION BY playlist_id ORDER BY min(pos)) AS position FROM item_v WHERE side = 'ours' GROUP BY playlist_id, track_id",
+    "playlists_by_name": f"""WITH RECURSIVE {ITEM}, raw AS (SELECT playlist_id, list(track_id ORDER BY pos) AS tracks FROM item_v WHERE side = 'ours' GROUP BY 1),
+      l AS (SELECT *, list_filter(tracks, lambda x, i: list_position(tracks, x) = i) AS once, list_sort(list_distinct(tracks)) AS own, 'list ' || playlist_id % 40 AS name, row_number() OVER (ORDER BY CASE WHEN playlist_id % 5 <> 0 THEN playlist_id % 97 END DESC NULLS LAST, playlist_id) AS n FROM raw),
+      s AS (SELECT 0::BIGINT AS n, []::STRUCT(name VARCHAR, pid BIGINT, tracks BIGINT[])[] AS held UNION ALL SELECT l.n, CASE WHEN len(list_filter(held, lambda h: h.name = l.name)) > 0
+          THEN list_transform(held, lambda h: CASE WHEN h.name = l.name THEN struct_pack(name := h.name, pid := h.pid, tracks := list_concat(h.tracks, list_filter(l.once, lambda x: NOT list_contains(h.tracks, x)))) ELSE h END)
+        WHEN len(list_filter(held, lambda h: list_sort(list_distinct(h.tracks)) = l.own)) > 0 THEN held ELSE list_append(held, struct_pack(name := l.name, pid := l.playlist_id, tracks := l.tracks)) END FROM s JOIN l ON l.n = s.n + 1),
+      e AS (SELECT unnest(held) AS h FROM (SELECT held FROM s ORDER BY n DESC LIMIT 1)) SELECT h.pid AS playlist_id, h.name AS name, CAST(generate_subscripts(h.tracks, 1) AS INT) AS position, unnest(h.tracks) AS track_id FROM e""",
+    "auto_dedup": f"{WHOLE} SELECT * FROM final",
+    "auto_dedup_mains": f"{WHOLE}, {FILE}, {RANKED} SELECT root_id, id AS file_id, n AS n_files FROM ranked WHERE r = 1",
+    "auto_dedup_summary": f"""{WHOLE}, {FILE}, {RANKED}, same AS (SELECT root_id, bool_and((id % 100000 % 7 = 0) = (r = 1)) AS same FROM ranked GROUP BY 1)
+      SELECT (SELECT count(DISTINCT canon_id) FROM final) AS n_groups, (SELECT count(canon_id) FROM final) AS n_twins, (SELECT count(*) FROM told WHERE auto IS DISTINCT FROM canon_id) AS n_overridden,
+        (SELECT count(*) FROM told JOIN final USING (id) WHERE told.canon_id IS DISTINCT FROM final.canon_id) AS n_flattened, (SELECT count(*) FROM same WHERE NOT same) AS n_mains_changed""",
+    "review_pages": f"{REVIEW} SELECT component, label, n_tracks, confirmed, pointed AND NOT confirmed AS auto_resolved, members FROM page",
+    "review_filter": f"""{REVIEW}, p AS (SELECT *, pointed AND NOT confirmed AS auto FROM page), modes(mode, c, a) AS (VALUES ('resolved all', NULL, false), ('resolved unconfirmed', false, false), ('resolved confirmed', true, false), ('auto-resolved', false, true)), parts(partial) AS (VALUES (''), ('1')),
+      k AS (SELECT mode, partial, p.* FROM modes, parts LEFT JOIN p ON auto = a AND (c IS NULL OR confirmed = c) AND (partial = '' OR has_one))
+      SELECT mode, partial, count(component) AS n_pages, arg_min(component, struct_pack(x := NOT confirmed, y := hashes, z := component)) FILTER (component IS NOT NULL) AS first_page FROM k GROUP BY 1, 2""",
     "merge_with_base": merged("nb > 0"),
     "merge_no_base": merged("false"),
     "conflicts_detect": f"WITH {ITEM}, {COUNTS}, {STATES} SELECT playlist_id, track_id, count(DISTINCT remote) AS n_remotes FROM states GROUP BY 1, 2 HAVING max(theirs - base) > 0 AND min(theirs - base) < 0",
@@ -138,7 +178,7 @@ SQL: dict[str, str] = {
     "resolve_auto": f"""WITH {ITEM}, {COUNTS}, k AS (SELECT *, sum(base) OVER (PARTITION BY playlist_id) > 0 AS has FROM c), one AS (SELECT *, CASE WHEN has THEN greatest(0, base + theirs - base) ELSE greatest(base, theirs) END AS x FROM k)
       SELECT playlist_id, track_id, y AS copies FROM (SELECT *, CASE WHEN has THEN greatest(0, x + ours - base) ELSE greatest(x, ours) END AS y FROM one) WHERE y > 0""",
     "ref_count_ops": f"WITH {ITEM}, {COUNTS} SELECT playlist_id, 'ref' || track_id AS ref, ours AS want, theirs AS have FROM c WHERE ours <> theirs",
-    "playlist_totals": f"WITH {TRACK}, {ITEM} SELECT playlist_id, count(t.id) AS song_count, CAST(coalesce(sum(duration), 0) AS BIGINT) AS seconds FROM item_v LEFT JOIN (SELECT * FROM track_v WHERE id % 4 <> 0) t ON t.id = track_id WHERE side = 'ours' GROUP BY 1",
+    "playlist_totals": f"WITH {TRACK}, {ITEM} SELECT playlist_id, count(t.id) AS song_count, CAST(coalesce(sum(duration), 0) AS BIGINT) AS seconds, CAST(coalesce(sum(duration * 1000 + track_n), 0) AS BIGINT) AS size FROM item_v LEFT JOIN track_v t ON t.id = CASE WHEN track_id % 4 = 0 THEN -1 ELSE track_id END WHERE side = 'ours' GROUP BY 1",
     "backend_only": f"WITH {ITEM} SELECT DISTINCT playlist_id FROM item_v WHERE side = 'theirs' AND playlist_id NOT IN (SELECT playlist_id FROM item_v WHERE side = 'base')",
     "resolved_refs": f"WITH {TRACK}, {ITEM}, {CHAIN} SELECT playlist_id, pos, coalesce(canon_id, track_id + 100) AS track_id FROM item_v LEFT JOIN chain ON chain.id = track_id + 100 WHERE side = 'theirs'",
     "play_stats": f"{DEDUP}, {SCROBBLE}, {PLAYS} SELECT * FROM stats",

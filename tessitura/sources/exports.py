@@ -267,18 +267,38 @@ def server_table(spark: SparkSession, url: str, name: str, driver: str = "org.sq
 
 
 def dedup_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Stored decisions, JSON {label: {members: [...], canon_hashes: {member: canon}}}: (group_id, member_hash, canon_hash)."""
+    """Stored decisions, JSON {label: {members: [...], canon_hashes: [...]}} with one canon hash or null beside each member: (group_id, member_hash, canon_hash)."""
 
     def parse(_, raw):
         for label, g in json.loads(raw).items():
-            canon = g.get("canon_hashes") or {}
-            for m in g.get("members", []):
-                yield {"group_id": label, "member_hash": m, "canon_hash": canon.get(m)}
+            for m, c in zip(g["members"], g["canon_hashes"], strict=True):
+                yield {"group_id": label, "member_hash": m, "canon_hash": c}
 
     return _parsed(_files(spark, path), parse, "group_id string, member_hash string, canon_hash string")
 
 
 def write_dedup_groups(members: DataFrame, path: str) -> None:
-    """One JSON line for each group, members sorted."""
-    each = members.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("member_hash", "canon_hash"))).alias("members"))
-    each.orderBy("group_id").write.mode("overwrite").json(path)
+    """The form that ``dedup_groups`` reads: one object over all labels, members sorted, in files that Spark writes.
+
+    Each part is an object of its own, so a reader takes them together; equal labels can't occur, as the label is the group's id.
+    """
+    each = members.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("member_hash", "canon_hash"))).alias("m"))
+    entry = F.struct(F.col("m.member_hash").alias("members"), F.col("m.canon_hash").alias("canon_hashes"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}), r'^\{"x":|\}$', "")
+    pairs = each.select("group_id", F.concat(quoted(F.col("group_id").cast("string")), F.lit(":"), F.to_json(entry, {"ignoreNullFields": "false"})).alias("pair"))
+    block = F.pmod(F.xxhash64("group_id"), F.lit(64))  # files of bounded share, each a whole object
+    whole = pairs.groupBy(block.alias("b")).agg(F.array_sort(F.collect_list(F.struct("group_id", "pair"))).alias("p"))
+    whole.select(F.concat(F.lit("{"), F.array_join("p.pair", ","), F.lit("}")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def imported_groups(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored groups after an import, and one row (created, updated). A group is the multiset of its member hashes: an incoming
+    one replaces the stored one that has the same, whatever its label; the last of several incoming ones with the same members counts."""
+    of = lambda rows: rows.groupBy("group_id").agg(F.array_sort(F.collect_list("member_hash")).alias("hashes"))
+    new = of(incoming).groupBy("hashes").agg(F.max("group_id").alias("group_id"), F.count("*").alias("n"))
+    old = of(existing).select("hashes", F.col("group_id").alias("_old"))
+    met = new.join(old, "hashes", "left")
+    kept = existing.join(met.where("_old is not null").select(F.col("_old").alias("group_id")), "group_id", "left_anti")
+    taken = incoming.join(new.select("group_id"), "group_id", "left_semi")
+    counts = met.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.coalesce(F.sum(F.col("n") - F.when(F.col("_old").isNull(), 1).otherwise(0)), F.lit(0)).cast("long").alias("updated"))
+    return kept.unionByName(taken.select(*existing.columns)), counts

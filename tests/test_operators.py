@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.operators import dedup, history, match, playlists, sinks, unify
+from tessitura.operators import components, dedup, history, match, playlists, sinks, unify
 
 TRACK = "id long, title string, artist string, album string, album_artist string, track_n int, disc_n int, year int, duration int, date_added timestamp, loved boolean, rating int"
 
@@ -28,9 +28,10 @@ def test_dedup_and_canon(spark):
     assert (r["n_tracks"], r["rating"], r["loved"]) == (2, 40, True)
 
 
-@pytest.mark.parametrize("limit", [5000, 1])
+@pytest.mark.parametrize("limit", [400_000, 9])
 def test_components_equal_union_find(spark, limit, monkeypatch):
-    monkeypatch.setattr(dedup, "GROUP", limit)
+    """In one task, and in several with rounds behind them."""
+    monkeypatch.setattr(components, "LOCAL", limit)
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.choice(["x", "y", "z", None]), None, rng.choice([None, 2000, 2001, 2002]), rng.randrange(100, 160), 2000 + i % 20, None, None) for i in range(60)]
     got = {r["id"]: r["component"] for r in dedup.find_duplicates(tracks(spark, rows)).collect()}
@@ -175,3 +176,44 @@ def test_sinks(spark):
     items = spark.createDataFrame([(1, 5, 3)], "playlist_id long, track_id long, position int")
     more = spark.createDataFrame([(1, 8, 1), (1, 9, 2), (2, 9, 1)], "playlist_id long, track_id long, ord int")
     assert sorted(map(tuple, sinks.appended(items, more).collect())) == [(1, 8, 4), (1, 9, 5), (2, 9, 1)]
+
+
+def test_keyed_sinks_stay_unique(spark):
+    """Several incoming rows of a key neither repeat nor multiply a row; a plan is written only when it is committed."""
+    old = spark.createDataFrame([(1, None, 5), (2, "b", None)], "id long, a string, n int")
+    new = spark.createDataFrame([(1, "y", 7), (1, "x", None), (3, "z", 1), (3, "z", 2)], "id long, a string, n int")
+    assert sorted(map(tuple, sinks.fill_nulls(old, new, ["id"], ["a", "n"]).collect())) == [(1, "x", 5), (2, "b", None)]
+    assert sorted(map(tuple, sinks.upsert(old, new, ["id"]).collect())) == [(1, "y", 7), (2, "b", None), (3, "z", 2)]
+
+
+def test_commit_and_truncate(spark, tmp_path):
+    t = spark.range(3)
+    assert not any(tmp_path.iterdir()) and set(sinks.commit({"t": t}, str(tmp_path))) == {"t"} and not any(tmp_path.iterdir())
+    place = sinks.commit({"t": t}, str(tmp_path), dry_run=False)["t"]
+    assert spark.read.parquet(place).count() == 3
+    state = sinks.emptied({"a": t, "b": t, "c": t, "d": t}, "a", {"b": "a", "c": "b", "d": "x"})
+    assert {n: x.count() for n, x in state.items()} == {"a": 0, "b": 0, "c": 0, "d": 3}
+
+
+def test_bind_files_inside_longer_names(spark):
+    """A path is found in the middle of another one: behind any root, before any ending, in any letter case."""
+    kind = "id long, title string, artist string, album string, album_artist string, track_number int, disc_number int, compilation boolean"
+    source = spark.createDataFrame([(1, "Song.mp3 x", "A", "B", None, 1, None, False), (2, "Song", "A", "B", None, 1, None, False), (3, "Song", "A", "B", None, 1, None, False)], kind)
+    names = ["/r/A/B/01 Song.mp3", "/r/xa/b/01 SONG.M4A.bak", "/r/A/B/01 Song.mp3 x.m4a", "/r/A/C/01 Song.mp3", "A/B/01 Song 1.mp3/more", "/r/A/B/01 Song.flac"]
+    files = spark.createDataFrame(list(enumerate(names)), "id long, source_path string")
+    paths = [(r["id"], r["path"].lower()) for r in unify.candidate_paths(source).collect()]
+    want = {i: min(x) for i, n in enumerate(names) if (x := [s for s, p in paths if p in n.lower()])}
+    assert {r["file_id"]: r["source_id"] for r in unify.bind_files(source, files).collect()} == want and set(want) == {0, 1, 2, 4}
+
+
+def test_fold_by_name_equals_one_fold(spark):
+    """Folding connected names apart gives what one fold over all lists gives."""
+    rng = random.Random(5)
+    lists = [(i, rng.choice("abcdefgh"), datetime(2020, 1, rng.randrange(1, 28)) if rng.random() > 0.2 else None) for i in range(60)]
+    items = [(i, at, rng.randrange(4) + 10 * (ord(name) % 3)) for i, name, _ in lists for at in range(rng.randrange(1, 5))]
+    import pandas as pd
+
+    group = pd.DataFrame([(i, n, d, [t for j, _, t in items if j == i]) for i, n, d in lists], columns=["playlist_id", "name", "created_at", "tracks"])
+    want = sorted(map(tuple, unify.fold_lists(group).itertuples(index=False)))
+    p, m = spark.createDataFrame(lists, "playlist_id long, name string, created_at timestamp"), spark.createDataFrame(items, "playlist_id long, pos int, track_id long")
+    assert sorted(map(tuple, unify.merge_playlists_by_name(p, m).collect())) == want

@@ -43,10 +43,16 @@ def folder(tmp_path):
     return tmp_path
 
 
-def test_detection(folder):
+def test_detection(spark, folder):
+    (folder / "names.mp3").mkdir()
+    (folder / "names.mp3/a.txt").write_text("x")
+    (folder / "up.XML").write_bytes(b"<?XML version='1.0'?><!DOCTYPE PLIST>")
+    (folder / "odd.csv").write_bytes(b"\xff\xfe,b,c,d")
+    (folder / "short.csv").write_text("a,b,c\n")
     want = {"lib.xml": "plist", "ms.zip": "media_services", "spot": "streaming_history", "lb": "listens", "lb.zip": "listens", "s.csv": "scrobble_csv", "audio": "audio"}
-    assert {n: detect(str(folder / n)) for n in want} == {n: [k] for n, k in want.items()}
-    assert detect(str(folder / "none")) == []
+    assert {n: detect(spark, str(folder / n)) for n in want} == {n: [k] for n, k in want.items()}
+    assert detect(spark, str(folder / "up.XML")) == ["plist"]
+    assert [detect(spark, str(folder / n)) for n in ("none", "names.mp3", "odd.csv", "short.csv")] == [[]] * 4
 
 
 def test_plist(spark, folder):
@@ -79,11 +85,15 @@ def test_scrobble_exports(spark, folder):
 
 
 def test_dedup_groups_round_trip(spark, folder):
-    (folder / "g.json").write_text(json.dumps({"one": {"members": ["b", "a"], "canon_hashes": {"a": "b"}}}))
+    (folder / "g.json").write_text(json.dumps({"one": {"members": ["b", "a"], "canon_hashes": [None, "b"]}, 'two "q"': {"members": ["c"], "canon_hashes": [None]}}))
     g = exports.dedup_groups(spark, f"{folder}/g.json")
-    assert sorted((r["member_hash"], r["canon_hash"]) for r in g.collect()) == [("a", "b"), ("b", None)]
+    rows = lambda df: sorted((r["group_id"], r["member_hash"], r["canon_hash"] or "") for r in df.collect())
+    assert rows(g) == [("one", "a", "b"), ("one", "b", ""), ('two "q"', "c", "")]
     exports.write_dedup_groups(g, f"{folder}/out")
-    assert spark.read.json(f"{folder}/out").count() == 1
+    assert rows(exports.dedup_groups(spark, f"{folder}/out")) == rows(g)
+    more = spark.createDataFrame([("new", "a", None), ("new", "b", None), ("x", "z", None)], "group_id string, member_hash string, canon_hash string")
+    state, counts = exports.imported_groups(g, more)
+    assert tuple(counts.first()) == (1, 1) and rows(state) == [("new", "a", ""), ("new", "b", ""), ('two "q"', "c", ""), ("x", "z", "")]
 
 
 def test_stream_takes_each_date_once(spark, tmp_path):
