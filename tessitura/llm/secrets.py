@@ -1,12 +1,13 @@
-"""Secret scanning through a trigram index, in DataFrame operations only.
+"""Secret scanning through a trigram inverted index, in DataFrame operations only.
 
-For every rule a Boolean trigram query is derived from its pattern (``trigrams.derive``). The index holds, for each document, its postings over the
-trigrams that the queries use, packed in bits: the inverted index stored by document, so that intersecting postings is
-bit arithmetic in the row, needs no shuffle and is never skewed; ``postings`` turns it round into trigram -> documents. A rule is
-verified on the documents that its query leaves; a rule without mandatory trigrams (``hex``) scans every text.
+For every rule a Boolean trigram query is derived from its pattern (``trigrams.derive``). The index is inverted: a posting list of documents for each
+trigram that the queries use, cut into blocks of documents whose number follows from the bytes of the texts, so that no list grows with the data and
+a trigram that a third of all documents hold is as many lists as there are blocks. In each block the lists are intersected and united as each rule's
+query says, which gives (document, rules) candidates; these are joined back to the texts, and a rule is verified on its candidates only. A
+rule without mandatory trigrams (``hex``) scans every text.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; a match that fails its rule's length is dropped and not
-retried. Rows are independent, so repeated rows, ties and null keys need no rule; further columns are ignored.
+retried. Repeated rows and rows of one key are each scanned; keys may be null and of any type; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.llm.numbering import buckets, numbered
+from tessitura.llm.scratch import written
 from tessitura.llm.trigrams import derive, grams
 
+STEP = 256  # matches whose places are summed up one after the other
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -55,78 +60,80 @@ def dictionary(rules: tuple[Rule, ...] = RULES) -> list[tuple[str, bool]]:
     return sorted({(g, r.fold) for r in rules for g in grams(derive(r.pattern, r.fold))})
 
 
-def build_index(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``grams``: a boolean for each entry of the dictionary, packed in longs."""
-    plain, names = F.coalesce(F.col(text), F.lit("")), dictionary(rules)
-    low = F.col("_low")
-    longs = []
-    for at in range(0, len(names), 60):
-        bits = F.lit(0).cast("long")
-        for i, (g, fold) in enumerate(names[at : at + 60]):
-            bits = bits + F.when((low if fold else plain).contains(g), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        longs.append(bits)
-    return docs.withColumn("_low", F.lower(plain)).withColumn("grams", F.array(*longs) if longs else F.array().cast("array<bigint>")).drop("_low")
-
-
-def holds(query, fold: bool, names: list[tuple[str, bool]], index: Column) -> Column:
-    """Whether a document's postings satisfy the query."""
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        i = names.index((query, fold))
-        return F.get(index, F.lit(i // 60)).bitwiseAND(F.lit(1 << (i % 60)).cast("long")) != 0
-    if query[0] == "and" and all(isinstance(q, str) for q in query[1:]):
-        masks: dict[int, int] = {}
-        for q in query[1:]:
-            i = names.index((q, fold))
-            masks[i // 60] = masks.get(i // 60, 0) | 1 << (i % 60)
-        out = F.lit(True)
-        for k, m in masks.items():
-            out = out & (F.get(index, F.lit(k)).bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
-        return out
-    parts = [holds(q, fold, names, index) for q in query[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = (out & p) if query[0] == "and" else (out | p)
-    return out
+def postings(rows: DataFrame, blocks: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The inverted index (block, gram, docs): for each trigram of the dictionary, by its place there, the documents of a block that hold it.
 
+    ``rows``: _no, _text. A text is looked through for the dictionary's trigrams once; those for keywords in either case in its lower-cased form.
+    """
+    names, low = dictionary(rules), F.lower("_text")
+    held = F.array(*[F.when((low if fold else F.col("_text")).contains(g), F.lit(i)) for i, (g, fold) in enumerate(names)]) if names else F.array().cast("array<int>")
+    block = F.pmod(F.xxhash64("_no"), F.lit(blocks))
+    each = rows.select(block.alias("block"), "_no", F.explode(F.array_compact(held)).alias("gram"))
+    return each.groupBy("block", "gram").agg(F.collect_set("_no").alias("docs"))
 
-def postings(index: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index turned round: one row (gram, folded, key) for each posting."""
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(_no, rules): the documents that satisfy the query of some rule, with the places of those rules, from the posting lists alone."""
     names = dictionary(rules)
-    table = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(f).alias("folded"), F.lit(i).alias("i")) for i, (g, f) in enumerate(names)])
-    has = F.filter(table, lambda x: F.call_function("shiftright", F.get(F.col("grams"), F.floor(x["i"] / 60).cast("int")), (x["i"] % 60).cast("int")).bitwiseAND(1) == 1)
-    return index.select(key, F.explode(has).alias("x")).select("x.gram", "x.folded", key)
+    none = F.array().cast("array<bigint>")
+
+    def docs(query, fold: bool) -> Column:
+        if isinstance(query, str):
+            return F.coalesce(F.try_element_at("lists", F.lit(names.index((query, fold)))), none)
+        parts = [docs(q, fold) for q in query[1:]]
+        out = parts[0]
+        for p in parts[1:]:
+            out = F.array_intersect(out, p) if query[0] == "and" else F.array_union(out, p)
+        return out
+
+    blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("lists"))
+    queries = [(at, derive(r.pattern, r.fold), r.fold) for at, r in enumerate(rules)]
+    found = F.array(*[F.struct(F.lit(at).alias("rule"), docs(q, fold).alias("docs")) for at, q, fold in queries if q is not True])
+    met = blocks.select(F.explode(found).alias("x")).select("x.rule", F.explode("x.docs").alias("_doc"))
+    return met.groupBy("_doc").agg(F.collect_set("rule").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule, at: int) -> Column:
-    """The rule's matches: (start, end, rule's place), by the lengths of matches and of what stands between them."""
+    """The rule's matches: (start, end, rule's place), by the lengths of matches and of what stands between them.
+
+    Places are running sums. They are summed within stretches of STEP matches, whose own starts are summed first, so the work stays near the
+    number of matches, however many there are.
+    """
     pattern = java(rule)
     said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counts = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else said
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("out"))
-    every = F.transform(said, lambda s, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(s).alias("n"), F.length(F.get(counts, i)).alias("counted")))
+    every = F.transform(F.arrays_zip(said.alias("s"), counts.alias("c"), F.slice(between, F.lit(1), F.size(said)).alias("b")), lambda x: F.struct(F.length(x["b"]).alias("gap"), F.length(x["s"]).alias("n"), F.length(x["c"]).alias("counted")))
+    kind = "array<struct<start:int,end:int,kind:int>>"
 
     def step(acc, x):
         start = acc["to"] + x["gap"]
         span = F.struct(start.alias("start"), (start + x["n"]).alias("end"), F.lit(at).alias("kind"))
         return F.struct((start + x["n"]).alias("to"), F.when(x["counted"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(every, zero, step)["out"]
+    def begin(acc, part):
+        to = acc["to"] + F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+        return F.struct(to.alias("to"), F.concat(acc["out"], F.array(F.struct(acc["to"].alias("to"), part.alias("part")))).alias("out"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / STEP).cast("int")), lambda i: F.slice(every, i * STEP + 1, F.lit(STEP)))
+    zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<to:int,part:array<struct<gap:int,n:int,counted:int>>>>").alias("out"))
+    begun = F.aggregate(parts, zero, begin)["out"]
+    return F.flatten(F.transform(begun, lambda p: F.aggregate(p["part"], F.struct(p["to"].alias("to"), F.array().cast(kind).alias("out")), step)["out"]))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``key`` and ``spans``: array of (start, end, kind: the rule's place), by start, then rule."""
-    names = dictionary(rules)
-    rows = build_index(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", rules)
+    rows, total = numbered(docs, key, text)
+    index = written(postings(rows, buckets(rows, total), rules), "postings")
+    found = written(candidates(index, rules), "candidates")
+    joined = rows.join(found, rows["_no"] == found["_doc"], "left").select("_key", "_text", "rules")
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    found = []
+    spans = []
     for at, rule in enumerate(rules):
-        candidate = holds(derive(rule.pattern, rule.fold), rule.fold, names, F.col("grams"))
+        wanted = F.lit(True) if derive(rule.pattern, rule.fold) is True else F.coalesce(F.array_contains("rules", at), F.lit(False))
         # positions are worked out only where there is a match at all
-        found.append(F.when(candidate & F.col("_text").rlike(java(rule)), _spans(F.col("_text"), rule, at)).otherwise(none))
-    return rows.select(F.col("_key").alias(key), F.array_sort(F.concat(*found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])).alias("spans"))
+        spans.append(F.when(wanted & F.col("_text").rlike(java(rule)), _spans(F.col("_text"), rule, at)).otherwise(none))
+    return joined.select(F.col("_key").alias(key), F.array_sort(F.concat(*spans), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])).alias("spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...], base_only: bool = False) -> Column:
