@@ -1,13 +1,15 @@
 """License detection: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A text is cut into blocks of ``BLOCK`` words, one beginning every ``STRIDE`` words. Templates and blocks are sets of words.
-Template words are ordered by their frequency over the whole corpus, rarest first; a block whose containment of the
-template (shared words / template words) is at least ``threshold`` must hold one of the ``|T| - ceil(threshold |T|) + 1`` rarest words
-(prefix filter), must have at least ``ceil(threshold |T|)`` distinct words (length filter), and, met at a prefix word of rank ``i``, can
-share at most ``|T| - i`` words from there on (positional filter). What is left is verified exactly. A document that doesn't hold enough of any template's words as a whole is done
-after one scan.
+A template is the set of words of a license's notice. A text block is a stretch of words that begins at the place of any of the template's words and is as
+wide as the template allows (``width`` words), so a notice is found wherever it begins and with words between its lines. A block matches
+if it holds at least ``threshold`` of the template's distinct words.
 
-The templates are a fixed list, so the join runs against a table of a few hundred rows whose size never grows with the data.
+Tokens are ordered by their frequency over the whole corpus, rarest first. A matching block holds one of the ``|T| - need + 1`` rarest tokens of its
+template (prefix filter), so the table of prefix tokens is joined with the places of those tokens in the texts; around a place there must be
+``need`` distinct template words at all (length filter), and a block whose rarest shared token has rank ``i`` can share only those of rank ``i`` and
+beyond that stand around it, which must be ``need`` as well (positional filter). What is left is counted exactly, for every block. A document that doesn't hold enough of any template's words as a whole ends after one scan.
+
+The templates are a fixed list, so the tables that are joined have a few hundred rows and never grow with the data.
 
 Defined results: null and empty texts have no words, no places and no labels, score 0; rows are independent, so
 repeated rows, ties and null keys need no rule; further columns are ignored. ``score`` is the best containment found, 1 where a base phrase stands.
@@ -25,27 +27,45 @@ from tessitura.llm.scratch import written
 
 # The base phrases.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Openings and notices of public licenses, as word sets.
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
-    "apache-2": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-3": "this work is licensed under the gnu general public license version 3",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "all-rights": "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form without prior written permission",
-}
-BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
+# Sentences of public licenses and their notices, as words; a label may have several.
+TEMPLATES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program if not see"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("all-rights", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form without prior written permission"),
+)
+LEAST_WIDTH, STRETCH, THRESHOLD = 32, 2, 0.8
 
 
 def least_shared(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
+def table(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[str, list[str], int, int]]:
+    """Of each template its label, distinct words, how many of them a block must hold, and a block's width in words."""
+    out = []
+    for label, text in templates:
+        said = text.split(" ")
+        own = list(dict.fromkeys(said))
+        out.append((label, own, least_shared(len(own), threshold), max(LEAST_WIDTH, STRETCH * len(said))))
+    return out
+
+
 def phrase_places(w: Column, phrase: str) -> Column:
     """Word indices at which the phrase's words stand consecutively."""
     said = phrase.split(" ")
@@ -59,55 +79,71 @@ def phrase_places(w: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(w) - 1), here)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels, score and, for each matching template, its best block."""
-    sets = {name: list(dict.fromkeys(t.split(" "))) for name, t in templates.items()}
-    every = F.array(*[F.lit(t) for t in sorted({t for own in sets.values() for t in own})])
+def marked(docs: DataFrame, key: str, text: str, known: list) -> DataFrame:
+    """_row, _key, n_words, own (template words that a text holds), at and base (places and labels of phrases), marks: places of template words in
+    texts that hold enough distinct words of some template, in order."""
+    vocabulary = sorted({t for _, own, _, _ in known for t in own})
+    every = F.array(*[F.lit(t) for t in vocabulary])
     rows = docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("w")).withColumn("own", F.array_intersect(every, "w"))
-    rows = rows.select("_key", F.size("w").alias("n_words"), "own", *_base(F.col("w")), _marked(F.col("w"), F.col("own"), sets, threshold).alias("marks"))
-    held = written(rows, "license_words")
+    enough = F.lit(False)
+    for _, own, need, _ in known:
+        enough = enough | (F.size(F.array_intersect("own", F.array(*[F.lit(t) for t in own]))) >= need)
+    marks = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda m: m["token"].isin(vocabulary))
+    marks = F.when(enough, marks).otherwise(F.array().cast("array<struct<at:int,token:string>>"))
+    return rows.select("_key", F.size("w").alias("n_words"), "own", *_base(F.col("w")), marks.alias("marks")).withColumn("_row", F.monotonically_increasing_id())
+
+
+def prefixes(spark, known: list, order: dict) -> DataFrame:
+    """(template, token, rank, tokens, need, width): the prefix tokens of each template, rarest first, with all its tokens in that order."""
+    rows = []
+    for at, (_, own, need, width) in enumerate(known):
+        ranked = sorted(own, key=lambda t: order.get(t, (0, t)))
+        rows += [(at, t, i, ranked, need, width) for i, t in enumerate(ranked[: len(ranked) - need + 1])]
+    return spark.createDataFrame(rows, "template int, token string, rank int, tokens array<string>, need int, width int")
+
+
+def matching_blocks(held: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(_row, template, start, share): every block that holds enough of its template. ``held``: _row, marks (a written table)."""
+    spots = held.where(F.size("marks") > 0).select("_row", "marks", F.posexplode("marks").alias("j", "m")).select("_row", "marks", "j", "m.at", "m.token")
+    met = spots.join(F.broadcast(prefix), "token")  # a few hundred rows, whatever the corpus
+    near = F.slice("marks", F.greatest(F.col("j") - F.col("width"), F.lit(0)) + 1, 2 * F.col("width") + 1)
+    near = F.filter(near, lambda m: (F.abs(m["at"] - F.col("at")) < F.col("width")) & F.array_contains("tokens", m["token"]))
+    met = met.select("_row", "template", "rank", "tokens", "need", "width", "at", near.alias("near"))
+    said = F.array_distinct(F.transform("near", lambda m: m["token"]))
+    lower = F.size(F.array_intersect(said, F.slice("tokens", F.lit(1), F.col("rank"))))
+    met = met.where(F.size(said) >= F.col("need")).where(F.size(said) - lower >= F.col("need"))
+    begins = F.filter("near", lambda m: (m["at"] <= F.col("at")) & (m["at"] > F.col("at") - F.col("width")))
+    blocks = met.select("_row", "template", "rank", "tokens", "need", "width", "near", F.explode(F.transform(begins, lambda m: m["at"])).alias("start"))
+    inside = F.array_distinct(F.transform(F.filter("near", lambda m: (m["at"] >= F.col("start")) & (m["at"] < F.col("start") + F.col("width"))), lambda m: m["token"]))
+    blocks = blocks.withColumn("inside", inside)
+    # a block is judged where its rarest token was met, once however many prefix tokens it holds
+    rarest = F.size(F.array_intersect("inside", F.slice("tokens", F.lit(1), F.col("rank")))) == 0
+    full = blocks.where(rarest & (F.size("inside") >= F.col("need")))
+    return full.select("_row", "template", "start", (F.size("inside") / F.size("tokens")).alias("share")).distinct()
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """key, n_words, n_base, first_word, last_word, base_labels, labels, score and n_blocks (matching blocks of all templates)."""
+    known, spark = table(templates, threshold), docs.sparkSession
+    held = written(marked(docs, key, text, known), "license_words")
     counted = held.select(F.explode("own").alias("t")).groupBy("t").count().collect()  # one row for each word of the templates
-    order = {r["t"]: (r["count"], r["t"]) for r in counted}
-    hits = [_match(name, sorted(own, key=lambda t: order.get(t, (0, t))), threshold) for name, own in sorted(sets.items())]
-    found = held.withColumn("found", F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    both = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda h: h["label"]))))
-    score = F.when(F.size("at") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda h: h["share"])), F.lit(0.0)))
-    return found.select(
+    prefix = prefixes(spark, known, {r["t"]: (r["count"], r["t"]) for r in counted})
+    blocks = matching_blocks(held.select("_row", "marks"), prefix)
+    labels = F.array(*[F.lit(label) for label, _, _, _ in known])
+    found = blocks.groupBy("_row").agg(F.collect_set(F.get(labels, F.col("template"))).alias("found"), F.max("share").alias("share"), F.count("*").alias("n_blocks"))
+    rows = held.select("_row", "_key", "n_words", "at", "base").join(found, "_row", "left")
+    none = F.array().cast("array<string>")
+    both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", none))))
+    score = F.when(F.size("at") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
+    return rows.select(
         F.col("_key").alias(key), F.col("n_words").cast("long").alias("n_words"), F.size("at").cast("long").alias("n_base"),
         F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
-        F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"),
+        F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
     )
 
 
-def _match(name: str, ranked: list[str], threshold: float) -> Column:
-    """The template's best block, if that holds enough of it; ``ranked``: its words, rarest first."""
-    need = least_shared(len(ranked), threshold)
-    prefix = ranked[: len(ranked) - need + 1]
-    inside = F.array(*[F.lit(t) for t in ranked])
-    # Positional filter: the block of a prefix word and the one before it can hold a match; no other place need be looked at.
-    at = F.transform(F.filter("marks", lambda m: m["token"].isin(prefix)), lambda m: F.floor(m["at"] / STRIDE).cast("int"))
-    blocks = F.array_distinct(F.flatten(F.transform(at, lambda b: F.array(b, F.greatest(b - 1, F.lit(0))))))
-
-    def shared(b):
-        own = F.filter("marks", lambda m: (m["at"] >= b * STRIDE) & (m["at"] < b * STRIDE + BLOCK))
-        return F.size(F.array_intersect(F.transform(own, lambda m: m["token"]), inside))
-
-    best = F.when((F.col("n_words") >= need) & (F.size(blocks) > 0), F.array_max(F.transform(blocks, shared)))
-    return F.when(best >= need, F.struct(F.lit(name).alias("label"), (best / F.lit(float(len(ranked)))).alias("share")))
-
-
 def _base(w: Column) -> list[Column]:
     """``at``: all places of all phrases; ``base``: their labels, distinct and sorted."""
     said = {p: F.when(F.array_contains(w, p.split(" ")[1]) & F.array_contains(w, p.split(" ")[-1]), phrase_places(w, p)).otherwise(F.array().cast("array<int>")) for p in PHRASES}
     label = [F.when(F.size(a) > 0, F.lit(PHRASES[p])) for p, a in said.items()]
     return [F.concat(*said.values()).alias("at"), F.array_sort(F.filter(F.array(*label), lambda x: x.isNotNull())).alias("base")]
-
-
-def _marked(w: Column, own: Column, sets: dict[str, list[str]], threshold: float) -> Column:
-    """Places of the templates' words, in documents that hold enough distinct words of some template."""
-    every = sorted({t for s in sets.values() for t in s})
-    enough = F.lit(False)
-    for s in sets.values():
-        enough = enough | (F.size(F.array_intersect(own, F.array(*[F.lit(t) for t in s]))) >= least_shared(len(s), threshold))
-    marks = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda m: m["token"].isin(every))
-    return F.when(enough, marks).otherwise(F.array().cast("array<struct<at:int,token:string>>"))

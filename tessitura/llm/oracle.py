@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import string
 
-from tessitura.llm.licenses import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD, least_shared
+from tessitura.llm.licenses import PHRASES, table
 from tessitura.llm.secrets import BASE, RULES, java
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -53,15 +53,14 @@ def _licenses() -> str:
         ws = p.split(" ")
         at = " AND ".join(f"w[i + {j}] = {q(x)}" for j, x in enumerate(ws))
         phrases.append(f"SELECT doc_id, i - 1 AS p, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {at}")
-    rows = ", ".join(f"({q(n)}, {q(t)}, {least_shared(len(ws), THRESHOLD)}, {len(ws)})" for n, text in TEMPLATES.items() for ws in [list(dict.fromkeys(text.split(" ")))] for t in ws)
-    back = -(-BLOCK // STRIDE)
-    return f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), tok(label, x, need, size) AS (VALUES {rows}), base AS ({' UNION ALL '.join(phrases)}),
-  places AS (SELECT doc_id, label, need, size, x, (p // {STRIDE}) - unnest(range({back})) AS b FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d) JOIN tok USING (x)),
-  block AS (SELECT doc_id, label, b, count(DISTINCT x) AS n, any_value(need) AS need, any_value(size) AS size FROM places WHERE b >= 0 GROUP BY 1, 2, 3 HAVING count(DISTINCT x) >= any_value(need)),
-  more AS (SELECT doc_id, label, max(n / size::DOUBLE) AS share FROM block GROUP BY 1, 2),
+    rows = ", ".join(f"({at}, {q(label)}, {q(t)}, {need}, {len(ws)}, {width})" for at, (label, ws, need, width) in enumerate(table()) for t in ws)
+    return f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), tok(tmpl, label, x, need, size, width) AS (VALUES {rows}), base AS ({' UNION ALL '.join(phrases)}),
+  every AS (SELECT doc_id, tmpl, label, need, size, width, x, p FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d) JOIN tok USING (x)), enough AS (SELECT doc_id, tmpl FROM every GROUP BY 1, 2 HAVING count(DISTINCT x) >= any_value(need)),
+  places AS (SELECT * FROM every SEMI JOIN enough USING (doc_id, tmpl)), block AS (SELECT a.doc_id, a.label, a.tmpl, a.p, count(DISTINCT b.x) AS n, any_value(a.size) AS size FROM places a JOIN places b ON a.doc_id = b.doc_id AND a.tmpl = b.tmpl AND b.p >= a.p AND b.p < a.p + a.width GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT b.x) >= any_value(a.need)),
+  more AS (SELECT doc_id, label, max(n / size::DOUBLE) AS share, count(*) AS blocks FROM block GROUP BY 1, 2),
   b1 AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
-  l1 AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM more) GROUP BY 1), s1 AS (SELECT doc_id, max(share) AS share FROM more GROUP BY 1)
-  SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+  l1 AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM more) GROUP BY 1), s1 AS (SELECT doc_id, max(share) AS share, sum(blocks) AS blocks FROM more GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score, CAST(coalesce(blocks, 0) AS BIGINT) AS n_blocks
   FROM d LEFT JOIN b1 USING (doc_id) LEFT JOIN l1 USING (doc_id) LEFT JOIN s1 USING (doc_id)"""
 
 
