@@ -8,7 +8,9 @@ of languages is the one of the nested candidates with the largest penalised log-
 The trigram counts come from a bounded sample: at most about ``rows_per_lang`` labelled rows of each language, chosen by a
 hash of the row's key. Every label is learned, however rare. Every document is predicted over its whole text.
 
-Defined results: a null text, or one without a letter, gets ``und``, score 0 and no languages; with no labelled row at all every
+The nested candidates go on until none that is left could be better, as none can be likelier than all languages together; there is no largest set.
+
+Defined results: a null text, or one without a letter (Unicode category L), gets ``und``, score 0 and no languages; with no labelled row at all every
 document gets that. Labels that are null teach nothing. Repeated rows are predicted alike; ties go to the language that
 sorts first; further columns are ignored.
 """
@@ -23,7 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def spans_of(numbers) -> list[tuple[int, int]]:
+    """Ascending numbers as runs, first and last."""
+    out: list[tuple[int, int]] = []
+    for n in numbers:
+        out[-1:] = [(out[-1][0], n)] if out and out[-1][1] == n - 1 else [*out[-1:], (n, n)]
+    return out
+
+
+#: Word characters that are neither letters nor digits (fractions, Roman numerals and the like), as ranges.
+NUMERALS = "".join(f"{chr(a)}-{chr(b)}" for a, b in spans_of(c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()))
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
 BITS = 16
 FLOOR = 1e-5  # least likelihood of a word relative to its best language: one odd word never decides
 BLOCK = 20_000  # words that are inferred at once, or one longer document; fewer with more than WIDE languages
@@ -105,38 +119,52 @@ def likelihoods(words: list[str], logp: list) -> tuple[np.ndarray, np.ndarray, n
 
 
 def em(lik: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (documents x languages) and log-likelihoods. Rows of ``lik`` are sorted by ``doc``, which has no gaps."""
-    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    """Proportions (documents x languages) and log-likelihoods. Rows of ``lik`` are sorted by ``doc``, which has no gaps.
+
+    A document is done when a round moves it by less than 0.001, whatever the others do, so its result doesn't depend on them.
+    """
     pi = np.full((len(total), lik.shape[1]), 1.0 / lik.shape[1])
+    live, x, m, d = np.arange(len(total)), lik, n, doc
     for i in range(rounds):
-        each = lik * pi[doc]
-        each *= (n / each.sum(1))[:, None]
-        new = np.add.reduceat(each, starts, 0) / total[:, None]
-        done = np.abs(new - pi).max() < 1e-3
-        pi = new
-        if done and i > 1:
-            break
-    return pi, np.add.reduceat(n * np.log((lik * pi[doc]).sum(1)), starts)
-
-
-def mixtures(lik: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray, penalty: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        each = x * pi[live][d]
+        each *= (m / each.sum(1))[:, None]
+        new = np.add.reduceat(each, np.flatnonzero(np.diff(d, prepend=-1)), 0) / total[live, None]
+        moved = np.abs(new - pi[live]).max(1) >= 1e-3
+        pi[live] = new
+        if i > 1 and not moved.all():
+            live, rows = live[moved], moved[d]
+            if not len(live):
+                break
+            x, m, d = x[rows], m[rows], (np.cumsum(moved) - 1)[d[rows]]
+    return pi, np.add.reduceat(n * np.log((lik * pi[doc]).sum(1)), np.flatnonzero(np.diff(doc, prepend=-1)))
+
+
+def mixtures(lik: np.ndarray, n: np.ndarray, doc: np.ndarray, total: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """The chosen set's proportions (0 outside the set), and the number of languages in it."""
-    full, _ = em(lik, n, doc, total)
+    full, most = em(lik, n, doc, total)
     order = np.argsort(-full, 1, kind="stable")
     best, best_pi, size = np.full(len(total), -np.inf), np.zeros_like(full), np.zeros(len(total), np.int64)
-    for k in range(1, min(most, full.shape[1]) + 1):
-        own = order[:, :k]
-        pi, ll = em(np.take_along_axis(lik, own[doc], 1), n, doc, total)
-        value = ll - penalty * (k - 1) * np.log(total + 1)
-        better = value > best
-        best[better], size[better] = value[better], k
-        here = np.zeros_like(full)
-        np.put_along_axis(here, own, pi, 1)
-        best_pi[better] = here[better]
+    left = np.arange(len(total))  # documents that a larger set may still suit better
+    for k in range(1, full.shape[1] + 1):
+        rows = np.isin(doc, left) if len(left) < len(total) else np.ones(len(doc), bool)
+        at = np.searchsorted(left, doc[rows])
+        own = order[left, :k]
+        pi, ll = em(np.take_along_axis(lik[rows], own[at], 1), n[rows], at, total[left])
+        most[left] = np.maximum(most[left], ll)
+        value = ll - penalty * (k - 1) * np.log(total[left] + 1)
+        better = np.flatnonzero(value > best[left])
+        chosen = left[better]
+        best[chosen], size[chosen] = value[better], k
+        here = np.zeros((len(better), full.shape[1]), full.dtype)
+        np.put_along_axis(here, own[better], pi[better], 1)
+        best_pi[chosen] = here
+        left = left[most[left] - penalty * k * np.log(total[left] + 1) > best[left]]
+        if not len(left):
+            break
     return best_pi, size
 
 
-def infer(texts, langs: list[str], logp: list, penalty: float, most: int) -> list[tuple]:
+def infer(texts, langs: list[str], logp: list, penalty: float) -> list[tuple]:
     """Of each text ``lang_pred``, ``score``, ``n_langs``, ``langs``, its number of trigrams, and how far its log-likelihood under its mixture is above chance."""
 
     def block(docs_words: list[list[str]]) -> list[tuple]:
@@ -148,7 +176,7 @@ def infer(texts, langs: list[str], logp: list, penalty: float, most: int) -> lis
         total = np.array([len(i) for i in ids], float)
         relative, best, grams = likelihoods(list(vocabulary), logp)
         lik, starts = relative[word], np.flatnonzero(np.diff(doc, prepend=-1))
-        pi, k = mixtures(lik, n.astype(float), doc, total, penalty, most)
+        pi, k = mixtures(lik, n.astype(float), doc, total, penalty)
         above = np.add.reduceat(n * (np.log((lik * pi[doc]).sum(1)) + best[word] + grams[word] * BITS * np.log(2)), starts)
         long = np.add.reduceat(n * grams[word], starts)
         out = []
@@ -171,23 +199,20 @@ def infer(texts, langs: list[str], logp: list, penalty: float, most: int) -> lis
     return out
 
 
-def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = 2.0, most: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the carried columns, ``lang_pred``, ``score``, ``n_langs`` and ``langs`` (name:share, largest share first)."""
     langs = model["langs"]
     shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # the trigrams seen in each language
 
-    def run(batches):
-        for b in batches:
-            out = [x[:4] for x in infer(b["_text"], langs, shared.value, penalty, most)]
-            got = pd.DataFrame(out, columns=["lang_pred", "score", "n_langs", "langs"], index=b.index)
-            yield pd.concat([b.drop(columns="_text"), got], axis=1)
+    @F.pandas_udf("lang_pred string, score double, n_langs long, langs string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([x[:4] for x in infer(texts, langs, shared.value, penalty)], columns=["lang_pred", "score", "n_langs", "langs"])
 
-    rows = docs.select(key, *carry, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop("_text").dtypes)
-    return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double, n_langs long, langs string")
+    out = docs.select(key, *carry, run(F.col(text)).alias("_r"))
+    return out.select(key, *carry, "_r.lang_pred", "_r.score", "_r.n_langs", "_r.langs")
 
 
-def keep_known(docs: DataFrame, model: dict, text: str = "text", penalty: float = 2.0, most: int = 4, slack: float = 24.0) -> DataFrame:
+def keep_known(docs: DataFrame, model: dict, text: str = "text", penalty: float = 2.0, slack: float = 24.0) -> DataFrame:
     """``docs`` without the rows that the mixture inference rejects: ``und``, and those less likely under their mixture than by chance
     (the uniform distribution over trigrams) by more than ``slack`` times the root of their number of trigrams.
 
@@ -196,12 +221,11 @@ def keep_known(docs: DataFrame, model: dict, text: str = "text", penalty: float
     langs = model["langs"]
     shared = docs.sparkSession.sparkContext.broadcast(model["logp"])  # the trigrams seen in each language
 
-    def run(batches):
-        for b in batches:
-            found = infer(b[text], langs, shared.value, penalty, most)
-            yield b[[lang != UNKNOWN and above >= -slack * n**0.5 for lang, _, _, _, n, above in found]]
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series([lang != UNKNOWN and above >= -slack * n**0.5 for lang, _, _, _, n, above in infer(texts, langs, shared.value, penalty)])
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(known(F.col(text)))
 
 
 def held_out(key: str = "doc_id"):
