@@ -1,32 +1,37 @@
 """Personal data by weak supervision.
 
-One scan of each whole text proposes spans of eight kinds and lets five labelers vote on each (-1 against, 0 abstain, 1 for):
+One scan of each whole text proposes spans of nine kinds, by pattern, by gazetteer (a given name before a capitalised word) and by context (what stands
+behind words that announce a number of somebody's), and lets five labelers vote on each (-1 against, 0 abstain, 1 for):
 ``format`` (the strict pattern of the kind), ``gazetteer`` (top-level domains, calling codes, issuer prefixes, reserved
 ranges, given names), ``context`` (cue words before the span), ``shape`` (lengths and grouping) and ``edge`` (what touches the
 span). Spark counts the vote patterns of all documents; expectation-maximisation over those counts estimates, for each kind, the share of true spans
-and each labeler's reliability; a logistic classifier is trained on the resulting posteriors and decides the spans that the base patterns don't fix. The
-number of patterns is bounded (kinds x 3**5 votes x 4 length classes), whatever the corpus.
+and each labeler's reliability. A logistic classifier is trained on the resulting posteriors over more than the votes, namely the kind, the length class, the form of the span (its runs of
+letters and digits, hashed) and the word before it (hashed), so that it can tell spans apart that the labelers can't, and decides the spans that the base patterns don't fix. The
+number of patterns is bounded (kinds x 3**5 votes x 4 length classes x FORMS x WORDS), whatever the corpus.
 
 Defined results: base matches (email, ip, card, phone) always stay; null and empty texts have no spans; offsets are code
-points, end exclusive. Rows are independent, so repeated rows and ties need no rule; further columns are ignored.
+points, end exclusive; a proposal that overlaps a base match or an earlier proposal is dropped. Rows are independent, so repeated rows, null keys and ties need no rule; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessitura.llm.scratch import written
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "ssn", "iban", "mail_spelled", "person")
+KINDS = (*BASE, "ssn", "iban", "mail_spelled", "person", "number")
 LABELERS = ("format", "gazetteer", "context", "shape", "edge")
 KIND_AT = {k: i for i, k in enumerate(KINDS)}
+FORMS, WORDS = 16, 32  # classes of a span's form and of the word before it
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,9 +46,19 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}(?![A-Za-z0-9])")
 PERSON = re.compile(r"(?:[Mm]y name is|[Ss]igned by|\bMr\.|\bMrs\.|\bMs\.|\bDr\.) ([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?)(?![A-Za-z])")
 
+PAIR = re.compile(r"\b[A-Z][a-z]{1,14}(?= [A-Z][a-z]{1,20}\b)")
+NEXT = re.compile(r" [A-Z][a-z]{1,20}\b")
+ANNOUNCED = re.compile(r"\b(?:passport|licen[cs]e|account|customer|patient|policy|tax|member|insurance) (?:id|no\.?|number|nr\.?)(?: is)?[ :#]{1,3}([A-Z]{0,3}[0-9][0-9A-Z-]{4,18}[0-9])(?![A-Za-z0-9])", re.IGNORECASE)
+BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z]*$")
+RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|.", re.DOTALL)
+
 # Names, cue words and prefixes that the labelers know.
-TLDS = frozenset("com org net edu gov io co de fr es uk it nl eu info".split())
-GIVEN = frozenset("james mary john patricia robert jennifer michael linda david maria anna peter paul laura sarah thomas julia carlos sofia pierre claire hans greta".split())
+TLDS = frozenset("com org net edu gov mil int info biz name pro io co ai app dev de fr es uk it nl eu at be ch cz dk fi gr hu ie jp kr no pl pt ru se us ca au br cn in mx nz za".split())
+GIVEN = frozenset(
+    "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle kenneth carol kevin amanda brian melissa george deborah"
+    " edward stephanie ronald rebecca timothy laura jason helen jeffrey sharon ryan cynthia jacob kathleen gary amy nicholas angela eric anna jonathan ruth stephen brenda larry pamela justin nicole scott katherine maria peter julia carlos sofia pierre claire hans greta jean marie luis ana jose carmen juan isabel antonio lucia"
+    " jacques francoise michel sophie heinrich ursula wolfgang monika klaus petra giovanni giulia marco francesca pablo elena miguel rosa".split()
+)
 CUES = {
     "email": ("mail", "contact", "write to"),
     "ip": ("ip", "host", "server", "address"),
@@ -52,7 +67,8 @@ CUES = {
     "ssn": ("ssn", "social security"),
     "iban": ("iban", "account", "bank"),
     "mail_spelled": ("mail", "contact", "write to"),
-    "person": ("my name is", "signed by"),
+    "person": ("name is", "signed by", "regards", "sincerely", "mr", "mrs", "dr.", "author", "contact"),
+    "number": ("passport", "account", "customer", "patient", "policy", "tax", "insurance"),
 }
 
 
@@ -109,6 +125,11 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
         out += [("mail_spelled", *m.span()) for m in SPELLED.finditer(text)]
     if "name is" in text or "igned by" in text or "r. " in text or "s. " in text:
         out += [("person", *m.span(1)) for m in PERSON.finditer(text)]
+    for m in PAIR.finditer(text):
+        if m[0].lower() in GIVEN:
+            out.append(("person", m.start(), NEXT.match(text, m.end()).end()))
+    if DIGIT.search(text):
+        out += [("number", *m.span(1)) for m in ANNOUNCED.finditer(text)]
     if not out:
         return out
     taken: list[list[int]] = []
@@ -153,6 +174,9 @@ def votes(text: str, kind: str, a: int, b: int, is_base: bool) -> tuple[int, ...
         value = "".join(str(int(c, 36)) for c in flat[4:] + flat[:4])
         gaz = 1 if int(value) % 97 == 1 else -1
         shape = 1 if 15 <= len(flat) <= 34 else -1
+    elif kind == "number":
+        gaz = -1 if len(set(digits)) < 3 else 0
+        shape = 1 if 6 <= len(digits) <= 14 else -1
     else:
         gaz = 1 if said.split(" ")[0].lower() in GIVEN else 0
         shape = 1 if " " in said else 0
@@ -162,34 +186,60 @@ def votes(text: str, kind: str, a: int, b: int, is_base: bool) -> tuple[int, ...
     return form, gaz, cue, shape, edge
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``found``: every span with kind, offsets, base flag, packed votes and length class."""
+SPANS = T.ArrayType(T.StructType([T.StructField(c, T.BooleanType() if c == "base" else T.IntegerType()) for c in ("kind", "start", "end", "base", "votes", "size", "form", "word")]))
+
+
+def form_of(said: str) -> int:
+    """A class of the span's form: its runs of capitals, small letters and digits, by kind and length up to four, and what stands between them."""
+    out = ""
+    for run in RUNS.findall(said[:64]):
+        if run.isascii() and run.isalnum():
+            out += ("A" if run[0].isupper() else "a" if run[0].islower() else "9") + str(min(4, len(run)))
+        else:
+            out += run
+    return zlib.crc32(out.encode()) % FORMS
+
 
-    def one(t: str | None) -> list[dict]:
-        if not t:
-            return []
-        base = base_spans(t)
-        out = []
-        for is_base, spans in ((True, base), (False, proposals(t, base))):
-            for k, a, b in spans:
-                packed = 0
-                for v in votes(t, k, a, b, is_base):
-                    packed = packed * 3 + v + 1
-                out.append({"kind": KIND_AT[k], "start": a, "end": b, "base": is_base, "votes": packed, "size": min(3, (b - a) // 10)})
-        return sorted(out, key=lambda s: (s["start"], s["kind"]))
+def word_before(text: str, a: int) -> int:
+    """A class of the word before the span; 0 for none."""
+    m = BEFORE.search(text[max(0, a - 24) : a])
+    return 1 + zlib.crc32(m[1].lower().encode()) % (WORDS - 1) if m else 0
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "found": [one(t) for t in b["_text"]]})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, found array<struct<kind:int,start:int,end:int,base:boolean,votes:int,size:int>>")
+def spans_of(t: str | None) -> list[dict]:
+    """All spans of a text by start, then kind: kind, offsets, base flag, packed votes, and classes of length, form and the word before."""
+    if not t:
+        return []
+    base, out = base_spans(t), []
+    for is_base, spans in ((True, base), (False, proposals(t, base))):
+        for k, a, b in spans:
+            packed = 0
+            for v in votes(t, k, a, b, is_base):
+                packed = packed * 3 + v + 1
+            out.append({"kind": KIND_AT[k], "start": a, "end": b, "base": is_base, "votes": packed, "size": min(3, (b - a) // 10), "form": form_of(t[a:b]), "word": word_before(t, a)})
+    return sorted(out, key=lambda s: (s["start"], s["kind"]))
+
+
+@F.pandas_udf(SPANS)
+def found_in(texts: pd.Series) -> pd.Series:
+    return pd.Series([spans_of(t) for t in texts])
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``found``: every span of a text, as ``spans_of`` gives them."""
+    return docs.select(key, found_in(F.col(text)).alias("found"))
+
+
+def pattern_counts(found: DataFrame, column: str = "found") -> pd.DataFrame:
+    """How often each pattern (kind, votes, size, form, word) occurs over all documents."""
+    by = ("kind", "votes", "size", "form", "word")
+    return found.select(F.explode(column).alias("x")).groupBy(*[f"x.{c}" for c in by]).agg(F.count("*").alias("n")).toPandas().sort_values(list(by))
 
 
 def estimate(counts: pd.DataFrame, rounds: int = 50) -> dict:
     """Dawid-Skene EM for each kind over counted vote patterns, then one logistic classifier on the posteriors.
 
-    ``counts``: kind, votes, size, base, n. Returns the classifier's weights, the shares of true spans and the labelers' reliabilities.
+    ``counts``: kind, votes, size, form, word, n. Returns the classifier's weights, the shares of true spans and the labelers' reliabilities.
     """
     m = len(LABELERS)
     v = np.array([[(p // 3 ** (m - 1 - j)) % 3 for j in range(m)] for p in counts["votes"]], int).reshape(-1, m)
@@ -217,7 +267,7 @@ def estimate(counts: pd.DataFrame, rounds: int = 50) -> dict:
             q = 1 / (1 + np.exp(np.clip(off - on, -50, 50)))
         post[own], share[k] = q, pi
         reliability[k] = table[1, :, 2] / (table[1, :, 2] + table[0, :, 2])
-    x = features(v, kind, counts["size"].to_numpy(int))
+    x = features(v, kind, *(counts[c].to_numpy(int) for c in ("size", "form", "word")))
     w = np.zeros(x.shape[1])
     for _ in range(300):  # weighted logistic regression on soft labels
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -225,31 +275,34 @@ def estimate(counts: pd.DataFrame, rounds: int = 50) -> dict:
     return {"weights": w, "share": share, "reliability": reliability}
 
 
-def features(v: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """One-hot votes, kinds and length classes."""
-    return np.concatenate([np.eye(3)[v].reshape(len(v), 3 * len(LABELERS)), np.eye(len(KINDS))[kind], np.eye(4)[size]], 1)
+def features(v: np.ndarray, kind: np.ndarray, size: np.ndarray, form: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One-hot votes, kinds and classes of length, form and the word before."""
+    return np.concatenate([np.eye(3)[v].reshape(len(v), 3 * len(LABELERS)), np.eye(len(KINDS))[kind], np.eye(4)[size], np.eye(FORMS)[form], np.eye(WORDS)[word]], 1)
 
 
-def classify(found: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+def classify(found: DataFrame, model: dict, threshold: float = 0.5, column: str = "found") -> DataFrame:
     """``found`` without the spans that the classifier rejects; base spans stay."""
-    m = len(LABELERS)
-    w = model["weights"]
+    m, at, parts = len(LABELERS), 0, []
+    for size in (*[3] * m, len(KINDS), 4, FORMS, WORDS):
+        parts.append(F.array(*[F.lit(float(x)) for x in model["weights"][at : at + size]]))
+        at += size
+
     def value(s):
         score = F.lit(0.0)
         for j in range(m):
-            score += F.element_at(F.array(*[F.lit(float(x)) for x in w[3 * j : 3 * j + 3]]), (F.floor(s["votes"] / 3 ** (m - 1 - j)) % 3 + 1).cast("int"))
-        score += F.element_at(F.array(*[F.lit(float(x)) for x in w[3 * m : 3 * m + len(KINDS)]]), s["kind"] + 1)
-        return score + F.element_at(F.array(*[F.lit(float(x)) for x in w[3 * m + len(KINDS) :]]), s["size"] + 1)
+            score += F.element_at(parts[j], (F.floor(s["votes"] / 3 ** (m - 1 - j)) % 3 + 1).cast("int"))
+        for part, c in zip(parts[m:], ("kind", "size", "form", "word"), strict=True):
+            score += F.element_at(part, s[c] + 1)
+        return score
 
     cut = float(np.log(threshold / (1 - threshold)))
-    return found.withColumn("found", F.filter("found", lambda s: s["base"] | (value(s) >= cut)))
+    return found.withColumn(column, F.filter(column, lambda s: s["base"] | (value(s) >= cut)))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``key`` and ``found`` (accepted spans by start, then kind) of every document."""
     found = written(scan(docs, key, text), "personal")
-    counts = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.size").agg(F.count("*").alias("n")).toPandas()
-    return classify(found, estimate(counts), threshold)
+    return classify(found, estimate(pattern_counts(found)), threshold)
 
 
 def span_text(found, base_only: bool):
@@ -259,41 +312,32 @@ def span_text(found, base_only: bool):
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with each accepted span of ``text`` replaced by ``[KIND]``; the model is fitted on these documents.
-
-    The spans of a row are found again from its own text while it is rewritten, so no join by key is needed and rows with
-    equal or null keys keep their own text. Null texts stay null.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("_n"), F.col(text).alias("_text"))
-    found = written(scan(rows, "_n", "_text").select("found"), "personal")
-    counts = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.size").agg(F.count("*").alias("n")).toPandas()
-    model = estimate(counts)
-    m, w = len(LABELERS), model["weights"]
-    cut = float(np.log(threshold / (1 - threshold)))
+@F.pandas_udf(T.StringType())
+def rewritten(texts: pd.Series, found: pd.Series) -> pd.Series:
+    """Each text with its spans replaced; of overlapping spans the first by start, then kind, is named."""
 
-    def accept(t: str, k: str, a: int, b: int) -> bool:
-        v = np.array([votes(t, k, a, b, False)]) + 1
-        return float((features(v, np.array([KIND_AT[k]]), np.array([min(3, (b - a) // 10)])) @ w)[0]) >= cut
-
-    def rewrite(t: str | None) -> str | None:
-        if not t:
-            return t
-        base = base_spans(t)
-        spans = base + [s for s in proposals(t, base) if accept(t, *s)]
-        if not spans:
-            return t
+    def one(t: str, spans) -> str:
         out, at = [], 0
-        for k, a, b in sorted(spans, key=lambda s: (s[1], KIND_AT[s[0]])):
-            if a >= at:
-                out += [t[at:a], f"[{k.upper()}]"]
-            at = max(at, b)
+        for s in spans:
+            if s["start"] >= at:
+                out += [t[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
+            at = max(at, s["end"])
         return "".join([*out, t[at:]])
 
-    def run(batches):
-        for b in batches:
-            b[text] = [rewrite(t) for t in b[text]]
-            yield b
+    return pd.Series([one(t, s) if len(s) else t for t, s in zip(texts, found, strict=True)])
+
 
-    return docs.mapInPandas(run, docs.schema)
+def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with each accepted span of ``text`` replaced by ``[KIND]``; the model is fitted on these documents.
 
+    Texts are scanned once: a row's spans are written beside the row, so no join by key is needed and rows with
+    equal or null keys keep their own text. Rows without accepted spans don't leave the JVM again. Null texts stay null.
+    """
+    name = "found"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    held = written(docs.withColumn(name, found_in(F.col(text))), "personal")
+    told = classify(held, estimate(pattern_counts(held, name)), threshold, name)
+    clean = told.where(F.size(name) == 0)
+    other = told.where(F.size(name) > 0).withColumn(text, rewritten(F.col(text), F.col(name)))
+    return clean.unionByName(other).select(*docs.columns)
