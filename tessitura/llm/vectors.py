@@ -1,17 +1,21 @@
 """Near-duplicate embeddings through an inverted multi-index.
 
 The vectors are scaled to length one and cut in halves. A codebook for each half is fitted (k-means) on a bounded sample; the pairs of
-codewords form a grid of cells, and every vector is indexed in its nearest cell. A query walks the grid by multi-sequence traversal, cells in order of the
-summed distances of their codewords, as far as a number of cells that is measured: a bounded set of sample queries, drawn evenly from the cells, is compared
+codewords form a grid of cells, whose number grows with the vectors, so a cell holds as many at every size; every vector is indexed in its nearest cell. A query walks the grid by multi-sequence traversal, cells in order of the
+summed distances of their codewords, as far as a number of cells that is measured on every run: a bounded set of sample queries, drawn evenly from the cells, is compared
 with all vectors, and the least number is taken at which ``recall`` is reached in each of three means: over their pairs, over the queries (a large group's pairs
-don't outweigh the others) and over groups (nor do its rows). Every vector is a query. All candidates are verified in double precision.
+don't outweigh the others) and over groups (nor do its rows). Where fewer than ENOUGH of the sample queries have a neighbour, more are drawn, and where even the whole
+sample has too few, neighbours are planted instead: for every sample query a vector just at the threshold in a random direction, the hardest that
+the traversal can be asked for. Every vector is a query. All candidates are verified in double precision.
 
 Equal vectors are one row throughout. A cell returns, for each row, how many vectors it links with, and a spanning forest of its links, never the
 pairs. A pair that both directions visit is credited once by each direction, one that a single direction visits is credited to both ends.
 Full cells are cut into a grid of home and query blocks of bounded size.
 
-Defined results: vectors that are null, of another length than most, zero, or with null or non-finite components link with nothing
-and are their own component; repeated rows link with each other; null ids are never the smallest; further columns are ignored.
+Vectors of different lengths have no cosine: each length has a grid of its own. Of one component there are two directions only, and no grid.
+
+Defined results: vectors that are null, empty, zero, or with null or non-finite components link with nothing
+and are their own component; repeated rows link with each other, also those without an id; null ids are never the smallest; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from tessitura.operators.components import components
 from tessitura.llm.fingerprints import forest
 from tessitura.llm.scratch import written
 
-SAMPLE, QUERIES, BLOCK = 8192, 512, 512
-UNMEASURED = 16  # cells that are visited where no sample query has a neighbour
+SAMPLE, QUERIES, BLOCK = 8192, 512, 512  # rows that the codebooks are fitted on at least, queries that recall is measured on at first, rows of a block
+CODES = 2048  # codewords of a half at most: 4 million cells
+ENOUGH = 48  # sample queries with a neighbour that a measurement rests on
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -53,6 +58,11 @@ class Grid:
         parts = (u[:, : self.half], u[:, self.half :])
         return [(b**2).sum(1) - 2 * p @ b.T + (p**2).sum(1)[:, None] for p, b in zip(parts, self.books, strict=True)]
 
+    def homes(self, u: np.ndarray) -> np.ndarray:
+        """The nearest cell of each row."""
+        step = self.rows_at_once(4096)
+        return np.concatenate([np.zeros(0, np.int64), *[self.traverse(u[s : s + step], 1)[:, 0] for s in range(0, len(u), step)]])
+
     def traverse(self, u: np.ndarray, cells: int) -> np.ndarray:
         """The ``cells`` nearest cells of each row, nearest first.
 
@@ -60,7 +70,7 @@ class Grid:
         only that hyperbolic corner of the product is summed and sorted.
         """
         d1, d2 = self.distances(u)
-        o1, o2 = np.argsort(d1, 1, kind="stable"), np.argsort(d2, 1, kind="stable")
+        o1, o2 = (np.argsort(d, 1, kind="stable")[:, :cells] for d in (d1, d2))
         i, j = np.nonzero((np.arange(self.k)[:, None] + 1) * (np.arange(self.k)[None, :] + 1) <= cells)
         a, b = o1[:, i], o2[:, j]
         s = np.take_along_axis(d1, a, 1) + np.take_along_axis(d2, b, 1)
@@ -70,8 +80,15 @@ class Grid:
     def rank(self, u: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """How many cells each row visits before ``cell``."""
         d1, d2 = self.distances(u)
-        own = d1[np.arange(len(u)), cell // self.k] + d2[np.arange(len(u)), cell % self.k]
-        return ((d1[:, :, None] + d2[:, None, :]) < own[:, None, None] - 1e-12).sum((1, 2))
+        own = d1[np.arange(len(u)), cell // self.k] + d2[np.arange(len(u)), cell % self.k] - 1e-12
+        d2 = np.sort(d2, 1)
+        if self.k <= 64:
+            return ((d1[:, :, None] + d2[:, None, :]) < own[:, None, None]).sum((1, 2))
+        return np.array([np.searchsorted(b, o - a).sum() for a, b, o in zip(d1, d2, own, strict=True)], np.int64)
+
+    def rows_at_once(self, most: int) -> int:
+        """Rows whose distances to all codewords are held together."""
+        return max(16, min(most, (1 << 21) // self.k))
 
 
 def unit(column: pd.Series) -> np.ndarray:
@@ -80,20 +97,22 @@ def unit(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:
-    """Rows (a, b, n): ``b`` null: ``a`` links with n vectors; else a and b are linked. ``distinct``: a written table of id, v, n."""
-    spark = distinct.sparkSession
-    total = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    sample = unit(drawn["v"])
-    grid = Grid(sample, int(np.clip(round((total / 24) ** 0.5), 1, min(128, len(sample)))))
-    turn = pd.Series(grid.traverse(sample, 1)[:, 0])
-    turn = turn.groupby(turn).cumcount().to_numpy().argsort(kind="stable")[:QUERIES]  # one of each cell, then a second: a full cell doesn't crowd out the others
-    queries, names, k = sample[turn], drawn["id"].to_numpy()[turn], grid.k
-    shared = spark.sparkContext.broadcast((grid, queries, grid.traverse(queries, 1)[:, 0]))  # bounded by SAMPLE, QUERIES and 128 codewords
+def planted(queries: np.ndarray, threshold: float) -> np.ndarray:
+    """For each query a vector whose cosine with it is the threshold, in a random direction."""
+    step = np.random.default_rng(7).normal(size=queries.shape)
+    step -= (step * queries).sum(1, keepdims=True) * queries
+    return threshold * queries + (1 - threshold**2) ** 0.5 * step / np.sqrt((step**2).sum(1, keepdims=True))
+
+
+def measured(distinct: DataFrame, shared, threshold: float) -> tuple[pd.DataFrame, int]:
+    """For each number of cells before a neighbour's (rank): pairs, queries' shares and groups' shares; and how many queries have a neighbour.
+
+    ``shared``: the grid, sample queries, their cells and ids.
+    """
 
     def ranks(batches):
-        grid, queries, at = shared.value
+        grid, queries, at, names = shared.value
+        step = grid.rows_at_once(1024)
         for b in batches:
             u = unit(b["v"])
             for lo in range(0, len(u), 4096):
@@ -101,41 +120,78 @@ def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[Da
                 y, q = np.nonzero((part @ queries.T >= threshold) & (b["id"].to_numpy()[lo : lo + 4096, None] != names[None, :]))
                 if not len(y):
                     continue
-                home = grid.traverse(part, 1)[:, 0]
-                for s in range(0, len(y), 1024):
-                    ys, qs = y[s : s + 1024], q[s : s + 1024]
+                home = grid.homes(part)
+                for s in range(0, len(y), step):
+                    ys, qs = y[s : s + step], q[s : s + step]
                     r = np.minimum(grid.rank(queries[qs], home[ys]), grid.rank(part[ys], at[qs]))
-                    pair, n = np.unique(qs * (k * k) + r, return_counts=True)
-                    yield pd.DataFrame({"query": pair // (k * k), "rank": pair % (k * k), "n": n})
+                    found, n = np.unique(np.stack([qs, r]), axis=1, return_counts=True)
+                    yield pd.DataFrame({"query": found[0], "rank": found[1], "n": n})
 
     held = distinct.mapInPandas(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
-    held = written(held, "ranks")  # at most QUERIES rows for each cell
+    held = written(held, "ranks")  # a row for each query and cell at most
     held = held.join(held.groupBy("query").agg(F.sum("n").alias("all")), "query")
     means = {"pairs": F.col("n"), "queries": F.col("n") / F.col("all"), "groups": F.col("n") / (F.col("all") * (F.col("all") + 1))}
-    found = held.groupBy("rank").agg(*[F.sum(x).alias(c) for c, x in means.items()]).orderBy("rank").toPandas()  # a row for each cell at most
-    cells = min(k * k, UNMEASURED)
-    if len(found):
-        share = found[list(means)].cumsum() / found[list(means)].sum()
-        cells = int(found["rank"][(share.min(axis=1) >= recall).idxmax()]) + 1
+    some = held.agg(F.countDistinct("query")).first()[0]
+    return held.groupBy("rank").agg(*[F.sum(x).alias(c) for c, x in means.items()]).orderBy("rank").toPandas(), some  # a row for each cell at most
+
+
+def near_links(distinct: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """Rows (a, b, n): ``b`` null: ``a`` links with n vectors; else a and b are linked; and the number of cells. ``distinct``: a written table of id, v, n."""
+    spark = distinct.sparkSession
+    total = distinct.count()
+    k = max(1, min(CODES, round((total / 24) ** 0.5)))
+    drawn = distinct.orderBy(F.xxhash64("v"), "id").limit(max(SAMPLE, 32 * k)).toPandas()  # 32 rows for each codeword, 65,536 at most
+    sample, names = unit(drawn["v"]), drawn["id"].to_numpy()
+    grid = Grid(sample, min(k, len(sample)))
+    k = grid.k
+    turn = pd.Series(grid.homes(sample))
+    turn = turn.groupby(turn).cumcount().to_numpy().argsort(kind="stable")  # one of each cell, then a second: a full cell doesn't crowd out the others
+    for n in (QUERIES, SAMPLE):
+        queries = sample[turn[:n]]
+        shared = spark.sparkContext.broadcast((grid, queries, grid.homes(queries), names[turn[:n]]))  # bounded by SAMPLE and CODES
+        found, some = measured(distinct, shared, threshold)
+        if some >= ENOUGH or len(queries) < n:
+            break
+    if some < ENOUGH:
+        other = planted(queries, threshold)
+        ranks = np.concatenate([np.minimum(grid.rank(queries[s : s + 16], grid.homes(other[s : s + 16])), grid.rank(other[s : s + 16], grid.homes(queries[s : s + 16]))) for s in range(0, len(queries), 16)])
+        rank, n = np.unique(ranks, return_counts=True)
+        more = pd.DataFrame({"rank": rank, "pairs": n, "queries": n, "groups": n})
+        found = pd.concat([found, more]).groupby("rank", as_index=False).sum().sort_values("rank")
+    means = ["pairs", "queries", "groups"]
+    share = found[means].cumsum() / found[means].sum()
+    cells = int(found["rank"].to_numpy()[int((share.min(axis=1) >= recall).to_numpy().argmax())]) + 1
 
     def place(batches):
         grid = shared.value[0]
         for b in batches:
             u = unit(b["v"])
-            for lo in range(0, len(u), 2048):
-                part = u[lo : lo + 2048]
+            step = grid.rows_at_once(2048)
+            for lo in range(0, len(u), step):
+                part = u[lo : lo + step]
                 visits = grid.traverse(part, cells)
                 n = visits.shape[1]
-                ids, counts, raw = b["id"].to_numpy()[lo : lo + 2048], b["n"].to_numpy()[lo : lo + 2048], [x.tobytes() for x in part]
+                ids, counts, raw = b["id"].to_numpy()[lo : lo + step], b["n"].to_numpy()[lo : lo + step], [x.tobytes() for x in part]
                 seen = [x.tobytes() for x in visits]
                 yield pd.DataFrame({"cell": visits[:, 0], "own": visits[:, 0], "home": True, "id": ids, "n": counts, "v": raw, "visits": seen})
                 at = np.repeat(np.arange(len(part)), n)
                 yield pd.DataFrame({"cell": visits.ravel(), "own": visits[at, 0], "home": False, "id": ids[at], "n": counts[at], "v": [raw[i] for i in at], "visits": None})
 
     placed = distinct.mapInPandas(place, "cell int, own int, home boolean, id long, n long, v binary, visits binary")
-    homes = distinct.select("id", "v").mapInPandas(lambda bs: (pd.DataFrame({"cell": shared.value[0].traverse(unit(b["v"]), cells).ravel(), "home": np.tile(np.arange(cells) == 0, len(b))}) for b in bs), "cell int, home boolean")
-    sizes = homes.groupBy("cell").agg(F.count_if("home").alias("h"), F.count("*").alias("q")).collect()  # at most 128 x 128 rows
-    blocks = spark.sparkContext.broadcast({r["cell"]: (max(1, -(-r["h"] // BLOCK)), max(1, -(-r["q"] // BLOCK))) for r in sizes if max(r["h"], r["q"]) > BLOCK})
+
+    def visited(batches):
+        grid = shared.value[0]
+        for b in batches:
+            u, step = unit(b["v"]), grid.rows_at_once(2048)
+            for lo in range(0, len(u), step):
+                visits = grid.traverse(u[lo : lo + step], cells)
+                cell, n = np.unique(visits, return_counts=True)
+                home, h = np.unique(visits[:, 0], return_counts=True)
+                yield pd.DataFrame({"cell": np.concatenate([cell, home]), "q": np.concatenate([n, np.zeros(len(home), np.int64)]), "h": np.concatenate([np.zeros(len(cell), np.int64), h])})
+
+    sizes = distinct.select("v").mapInPandas(visited, "cell int, q long, h long").groupBy("cell").agg(F.sum("h").alias("h"), F.sum("q").alias("q"))
+    sizes = sizes.where((F.col("h") > BLOCK) | (F.col("q") > BLOCK)).collect()  # full cells only, CODES squared at most
+    blocks = spark.sparkContext.broadcast({r["cell"]: (max(1, -(-r["h"] // BLOCK)), max(1, -(-r["q"] // BLOCK))) for r in sizes})
 
     def deal(batches):
         for b in batches:
@@ -181,17 +237,25 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = table.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    size = rows.where(v.isNotNull()).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    usual = size[0]["n"] if size else 0
-    rows = rows.withColumn("good", F.coalesce(v.isNotNull() & (F.size(v) == usual) & (F.size(v) > 1) & finite & F.col("id").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("good", F.coalesce(v.isNotNull() & finite, F.lit(False)))
     out = rows.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    good = rows.where("good").withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    distinct = written(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "n"), "vectors")
-    if not distinct.isEmpty():
-        found = written(near_links(distinct, threshold, recall)[0], "vector_links")
+    # equal vectors are one row; -0 is 0, and of one component only the sign counts
+    good = rows.where("good").withColumn("v", F.when(F.size("v") == 1, F.transform("v", lambda x: F.signum(x))).otherwise(F.transform("v", lambda x: x + F.lit(0.0))))
+    named = good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    distinct = written(named.select(F.monotonically_increasing_id().alias("id"), "least", "v", "n"), "vectors")
+    found = None
+    for r in distinct.where(F.size("v") > 1).groupBy(F.size("v").alias("size")).count().orderBy("size").collect():  # one row for each length
+        own = written(distinct.where(F.size("v") == r["size"]).select("id", "v", "n"), "one_length")
+        one = written(near_links(own, threshold, recall)[0], "vector_links")
+        found = one if found is None else found.union(one)
+    if found is None:
+        of = distinct.select(F.col("v").alias("own"), (F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id"))
+    else:
         roots = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
         links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-        of = distinct.join(links, distinct["id"] == links["a"], "left").join(roots, distinct["id"] == roots["node"], "left")
-        of = of.select(F.col("v").alias("own"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-        out = out.union(good.join(of, good["v"] == of["own"], "left").select("id", "n_links", "component_id"))
+        of = distinct.join(links, distinct["id"] == links["a"], "left").join(roots, distinct["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+        of = written(of.select("root", "least", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "vector_roots")
+        least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = of.join(least, "root").select(F.col("v").alias("own"), "n_links", "component_id")
+    out = out.union(good.join(of, good["v"] == of["own"], "left").select("id", "n_links", "component_id"))
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
