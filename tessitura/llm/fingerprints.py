@@ -66,11 +66,11 @@ def fingerprint(text: str | None, k: int = 3, distinct: bool = False) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """``key`` and ``fp``, the fingerprint as a signed long."""
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "fp": np.array([fingerprint(t, k) for t in b["_text"]], np.uint64).view(np.int64)})
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return docs.select(key, prints(F.col(text)).alias("fp"))
 
 
 def distances(a: np.ndarray, v) -> np.ndarray:

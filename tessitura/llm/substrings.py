@@ -302,20 +302,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     spans = written(repeated_windows(rows, total, size), "repeats")
     each = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for t, spans in zip(b["_text"], b["_spans"], strict=True):
-                count, removed, n_spans, kept = kept_words(t.encode(), spans, size)
-                sha, said = hashlib.sha256(), []
-                for x in kept:
-                    sha.update(x)
-                    said += [x] if texts else []
-                out.append((count[0], removed, n_spans, sha.hexdigest(), b"".join(said).decode() if texts else None))
-            b = b[["_key"]].reset_index(drop=True)
-            yield pd.concat([b, pd.DataFrame(out, columns=["n_words", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
-
-    joined = rows.join(each, rows["_no"] == each["doc"], "left").select("_key", "_text", "_spans")
-    out = joined.mapInPandas(cut, f"_key {dict(rows.dtypes)['_key']}, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    out = out.withColumnRenamed("_key", key)
+    @F.pandas_udf("n_words long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, own in zip(text, spans, strict=True):
+            count, removed, n_spans, kept = kept_words(t.encode(), own, size)
+            sha, said = hashlib.sha256(), []
+            for x in kept:
+                sha.update(x)
+                said += [x] if texts else []
+            out.append((count[0], removed, n_spans, sha.hexdigest(), b"".join(said).decode() if texts else None))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    joined = rows.join(each, rows["_no"] == each["doc"], "left").select(F.col("_key").alias(key), cut("_text", "_spans").alias("_r"))
+    out = joined.select(key, "_r.n_words", "_r.n_removed", "_r.n_spans", "_r.kept_sha256", "_r.kept")
     return out if texts else out.drop("kept")

@@ -273,21 +273,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     rows, total = numbered(docs, key, text)
     each = repeated_windows(rows.select("_no", "_text"), size, total).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for t, spans in zip(b["_text"], b["_spans"], strict=True):
-                data, at, kept = t.encode(), 0, []
-                start, stop = intervals(spans if spans is not None else [], size)
-                for lo, hi in zip(start.tolist(), stop.tolist(), strict=True):
-                    kept.append(data[at:lo])
-                    at = hi
-                left = b"".join([*kept, data[at:]]) if kept else data
-                out.append((len(data), int((stop - start).sum()), len(start), hashlib.sha256(left).hexdigest(), left if raw else None))
-            b = b[["_key"]].reset_index(drop=True)
-            yield pd.concat([b, pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
-
-    joined = rows.join(each, rows["_no"] == each["doc"], "left").select("_key", "_text", "_spans")
-    out = joined.mapInPandas(cut, f"_key {dict(rows.dtypes)['_key']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    out = out.withColumnRenamed("_key", key)
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, own in zip(text, spans, strict=True):
+            data, at, kept = t.encode(), 0, []
+            start, stop = intervals(own if own is not None else [], size)
+            for lo, hi in zip(start.tolist(), stop.tolist(), strict=True):
+                kept.append(data[at:lo])
+                at = hi
+            left = b"".join([*kept, data[at:]]) if kept else data
+            out.append((len(data), int((stop - start).sum()), len(start), hashlib.sha256(left).hexdigest(), left if raw else None))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    joined = rows.join(each, rows["_no"] == each["doc"], "left").select(F.col("_key").alias(key), cut("_text", "_spans").alias("_r"))
+    out = joined.select(key, "_r.n_bytes", "_r.n_removed", "_r.n_spans", "_r.kept_sha256", "_r.kept")
     return out if raw else out.drop("kept")
