@@ -19,37 +19,59 @@ def match_exact(aliases: DataFrame, tracks: DataFrame) -> DataFrame:
     return a.join(best, a["t"] == best["title_norm"]).select("alias_key", "track_id")
 
 
-def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, sim): all pairs of distinct titles with similarity of at least 0.3, exactly.
+def near_titles(titles: DataFrame) -> DataFrame:
+    """(ia, ib) of titles that may reach TITLE_SIMILAR.
 
-    Prefix filter for Jaccard: with grams in order of rarity a pair that similar shares one of the first
-    ``n - ceil(0.3 n) + 1`` grams of each side; lengths may differ by the same factor at most.
+    Prefix filter for Jaccard t = 9/20: with grams in order of rarity a pair that similar shares one of the first ``n - ceil(t n) + 1`` grams of each side; its
+    sizes differ by the same factor at most; and from the places of the shared gram on there must be enough grams left on both sides.
     """
-    sides = left.select("t", F.lit(True).alias("l")).union(right.select("t", F.lit(False).alias("l"))).where("t <> ''")
-    titles = sides.groupBy("t").agg(F.bool_or("l").alias("l"), F.bool_or(~F.col("l")).alias("r")).withColumn("g", F.transform(trigrams(F.col("t")), lambda x: F.xxhash64(x)))
-    titles = written(titles.withColumn("id", F.xxhash64("t")), "titles")  # equal hashes only bring a pair more to verify
     grams = titles.select("id", "l", "r", F.size("g").alias("n"), F.explode("g").alias("gram"))
     freq = grams.groupBy("gram").agg(F.count("*").alias("f"))
     ranked = grams.join(freq, "gram").groupBy("id", "l", "r", "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
-    keep = (F.col("n") - F.expr("(3 * n + 9) div 10") + 1).cast("int")
-    prefix = ranked.select("id", "l", "r", "n", F.explode(F.slice(F.col("o.gram"), F.lit(1), keep)).alias("gram"))
-    prefix = written(prefix, "prefixes")
-    a = prefix.where("l").select(F.col("id").alias("ia"), F.col("n").alias("na"), "gram")
-    b = prefix.where("r").select(F.col("id").alias("ib"), F.col("n").alias("nb"), "gram")
-    met = a.join(b, "gram").where("10 * na >= 3 * nb and 10 * nb >= 3 * na").select("ia", "ib").distinct()  # narrow rows move; arrays join afterwards
+    keep = (F.col("n") - F.expr("(9 * n + 19) div 20") + 1).cast("int")
+    prefix = written(ranked.select("id", "l", "r", "n", F.posexplode(F.slice(F.col("o.gram"), F.lit(1), keep)).alias("at", "gram")), "prefixes")
+    a = prefix.where("l").select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("at").alias("pa"), "gram")
+    b = prefix.where("r").select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("at").alias("pb"), "gram")
+    left = "least(pa, pb) + least(na - pa, nb - pb)"  # shared grams before this one stand before it on both sides
+    met = a.join(b, "gram").where(f"20 * na >= 9 * nb and 20 * nb >= 9 * na and 29 * ({left}) >= 9 * (na + nb)")
+    return met.select("ia", "ib").distinct()
+
+
+def containing_titles(titles: DataFrame) -> DataFrame:
+    """(ia, ib) of titles of LEAST_LENGTH characters or more of which one contains the other, and perhaps others: the shorter one's first characters, 4, 8, 16 or
+    32 of them as its length allows, are characters of the longer one somewhere."""
+    widths = (LEAST_LENGTH, 8, 16, 32)
+    long = titles.where(F.length("t") >= LEAST_LENGTH).select("id", "l", "r", "t", F.length("t").alias("n"))
+    wide = F.lit(widths[0])
+    for w in widths[1:]:
+        wide = F.when(F.col("n") >= w, w).otherwise(wide)
+    inner = long.select(F.col("id").alias("i"), F.col("l").alias("il"), F.col("r").alias("ir"), F.col("n").alias("m"), F.substring("t", F.lit(1), wide).alias("head"))
+    cuts = [F.when(F.col("n") >= w, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - w + 1, F.lit(1))), lambda i, w=w: F.substring("t", i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in widths]
+    outer = long.select(F.col("id").alias("o"), F.col("l").alias("ol"), F.col("r").alias("or_"), "n", F.explode(F.array_distinct(F.concat(*cuts))).alias("head"))
+    met = inner.join(outer, "head").where("m <= n")
+    first = met.where("il and or_").select(F.col("i").alias("ia"), F.col("o").alias("ib"))
+    return first.union(met.where("ol and ir").select(F.col("o").alias("ia"), F.col("i").alias("ib"))).distinct()
+
+
+def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, sim): all pairs of distinct titles that pass the title gate, exactly: at least SIMILAR, and equal, at least TITLE_SIMILAR, or one within the other."""
+    sides = left.select("t", F.lit(True).alias("l")).union(right.select("t", F.lit(False).alias("l"))).where("t <> ''")
+    titles = sides.groupBy("t").agg(F.bool_or("l").alias("l"), F.bool_or(~F.col("l")).alias("r")).withColumn("g", F.transform(trigrams(F.col("t")), lambda x: F.xxhash64(x)))
+    titles = written(titles.withColumn("id", F.xxhash64("t")), "titles")  # equal hashes only bring a pair more to verify
+    met = near_titles(titles).union(containing_titles(titles)).distinct()  # narrow rows move; arrays join afterwards
     whole = met.join(titles.select(F.col("id").alias("ia"), F.col("t").alias("a"), F.col("g").alias("ga")), "ia").join(titles.select(F.col("id").alias("ib"), F.col("t").alias("b"), F.col("g").alias("gb")), "ib")
     sim = gram_similarity(F.col("ga"), F.col("gb"))
-    return whole.select("a", "b", sim.alias("sim")).where(F.col("sim") >= F.lit(SIMILAR).cast("float"))
+    long = (F.length("a") >= LEAST_LENGTH) & (F.length("b") >= LEAST_LENGTH)
+    gate = (F.col("a") == F.col("b")) | (F.col("sim").cast("double") >= TITLE_SIMILAR) | (long & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))))
+    return whole.select("a", "b", sim.alias("sim")).where((F.col("sim") >= F.lit(SIMILAR).cast("float")) & gate)
 
 
 def match_fuzzy(aliases: DataFrame, tracks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(alias_key, track_id, score): aliases with an artist, best track by score, title similarity, id; accepted from ``threshold`` on."""
     a = aliases.where((F.col("artist_norm") != "") & (F.col("title_norm") != "")).select("alias_key", F.col("title_norm").alias("a"), F.col("artist_norm").alias("a_artist"), F.col("album_norm").alias("a_album"))
     pairs = title_pairs(a.select(F.col("a").alias("t")), tracks.select(F.col("title_norm").alias("t")))
-    long = (F.length("a") >= LEAST_LENGTH) & (F.length("b") >= LEAST_LENGTH)
-    gate = (F.col("a") == F.col("b")) | (F.col("sim").cast("double") >= TITLE_SIMILAR) | (long & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))))
     t = tracks.select("id", F.col("title_norm").alias("b"), F.col("artist_norm").alias("t_artist"), F.col("album_artist_norm").alias("t_album_artist"), F.col("album_norm").alias("t_album"))
-    rows = a.join(pairs.where(gate), "a").join(t, "b")
+    rows = a.join(pairs, "a").join(t, "b")
     # each distinct pair of names is compared once
     names = rows.select(F.col("a_artist").alias("x"), F.col("t_artist").alias("y")).union(rows.select("a_artist", "t_album_artist")).union(rows.where("a_album <> ''").select("a_album", "t_album")).distinct()
     sims = names.select("x", "y", gram_similarity(trigrams(F.col("x")), trigrams(F.col("y"))).alias("s"))

@@ -8,7 +8,7 @@ from datetime import datetime
 
 import pytest
 
-from tessitura.sources import exports
+from tessitura.sources import exports, registry
 from tessitura.sources.detect import detect
 from tessitura.streaming import scrobbles
 
@@ -55,6 +55,19 @@ def test_detection(spark, folder):
     assert [detect(spark, str(folder / n)) for n in ("none", "names.mp3", "odd.csv", "short.csv")] == [[]] * 4
 
 
+def test_importers(spark, folder):
+    got = registry.ingest(spark, f"{folder}/ms.zip")
+    assert [k.name for k in got] == ["TRACKS", "PLAYLISTS", "SCROBBLES"] and got[registry.DataKind.TRACKS].count() == 2
+    assert registry.importer_for(spark, f"{folder}/spot").kinds == registry.DataKind.SCROBBLES
+    for path in ("none", ""):
+        with pytest.raises(ValueError):
+            registry.importer_for(spark, f"{folder}/{path}")
+    mine = registry.Importer("mine", {registry.DataKind.TRACKS: lambda spark, path: spark.range(1)})
+    registry.register(mine)
+    assert registry.ingest(spark, str(folder), "mine")[registry.DataKind.TRACKS].count() == 1
+    del registry.IMPORTERS["mine"]
+
+
 def test_plist(spark, folder):
     t = exports.plist_tracks(spark, f"{folder}/lib.xml")
     rows = {r["source_id"]: r for r in t.selectExpr("*", "variant_get(extra, '$.apple_music', 'boolean') am").collect()}
