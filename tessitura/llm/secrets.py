@@ -65,10 +65,10 @@ def postings(rows: DataFrame, blocks: int, rules: tuple[Rule, ...] = RULES) -> D
 
     ``rows``: _no, _text. A text is looked through for the dictionary's trigrams once; those for keywords in either case in its lower-cased form.
     """
-    names, low = dictionary(rules), F.lower("_text")
-    held = F.array(*[F.when((low if fold else F.col("_text")).contains(g), F.lit(i)) for i, (g, fold) in enumerate(names)]) if names else F.array().cast("array<int>")
+    names = dictionary(rules)
+    held = F.array(*[F.when(F.col("_low" if fold else "_text").contains(g), F.lit(i)) for i, (g, fold) in enumerate(names)]) if names else F.array().cast("array<int>")
     block = F.pmod(F.xxhash64("_no"), F.lit(blocks))
-    each = rows.select(block.alias("block"), "_no", F.explode(F.array_compact(held)).alias("gram"))
+    each = rows.select("_no", "_text", F.lower("_text").alias("_low")).select(block.alias("block"), "_no", F.explode(F.array_compact(held)).alias("gram"))
     return each.groupBy("block", "gram").agg(F.collect_set("_no").alias("docs"))
 
 
