@@ -29,8 +29,9 @@ from tessitura.llm.scratch import partitions, written
 
 WORD = re.compile(r"[^ \t-\r]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
-SAMPLE = 16_384  # fingerprints that the upper levels are made from
-DEPTH = 10  # upper levels at most
+SAMPLE = 16_384  # fingerprints that the upper levels are made from, at least; 16 for each shard beyond that
+DEPTH = 15  # upper levels at most: 32,768 shards
+SHALLOW = 5  # upper levels where equal own bits are all that can meet; hashes split further
 LEAF = 192  # homes that are compared directly
 BLOCK = 3072  # rows of a grid block
 SHARD = 2048  # rows of a shard of equal own bits, at about
@@ -194,9 +195,10 @@ def cells(rows: DataFrame, own: int, trees: tuple[int, ...], bands: int = 0) ->
     """
     spark, columns, n = rows.sparkSession, [c for c in rows.columns if c not in ("wanted", "bands")], len(trees) + bands
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
-    sample = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     total = max(1, rows.count())
-    depth = int(min(DEPTH if own else DEPTH // 2, max(0, np.ceil(np.log2(total / (512 if own else SHARD))))))
+    depth = int(min(DEPTH if own else SHALLOW, max(0, np.ceil(np.log2(total / (512 if own else SHARD))))))
+    drawn = rows.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 16 << depth))  # half a million at most
+    sample = drawn.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     split = 1 if own else max(1, min(1 << (14 - depth), -(-total // (SHARD << depth))))
     spread = max(1, min(1 << 14, -(-total // SHARD)))
     uppers = spark.sparkContext.broadcast([upper_tree(part_of(sample, t, trees), depth) for t in range(len(trees))])  # at most n x 2**DEPTH nodes
