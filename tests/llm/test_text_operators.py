@@ -98,6 +98,58 @@ def test_personal_more_and_masking(frame):
     assert personal.masked(frame([])).count() == 0 and personal.detect(frame([])).count() == 0
 
 
+def test_estimate_equals_plain_em():
+    """Reliabilities and posteriors by EM written out pattern by pattern; the classifier follows the posteriors and sees more than the votes."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(3000):  # spans of one kind: labelers 0 and 1 are right in 90 %, 2 is a coin, 3 and 4 abstain; true spans have form 3
+        true = rng.random() < 0.4
+        vote = lambda right: (2 if true else 0) if rng.random() < right else (0 if true else 2)
+        v = [vote(0.9), vote(0.9), vote(0.5), 1, 1]
+        rows.append((7, sum(x * 3 ** (4 - j) for j, x in enumerate(v)), 1, 3 if true else 5, 0))
+    counts = pd.DataFrame(rows, columns=["kind", "votes", "size", "form", "word"]).groupby(["kind", "votes", "size", "form", "word"]).size().reset_index(name="n")
+    model = personal.estimate(counts)
+    patterns = {}
+    for r in counts.itertuples(index=False):
+        v = tuple(r.votes // 3 ** (4 - j) % 3 for j in range(5))
+        patterns[v] = patterns.get(v, 0) + r.n
+    q = {v: 1 / (1 + np.exp(-float(sum(v) - 5))) for v in patterns}
+    for _ in range(50):
+        total, on = sum(patterns.values()), sum(n * q[v] for v, n in patterns.items())
+        pi = (on + 2) / (total + 4)
+        table = [[[1.0, 1.0, 1.0] for _ in range(5)] for _ in range(2)]
+        for v, n in patterns.items():
+            for j, x in enumerate(v):
+                table[1][j][x] += n * q[v]
+                table[0][j][x] += n * (1 - q[v])
+        for j in range(5):
+            table[1][j][2] += 2
+            table[0][j][0] += 2
+        chance = lambda side, v: np.prod([table[side][j][x] / sum(table[side][j]) for j, x in enumerate(v)])
+        q = {v: pi * chance(1, v) / (pi * chance(1, v) + (1 - pi) * chance(0, v)) for v in patterns}
+    assert model["share"][7] == pytest.approx(pi, abs=1e-6) and 0.3 < pi < 0.5
+    right = [table[1][j][2] / sum(table[1][j]) / (table[1][j][2] / sum(table[1][j]) + table[0][j][2] / sum(table[0][j])) for j in range(5)]
+    assert np.allclose(model["reliability"][7], right, atol=1e-6) and min(right[:2]) > 0.8 > abs(right[2])
+    score = lambda v, form: float((personal.features(np.array([v]), np.array([7]), np.array([1]), np.array([form]), np.array([0])) @ model["weights"])[0])
+    assert score((2, 2, 1, 1, 1), 3) > 0 > score((0, 0, 1, 1, 1), 5) and score((1, 1, 1, 1, 1), 3) > score((1, 1, 1, 1, 1), 5)
+
+
+def test_gazetteer_and_context_propose(frame):
+    said = "Passport number: X1234567 and account no. 00991122-7, seen by Maria Lopez at noon; Blue Widget and maria lopez stay; account 5; policy id: ABC"
+    found = {(personal.KINDS[s["kind"]], said[s["start"] : s["end"]]) for s in personal.scan(frame([said])).first()["found"]}
+    assert {("number", "X1234567"), ("number", "00991122-7"), ("person", "Maria Lopez")} == found
+    assert personal.spans_of(None) == personal.spans_of("") == []
+
+
+def test_large_keys_beside_null_ones(spark):
+    """Keys never pass through floating point, whatever stands beside them."""
+    ids = [2**62 + 1, None, -(2**62) - 3, 2**53 + 1]
+    df = spark.createDataFrame([(i, f"text of {i} " * 30) for i in ids], "doc_id long, text string").coalesce(1)
+    path = registry.model_path()
+    for out in (substrings.deduplicated(df), suffixes.deduplicated(df), pieces.digests(df, path), fingerprints.near_duplicates(df), personal.detect(df), secrets.scan(df), licenses.scan(df)):
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(map(str, ids))
+
+
 def test_secrets(frame, texts):
     rng = random.Random(3)
     parts = ["password", "PassWd", "secret", "TOKEN", "api_key", "ApiKey", "=", ":", " ", "'", '"', "abcdef12", "abc", "AKIA" + "Z9" * 9, "AKIAAB", "deadbeef" * 4, "0123456789abcdef", "é", "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefgh1.eyJabcdefgh2.abcdefgh3"]
@@ -135,10 +187,9 @@ def test_very_many_secrets(spark, frame):
 
     n = 16_000
     line = "x token=abcdef%05d\n"
-    rows = secrets.scan(frame(["".join(line % i for i in range(n)), None, ""])).collect()
     began = time.time()
     spans = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(["".join(line % i for i in range(n)), None, ""])).collect()}
-    assert time.time() - began < 30 and len(rows) == 3
+    assert time.time() - began < 90 and len(spans) == 3  # sums that copy what they have took over 120 s for the matches alone
     assert [(s["start"], s["end"]) for s in spans[0]] == [(20 * i + 2, 20 * i + 19) for i in range(n)] and not spans[1] and not spans[2]
 
 

@@ -64,3 +64,39 @@ def test_large_group(spark, noise):
     rest = [i for i, at in enumerate(order) if at < 1399 or 1400 <= at < 2000]
     want, have = sum(len(links[i]) for i in rest), sum(got[i]["n_links"] for i in rest)
     assert have >= 0.98 * want
+
+
+def test_vectors_of_any_length(spark):
+    """Each length links within itself; of one component only the sign counts; whole groups without ids stay whole."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 3)).tolist()
+    table = [(i, v) for i, v in enumerate(base)] + [(100 + i, [2 * x for x in base[i]]) for i in range(5)]
+    table += [(200, [1.0]), (201, [2.0]), (202, [-3.0]), (203, [0.0]), (204, []), (205, [1.0, 1.0]), (206, [3.0, 3.0]), (207, [1.0, -1.0])]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    links, root = {}, {}
+    for size in (1, 2, 3):
+        some, roots = brute([(i, v) for i, v in table if len(v) == size])
+        links |= some
+        root |= roots
+    links[204], root[204] = set(), 204
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(x) for i, x in links.items()}
+    assert {i: r["component_id"] for i, r in got.items()} == root
+
+
+def test_recall_without_neighbours(spark):
+    """Where the sample has no pairs, recall is measured on planted ones: what few pairs there are is found."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3000, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    keep = [0]
+    for i in range(1, len(base)):
+        if (base[keep] @ base[i] < 0.85).all():
+            keep.append(i)
+    base = base[keep][:1500]
+    step = rng.normal(size=(30, 16))
+    step -= (step * base[:30]).sum(1, keepdims=True) * base[:30]
+    near = 0.92 * base[:30] + (1 - 0.92**2) ** 0.5 * step / np.linalg.norm(step, axis=1)[:, None]
+    table = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()}
+    links, _ = brute(table)
+    assert sum(got.values()) >= 0.95 * sum(map(len, links.values())) > 0 and all(got[i] <= len(links[i]) for i in got)
