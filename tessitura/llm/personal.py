@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessitura.llm.scratch import written
+from tessitura.llm.scratch import small_batches, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "mail_spelled", "person", "number")
@@ -301,7 +301,8 @@ def classify(found: DataFrame, model: dict, threshold: float = 0.5, column: str
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``key`` and ``found`` (accepted spans by start, then kind) of every document."""
-    found = written(scan(docs, key, text), "personal")
+    with small_batches(docs.sparkSession):
+        found = written(scan(docs, key, text), "personal")
     return classify(found, estimate(pattern_counts(found)), threshold)
 
 
@@ -336,7 +337,8 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     name = "found"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
-    held = written(docs.withColumn(name, found_in(F.col(text))), "personal")
+    with small_batches(docs.sparkSession):
+        held = written(docs.withColumn(name, found_in(F.col(text))), "personal")
     told = classify(held, estimate(pattern_counts(held, name)), threshold, name)
     clean = told.where(F.size(name) == 0)
     other = told.where(F.size(name) > 0).withColumn(text, rewritten(F.col(text), F.col(name)))

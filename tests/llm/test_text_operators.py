@@ -623,3 +623,20 @@ def test_many_languages(spark, frame):
     assert model["langs"] == [f"l{at:02}" for at in range(90)]
     got = by_id(language.predict(docs, model))
     assert all(got[i]["lang_pred"] == lang for i, (lang, _) in enumerate(rows))
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """A batch follows the bytes of its texts, not a number of rows; the session's own setting comes back."""
+    from tessitura.llm import scratch
+
+    @F.pandas_udf(personal.SPANS)
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": 0, "start": 0, "end": int(texts.str.len().sum()), "base": True, "votes": 0, "size": 0, "form": 0, "word": 0}]] * len(texts))
+
+    monkeypatch.setattr(personal, "found_in", whole)
+    docs = spark.range(0, 2400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(10_000)).alias("text"))
+    before = spark.conf.get(scratch.BATCH)
+    for rows in (personal.detect(docs), personal.masked(docs.withColumn("found", F.lit(1)))):
+        assert rows.count() == 2400
+    largest = personal.detect(docs).select(F.max(F.col("found")[0]["end"])).first()[0]
+    assert 10_000 < largest <= scratch.BATCH_BYTES + 10_000 and spark.conf.get(scratch.BATCH) == before
