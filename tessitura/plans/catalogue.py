@@ -219,7 +219,7 @@ def orphan_files(spark, sf):
 
 
 def _mine(spark, sf):
-    return V.playlist_item_v(spark, sf).where("side = 'ours'").drop("side")
+    return V.playlist_item_v(spark, sf, "ours").drop("side")
 
 
 def playlists_seed(spark, sf):

@@ -11,7 +11,7 @@ from tessitura.functions import text as X
 from tessitura.operators import dedup, history, sinks, unify
 from tessitura.plans import views as V
 from tessitura.plans.oracle import ARTIST, DEDUP, FRESH, NAME, STORED, norm, part
-from tessitura.plans.scratch import shared_dir
+from tessitura.plans.scratch import shared_dir, shuffles_dropped
 from tessitura.plans.views import FILE, ITEM, SCROBBLE, SOURCE, TRACK
 from tessitura.sources import detect as D
 from tessitura.sources import exports
@@ -25,15 +25,27 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _lines(rows: DataFrame, value: Column, folder: str, suffix: str, key: str = "id", head: str = "", tail: str = "", between: str = "") -> str:
     """Write ``value`` of every row, in order of ``key``, into one file for each of BLOCKS."""
-    each = rows.select((F.col(key) % BLOCKS).alias("b"), F.struct(key, value.alias("v")).alias("x"))
-    text = each.groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), between).alias("t")).select(F.concat(F.lit(head), "t", F.lit(tail)).alias("t"))
-    text.write.option("maxRecordsPerFile", 1).text(folder)
+    spark, b = rows.sparkSession, (F.col(key) % BLOCKS).alias("b")
+    if between:
+        each = rows.select(b, F.struct(key, value.alias("v")).alias("x"))
+        text = each.groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), between).alias("t")).select(F.concat(F.lit(head), "t", F.lit(tail)).alias("t"))
+        text.write.option("maxRecordsPerFile", 1).text(folder)
+    else:  # rows stream into their files, each on a line of its own, between lines of head and tail
+        ends = spark.range(BLOCKS).select(F.col("id").alias("b"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("v")), F.struct(F.lit(2).alias("o"), F.lit(tail).alias("v")))).alias("x")).select("b", "x.o", F.lit(0).alias("k"), "x.v")
+        each = rows.select(b, F.lit(1).alias("o"), F.col(key).alias("k"), value.alias("v")).union(ends)
+        with shuffles_dropped(spark):
+            each.repartition(BLOCKS, "b").sortWithinPartitions("b", "o", "k").select("b", "v").write.partitionBy("b").text(folder)
     # Spark's text writer names its files itself; the readers go by their suffix
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(folder)
     store = where.getFileSystem(conf)
-    for i, f in enumerate(x.getPath() for x in store.listStatus(where) if x.getPath().getName().startswith("part-")):
+    listed = [x.getPath() for x in store.listStatus(where)]
+    of_blocks = [p for p in listed if p.getName().startswith("b=")]
+    parts = [x.getPath() for p in of_blocks or [where] for x in store.listStatus(p) if x.getPath().getName().startswith("part-")]
+    for i, f in enumerate(parts):
         store.rename(f, jvm.org.apache.hadoop.fs.Path(where, f"{i}.{suffix}"))
+    for p in of_blocks:
+        store.delete(p, True)
     return folder
 
 
@@ -74,7 +86,7 @@ def plist_tracks(spark, sf):
 
 def plist_members(spark, sf):
     """Lists of a property-list library; a seventh of the tracks isn't known, some lists are smart."""
-    items = V.playlist_item_v(spark, sf).where("side = 'ours'").groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
+    items = V.playlist_item_v(spark, sf, "ours").groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
     entry = F.transform("m", lambda x: F.concat(F.lit("<dict><key>Track ID</key><integer>"), x["track_id"].cast("string"), F.lit("</integer></dict>")))
     k = F.col("playlist_id").cast("string")
     value = F.concat(F.lit("<dict>"), _entry("Name", "string", F.concat(F.lit("list "), k)), _entry("Playlist Persistent ID", "string", k), F.when(F.col("playlist_id") % 9 == 0, F.lit("<key>Smart Info</key><data>AAAA</data>")).otherwise(F.lit("")), F.lit("<key>Playlist Items</key><array>"), F.array_join(entry, ""), F.lit("</array></dict>"))

@@ -47,13 +47,16 @@ def scrobble_v(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def playlist_item_v(spark: SparkSession, sf: str) -> DataFrame:
+def playlist_item_v(spark: SparkSession, sf: str, side: str | None = None) -> DataFrame:
+    """Items of all sides, or of one: then only the rows that are on it move."""
     j = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     c = F.col("o_custkey")
-    sides = F.array(
-        F.when((F.col("l_returnflag") != "R") & (c % 10 != 0), "base"), F.when(F.col("l_linestatus") == "F", "ours"), F.when(F.col("l_quantity") > 20, "theirs")
-    )
-    rows = j.withColumn("track_id", F.col("l_partkey") % 20).withColumn("side", F.explode(F.filter(sides, lambda x: x.isNotNull())))
+    on = {"base": (F.col("l_returnflag") != "R") & (c % 10 != 0), "ours": F.col("l_linestatus") == "F", "theirs": F.col("l_quantity") > 20}
+    rows = j.withColumn("track_id", F.col("l_partkey") % 20)
+    if side:
+        rows = rows.where(on[side]).withColumn("side", F.lit(side))
+    else:
+        rows = rows.withColumn("side", F.explode(F.filter(F.array(*[F.when(x, n) for n, x in on.items()]), lambda x: x.isNotNull())))
     order = ["l_orderkey", "l_linenumber", "track_id", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
     pos = F.row_number().over(W.partitionBy("o_custkey", "side").orderBy(*order))
     return rows.select(c.alias("playlist_id"), "side", "track_id", pos.alias("pos"))

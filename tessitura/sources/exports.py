@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import plistlib
 import zipfile
 from collections.abc import Iterator
 from datetime import date, datetime
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -91,27 +93,134 @@ def plist_tracks(spark: SparkSession, path: str) -> DataFrame:
     return _source_tracks(_parsed(_files(spark, path), parse, "source_id string, known string, rest string"), "apple_xml")
 
 
+PIECE = b"<dict>"  # where files of a property list are cut
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start, at, piece): files in pieces, so that none is ever held whole; those of a file lie in one partition, in order, and give it again with PIECE between them."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", PIECE.decode()).text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"))
+
+    def joined(batches):
+        for b in batches:
+            for (file, start), x in b.groupby(["path", "start"], sort=False):
+                yield pd.DataFrame({"path": [file], "start": [start], "at": [x["at"].iloc[0]], "piece": [PIECE.join(x["piece"])]})
+
+    return rows.mapInPandas(joined, rows.schema).repartition("path").sortWithinPartitions("path", "start", "at")
+
+
+class Playlists:
+    """The playlists of a property list that is fed piece by piece, taken as they end; of their items only the track's id is kept."""
+
+    def __init__(self) -> None:
+        self.done: list[dict] = []
+        self.open, self.key, self.text, self.depth = [], None, [], 0  # open: [container, key] from the playlists' array on
+        self.xml, self.held = None, b""
+
+    def feed(self, data: bytes, last: bool = False) -> list[dict]:
+        """The playlists that ended since the last call."""
+        if self.xml is None:
+            self.held += data
+            if not last and (len(self.held) < 8 or self.held.startswith(b"bplist00")):
+                return []  # a binary property list has its index at the end
+            if self.held.startswith(b"bplist00"):
+                return [{**p, "Playlist Items": [_track_id(x) for x in p.get("Playlist Items", [])]} for p in plistlib.loads(self.held).get("Playlists", [])]
+            self.xml = expat.ParserCreate()
+            self.xml.buffer_text = True
+            self.xml.StartElementHandler, self.xml.EndElementHandler, self.xml.CharacterDataHandler, self.xml.EntityDeclHandler = self._start, self._end, self.text.append, self._entity
+            data, self.held = self.held, b""
+        self.xml.Parse(data, last)
+        out, self.done[:] = self.done[:], []
+        return out
+
+    def _entity(self, *_) -> None:
+        raise plistlib.InvalidFileException("XML entity declarations are not supported in plist files")
+
+    def _start(self, tag: str, _) -> None:
+        self.depth += 1
+        self.text.clear()
+        if self.open:
+            if tag in ("dict", "array"):
+                self.open.append([{} if tag == "dict" else [], None])
+        elif tag == "array" and self.depth == 3 and self.key == "Playlists":
+            self.open.append([[], None])
+
+    def _end(self, tag: str) -> None:
+        self.depth -= 1
+        if not self.open:
+            if tag == "key" and self.depth == 2:
+                self.key = "".join(self.text)
+            return
+        if tag == "key":
+            self.open[-1][1] = "".join(self.text)
+            return
+        value = self.open.pop()[0] if tag in ("dict", "array") else self._leaf(tag, "".join(self.text))
+        if not self.open:
+            return
+        into, key = self.open[-1]
+        if isinstance(into, dict):
+            into[key] = value
+        elif len(self.open) == 1:
+            self.done.append(value)
+        elif len(self.open) == 3 and self.open[1][1] == "Playlist Items":
+            into.append(_track_id(value))
+        else:
+            into.append(value)
+
+    @staticmethod
+    def _leaf(tag: str, text: str):
+        if tag in ("true", "false"):
+            return tag == "true"
+        if tag == "integer":
+            return int(text, 16 if text.lower().startswith(("0x", "-0x")) else 10)
+        return text if tag == "string" else text.strip()
+
+
+def _track_id(item: dict) -> str | None:
+    return str(item["Track ID"]) if item else None
+
+
 def plist_playlists(spark: SparkSession, path: str) -> DataFrame:
     """(list_id, name, description, folder, pos, source_id) of plain playlists; smart lists and the library's own containers are left out.
 
     Repeats of a track that is known don't count; one that isn't known takes its position again with every repeat, so ``pos`` can have gaps after
-    the join with tracks: pass ``known`` ids to ``plist_members``.
+    the join with tracks: pass ``known`` ids to ``plist_members``. Files are parsed as they are read: a task holds one playlist's ids, not the library.
     """
+    columns = ("list_id", "name", "description", "folder", "at", "source_id")
 
-    def parse(_, raw):
-        for p in plistlib.loads(raw).get("Playlists", []):
+    def taken(playlists):
+        for p in playlists:
             if p.get("Smart Info") or p.get("Master") or p.get("Music"):
                 continue
-            for i, item in enumerate(p.get("Playlist Items", []) or [{}]):
-                yield {"list_id": p.get("Playlist Persistent ID"), "name": p.get("Name"), "description": p.get("Description") or None, "folder": bool(p.get("Folder", False)), "at": i, "source_id": str(item["Track ID"]) if item else None}
+            same = (p.get("Playlist Persistent ID"), p.get("Name"), p.get("Description") or None, bool(p.get("Folder", False)))
+            for i, track in enumerate(p.get("Playlist Items") or [None]):
+                yield (*same, i, track)
+
+    def ended(batches):
+        """The playlists of one file after another."""
+        file, parser = None, None
+        for b in batches:
+            for path, piece in zip(b["path"], b["piece"], strict=True):
+                if path != file:
+                    yield from parser.feed(b"", True) if parser else []
+                    file, parser = path, Playlists()
+                    yield from parser.feed(piece)
+                else:
+                    yield from parser.feed(PIECE + piece)
+        yield from parser.feed(b"", True) if parser else []
+
+    def run(batches):
+        rows = taken(ended(batches))
+        while some := list(itertools.islice(rows, 50_000)):
+            yield pd.DataFrame(some, columns=columns)
 
-    return _parsed(_files(spark, path), parse, "list_id string, name string, description string, folder boolean, at int, source_id string")
+    return _pieces(spark, path).mapInPandas(run, "list_id string, name string, description string, folder boolean, at int, source_id string")
 
 
 def plist_members(lists: DataFrame, tracks: DataFrame) -> DataFrame:
     """Members with positions: each known track once; every entry but the repeats of known tracks advances the position."""
     known = tracks.select("source_id").distinct().withColumn("known", F.lit(True))
-    rows = lists.where("source_id is not null").join(known, "source_id", "left")
+    rows = lists.where("source_id is not null").join(known, "source_id", "left").select("list_id", "source_id", "at", "known").repartition("list_id")  # one exchange for both windows
     first = F.row_number().over(W.partitionBy("list_id", "source_id").orderBy("at")) == 1
     counted = rows.withColumn("counts", F.when(first | F.col("known").isNull(), 1).otherwise(0)).withColumn("first", first)
     placed = counted.withColumn("position", F.sum("counts").over(W.partitionBy("list_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))

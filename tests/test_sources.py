@@ -118,3 +118,26 @@ def test_stream_takes_each_date_once(spark, tmp_path):
     put([(3, d(2), "p", "u", "", ""), (4, d(3), "p", "u", "", "")])
     run()
     assert sorted((r["date"].hour, r["title"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "t"), (2, "t"), (3, "u")]
+
+
+def test_plist_is_parsed_as_it_is_read(spark, tmp_path):
+    """Pieces of any length, other orders of keys and the binary form give what the whole file gives; a task holds one playlist of a large library."""
+    lists = [{"Playlist Items": [{"Track ID": (i * j) % 7} for j in range(i % 5)], "Name": f"a & <{i}> é", "Playlist Persistent ID": f"P{i}", "Folder": i % 3 == 0, "Nested": {"x": [{"Playlists": [1]}]}, **({"Smart Info": b"x"} if i % 11 == 0 else {}), **({"Description": "d"} if i % 2 else {})} for i in range(40)]
+    library = {"Before": {"Playlists": [{"Name": "none"}]}, "Playlists": lists, "Tracks": {"1": {"Track ID": 1, "Name": "<dict>"}}}
+    want = []
+    for p in lists:
+        if not p.get("Smart Info"):
+            want += [(p["Playlist Persistent ID"], p["Name"], p.get("Description"), p["Folder"], i, str(x["Track ID"]) if x else None) for i, x in enumerate(p["Playlist Items"] or [{}])]
+    key = lambda r: (r[0], r[4])
+    for name, form, cut in (("x.xml", plistlib.FMT_XML, "64"), ("x.xml", plistlib.FMT_XML, "128m"), ("b.xml", plistlib.FMT_BINARY, "64")):
+        (tmp_path / name).write_bytes(plistlib.dumps(library, fmt=form, sort_keys=False))
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        try:
+            assert sorted(map(tuple, exports.plist_playlists(spark, str(tmp_path / name)).collect()), key=key) == sorted(want, key=key)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    parser, most, data = exports.Playlists(), 0, plistlib.dumps({"Playlists": lists * 50}, fmt=plistlib.FMT_XML)
+    for at in range(0, len(data), 1000):
+        most = max(most, len(parser.feed(data[at : at + 1000])), sum(len(x[0]) for x in parser.open))
+    assert most < 20
