@@ -43,20 +43,29 @@ def missing_files(source: DataFrame, bound: DataFrame) -> DataFrame:
     return wanted.join(bound.select(F.col("source_id").alias("id")), "id", "left_anti")
 
 
-def candidate_paths(source: DataFrame) -> DataFrame:
-    """(id, path): all places where a source track's file may lie, distinct.
+def _parts(source: DataFrame) -> DataFrame:
+    """What a track's paths depend on: (id, title, track_number, discs, pa, pl)."""
+    discs = F.array_compact(F.array(F.struct(F.lit(None).cast("int").alias("d")), F.when(F.col("disc_number").isNotNull(), F.struct(F.col("disc_number").cast("int").alias("d")))))
+    return source.select("id", "title", "track_number", discs.alias("discs"), path_artist(F.col("compilation"), F.col("album_artist"), F.col("artist")).alias("pa"), path_album(F.col("album")).alias("pl"))
+
+
+def _placed(named: DataFrame) -> DataFrame:
+    """(id, folder, name) of every option, some more than once.
 
     The parts of a path are worked out step by step, in projections that the generated code can hold: folders once for each track and limit, names
     for each option.
     """
-    discs = F.array_compact(F.array(F.struct(F.lit(None).cast("int").alias("d")), F.when(F.col("disc_number").isNotNull(), F.struct(F.col("disc_number").cast("int").alias("d")))))
     options = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s in SUFFIXES for e in EXTENSIONS])
-    named = source.select("id", "title", "track_number", discs.alias("discs"), path_artist(F.col("compilation"), F.col("album_artist"), F.col("artist")).alias("pa"), path_album(F.col("album")).alias("pl"))
     limited = named.withColumn("n", F.explode(F.array(*[F.lit(n) for n in LIMITS])))
     folders = limited.select("id", "title", "track_number", "discs", "n", F.concat_ws("/", path_part(F.col("pa"), F.col("n")), path_part(F.col("pl"), F.col("n"))).alias("folder"))
     rows = folders.select("id", "title", "track_number", "n", "folder", F.explode("discs").alias("disc")).withColumn("o", F.explode(options))
     name = file_name(F.col("title"), F.col("o.e"), F.col("track_number"), F.col("disc.d"), F.col("o.s"), F.col("n"))
-    return rows.select("id", "folder", name.alias("name")).distinct().select("id", F.concat_ws("/", "folder", "name").alias("path"))
+    return rows.select("id", "folder", name.alias("name"))
+
+
+def candidate_paths(source: DataFrame) -> DataFrame:
+    """(id, path): all places where a source track's file may lie, distinct. Tracks move, not their paths."""
+    return _placed(_parts(source).repartition("id")).distinct().select("id", F.concat_ws("/", "folder", "name").alias("path"))
 
 
 def ends(part: Column) -> Column:
@@ -71,17 +80,20 @@ def bind_files(source: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, source_id): each file with the smallest source track one of whose paths its own contains, letter case aside.
 
     A path that another contains has its album folder as a whole folder there, and its file name, which ends with an extension, begins the next part.
-    So both sides meet by folder and by what stands up to an extension, an equality on whole names; containment of the artist is then tested.
+    So both sides meet by folder and by what stands up to an extension, by 128 bits of the two; then the part before the folder has to end with the path's
+    artist. Of the tracks that have the same paths only the smallest is placed, and neither paths nor names move.
     """
+    same = ["title", "track_number", "discs", "pa", "pl"]
+    keys = lambda folder, name: [F.xxhash64(folder, name).alias("k1"), F.xxhash64(F.lit(1), folder, name).alias("k2")]
     low = F.split("low", "/")
-    c = candidate_paths(source).select("id", F.lower("path").alias("low")).select("id", "low", F.get(low, F.lit(1)).alias("folder"), F.get(low, F.lit(2)).alias("name"))
+    c = _placed(_parts(source).groupBy(*same).agg(F.min("id").alias("id"))).select("id", F.lower(F.concat_ws("/", "folder", "name")).alias("low"))
+    c = c.select(*keys(F.get(low, F.lit(1)), F.get(low, F.lit(2))), F.get(low, F.lit(0)).alias("artist"), "id").repartition("k1", "k2").groupBy("k1", "k2", "artist").agg(F.min("id").alias("id"))
     f = files.where(F.col("track_id").isNull()) if "track_id" in files.columns else files
-    f = f.select(F.col("id").alias("file_id"), F.lower("source_path").alias("source_low"))
-    own = F.split("source_low", "/")
-    pairs = F.transform(own, lambda x, i: F.struct(x.alias("folder"), F.get(own, i + 1).alias("next")))
-    f = f.select("file_id", "source_low", F.explode(pairs).alias("p")).where(F.greatest(*[F.col("p.next").contains(f".{e}") for e in EXTENSIONS]))
-    f = f.select("file_id", "source_low", "p.folder", F.explode(ends(F.col("p.next"))).alias("name"))
-    met = f.join(c, ["folder", "name"]).where(F.col("source_low").contains(F.col("low")))
+    own = F.split(F.lower("source_path"), "/")
+    pairs = F.transform(F.slice(own, F.lit(2), F.size(own)), lambda x, i: F.struct(F.get(own, i).alias("before"), x.alias("folder"), F.get(own, i + 2).alias("next")))
+    f = f.select(F.col("id").alias("file_id"), F.explode(pairs).alias("p")).where(F.greatest(*[F.col("p.next").contains(f".{e}") for e in EXTENSIONS]))
+    f = f.select("file_id", "p.before", "p.folder", F.explode(ends(F.col("p.next"))).alias("name")).select("file_id", "before", *keys(F.col("folder"), F.col("name")))
+    met = written(f.join(c, ["k1", "k2"]).where(F.col("before").endswith(F.col("artist"))).select("file_id", "id"), "bound")  # the join's shuffle files go
     return met.groupBy("file_id").agg(F.min("id").alias("source_id"))
 
 

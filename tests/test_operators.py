@@ -206,6 +206,17 @@ def test_bind_files_inside_longer_names(spark):
     assert {r["file_id"]: r["source_id"] for r in unify.bind_files(source, files).collect()} == want and set(want) == {0, 1, 2, 4}
 
 
+def test_bind_files_moves_no_paths(spark, monkeypatch):
+    """Only keys, artists and ids are dealt out for the join, of tracks with the same paths one; a file without a folder above its album's binds to none."""
+    kind = "id long, title string, artist string, album string, album_artist string, track_number int, disc_number int, compilation boolean"
+    source = spark.createDataFrame([(i, "Song", "A", "B", None, 1, None, False) for i in range(9, 3, -1)], kind)
+    files = spark.createDataFrame([(1, "/x a/b/01 song.mp3"), (2, "b/01 song.mp3"), (3, "c/b/01 song.mp3"), (4, "")], "id long, source_path string")
+    seen = []
+    monkeypatch.setattr(unify, "written", lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert [tuple(r) for r in unify.bind_files(source, files).collect()] == [(1, 4)]
+    assert "k1" in seen[0] and "source_low" not in seen[0] and "Contains(" not in seen[0].split("Join Inner")[0]
+
+
 def test_fold_by_name_equals_one_fold(spark):
     """Folding connected names apart gives what one fold over all lists gives."""
     rng = random.Random(5)
