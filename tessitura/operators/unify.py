@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import file_name, half_even_seconds, path_album, path_artist, path_part, tag_year
-from tessitura.operators.components import components
 from tessitura.plans.scratch import written
 
 KEY = ("title", "artist", "album", "album_artist")
@@ -142,33 +139,66 @@ def fold_lists(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["playlist_id", "name", "position", "track_id"])
 
 
-def set_keys(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one name the hashes of its lists' track sets, and of every set that it can have: the lists from one to a later one together."""
-    group = group.sort_values(["created_at", "playlist_id"], ascending=[False, True], na_position="last", kind="stable")
-    lists, keys = [frozenset(t) for t in group["tracks"]], set()
-    for i in range(len(lists)):
-        now = frozenset()
-        for other in lists[i:]:
-            if other <= now:
-                continue
-            now |= other
-            keys.add(now)
-    raw = [hashlib.sha256(",".join(map(str, sorted(x))).encode()).hexdigest() for x in {*keys, *lists}]
-    return pd.DataFrame({"name": group["name"].iloc[0], "key": raw})
+def _set_hash(tracks: Column) -> list[Column]:
+    """128 bits of a set of tracks, which follow from those of its members by XOR."""
+    own = lambda h: F.aggregate(F.array_distinct(tracks), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(h(x)))
+    return [own(h).alias(f"h{i}") for i, h in enumerate(HASHES)]
+
+
+HASHES = (lambda x: F.xxhash64(x), lambda x: F.xxhash64(F.lit(1), x))
+
+
+def _firsts(lists: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(k, track, at): where each track comes first among a name's lists from its anchor on: (list, position)."""
+    later = lists.join(anchors, "k").where("o >= anchor").select("k", "o", F.posexplode("tracks").alias("i", "track"))
+    return later.groupBy("k", "track").agg(F.min(F.struct("o", "i")).alias("at"))
+
+
+def _states(firsts: DataFrame) -> DataFrame:
+    """(k, h0, h1, o, until): the set that a name's list has from one list to another; ``until`` is null for the last one."""
+    steps = firsts.groupBy("k", F.col("at.o").alias("o")).agg(*[F.bit_xor(h(F.col("track"))).alias(f"d{i}") for i, h in enumerate(HASHES)])
+    w = W.partitionBy("k").orderBy("o")
+    held = w.rowsBetween(W.unboundedPreceding, 0)
+    return steps.select("k", *[F.bit_xor(f"d{i}").over(held).alias(f"h{i}") for i in range(2)], "o", F.lead("o").over(w).alias("until"))
+
+
+def _anchors(lists: DataFrame, states: DataFrame) -> DataFrame:
+    """(k, anchor): of each name the first list whose set no other name's list has just then; names that have none stay out."""
+    tries = lists.select("k", "h0", "h1", "o", F.lit(0).alias("turn"), F.lit(0).alias("n"))
+    begin = states.select("k", "h0", "h1", "o", F.lit(1).alias("turn"), F.lit(1).alias("n"))
+    end = states.where("until is not null").select("k", "h0", "h1", F.col("until").alias("o"), F.lit(1).alias("turn"), F.lit(-1).alias("n"))
+    upto = lambda *by: W.partitionBy("h0", "h1", *by).orderBy("o", "turn").rowsBetween(W.unboundedPreceding, 0)
+    seen = tries.union(begin).union(end).withColumn("own", F.sum("n").over(upto("k"))).withColumn("all", F.sum("n").over(upto()))
+    return seen.where("turn = 0 and all = own").groupBy("k").agg(F.min("o").alias("anchor"))
 
 
 def merge_playlists_by_name(playlists: DataFrame, items: DataFrame) -> DataFrame:
     """Fold playlists newest first: the same name appends new tracks to the list of this run; a new name whose track set equals an existing
     list's current set is skipped. The anchor keeps its repeats, appended tracks are distinct.
 
-    The fold is sequential, but two names touch each other only where one's track set can equal the other's. So names are grouped by the sets that
-    they can have, connected names are folded together in one task, and all others by themselves.
+    The fold is sequential, but what a name's list becomes follows from its anchor alone: the tracks of its later lists, where each comes first.
+    So every name is anchored at its first list to begin with, the sets that the lists then have at any time (128 bits) are held against all lists, and names whose
+    anchor was skipped move on, until none does. Each round settles the earliest lists that the one before left open, so the end is the fold's.
     ``playlists``: playlist_id, name, created_at. ``items``: playlist_id, pos, track_id.
     """
-    lists = items.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
-    rows = written(playlists.join(lists, "playlist_id").select("playlist_id", "name", "created_at", F.col("m.track_id").alias("tracks")), "lists")
-    keys = rows.groupBy("name").applyInPandas(set_keys, "name string, key string").withColumn("id", F.xxhash64("name"))
-    links = keys.groupBy("key").agg(F.min("id").alias("least")).join(keys, "key").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    roots = components(links)
-    of = rows.withColumn("id", F.xxhash64("name")).join(roots, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("root", "id"))
-    return of.select("part", "playlist_id", "name", "created_at", "tracks").groupBy("part").applyInPandas(fold_lists, "playlist_id long, name string, position int, track_id long")
+    held = items.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
+    key = F.coalesce(F.concat(F.lit("="), "name"), F.lit("")).alias("k")
+    order = F.struct(F.col("created_at").isNull().alias("late"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("back"), F.col("playlist_id").alias("id")).alias("o")
+    lists = playlists.join(held, "playlist_id").select(key, "name", order, F.col("m.track_id").alias("tracks"))
+    lists = written(lists.select("*", *_set_hash(F.col("tracks"))), "lists")
+    anchors = written(lists.groupBy("k").agg(F.min("o").alias("anchor")), "anchors")
+    firsts = written(_firsts(lists, anchors), "firsts")
+    while True:
+        now = written(_anchors(lists, _states(firsts)), "anchors")
+        moved = anchors.select("k", F.col("anchor").alias("was")).join(now, "k", "full").where(~F.col("was").eqNullSafe(F.col("anchor"))).select("k", "anchor")
+        moved = written(moved, "moved")
+        if moved.isEmpty():
+            break
+        firsts = written(firsts.join(moved.select("k"), "k", "left_anti").union(_firsts(lists, moved.where("anchor is not null"))), "firsts")
+        anchors = now
+    anchored = lists.join(anchors, "k").where("o = anchor")
+    whole = anchored.select("k", F.col("o.id").alias("playlist_id"), "name", F.size("tracks").alias("n"), "tracks")
+    own = whole.select("playlist_id", "name", F.posexplode("tracks").alias("i", "track_id")).select("playlist_id", "name", (F.col("i") + 1).alias("position"), "track_id")
+    more = firsts.join(whole.drop("tracks"), "k").join(anchors, "k").where(F.col("at.o") > F.col("anchor"))
+    rank = F.row_number().over(W.partitionBy("k").orderBy("at"))
+    return own.union(more.select("playlist_id", "name", (F.col("n") + rank).cast("int").alias("position"), F.col("track").alias("track_id")))

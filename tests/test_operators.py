@@ -228,3 +228,27 @@ def test_fold_by_name_equals_one_fold(spark):
     want = sorted(map(tuple, unify.fold_lists(group).itertuples(index=False)))
     p, m = spark.createDataFrame(lists, "playlist_id long, name string, created_at timestamp"), spark.createDataFrame(items, "playlist_id long, pos int, track_id long")
     assert sorted(map(tuple, unify.merge_playlists_by_name(p, m).collect())) == want
+
+
+def test_fold_by_name_of_many_lists(spark):
+    """A name's many lists take a few aggregations, no pass over all spans of them; skipped names move on one after another, null names count as one."""
+    import pandas as pd
+
+    day = datetime(2020, 1, 1)
+    for seed in range(4):
+        rng = random.Random(seed)
+        lists = [(i, rng.choice([*"abcdefghijkl", None]), datetime(2020, 1, rng.randrange(1, 28)) if rng.random() > 0.2 else None) for i in range(80)]
+        items = [(i, at, rng.choice([0, 1, 2])) for i, _, _ in lists for at in range(rng.randrange(1, 3 + seed))]
+        if seed == 0:  # a chain: each name is skipped by what the one before holds
+            lists = [(i, f"n{i // 2}", day) for i in range(60)]
+            items = [(i, 0, (i + 1) // 2) for i in range(60)]
+        group = pd.DataFrame([(i, n, d, [t for j, _, t in items if j == i]) for i, n, d in lists], columns=["playlist_id", "name", "created_at", "tracks"])
+        group["created_at"] = pd.to_datetime(group["created_at"])
+        group["name"] = [n for _, n, _ in lists]
+        key = lambda r: (r[0], r[2])
+        want = sorted(((a, n if isinstance(n, str) else None, p, t) for a, n, p, t in unify.fold_lists(group).itertuples(index=False)), key=key)
+        p, m = spark.createDataFrame(lists, "playlist_id long, name string, created_at timestamp"), spark.createDataFrame(items, "playlist_id long, pos int, track_id long")
+        assert sorted(map(tuple, unify.merge_playlists_by_name(p, m).collect()), key=key) == want
+    m = spark.range(0, 120_000).select((F.col("id") % 20_000).alias("playlist_id"), F.floor(F.col("id") / 20_000).cast("int").alias("pos"), (F.xxhash64("id") % 9).alias("track_id"))
+    p = m.select("playlist_id").distinct().select("playlist_id", F.concat(F.lit("n"), F.col("playlist_id") % 2).alias("name"), F.timestamp_seconds(F.col("playlist_id") % 97).alias("created_at"))
+    assert unify.merge_playlists_by_name(p, m).select("name").distinct().count() == 2
