@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import SIMILAR, gram_similarity, trigrams
 from tessitura.plans.scratch import written
 
 TITLE_SIMILAR, LEAST_LENGTH, THRESHOLD = 0.45, 4, 0.4
+ROUNDS = (0.7, TITLE_SIMILAR)  # title similarities down to which the best tracks of the highest score are looked for
+SHARD, BLOCK = 100_000, 200_000  # tracks and aliases that a task compares
+EDGE = 1e-6  # above the rounding of a 4-byte float
 
 
 def match_exact(aliases: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -66,9 +71,110 @@ def title_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return whole.select("a", "b", sim.alias("sim")).where((F.col("sim") >= F.lit(SIMILAR).cast("float")) & gate)
 
 
+class Index:
+    """Titles by gram, to find those of a least similarity to a title."""
+
+    def __init__(self, grams: list[np.ndarray]) -> None:
+        self.n = np.array([len(g) for g in grams])
+        self.vocabulary, flat = np.unique(np.concatenate(grams), return_inverse=True)
+        row = np.repeat(np.arange(len(grams)), self.n)
+        self.rows = row[np.argsort(flat, kind="stable")]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(self.vocabulary)))])
+        self.grams = np.full((len(grams), self.n.max()), len(self.vocabulary), np.int32)
+        self.grams[row, np.arange(len(row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)] = flat
+        self.mark, self.met = np.zeros(len(self.vocabulary) + 1, bool), np.zeros(len(grams), np.int16)
+
+    def near(self, title: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows at ``least`` or more, with their similarity: they have one of the title's rarest grams, and enough of these for the others to do."""
+        n, at = len(title), np.searchsorted(self.vocabulary, title)
+        at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == title]
+        known = at[np.argsort(self.ends[at + 1] - self.ends[at], kind="stable")]
+        rare = known[: max(0, n - int(np.ceil(least * n - EDGE)) + 1 - (n - len(known)))]  # grams that no title has come first
+        lists = [self.rows[self.ends[g] : self.ends[g + 1]] for g in rare]
+        if not lists:
+            return np.zeros(0, int), np.zeros(0)
+        for x in lists:
+            self.met[x] += 1
+        rows = np.concatenate(lists)
+        enough = rows[self.met[rows] + len(known) - len(rare) >= least / (1 + least) * (n + self.n[rows]) - EDGE]
+        self.met[rows] = 0
+        rows = np.unique(enough)
+        self.mark[known] = True
+        shared = self.mark[self.grams[rows]].sum(1)
+        self.mark[known] = False
+        sim = shared / (n + self.n[rows] - shared)
+        return rows[sim >= least], sim[sim >= least]
+
+
+def _signature(grams: Column) -> Column:
+    """Equal for texts of the same grams, that is of similarity 1; null for a text without any."""
+    return F.when(F.size(grams) > 0, F.xxhash64(F.array_sort(grams)))
+
+
+def _best_of(least: float):
+    def run(aliases: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(aliases) and len(tracks):
+            index, ids, albums = Index(list(tracks["g"])), tracks["id"].to_numpy(), tracks["album"].to_numpy()
+            for _, same in aliases.groupby("a", sort=False):
+                rows, sim = index.near(np.asarray(same["g"].iloc[0]), least)
+                sim = sim.astype(np.float32)
+                for ref, blank, album in zip(same["ref"], same["blank"], same["album"], strict=True):
+                    own = np.ones(len(rows), bool) if blank else albums[rows] == album
+                    if own.any() and (top := sim[own].max()) >= least + EDGE:
+                        out.append((ref, top, ids[rows[own & (sim == top)]].min()))
+        return pd.DataFrame(out, columns=["ref", "sim", "id"]).astype({"sim": np.float32})
+
+    return run
+
+
+def top_matches(aliases: DataFrame, tracks: DataFrame, least: float) -> DataFrame:
+    """(ref, sim, id): for each alias the best of the tracks that have its artist, and its album if it has one, if a title of ``least`` similarity is among them.
+
+    No other track scores as high, and of these a less similar title never wins, so a match is final. Tracks of an artist are dealt out in shards, each with all the artist's
+    aliases; pairs exist within a task only. ``aliases``: ref, a, g, artist, album (signatures), blank. ``tracks``: id, g, artist, album_artist, album.
+    """
+    by = lambda c: tracks.select(F.col(c).alias("artist"), "id", "g", "album").where("artist is not null")
+    t = by("artist").union(by("album_artist").where("artist is not null")).groupBy("artist", "album", "g").agg(F.min("id").alias("id"))
+    a = aliases.where("artist is not null and size(g) > 0 and (blank or album is not null)")
+    t, a = t.where("size(g) > 0"), a.withColumn("h", F.xxhash64("a"))
+    parts = t.groupBy("artist").agg(F.ceil(F.count("*") / SHARD).alias("shards")).join(a.groupBy("artist").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "artist")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    t = t.join(parts, "artist").withColumn("shard", F.pmod(F.xxhash64("g"), "shards")).withColumn("block", every("blocks"))
+    a = a.join(parts, "artist").withColumn("block", F.pmod("h", "blocks")).withColumn("shard", every("shards"))
+    keys = ["artist", "shard", "block"]
+    found = a.select(*keys, "ref", "a", "g", "album", "blank").groupBy(*keys).cogroup(t.select(*keys, "id", "g", F.coalesce("album", F.lit(0)).alias("album")).groupBy(*keys)).applyInPandas(_best_of(least), "ref long, sim float, id long")
+    return found.groupBy("ref").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("id").alias("id"))).alias("k")).select("ref", (-F.col("k.s")).alias("sim"), F.col("k.id").alias("id"))
+
+
 def match_fuzzy(aliases: DataFrame, tracks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(alias_key, track_id, score): aliases with an artist, best track by score, title similarity, id; accepted from ``threshold`` on."""
+    """(alias_key, track_id, score): aliases with an artist, best track by score, title similarity, id; accepted from ``threshold`` on.
+
+    Most aliases have a similar title among the tracks of their own artist and album, which no other track outscores; what is left is held against all titles.
+    """
     a = aliases.where((F.col("artist_norm") != "") & (F.col("title_norm") != "")).select("alias_key", F.col("title_norm").alias("a"), F.col("artist_norm").alias("a_artist"), F.col("album_norm").alias("a_album"))
+    grams = lambda c: F.transform(trigrams(F.col(c)), lambda x: F.xxhash64(x))
+    a = written(a.withColumn("ref", F.monotonically_increasing_id()), "aliases")
+    open_ = a.select("ref", "a", grams("a").alias("g"), _signature(trigrams(F.col("a_artist"))).alias("artist"), _signature(trigrams(F.col("a_album"))).alias("album"), (F.col("a_album") == "").alias("blank"))
+    t = tracks.where("title_norm <> ''").select("id", grams("title_norm").alias("g"), *[_signature(trigrams(F.col(f"{c}_norm"))).alias(c) for c in ("artist", "album_artist", "album")])
+    settled = None
+    for least in ROUNDS:
+        found = written(top_matches(open_, t, least), "matched")
+        settled = found if settled is None else settled.union(found)
+        left = written(a.join(settled.select("ref"), "ref", "left_anti"), "left")
+        if left.isEmpty():
+            break
+        open_ = open_.join(left.select("ref"), "ref", "left_semi")
+    score = F.when(F.col("a_album") == "", 0.875).otherwise(1.0)
+    best = a.join(settled, "ref").select("alias_key", F.struct((-score).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id")).alias("k"))
+    if not left.isEmpty():
+        best = best.union(_match_all(left.drop("ref"), tracks))
+    best = best.groupBy("alias_key").agg(F.min("k").alias("k"))
+    return best.select("alias_key", F.col("k.id").alias("track_id"), (-F.col("k.a")).alias("score")).where(F.col("score") >= threshold)
+
+
+def _match_all(a: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(alias_key, k): the best of all tracks, k as negative score and similarity, and id."""
     pairs = title_pairs(a.select(F.col("a").alias("t")), tracks.select(F.col("title_norm").alias("t")))
     t = tracks.select("id", F.col("title_norm").alias("b"), F.col("artist_norm").alias("t_artist"), F.col("album_artist_norm").alias("t_album_artist"), F.col("album_norm").alias("t_album"))
     rows = a.join(pairs, "a").join(t, "b")
@@ -78,8 +184,7 @@ def match_fuzzy(aliases: DataFrame, tracks: DataFrame, threshold: float = THRESH
     rows = rows.join(sims.toDF("a_artist", "t_artist", "s1"), ["a_artist", "t_artist"]).join(sims.toDF("a_artist", "t_album_artist", "s2"), ["a_artist", "t_album_artist"]).join(sims.toDF("a_album", "t_album", "s3"), ["a_album", "t_album"], "left")
     album = F.when(F.col("a_album") == "", F.lit(0.5)).otherwise(F.col("s3").cast("double"))
     score = F.greatest("s1", "s2").cast("double") * 0.75 + album * 0.25
-    best = rows.groupBy("alias_key").agg(F.min(F.struct((-score).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id"))).alias("k"))
-    return best.select("alias_key", F.col("k.id").alias("track_id"), (-F.col("k.a")).alias("score")).where(F.col("score") >= threshold)
+    return rows.groupBy("alias_key").agg(F.min(F.struct((-score).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id"))).alias("k"))
 
 
 def augment(aliases: DataFrame) -> DataFrame:

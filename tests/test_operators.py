@@ -252,3 +252,22 @@ def test_fold_by_name_of_many_lists(spark):
     m = spark.range(0, 120_000).select((F.col("id") % 20_000).alias("playlist_id"), F.floor(F.col("id") / 20_000).cast("int").alias("pos"), (F.xxhash64("id") % 9).alias("track_id"))
     p = m.select("playlist_id").distinct().select("playlist_id", F.concat(F.lit("n"), F.col("playlist_id") % 2).alias("name"), F.timestamp_seconds(F.col("playlist_id") % 97).alias("created_at"))
     assert unify.merge_playlists_by_name(p, m).select("name").distinct().count() == 2
+
+
+def test_fuzzy_matches_in_shards(spark, monkeypatch):
+    """Tracks of the alias's own artist and album settle it without pairs of all titles; the rest, and any number of shards, give what all pairs give."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(["large", "old", "cold", "blue", "ring", "bolt", "ringbolt", "x", "!"])
+    title, name = lambda: " ".join(word() for _ in range(rng.randrange(1, 4))) + f" {rng.randrange(30)}", lambda: rng.choice(["", "a b", "b a", "cc", "ccd", "?"])
+    t = spark.createDataFrame([(i, title(), name(), name(), name()) for i in range(400)], "id long, title_norm string, artist_norm string, album_artist_norm string, album_norm string")
+    a = spark.createDataFrame([(f"k{i % 140}", title()[rng.randrange(3) :], name(), name()) for i in range(150)], "alias_key string, title_norm string, artist_norm string, album_norm string")
+    rows = a.where("artist_norm <> '' and title_norm <> ''").select("alias_key", F.col("title_norm").alias("a"), F.col("artist_norm").alias("a_artist"), F.col("album_norm").alias("a_album"))
+    want = {r["alias_key"]: (r["k"]["id"], -r["k"]["a"]) for r in match._match_all(rows, t).collect() if -r["k"]["a"] >= match.THRESHOLD}
+    for shard, block in ((100_000, 200_000), (7, 5)):
+        monkeypatch.setattr(match, "SHARD", shard)
+        monkeypatch.setattr(match, "BLOCK", block)
+        assert {r["alias_key"]: (r["track_id"], r["score"]) for r in match.match_fuzzy(a, t).collect()} == want
+    monkeypatch.setattr(match, "title_pairs", lambda *_: 1 / 0)
+    own = t.where("artist_norm in ('cc', 'ccd') and title_norm not like '!%'").select(F.col("id").cast("string").alias("alias_key"), "title_norm", "artist_norm", F.lit("").alias("album_norm"))
+    got = match.match_fuzzy(own, t).collect()
+    assert len(got) == own.count() > 50 and {r["score"] for r in got} == {0.875}
