@@ -70,7 +70,7 @@ def ends(part: Column) -> Column:
     pieces = F.split(part, "(?<=" + "|".join(rf"\.{e}" for e in EXTENSIONS) + ")")
     upto = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), ""))
     ending = lambda x: F.greatest(*[x.endswith(f".{e}") for e in EXTENSIONS])
-    return F.filter(upto, ending)
+    return F.array_distinct(F.filter(upto, ending))  # nothing stands behind the last one
 
 
 def bind_files(source: DataFrame, files: DataFrame) -> DataFrame:

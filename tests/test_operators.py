@@ -214,6 +214,8 @@ def test_bind_files_moves_no_paths(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(unify, "written", lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     assert [tuple(r) for r in unify.bind_files(source, files).collect()] == [(1, 4)]
+    ends = files.select("id", F.explode(unify.ends(F.element_at(F.split("source_path", "/"), -1))).alias("e"))
+    assert sorted(r["id"] for r in ends.collect()) == [1, 2, 3]
     assert "k1" in seen[0] and "source_low" not in seen[0] and "Contains(" not in seen[0].split("Join Inner")[0]
 
 
