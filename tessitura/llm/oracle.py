@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, by brute force.
 
-Not here: 1 and 9 (fitted models), 2 (byte strings), 4 (XXH64), 10 (a tokenizer) and the pipeline that holds them; tests/llm hold those
+Not here: 1, 9 and 11 (fitted models), 2 (byte strings), 4 (XXH64), 10 (a tokenizer) and the pipeline that holds them; tests/llm hold those
 against plain Python.
 """
 
@@ -70,4 +70,39 @@ VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
   c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
   SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id"""
 
-SQL: dict[str, str] = {"op3_secrets": _secrets(), "op5_licenses": _licenses(), "op6_decontamination": CONTAMINATION, "op7_embeddings": VECTORS, "op8_substrings": SUBSTRINGS}
+PHRASE_COUNTS = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+  total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1), k AS (SELECT unnest([1, 2, 3]) AS k),
+  f AS MATERIALIZED (SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, k WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 10),
+  cut AS (SELECT lang, k, p, f, j, p[1:j] AS head, p[j + 1:k] AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1)),
+  s AS (SELECT c.lang, c.k, c.p, c.f AS a, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, j FROM cut c JOIN f x ON x.lang = c.lang AND x.p = c.head JOIN f y ON y.lang = c.lang AND y.p = c.tail),
+  least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+  inside AS (SELECT lang, p, max(f) AS longer FROM (SELECT lang, f, p[1:2] AS p FROM f WHERE k = 3 UNION ALL SELECT lang, f, p[2:3] FROM f WHERE k = 3) GROUP BY 1, 2),
+  kept AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM least LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 50 * a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+def _codes() -> str:
+    """Lloyd's rounds written out one after the other."""
+    distance = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = []
+    for t in range(5):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT vec_id, label, p, arg_min(j, d * 256 + j) AS j, min(d) AS d FROM (SELECT vec_id, label, p, j, {distance} AS d FROM parts JOIN b{t} USING (p)) GROUP BY ALL)")
+        if t < 4:
+            steps.append(f"m{t} AS (SELECT p, j, pos, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, j, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{t} JOIN parts USING (vec_id, label, p)) GROUP BY ALL)")
+            steps.append(f"b{t + 1} AS MATERIALIZED (SELECT p, j, coalesce(new, c) AS c FROM b{t} LEFT JOIN (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS new FROM m{t} GROUP BY ALL) USING (p, j))")
+    return f"""WITH v AS (SELECT vec_id, coalesce(label, -1) AS label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  parts AS MATERIALIZED (SELECT vec_id, label, p, e[p * len(e) // 4 + 1:(p + 1) * len(e) // 4] AS x FROM (SELECT *, unnest(range(4)) AS p FROM v)),
+  b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS c FROM parts QUALIFY j < 256), {', '.join(steps)},
+  one AS (SELECT vec_id, label, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL), book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b4)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM one, book"""
+
+
+SQL: dict[str, str] = {
+    "op3_secrets": _secrets(),
+    "op5_licenses": _licenses(),
+    "op6_decontamination": CONTAMINATION,
+    "op7_embeddings": VECTORS,
+    "op8_substrings": SUBSTRINGS,
+    "op12_collocations": PHRASE_COUNTS,
+    "op13_vector_codes": _codes(),
+}

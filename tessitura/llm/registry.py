@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import benchmark, fingerprints, language, licenses, personal, pieces, secrets, substrings, suffixes, vectors
+from tessitura.llm import benchmark, codes, collocations, fingerprints, language, licenses, personal, pieces, quality, secrets, substrings, suffixes, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,13 +67,25 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_read(spark, sf_dir, "documents"), model_path())
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-OPERATORS = (op1_personal_data, op2_suffix_dedup, op3_secrets, op4_simhash, op5_licenses, op6_decontamination, op7_embeddings, op8_substrings, op9_language, op10_pieces, pipeline)
+OPERATORS = (op1_personal_data, op2_suffix_dedup, op3_secrets, op4_simhash, op5_licenses, op6_decontamination, op7_embeddings, op8_substrings, op9_language, op10_pieces, op11_quality, op12_collocations, op13_vector_codes, pipeline)
 
 
 def queries() -> dict:
