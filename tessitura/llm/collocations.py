@@ -31,7 +31,7 @@ from tessitura.llm.automaton import Automaton
 from tessitura.llm.scratch import written
 
 UNKNOWN = "und"
-SHARD = 2_000_000  # words of one language in an automaton
+SHARD = 1_000_000  # words of one language in an automaton
 ROWS = 100_000  # phrases that are handed over at once
 BITS_EACH, LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 20, 29, 20  # of a bit table: bits for each phrase; exponents of its least and largest size and of the part that one group builds
 SALTS = 64  # groups of a language that are ranked apart first
@@ -133,10 +133,13 @@ def counted(texts: DataFrame, sizes: list[int], least: int, known=None) -> DataF
         held: dict[str, Shard] = {}
         total = 0
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                shard = held.setdefault(lang, Shard(lang)) if lang not in held else held[lang]
+            for lang, text in zip(b.column("lang"), b.column("text"), strict=True):  # one text at a time: the batch isn't copied
+                lang = lang.as_py()
+                if lang not in held:
+                    held[lang] = Shard(lang)
+                shard = held[lang]
                 before = shard.size
-                shard.add(text)
+                shard.add(text.as_py())
                 total += shard.size - before
                 if shard.size >= SHARD:
                     total -= shard.size
