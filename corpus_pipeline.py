@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import benchmark, fingerprints, language, personal, pieces, registry
+from tessitura.llm import benchmark, fingerprints, language, numbering, personal, pieces, registry
 from tessitura.llm.scratch import written
 
 
@@ -14,18 +14,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_known(docs, language.fit(docs.where(~language.held_out())))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_no`` of each document, one row for each; of rows equal in key and text one is kept."""
+    rows, _, unique = numbering.with_numbers(docs, "doc_id", "text")
+    return rows if unique else rows.dropDuplicates(["_no"])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the smallest doc_id, of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    groups = fingerprints.similar_documents(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """Keep one document, the first by doc_id, of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    rows = _numbered(docs)
+    groups = fingerprints.similar_numbers(rows, "_no", "text")
+    kept = groups.where(F.col("_no") == F.col("component_id")).select("_no")
+    return rows.join(kept, "_no", "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a window of a benchmark item."""
-    found = benchmark.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = written(found.where("contaminated").select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """Drop the documents that hold a window of a benchmark item, each judged by itself whatever its doc_id."""
+    rows = numbering.with_numbers(docs, "doc_id", "text")[0]
+    found = benchmark.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_no")
+    leaks = written(found.where("contaminated").select("_no").distinct(), "leaks")
+    return rows.join(leaks, "_no", "left_anti").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ One scan of the texts keeps the places whose shingle is one of the items', toget
 everything after that works on these places only. Tables of shingles and windows are broadcast if they have at most
 BROADCAST_ROWS rows, counted beforehand, and joined by shuffle beyond that.
 
-Defined results: null and empty texts have no words; an item without words has no window; rows with equal keys are counted
-together (a document's key is its identity); null item ids are left out; further columns are ignored.
+Documents go by a number of their own (``numbering``), not by their key, so keys may be null, repeated or of any type.
+
+Defined results: null and empty texts have no words; an item without words has no window; rows with one key and different texts are different
+documents, each judged by itself; rows equal in both are judged alike; null item ids are left out; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.llm.numbering import numbered
 from tessitura.llm.scratch import written
 
 GRAM = 5
@@ -56,26 +59,26 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def places(docs: DataFrame, grams: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """One row with ``at`` = -1 for each document (its number of words), and one for each place whose shingle is an item's."""
+    """One row with ``at`` = -1 for each document (its number, key and number of words), and one for each place whose shingle is an item's."""
     wanted = grams.select("k", "gram").distinct()
     per_k = {r["k"]: r["count"] for r in wanted.groupBy("k").count().collect()}  # at most GRAM rows
     ws, at = F.col("w"), F.col("at")
-    rows = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    rows = rows.select("doc", "n_words", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
+    rows = numbered(docs, key, text)[0].select(F.col("_no").alias("doc"), "_key", words(F.col("_text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    rows = rows.select("doc", "_key", "n_words", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
     each = [F.struct(F.lit(k).alias("k"), F.when((at >= 0) & (at + k <= F.size(ws)), gram_hash(ws, at, k)).alias("gram")) for k in sorted(per_k)]
     if not each:
-        return rows.where("at = -1").select("doc", "n_words", "at", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.lit(None).cast("array<string>").alias("near"))
+        return rows.where("at = -1").select("doc", "_key", "n_words", "at", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.lit(None).cast("array<string>").alias("near"))
     if len(each) == 1:
         rows = rows.select("*", each[0]["k"].alias("k"), each[0]["gram"].alias("gram"))
     else:
-        rows = rows.select("*", F.explode(F.when(at == -1, F.array(each[0])).otherwise(F.array(*each))).alias("x")).select("doc", "n_words", "w", "at", "x.k", "x.gram")
+        rows = rows.select("*", F.explode(F.when(at == -1, F.array(each[0])).otherwise(F.array(*each))).alias("x")).select("doc", "_key", "n_words", "w", "at", "x.k", "x.gram")
     near = F.when(at >= 0, F.slice(ws, F.greatest(at - (size - 1), F.lit(0)) + 1, 2 * size))
     held = small(wanted.select(F.col("gram").alias("wanted"), F.col("k").alias("wanted_k")), total := sum(per_k.values()))
     if total > BROADCAST_ROWS:  # the rows move: carry the words nearby instead of the document
-        rows = rows.select("doc", "n_words", "at", "k", "gram", near.alias("near"))
+        rows = rows.select("doc", "_key", "n_words", "at", "k", "gram", near.alias("near"))
         near = F.col("near")
     met = rows.join(held, (F.col("gram") == F.col("wanted")) & (F.col("k") == F.col("wanted_k")), "left").where((at == -1) | F.col("wanted").isNotNull())
-    return met.select("doc", "n_words", "at", "k", "gram", near.alias("near"))
+    return met.select("doc", "_key", "n_words", "at", "k", "gram", near.alias("near"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
@@ -107,10 +110,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     covered = hits.select("doc", "start", "len").distinct().groupBy("doc").agg(merged["n"].cast("long").alias("n_hit"))
     names = hits.select("doc", "win").distinct().join(owned.select("win", "item"), "win").select("doc", "item").distinct()
     items = names.groupBy("doc").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    every = spots.where("at = -1").select("doc", "n_words")
+    every = spots.where("at = -1").select("doc", "_key", "n_words")
     out = every.join(covered, "doc", "left").join(items, "doc", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        F.col("doc").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.col("_key").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.operators.components import components
+from tessitura.llm.numbering import with_numbers
 from tessitura.llm.scratch import partitions, written
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -486,8 +487,20 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     bound of the shingles that two texts don't share, so that unlike pairs end in their cell. What is left is verified on the shingles
     themselves: a spanning forest of each cell first, then all pairs that still lie between different groups, so no candidate link is lost.
 
-    Null is empty; texts without words are alike only if equal; rows with a null key are in no group but that of their text's other rows.
+    Documents go by a number of their own (``numbering``), so keys may be null, repeated or of any type; the numbers follow the keys, null first, and a group is named
+    by the key of its smallest number. Null is empty; texts without words are alike only if equal; rows with one key and different texts are different documents.
     """
+    rows, _, unique = with_numbers(docs, key, text)
+    groups = similar_numbers(rows, "_no", text, k, threshold, parts, equal, reach, wide)
+    if unique:
+        return groups.select(F.col("_no").cast(docs.schema[key].dataType).alias(key), F.col("component_id").cast(docs.schema[key].dataType).alias("component_id"))
+    names = written(rows.select("_no", F.col(key).alias("_name")).distinct(), "names")
+    of = groups.distinct().join(names.select(F.col("_no").alias("component_id"), F.col("_name").alias("_component")), "component_id")
+    return rows.select(F.col(key), "_no").join(of.select("_no", F.col("_component").alias("component_id")), "_no").drop("_no")
+
+
+def similar_numbers(docs: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8, parts: int = 9, equal: int = 2, reach: int = 12, wide: int = 40) -> DataFrame:
+    """``similar_documents`` of rows whose ``key`` is a whole number, never null, that two rows share only if their texts are equal."""
 
     def prints(batches):
         for b in batches:

@@ -6,7 +6,7 @@ of languages is the one of the nested candidates with the largest penalised log-
 (``log-likelihood - penalty * (languages - 1) * log(words)``).
 
 The trigram counts come from a bounded sample: at most about ``rows_per_lang`` labelled rows of each language, chosen by a
-hash of the row's key. Every label is learned, however rare. Every document is predicted over its whole text.
+hash of the row's key and text, and LEAST of them at least (those with the smallest hashes), so every label is learned, however rare and whatever its rows' keys. Every document is predicted over its whole text.
 
 The nested candidates go on until none that is left could be better, as none can be likelier than all languages together; there is no largest set.
 
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 UNKNOWN = "und"
 
@@ -42,6 +43,7 @@ BITS = 16
 FLOOR = 1e-5  # least likelihood of a word relative to its best language: one odd word never decides
 BLOCK = 20_000  # words that are inferred at once, or one longer document; fewer with more than WIDE languages
 WIDE = 64
+LEAST = 100  # labelled rows of a language that are learned from at least, if it has them
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +72,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     sizes = sorted((r["_lang"], r["count"]) for r in sizes)
     if not sizes:
         return {"langs": [], "logp": []}
-    share = spark.createDataFrame([(x, at, min(1.0, rows_per_lang / n)) for at, (x, n) in enumerate(sizes)], "_lang string, _at int, _share double")
-    draw = F.pmod(F.xxhash64(F.col("_key"), F.lit("language sample")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = rows.join(F.broadcast(share), "_lang").where(draw < F.col("_share")).select("_at", "_text")
+    draw = F.pmod(F.xxhash64(F.col("_key"), F.col("_text"), F.lit("language sample")), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    first = rows.select("_lang", draw.alias("_draw")).withColumn("_nth", F.row_number().over(W.partitionBy("_lang").orderBy("_draw"))).where(F.col("_nth") <= LEAST)
+    lowest = {r["_lang"]: r["_draw"] for r in first.groupBy("_lang").agg(F.max("_draw").alias("_draw")).collect()}  # one row for each label
+    share = spark.createDataFrame([(x, at, max(rows_per_lang / n, lowest.get(x, 0.0))) for at, (x, n) in enumerate(sizes)], "_lang string, _at int, _share double")
+    sample = rows.join(F.broadcast(share), "_lang").where(draw <= F.col("_share")).select("_at", "_text")
 
     def counts(held):
         for at, n in held.items():

@@ -5,11 +5,13 @@ wide as the template allows (``width`` words), so a notice is found wherever it
 if it holds at least ``threshold`` of the template's distinct words.
 
 Tokens are ordered by their frequency over the whole corpus, rarest first. A matching block holds one of the ``|T| - need + 1`` rarest tokens of its
-template (prefix filter), so the table of prefix tokens is joined with the places of those tokens in the texts; around a place there must be
-``need`` distinct template words at all (length filter), and a block whose rarest shared token has rank ``i`` can share only those of rank ``i`` and
-beyond that stand around it, which must be ``need`` as well (positional filter). What is left is counted exactly, for every block. A document that doesn't hold enough of any template's words as a whole ends after one scan.
+template (prefix filter), so the table of prefix tokens is joined with the places of those tokens in the texts. Texts are measured off in cells as wide as
+a block: the blocks that begin in a cell end in the next one at the latest, so a prefix token's place asks for its own cell and the one before, and only the
+template's words in cells asked for are gathered, at most two block widths of them whatever the text's length. There must be ``need`` distinct template words in the
+two cells at all (length filter), and around some prefix place of rank ``i`` as many of rank ``i`` and beyond (positional filter). What is left is counted exactly, for every block. A document that
+doesn't hold enough of any template's words as a whole ends after one scan.
 
-The templates are a fixed list, so the tables that are joined have a few hundred rows and never grow with the data.
+Places are rows of a few numbers, so the work is linear in the template words of a text. The templates are a fixed list: the tables that are broadcast have a few hundred rows and never grow with the data.
 
 Defined results: null and empty texts have no words, no places and no labels, score 0; rows are independent, so
 repeated rows, ties and null keys need no rule; further columns are ignored. ``score`` is the best containment found, 1 where a base phrase stands.
@@ -27,7 +29,7 @@ from tessitura.llm.scratch import written
 
 # The base phrases.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Sentences of public licenses and their notices, as words; a label may have several.
+# Sentences of public licenses and their notices, and two whole license texts, as words; a label may have several.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -46,6 +48,8 @@ TEMPLATES = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form without prior written permission"),
 )
@@ -80,46 +84,45 @@ def phrase_places(w: Column, phrase: str) -> Column:
 
 
 def marked(docs: DataFrame, key: str, text: str, known: list) -> DataFrame:
-    """_row, _key, n_words, own (template words that a text holds), at and base (places and labels of phrases), marks: places of template words in
-    texts that hold enough distinct words of some template, in order."""
+    """_row, _key, n_words, own (template words that a text holds), at and base (places and labels of phrases), fit: the templates of which the text holds
+    enough distinct words, marks: places of template words in texts with such a template, in order."""
     vocabulary = sorted({t for _, own, _, _ in known for t in own})
     every = F.array(*[F.lit(t) for t in vocabulary])
     rows = docs.select(F.col(key).alias("_key"), words(F.col(text)).alias("w")).withColumn("own", F.array_intersect(every, "w"))
-    enough = F.lit(False)
-    for _, own, need, _ in known:
-        enough = enough | (F.size(F.array_intersect("own", F.array(*[F.lit(t) for t in own]))) >= need)
+    fit = [F.when(F.size(F.array_intersect("own", F.array(*[F.lit(t) for t in own]))) >= need, F.lit(at)) for at, (_, own, need, _) in enumerate(known)]
+    rows = rows.withColumn("fit", F.array_compact(F.array(*fit)))
     marks = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda m: m["token"].isin(vocabulary))
-    marks = F.when(enough, marks).otherwise(F.array().cast("array<struct<at:int,token:string>>"))
-    return rows.select("_key", F.size("w").alias("n_words"), "own", *_base(F.col("w")), marks.alias("marks")).withColumn("_row", F.monotonically_increasing_id())
+    marks = F.when(F.size("fit") > 0, marks).otherwise(F.array().cast("array<struct<at:int,token:string>>"))
+    return rows.select("_key", F.size("w").alias("n_words"), "own", "fit", *_base(F.col("w")), marks.alias("marks")).withColumn("_row", F.monotonically_increasing_id())
 
 
-def prefixes(spark, known: list, order: dict) -> DataFrame:
-    """(template, token, rank, tokens, need, width): the prefix tokens of each template, rarest first, with all its tokens in that order."""
+def ranked_tokens(spark, known: list, order: dict) -> DataFrame:
+    """(token, template, rank, size, need, width): every token of each template, rarest first; those of rank size - need at most are its prefix."""
     rows = []
     for at, (_, own, need, width) in enumerate(known):
-        ranked = sorted(own, key=lambda t: order.get(t, (0, t)))
-        rows += [(at, t, i, ranked, need, width) for i, t in enumerate(ranked[: len(ranked) - need + 1])]
-    return spark.createDataFrame(rows, "template int, token string, rank int, tokens array<string>, need int, width int")
-
-
-def matching_blocks(held: DataFrame, prefix: DataFrame) -> DataFrame:
-    """(_row, template, start, share): every block that holds enough of its template. ``held``: _row, marks (a written table)."""
-    spots = held.where(F.size("marks") > 0).select("_row", "marks", F.posexplode("marks").alias("j", "m")).select("_row", "marks", "j", "m.at", "m.token")
-    met = spots.join(F.broadcast(prefix), "token")  # a few hundred rows, whatever the corpus
-    near = F.slice("marks", F.greatest(F.col("j") - F.col("width"), F.lit(0)) + 1, 2 * F.col("width") + 1)
-    near = F.filter(near, lambda m: (F.abs(m["at"] - F.col("at")) < F.col("width")) & F.array_contains("tokens", m["token"]))
-    met = met.select("_row", "template", "rank", "tokens", "need", "width", "at", near.alias("near"))
-    said = F.array_distinct(F.transform("near", lambda m: m["token"]))
-    lower = F.size(F.array_intersect(said, F.slice("tokens", F.lit(1), F.col("rank"))))
-    met = met.where(F.size(said) >= F.col("need")).where(F.size(said) - lower >= F.col("need"))
-    begins = F.filter("near", lambda m: (m["at"] <= F.col("at")) & (m["at"] > F.col("at") - F.col("width")))
-    blocks = met.select("_row", "template", "rank", "tokens", "need", "width", "near", F.explode(F.transform(begins, lambda m: m["at"])).alias("start"))
-    inside = F.array_distinct(F.transform(F.filter("near", lambda m: (m["at"] >= F.col("start")) & (m["at"] < F.col("start") + F.col("width"))), lambda m: m["token"]))
-    blocks = blocks.withColumn("inside", inside)
-    # a block is judged where its rarest token was met, once however many prefix tokens it holds
-    rarest = F.size(F.array_intersect("inside", F.slice("tokens", F.lit(1), F.col("rank")))) == 0
-    full = blocks.where(rarest & (F.size("inside") >= F.col("need")))
-    return full.select("_row", "template", "start", (F.size("inside") / F.size("tokens")).alias("share")).distinct()
+        rows += [(t, at, i, len(own), need, width) for i, t in enumerate(sorted(own, key=lambda t: order.get(t, (0, t))))]
+    return spark.createDataFrame(rows, "token string, template int, rank int, size int, need int, width int")
+
+
+def matching_blocks(held: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(_row, template, n, share): how many blocks that begin in one cell hold enough of the template, and the largest share. ``held``: _row, fit, marks (a written table)."""
+    spots = held.where(F.size("marks") > 0).select("_row", "fit", F.explode("marks").alias("m")).select("_row", "fit", "m.at", "m.token")
+    spots = spots.join(F.broadcast(tokens), "token").where(F.array_contains("fit", F.col("template")))  # a few hundred rows, whatever the corpus
+    cell = F.expr("at div width").cast("int")
+    both = F.explode(F.array(cell, cell - 1)).alias("cell")
+    asked = spots.where(F.col("rank") <= F.col("size") - F.col("need")).select("_row", "template", both).where("cell >= 0").distinct()
+    spots = spots.select("_row", "template", "at", "rank", "size", "need", "width", both).where("cell >= 0")
+    near = spots.join(asked, ["_row", "template", "cell"], "left_semi").groupBy("_row", "template", "cell").agg(
+        F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("near"), *[F.first(c).alias(c) for c in ("size", "need", "width")]  # two widths of words at most
+    )
+    distinct = lambda ms: F.size(F.array_distinct(F.transform(ms, lambda m: m["rank"])))
+    prefix = F.filter("near", lambda m: m["rank"] <= F.col("size") - F.col("need"))
+    around = lambda p: F.filter("near", lambda m: (F.abs(m["at"] - p["at"]) < F.col("width")) & (m["rank"] >= p["rank"]))
+    near = near.where(distinct(F.col("near")) >= F.col("need")).where(F.exists(prefix, lambda p: distinct(around(p)) >= F.col("need")))
+    begins = F.filter("near", lambda m: m["at"] < (F.col("cell") + 1) * F.col("width"))
+    inside = F.transform(begins, lambda s: distinct(F.filter("near", lambda m: (m["at"] >= s["at"]) & (m["at"] < s["at"] + F.col("width")))))
+    full = near.select("_row", "template", "size", F.filter(inside, lambda n: n >= F.col("need")).alias("full")).where(F.size("full") > 0)
+    return full.select("_row", "template", F.size("full").alias("n"), (F.array_max("full") / F.col("size")).alias("share"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,10 +130,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     known, spark = table(templates, threshold), docs.sparkSession
     held = written(marked(docs, key, text, known), "license_words")
     counted = held.select(F.explode("own").alias("t")).groupBy("t").count().collect()  # one row for each word of the templates
-    prefix = prefixes(spark, known, {r["t"]: (r["count"], r["t"]) for r in counted})
-    blocks = matching_blocks(held.select("_row", "marks"), prefix)
+    tokens = ranked_tokens(spark, known, {r["t"]: (r["count"], r["t"]) for r in counted})
+    blocks = matching_blocks(held.select("_row", "fit", "marks"), tokens)
     labels = F.array(*[F.lit(label) for label, _, _, _ in known])
-    found = blocks.groupBy("_row").agg(F.collect_set(F.get(labels, F.col("template"))).alias("found"), F.max("share").alias("share"), F.count("*").alias("n_blocks"))
+    found = blocks.groupBy("_row").agg(F.collect_set(F.get(labels, F.col("template"))).alias("found"), F.max("share").alias("share"), F.sum("n").alias("n_blocks"))
     rows = held.select("_row", "_key", "n_words", "at", "base").join(found, "_row", "left")
     none = F.array().cast("array<string>")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", none))))
