@@ -11,6 +11,7 @@ from tessitura.functions.text import SIMILAR, gram_similarity, trigrams
 from tessitura.plans.scratch import written
 
 TITLE_SIMILAR, LEAST_LENGTH, THRESHOLD = 0.45, 4, 0.4
+NAMES = (0.8, 0.6, 0.4)  # similarities down to which artists are tried one after the other, before the least that can be accepted
 ROUNDS = (0.7, TITLE_SIMILAR)  # title similarities down to which the best tracks of the highest score are looked for
 SHARD, BLOCK = 100_000, 200_000  # tracks and aliases that a task compares
 EDGE = 1e-6  # above the rounding of a 4-byte float
@@ -51,8 +52,11 @@ def containing_titles(titles: DataFrame) -> DataFrame:
     for w in widths[1:]:
         wide = F.when(F.col("n") >= w, w).otherwise(wide)
     inner = long.select(F.col("id").alias("i"), F.col("l").alias("il"), F.col("r").alias("ir"), F.col("n").alias("m"), F.substring("t", F.lit(1), wide).alias("head"))
-    cuts = [F.when(F.col("n") >= w, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - w + 1, F.lit(1))), lambda i, w=w: F.substring("t", i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in widths]
-    outer = long.select(F.col("id").alias("o"), F.col("l").alias("ol"), F.col("r").alias("or_"), "n", F.explode(F.array_distinct(F.concat(*cuts))).alias("head"))
+    def cuts(w: int) -> Column:  # the lambda takes one argument: Spark would give a second one the index
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - w + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(w)))
+        return F.when(F.col("n") >= w, every).otherwise(F.array().cast("array<string>"))
+
+    outer = long.select(F.col("id").alias("o"), F.col("l").alias("ol"), F.col("r").alias("or_"), "n", F.explode(F.array_distinct(F.concat(*[cuts(w) for w in widths]))).alias("head"))
     met = inner.join(outer, "head").where("m <= n")
     first = met.where("il and or_").select(F.col("i").alias("ia"), F.col("o").alias("ib"))
     return first.union(met.where("ol and ir").select(F.col("o").alias("ia"), F.col("i").alias("ib"))).distinct()
@@ -106,6 +110,15 @@ class Index:
         return rows[sim >= least], sim[sim >= least]
 
 
+    def every(self, grams: np.ndarray) -> np.ndarray:
+        """The similarity of each row, as the 4-byte float that it is compared as."""
+        at = np.searchsorted(self.vocabulary, grams)
+        at = at[at < len(self.vocabulary)] if not len(self.vocabulary) else at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == grams]
+        lists = [self.rows[self.ends[g] : self.ends[g + 1]] for g in at]
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n), np.int64)
+        return (shared / np.maximum(len(grams) + self.n - shared, 1)).astype(np.float32)
+
+
 def _signature(grams: Column) -> Column:
     """Equal for texts of the same grams, that is of similarity 1; null for a text without any."""
     return F.when(F.size(grams) > 0, F.xxhash64(F.array_sort(grams)))
@@ -147,10 +160,92 @@ def top_matches(aliases: DataFrame, tracks: DataFrame, least: float) -> DataFram
     return found.groupBy("ref").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("id").alias("id"))).alias("k")).select("ref", (-F.col("k.s")).alias("sim"), F.col("k.id").alias("id"))
 
 
+def name_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(x, y, s): names of both sides whose similarity is ``least`` or more. ``left``: x, gx; ``right``: y, gy, distinct names with their grams.
+
+    Prefix filter: with grams in order of rarity such a pair shares one of the first ``n - ceil(least n) + 1`` of each side, and its sizes differ by that factor at most.
+    """
+    grams = left.select(F.col("gx").alias("g")).union(right.select("gy")).select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
+
+    def prefix(names: DataFrame, name: str, g: str) -> DataFrame:
+        each = names.select(name, F.size(g).alias("n"), F.explode(g).alias("gram")).join(grams, "gram")
+        ranked = each.groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("o"))
+        keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - EDGE) + 1).cast("int")
+        return ranked.select(name, F.col("n").alias(f"n{name}"), F.explode(F.slice(F.col("o.gram"), F.lit(1), F.least(keep, F.col("n")))).alias("gram"))
+
+    near = F.least("nx", "ny") >= F.lit(least) * F.greatest("nx", "ny") - EDGE
+    met = prefix(left, "x", "gx").join(prefix(right, "y", "gy"), "gram").where(near).select("x", "y").distinct()
+    both = met.join(left, "x").join(right, "y")
+    return both.select("x", "y", gram_similarity(F.col("gx"), F.col("gy")).alias("s")).where(F.col("s").cast("double") >= least)
+
+
+def _best_by_score(aliases: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
+    """Of the tracks of one artist's name the best of each alias, whose artist has the similarity ``s`` to that name."""
+    out = []
+    if len(aliases) and len(tracks):
+        index, ids, titles = Index(list(tracks["g"])), tracks["id"].to_numpy(), tracks["t"].to_numpy(object)
+        _, first, album = np.unique(tracks["album"].to_numpy(str), return_index=True, return_inverse=True)
+        albums, known = Index([tracks["ga"].iloc[i] for i in first]), {}
+        for title, same in aliases.groupby("a", sort=False):
+            rows, sim = index.near(np.asarray(same["g"].iloc[0]), SIMILAR - EDGE)
+            sim = sim.astype(np.float32)
+            long = len(title) >= LEAST_LENGTH
+            within = np.array([t == title or (long and len(t) >= LEAST_LENGTH and (t in title or title in t)) for t in titles[rows]], bool)
+            gate = (sim >= np.float32(SIMILAR)) & ((sim.astype(np.float64) >= TITLE_SIMILAR) | within)
+            rows, sim = rows[gate], sim[gate]
+            if not len(rows):
+                continue
+            for ref, s, own, grams in zip(same["ref"], same["s"], same["album"], same["ga"], strict=True):
+                if own and own not in known:
+                    known[own] = albums.every(np.asarray(grams, np.int64)).astype(np.float64)
+                score = float(np.float32(s)) * 0.75 + (known[own][album[rows]] if own else np.full(len(rows), 0.5)) * 0.25
+                top = score == score.max()
+                top &= sim == sim[top].max()
+                out.append((ref, score[top][0], sim[top][0], ids[rows[top]].min()))
+    return pd.DataFrame(out, columns=["ref", "score", "sim", "id"]).astype({"ref": np.int64, "score": np.float64, "sim": np.float32, "id": np.int64})
+
+
+def bounded_matches(aliases: DataFrame, tracks: DataFrame, threshold: float) -> DataFrame:
+    """(ref, score, sim, id): the best track of each alias by score, similarity of title and id, if it scores ``threshold`` or more.
+
+    Falling bounds: artists are tried from the most similar names down. A track whose artist is less similar than ``least`` scores less than 0.75 least + 0.25 (0.125 for an
+    alias without album), so an alias whose best reaches that is done and leaves; the last bound is the one below which nothing is accepted. Titles are compared within a task only,
+    so no pair of titles is written, and an alias meets the tracks of the artists near its own instead of all. ``aliases``: ref, a, a_artist, a_album; ``tracks``: id, title_norm, artist_norm,
+    album_artist_norm, album_norm. ``threshold`` must be over 0.25, or artists without anything in common would count.
+    """
+    hashed = lambda c: F.transform(trigrams(F.col(c)), lambda x: F.xxhash64(x))
+    open_ = written(aliases.select("ref", "a", hashed("a").alias("g"), "a_artist", hashed("a_artist").alias("gx"), F.col("a_album").alias("album"), hashed("a_album").alias("ga")).where("size(g) > 0 and size(gx) > 0"), "open_aliases")
+    by = lambda c: tracks.where("title_norm <> ''").select(F.col(c).alias("y"), "id", F.col("title_norm").alias("t"), F.col("album_norm").alias("album")).where("y <> ''")
+    named = by("artist_norm").union(by("album_artist_norm")).groupBy("y", "t", "album").agg(F.min("id").alias("id"))
+    named = written(named.select("y", "t", "id", F.coalesce("album", F.lit("")).alias("album"), hashed("t").alias("g"), hashed("album").alias("ga")).where("size(g) > 0"), "named_tracks")
+    names = written(named.groupBy("y").agg(F.count("*").alias("n")).withColumn("gy", hashed("y")).where("size(gy) > 0"), "names")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    order = F.struct((-F.col("score")).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id"))
+    last, best, above = (threshold - 0.25) / 0.75 - EDGE, None, None
+    for least in [x for x in NAMES if x > last] + [last]:
+        pairs = name_pairs(open_.groupBy(F.col("a_artist").alias("x")).agg(F.first("gx").alias("gx")), names.select("y", "gy"), least)
+        pairs = written(pairs if above is None else pairs.where(F.col("s").cast("double") < above), "name_pairs")
+        met = open_.join(pairs, open_["a_artist"] == pairs["x"])
+        parts = written(met.groupBy("y").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(names.select("y", F.ceil(F.col("n") / SHARD).alias("shards")), "y"), "parts")
+        left = met.select("y", "s", "ref", "a", "g", "album", "ga").join(parts, "y").withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).withColumn("shard", every("shards"))
+        right = named.join(parts, "y").withColumn("shard", F.pmod(F.xxhash64("t"), "shards")).withColumn("block", every("blocks"))
+        keys = ["y", "shard", "block"]
+        found = left.select(*keys, "s", "ref", "a", "g", "album", "ga").groupBy(*keys).cogroup(right.select(*keys, "t", "id", "album", "g", "ga").groupBy(*keys)).applyInPandas(_best_by_score, "ref long, score double, sim float, id long")
+        found = found.groupBy("ref").agg(F.min(order).alias("k"))
+        best = written((found if best is None else found.union(best)).groupBy("ref").agg(F.min("k").alias("k")), "best")
+        bound = F.lit(0.75 * least) + F.when(F.col("album") == "", 0.125).otherwise(0.25)
+        done = open_.join(best, "ref").where(-F.col("k.a") >= bound).select("ref")
+        open_, above = written(open_.join(done, "ref", "left_anti"), "open_aliases"), least
+        if open_.isEmpty():
+            break
+    return best.select("ref", (-F.col("k.a")).alias("score"), (-F.col("k.b")).alias("sim"), "k.id").where(F.col("score") >= threshold)
+
+
 def match_fuzzy(aliases: DataFrame, tracks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(alias_key, track_id, score): aliases with an artist, best track by score, title similarity, id; accepted from ``threshold`` on.
 
-    Most aliases have a similar title among the tracks of their own artist and album, which no other track outscores; what is left is held against all titles.
+    Most aliases have a similar title among the tracks of their own artist and album, which no other track outscores; what is left goes through falling
+    bounds of the artist's similarity (``bounded_matches``). Only where ``threshold`` lets artists without anything in common count are all pairs of titles written.
     """
     a = aliases.where((F.col("artist_norm") != "") & (F.col("title_norm") != "")).select("alias_key", F.col("title_norm").alias("a"), F.col("artist_norm").alias("a_artist"), F.col("album_norm").alias("a_album"))
     grams = lambda c: F.transform(trigrams(F.col(c)), lambda x: F.xxhash64(x))
@@ -168,7 +263,11 @@ def match_fuzzy(aliases: DataFrame, tracks: DataFrame, threshold: float = THRESH
     score = F.when(F.col("a_album") == "", 0.875).otherwise(1.0)
     best = a.join(settled, "ref").select("alias_key", F.struct((-score).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id")).alias("k"))
     if not left.isEmpty():
-        best = best.union(_match_all(left.drop("ref"), tracks))
+        if threshold > 0.25:
+            rest = left.join(bounded_matches(left, tracks, threshold), "ref")
+            best = best.union(rest.select("alias_key", F.struct((-F.col("score")).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id")).alias("k")))
+        else:
+            best = best.union(_match_all(left.drop("ref"), tracks))
     best = best.groupBy("alias_key").agg(F.min("k").alias("k"))
     return best.select("alias_key", F.col("k.id").alias("track_id"), (-F.col("k.a")).alias("score")).where(F.col("score") >= threshold)
 

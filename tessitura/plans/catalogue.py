@@ -186,6 +186,13 @@ def alias_match_fuzzy(spark, sf):
     return match.match_fuzzy(aliases(spark, sf), tracks(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+def alias_match_misspelt(spark, sf):
+    """The same with every artist misspelt, so that no alias is settled by its own artist's tracks."""
+    a = V.alias_v(spark, sf).withColumn("artist", F.concat(F.substring("artist", 1, 3), F.substr(F.col("artist"), F.lit(5)))).distinct()
+    a = _norm(a, "title", "artist", "album").withColumn("alias_key", X.alias_label(F.col("title"), F.col("artist"), F.col("album")))
+    return match.match_fuzzy(a, tracks(spark, sf)).withColumn("score", F.round("score", 6))
+
+
 def _links(spark, sf):
     t = V.track_v(spark, sf).groupBy("title").agg(F.min("id").alias("track_id"))
     return V.scrobble_v(spark, sf).select("title", "artist", "album").distinct().join(t, "title").select("title", "artist", "album", F.when(F.col("track_id") % 4 != 0, F.col("track_id")).alias("track_id"))
@@ -314,7 +321,7 @@ def artist_stats(spark, sf):
 
 QUERIES = (
     normalize_name, trigram_similarity, path_generate, text_scalars, duplicate_hash, status_counts, scrobbles_by_platform, dedup_single_set, dedup_union_sets, dedup_canon_year, dedup_manual_override,
-    auto_dedup, auto_dedup_mains, auto_dedup_summary, review_pages, review_filter, stored_groups, canon_flatten, main_file_pick, group_rollup, scrobble_fresh, scrobble_import_stats, alias_augment, alias_match_exact, alias_match_fuzzy, plays_copy, unify_tracks, bind_files, orphan_files, playlists_seed,
+    auto_dedup, auto_dedup_mains, auto_dedup_summary, review_pages, review_filter, stored_groups, canon_flatten, main_file_pick, group_rollup, scrobble_fresh, scrobble_import_stats, alias_augment, alias_match_exact, alias_match_fuzzy, alias_match_misspelt, plays_copy, unify_tracks, bind_files, orphan_files, playlists_seed,
     list_dedup_inflated, playlists_by_name, merge_with_base, merge_no_base, conflicts_detect, touched_tracks, resolve_auto, ref_count_ops, playlist_totals, backend_only, resolved_refs, play_stats, album_stats, artist_stats,
 )
 

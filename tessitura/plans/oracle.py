@@ -186,3 +186,4 @@ SQL: dict[str, str] = {
     "artist_stats": f"""{DEDUP}, {SCROBBLE}, {PLAYS}, roles AS (SELECT DISTINCT album, album_artist AS artist, CASE WHEN id % 2 = 0 THEN 'albumartist' ELSE 'artist' END AS role FROM track_v WHERE album_artist IS NOT NULL)
       SELECT roles.artist, CAST(sum(play_count) AS BIGINT) AS play_count, max(last_play) AS last_play FROM stats JOIN (SELECT id, album FROM track_v) ON id = root_id JOIN roles USING (album) GROUP BY 1""",
 }
+SQL["alias_match_misspelt"] = SQL["alias_match_fuzzy"].replace(ALIAS, ALIAS.replace("artist,", "artist[1:3] || artist[5:] AS artist,"))

@@ -273,3 +273,23 @@ def test_fuzzy_matches_in_shards(spark, monkeypatch):
     own = t.where("artist_norm in ('cc', 'ccd') and title_norm not like '!%'").select(F.col("id").cast("string").alias("alias_key"), "title_norm", "artist_norm", F.lit("").alias("album_norm"))
     got = match.match_fuzzy(own, t).collect()
     assert len(got) == own.count() > 50 and {r["score"] for r in got} == {0.875}
+
+
+@pytest.mark.parametrize("threshold,shard", [(0.4, 100_000), (0.26, 11)])
+def test_bounded_matches_equal_all_pairs(spark, monkeypatch, threshold, shard):
+    """Falling bounds of the artist's similarity give what the comparison of all pairs gives: misspelt, unlike and blank names, titles within others, ties."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["large", "old", "cold", "blue", "ring", "bolt", "ringbolt", "x", "!", "é"])
+    title = lambda: " ".join(word() for _ in range(rng.randrange(1, 5)))
+    names = ["", "?", "the long name", "the lng name", "the long names", "other band", "othr band", "band", "ab", "a b", "quite different"]
+    t = spark.createDataFrame([(i, title(), rng.choice(names), rng.choice(["", None, *names]), rng.choice(names)) for i in range(300)], "id long, title_norm string, artist_norm string, album_artist_norm string, album_norm string")
+    a = spark.createDataFrame([(f"k{i % 190}", title()[rng.randrange(2) :], rng.choice(names) + rng.choice(["", "s", " q"]), rng.choice(names)) for i in range(200)], "alias_key string, title_norm string, artist_norm string, album_norm string")
+    rows = a.where("artist_norm <> '' and title_norm <> ''").select("alias_key", F.col("title_norm").alias("a"), F.col("artist_norm").alias("a_artist"), F.col("album_norm").alias("a_album"))
+    want = {r["alias_key"]: (r["k"]["id"], -r["k"]["a"]) for r in match._match_all(rows, t).collect() if -r["k"]["a"] >= threshold}
+    monkeypatch.setattr(match, "SHARD", shard)
+    monkeypatch.setattr(match, "BLOCK", shard)
+    if threshold > 0.25:
+        monkeypatch.setattr(match, "title_pairs", lambda *_: 1 / 0)
+        monkeypatch.setattr(match, "ROUNDS", (1.1,))  # nothing is settled beforehand
+    got = {r["alias_key"]: (r["track_id"], r["score"]) for r in match.match_fuzzy(a, t, threshold).collect()}
+    assert got == want and len(got) > 20
