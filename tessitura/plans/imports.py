@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+import zipfile
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from tessitura.plans.scratch import shared_dir, shuffles_dropped
 from tessitura.plans.views import FILE, ITEM, SCROBBLE, SOURCE, TRACK
 from tessitura.sources import detect as D
 from tessitura.sources import exports
+from tessitura.sources.records import filesystem
 
 BLOCKS = 8  # files of an export
 
@@ -24,28 +28,28 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _lines(rows: DataFrame, value: Column, folder: str, suffix: str, key: str = "id", head: str = "", tail: str = "", between: str = "") -> str:
-    """Write ``value`` of every row, in order of ``key``, into one file for each of BLOCKS."""
+    """Write ``value`` of every row, in order of ``key``, into one file for each of BLOCKS: rows stream into their files, each on a line of its own, between lines of head and tail,
+    ``between`` in front of every row but a file's first."""
     spark, b = rows.sparkSession, (F.col(key) % BLOCKS).alias("b")
     if between:
-        each = rows.select(b, F.struct(key, value.alias("v")).alias("x"))
-        text = each.groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), between).alias("t")).select(F.concat(F.lit(head), "t", F.lit(tail)).alias("t"))
-        text.write.option("maxRecordsPerFile", 1).text(folder)
-    else:  # rows stream into their files, each on a line of its own, between lines of head and tail
-        ends = spark.range(BLOCKS).select(F.col("id").alias("b"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("v")), F.struct(F.lit(2).alias("o"), F.lit(tail).alias("v")))).alias("x")).select("b", "x.o", F.lit(0).alias("k"), "x.v")
-        each = rows.select(b, F.lit(1).alias("o"), F.col(key).alias("k"), value.alias("v")).union(ends)
-        with shuffles_dropped(spark):
-            each.repartition(BLOCKS, "b").sortWithinPartitions("b", "o", "k").select("b", "v").write.partitionBy("b").text(folder)
+        first = rows.groupBy(b).agg(F.min(key).alias("_first"))  # a row for each file
+        each = rows.join(F.broadcast(first), F.col(key) % BLOCKS == F.col("b"))
+        each = each.select("b", F.lit(1).alias("o"), F.col(key).alias("k"), F.concat(F.when(F.col(key) == F.col("_first"), "").otherwise(between), value).alias("v"))
+    else:
+        each = rows.select(b, F.lit(1).alias("o"), F.col(key).alias("k"), value.alias("v"))
+    if head:
+        ends = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("v")), F.struct(F.lit(2).alias("o"), F.lit(tail).alias("v")))).alias("x")
+        each = each.union(spark.range(BLOCKS).select(F.col("id").alias("b"), ends).select("b", "x.o", F.lit(0).alias("k"), "x.v"))
+    with shuffles_dropped(spark):
+        each.repartition(BLOCKS, "b").sortWithinPartitions("b", "o", "k").select("b", "v").write.partitionBy("b").text(folder)
     # Spark's text writer names its files itself; the readers go by their suffix
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(folder)
-    store = where.getFileSystem(conf)
-    listed = [x.getPath() for x in store.listStatus(where)]
-    of_blocks = [p for p in listed if p.getName().startswith("b=")]
-    parts = [x.getPath() for p in of_blocks or [where] for x in store.listStatus(p) if x.getPath().getName().startswith("part-")]
-    for i, f in enumerate(parts):
-        store.rename(f, jvm.org.apache.hadoop.fs.Path(where, f"{i}.{suffix}"))
-    for p in of_blocks:
-        store.delete(p, True)
+    store, where = filesystem(folder)
+    written = [x.path for x in store.get_file_info(fs.FileSelector(where, recursive=True)) if "/part-" in x.path]
+    for i, f in enumerate(sorted(written)):
+        store.move(f, f"{where}/{i}.{suffix}")
+    for x in store.get_file_info(fs.FileSelector(where)):
+        if x.base_name.startswith("b="):
+            store.delete_dir(x.path)
     return folder
 
 
@@ -95,17 +99,51 @@ def plist_members(spark, sf):
     return exports.plist_members(exports.plist_playlists(spark, path), known).select(F.col("list_id").cast("long").alias("playlist_id"), F.col("source_id").cast("long").alias("track_id"), "position")
 
 
-def media_services_tracks(spark, sf):
+def _media_export(spark: SparkSession, sf: str) -> str:
     t = V.track_v(spark, sf)
     record = F.struct(
         F.col("id").alias("Track Identifier"), F.col("title").alias("Title"), F.col("artist").alias("Artist"), F.col("album").alias("Album"), F.col("track_n").alias("Track Number On Album"), F.col("year").alias("Track Year"),
         (F.col("duration") * 1000).alias("Track Duration"), F.when(F.col("id") % 3 == 0, F.col("id") % 2 == 0).alias("Is Part of Compilation"), _time(F.col("date_added")).alias("Date Added To Library"), F.col("rating").alias("Track Like Rating"),
     )
-    path = _lines(t, F.to_json(record), _folder(spark, exports.TRACKS_ENTRY), "json", head="[", tail="]", between=",")
-    rows = exports.media_services_tracks(spark, path)
+    return _lines(t, F.to_json(record), _folder(spark, exports.TRACKS_ENTRY), "json", head="[", tail="]", between=",")
+
+
+def media_services_tracks(spark, sf):
+    rows = exports.media_services_tracks(spark, _media_export(spark, sf))
     return rows.select("provider", "source_id", "title", "artist", "album", "track_number", "year", "duration_ms", "compilation", "date_added", F.expr("variant_get(extra, '$.track_like_rating', 'int')").alias("like_rating"))
 
 
+def _archived(spark: SparkSession, folder: str, names: tuple[str, ...]) -> str:
+    """The files of a folder as archives beside it, one for each, packed by tasks as streams: ``names`` lead to the file, the last one within the innermost archive."""
+    to = f"{folder}-archives"
+    store, where = filesystem(folder)
+    files = [x.path for x in store.get_file_info(fs.FileSelector(where)) if x.is_file]
+    target = filesystem(to)[1]
+    store.create_dir(target)
+
+    def pack(batches):
+        own = filesystem(folder)[0]
+        for b in batches:
+            for path in b["path"]:
+                with contextlib.ExitStack() as stack, own.open_input_stream(path) as data:
+                    out = stack.enter_context(own.open_output_stream(f"{target}/{path.rsplit('/', 1)[-1]}.zip"))
+                    for name in names:
+                        out = stack.enter_context(stack.enter_context(zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)).open(name, "w", force_zip64=True))
+                    while chunk := data.read(1 << 20):
+                        out.write(chunk)
+            yield b
+
+    spark.createDataFrame([(x,) for x in files], "path string").repartition(len(files)).mapInPandas(pack, "path string").count()
+    return to
+
+
+def archive_tracks(spark, sf):
+    """Tracks from archives within archives, each member a partition."""
+    names = ("deep/export.zip", f"x/{exports.TRACKS_ENTRY}.json.zip", "tracks.json")
+    rows = exports.media_services_tracks(spark, _archived(spark, _media_export(spark, sf), names))
+    return rows.select("provider", "source_id", "title", "artist", "album", "duration_ms", "compilation")
+
+
 def media_services_members(spark, sf):
     items = V.playlist_item_v(spark, sf).where("side = 'ours'").groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_id"))).alias("m"))
     kind = F.when(F.col("playlist_id") % 9 == 0, "Smart Playlist").otherwise("Playlist")
@@ -148,7 +186,7 @@ def history_quarantine(spark, sf):
 def listens(spark, sf):
     when = F.when(F.col("id") % 2 == 0, F.col("date").cast("long").cast("string")).otherwise(_time(F.col("date")))
     record = F.struct(when.alias("listened_at"), F.struct(F.col("title").alias("track_name"), F.col("artist").alias("artist_name"), F.col("album").alias("release_name")).alias("track_metadata"))
-    return exports.listens(spark, _lines(_heard(spark, sf), F.to_json(record), _folder(spark, "listens"), "jsonl", between="\n"))
+    return exports.listens(spark, _lines(_heard(spark, sf), F.to_json(record), _folder(spark, "listens"), "jsonl"))
 
 
 def scrobble_csv(spark, sf):
@@ -157,7 +195,7 @@ def scrobble_csv(spark, sf):
     text = F.when(F.col("id") % 6 == 0, "01 Jan 1970 00:00").otherwise(F.date_format("date", "dd MMM yyyy HH:mm"))
     quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, e), F.lit('"'))
     row = F.concat_ws(",", quoted(F.col("artist")), quoted(F.col("album")), quoted(F.col("title")), text)
-    return exports.scrobble_csv(spark, _lines(h, row, _folder(spark, "scrobbles"), "csv", between="\n"))
+    return exports.scrobble_csv(spark, _lines(h, row, _folder(spark, "scrobbles"), "csv"))
 
 
 def dedup_json(spark, sf):
@@ -175,11 +213,11 @@ def detect_formats(spark, sf):
     root = _folder(spark, "all")
     ms = _lines(t, F.to_json(F.struct("id")), f"{root}/{D.SIGNATURES[0]}.json", "json", head="[", tail="]", between=",")
     hist = _lines(h, F.to_json(F.struct(F.coalesce("title", F.lit("")).alias(D.HISTORY_KEY))), f"{root}/history", "json", head="[", tail="]", between=",")
-    jl = _lines(h, F.to_json(F.struct("id")), f"{root}/listens", "jsonl", between="\n")
-    audio = _lines(t, F.col("title"), f"{root}/audio", "MP3", between="\n")
-    other = _lines(t, F.col("title"), f"{root}/other", "txt", between="\n")
+    jl = _lines(h, F.to_json(F.struct("id")), f"{root}/listens", "jsonl")
+    audio = _lines(t, F.col("title"), f"{root}/audio", "MP3")
+    other = _lines(t, F.col("title"), f"{root}/other", "txt")
     one = lambda folder: spark.read.format("binaryFile").load(folder).agg(F.min("path")).first()[0]
-    csv, plist = one(_lines(h, F.lit("a,b,c,d"), f"{root}/csv", "csv", between="\n")), one(_plist_tracks(spark, sf))
+    csv, plist = one(_lines(h, F.lit("a,b,c,d"), f"{root}/csv", "csv")), one(_plist_tracks(spark, sf))
     places = {"media_services": ms.rsplit("/", 1)[0], "streaming_history": hist, "listens": jl, "audio": audio, "none": other, "scrobble_csv": csv, "plist": plist}
     # the folder above them all is ambiguous
     return spark.createDataFrame([(n, "|".join(D.detect(spark, p))) for n, p in places.items()], "place string, formats string")
@@ -312,6 +350,7 @@ SQL = {
     "plist_members": f"""WITH {ITEM}, {MEMBERS}, m AS (SELECT *, row_number() OVER (PARTITION BY playlist_id, track_id ORDER BY pos) = 1 AS first FROM ok), n AS (SELECT *, sum(CASE WHEN first OR NOT ({KNOWN}) THEN 1 ELSE 0 END) OVER (PARTITION BY playlist_id ORDER BY pos) AS p FROM m)
       SELECT playlist_id, track_id, CAST(p AS INT) AS position FROM n WHERE first AND {KNOWN}""",
     "media_services_tracks": f"WITH {TRACK} SELECT 'apple_ms' AS provider, CAST(id AS VARCHAR) AS source_id, title, artist, album, track_n AS track_number, year, duration * 1000 AS duration_ms, id % 3 = 0 AND id % 2 = 0 AS compilation, date_added, rating AS like_rating FROM track_v",
+    "archive_tracks": f"WITH {TRACK} SELECT 'apple_ms' AS provider, CAST(id AS VARCHAR) AS source_id, title, artist, album, duration * 1000 AS duration_ms, id % 3 = 0 AND id % 2 = 0 AS compilation FROM track_v",
     "media_services_members": f"WITH {ITEM}, {MEMBERS} SELECT playlist_id, track_id, CAST(row_number() OVER (PARTITION BY playlist_id ORDER BY min(pos)) AS INT) AS position FROM ok WHERE {KNOWN} GROUP BY 1, 2",
     "play_activity": f"WITH {TRACK}, {SCROBBLE}, {HEARD} SELECT 'apple_ms' AS platform, title, NULL::VARCHAR AS artist, album, date FROM heard WHERE id % 4 <> 0 AND ms >= 30000 AND title IS NOT NULL",
     "streaming_history": f"WITH {TRACK}, {SCROBBLE}, {HEARD} SELECT 'spotify' AS platform, title, artist, album, date FROM heard WHERE ms >= 30000 AND title IS NOT NULL AND artist IS NOT NULL AND album IS NOT NULL",
@@ -343,6 +382,6 @@ SQL = {
 }
 
 QUERIES = (
-    plist_tracks, plist_members, media_services_tracks, media_services_members, play_activity, streaming_history, history_quarantine, listens, scrobble_csv, dedup_json, detect_formats, get_or_create, fill_nulls, upsert_links, append_members, overwrite_members,
+    plist_tracks, plist_members, media_services_tracks, archive_tracks, media_services_members, play_activity, streaming_history, history_quarantine, listens, scrobble_csv, dedup_json, detect_formats, get_or_create, fill_nulls, upsert_links, append_members, overwrite_members,
     rebuild_playlists, organize_pending, file_plan, expected_files, replays, fresh_after_import, new_aliases, renormalized, masked_dsn,
 )

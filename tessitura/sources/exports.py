@@ -1,18 +1,18 @@
 """Readers of music-library exports.
 
-Every file is read by Spark (``binaryFile``, ``json`` or ``csv``), so any store that Spark reads will do; an archive or property list can't be split
-and is one task. Rows that don't fit are kept apart (``quarantine``), never raised.
+Archives, JSON and CSV files come as streams of records through a data source with a partition for each file or member (``records``), property lists in pieces through
+Spark's text reader; no reader holds a file. Rows that don't fit are kept apart (``quarantine``), never raised.
 """
 
 from __future__ import annotations
 
+import base64
 import csv
 import io
 import itertools
 import json
 import plistlib
-import zipfile
-from collections.abc import Iterator
+import re
 from datetime import date, datetime
 from xml.parsers import expat
 
@@ -20,8 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tessitura.sources.records import CHUNK, json_items, lines, records
 
 LEAST_MS = 30_000
+SPLIT = "source_id string, known string, rest string"
 # Names of fields in the exports, and list types that aren't playlists.
 PLIST_FIELDS = {
     "Name": "title", "Artist": "artist", "Album": "album", "Album Artist": "album_artist", "Track Number": "track_number", "Disc Number": "disc_number", "Year": "year", "Total Time": "duration_ms",
@@ -53,22 +57,6 @@ def _split(record: dict, fields: dict[str, str]) -> tuple[str, str]:
     return json.dumps(known), json.dumps(rest, default=str)
 
 
-def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
-
-
-def _parsed(files: DataFrame, parse, schema: str) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                rows = list(parse(path, bytes(content)))
-                if rows:
-                    yield pd.DataFrame(rows)
-
-    return files.mapInPandas(run, schema)
-
-
 def _source_tracks(rows: DataFrame, provider: str) -> DataFrame:
     known = F.from_json("known", ", ".join(f"{c} {'string' if KINDS.get(c) == 'timestamp' else KINDS.get(c, 'string')}" for c in COLUMNS))
     out = rows.withColumn("k", known)
@@ -82,17 +70,6 @@ def unseen(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows if known is None else rows.join(known.select("provider", "source_id"), ["provider", "source_id"], "left_anti")
 
 
-def plist_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Tracks of a property-list library."""
-
-    def parse(_, raw):
-        for key, t in plistlib.loads(raw).get("Tracks", {}).items():
-            known, rest = _split(t, PLIST_FIELDS)
-            yield {"source_id": str(t.get("Track ID", key)), "known": known, "rest": rest}
-
-    return _source_tracks(_parsed(_files(spark, path), parse, "source_id string, known string, rest string"), "apple_xml")
-
-
 PIECE = b"<dict>"  # where files of a property list are cut
 
 
@@ -109,22 +86,24 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInPandas(joined, rows.schema).repartition("path").sortWithinPartitions("path", "start", "at")
 
 
-class Playlists:
-    """The playlists of a property list that is fed piece by piece, taken as they end; of their items only the track's id is kept."""
+class Entries:
+    """The entries of one part of a property list that is fed piece by piece, taken as they end: (key, value), without keys in an array."""
 
-    def __init__(self) -> None:
-        self.done: list[dict] = []
-        self.open, self.key, self.text, self.depth = [], None, [], 0  # open: [container, key] from the playlists' array on
+    def __init__(self, part: str = "Playlists", kind: str = "array", short=None) -> None:
+        self.part, self.kind, self.short = part, kind, short  # short: how an inner entry of a list is kept
+        self.done: list[tuple[str | None, object]] = []
+        self.open, self.key, self.text, self.depth = [], None, [], 0  # open: [container, key] from the part on
         self.xml, self.held = None, b""
 
-    def feed(self, data: bytes, last: bool = False) -> list[dict]:
-        """The playlists that ended since the last call."""
+    def feed(self, data: bytes, last: bool = False) -> list[tuple[str | None, object]]:
+        """The entries that ended since the last call."""
         if self.xml is None:
             self.held += data
             if not last and (len(self.held) < 8 or self.held.startswith(b"bplist00")):
                 return []  # a binary property list has its index at the end
             if self.held.startswith(b"bplist00"):
-                return [{**p, "Playlist Items": [_track_id(x) for x in p.get("Playlist Items", [])]} for p in plistlib.loads(self.held).get("Playlists", [])]
+                found = plistlib.loads(self.held).get(self.part, [])
+                return list(found.items()) if isinstance(found, dict) else [(None, self._shortened(p)) for p in found]
             self.xml = expat.ParserCreate()
             self.xml.buffer_text = True
             self.xml.StartElementHandler, self.xml.EndElementHandler, self.xml.CharacterDataHandler, self.xml.EntityDeclHandler = self._start, self._end, self.text.append, self._entity
@@ -133,6 +112,9 @@ class Playlists:
         out, self.done[:] = self.done[:], []
         return out
 
+    def _shortened(self, entry):
+        return {k: [self.short[1](x) for x in v] if self.short and k == self.short[0] else v for k, v in entry.items()}
+
     def _entity(self, *_) -> None:
         raise plistlib.InvalidFileException("XML entity declarations are not supported in plist files")
 
@@ -142,8 +124,8 @@ class Playlists:
         if self.open:
             if tag in ("dict", "array"):
                 self.open.append([{} if tag == "dict" else [], None])
-        elif tag == "array" and self.depth == 3 and self.key == "Playlists":
-            self.open.append([[], None])
+        elif tag == self.kind and self.depth == 3 and self.key == self.part:
+            self.open.append([None, None])
 
     def _end(self, tag: str) -> None:
         self.depth -= 1
@@ -158,12 +140,12 @@ class Playlists:
         if not self.open:
             return
         into, key = self.open[-1]
-        if isinstance(into, dict):
+        if len(self.open) == 1:
+            self.done.append((key, value))
+        elif isinstance(into, dict):
             into[key] = value
-        elif len(self.open) == 1:
-            self.done.append(value)
-        elif len(self.open) == 3 and self.open[1][1] == "Playlist Items":
-            into.append(_track_id(value))
+        elif self.short and len(self.open) == 3 and self.open[1][1] == self.short[0]:
+            into.append(self.short[1](value))
         else:
             into.append(value)
 
@@ -173,48 +155,68 @@ class Playlists:
             return tag == "true"
         if tag == "integer":
             return int(text, 16 if text.lower().startswith(("0x", "-0x")) else 10)
-        return text if tag == "string" else text.strip()
+        if tag == "real":
+            return float(text)
+        if tag == "date":
+            return datetime.fromisoformat(text.strip().removesuffix("Z"))
+        return base64.b64decode(text) if tag == "data" else text
 
 
 def _track_id(item: dict) -> str | None:
     return str(item["Track ID"]) if item else None
 
 
+def _plist(spark: SparkSession, path: str, make, rows, schema: str) -> DataFrame:
+    """Rows of the entries that ``make()`` takes from each property list below a path, parsed as it is read."""
+    names = StructType.fromDDL(schema).names
+
+    def ended(batches):
+        """The entries of one file after another."""
+        file, parser = None, None
+        for b in batches:
+            for where, piece in zip(b["path"], b["piece"], strict=True):
+                if where != file:
+                    yield from parser.feed(b"", True) if parser else []
+                    file, parser = where, make()
+                    yield from parser.feed(piece)
+                else:
+                    yield from parser.feed(PIECE + piece)
+        yield from parser.feed(b"", True) if parser else []
+
+    def run(batches):
+        found = rows(ended(batches))
+        while some := list(itertools.islice(found, 50_000)):
+            yield pd.DataFrame(some, columns=names)
+
+    return _pieces(spark, path).mapInPandas(run, schema)
+
+
+def plist_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Tracks of a property-list library; a task holds one track at a time, not the library."""
+
+    def rows(entries):
+        for key, t in entries:
+            yield (str(t.get("Track ID", key)), *_split(t, PLIST_FIELDS))
+
+    return _source_tracks(_plist(spark, path, lambda: Entries("Tracks", "dict"), rows, SPLIT), "apple_xml")
+
+
 def plist_playlists(spark: SparkSession, path: str) -> DataFrame:
     """(list_id, name, description, folder, pos, source_id) of plain playlists; smart lists and the library's own containers are left out.
 
     Repeats of a track that is known don't count; one that isn't known takes its position again with every repeat, so ``pos`` can have gaps after
     the join with tracks: pass ``known`` ids to ``plist_members``. Files are parsed as they are read: a task holds one playlist's ids, not the library.
     """
-    columns = ("list_id", "name", "description", "folder", "at", "source_id")
 
-    def taken(playlists):
-        for p in playlists:
+    def rows(entries):
+        for _, p in entries:
             if p.get("Smart Info") or p.get("Master") or p.get("Music"):
                 continue
             same = (p.get("Playlist Persistent ID"), p.get("Name"), p.get("Description") or None, bool(p.get("Folder", False)))
             for i, track in enumerate(p.get("Playlist Items") or [None]):
                 yield (*same, i, track)
 
-    def ended(batches):
-        """The playlists of one file after another."""
-        file, parser = None, None
-        for b in batches:
-            for path, piece in zip(b["path"], b["piece"], strict=True):
-                if path != file:
-                    yield from parser.feed(b"", True) if parser else []
-                    file, parser = path, Playlists()
-                    yield from parser.feed(piece)
-                else:
-                    yield from parser.feed(PIECE + piece)
-        yield from parser.feed(b"", True) if parser else []
-
-    def run(batches):
-        rows = taken(ended(batches))
-        while some := list(itertools.islice(rows, 50_000)):
-            yield pd.DataFrame(some, columns=columns)
-
-    return _pieces(spark, path).mapInPandas(run, "list_id string, name string, description string, folder boolean, at int, source_id string")
+    return _plist(spark, path, lambda: Entries(short=("Playlist Items", _track_id)), rows, "list_id string, name string, description string, folder boolean, at int, source_id string")
 
 
 def plist_members(lists: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -227,52 +229,25 @@ def plist_members(lists: DataFrame, tracks: DataFrame) -> DataFrame:
     return placed.where("first and known").select("list_id", "source_id", F.col("position").cast("int").alias("position"))
 
 
-def entries(raw: bytes, wanted: str, depth: int = 3) -> Iterator[bytes]:
-    """Files of an archive whose name contains ``wanted``, in archives within it as well; a JSON archive's one file is unpacked."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        for name in sorted(z.namelist()):
-            if wanted in name:
-                data = z.read(name)
-                if zipfile.is_zipfile(io.BytesIO(data)):
-                    with zipfile.ZipFile(io.BytesIO(data)) as inner:
-                        yield from (inner.read(n) for n in sorted(inner.namelist()))
-                else:
-                    yield data
-            elif name.lower().endswith(".zip") and depth:
-                try:
-                    yield from entries(z.read(name), wanted, depth - 1)
-                except zipfile.BadZipFile:
-                    continue
+def _media_tracks(stream):
+    for _, t in json_items(stream):
+        yield (str(t["Track Identifier"]), *_split({"Is Part of Compilation": False, **t}, MS_FIELDS))
 
 
-def _wanted(path: str, raw: bytes, wanted: str) -> Iterator[bytes]:
-    if zipfile.is_zipfile(io.BytesIO(raw)):
-        yield from entries(raw, wanted)
-    elif wanted in path.replace("%20", " "):
-        yield raw
+def _media_playlists(stream):
+    for _, p in json_items(stream):
+        for i, item in enumerate(dict.fromkeys(map(str, p.get("Playlist Item Identifiers") or []))):
+            yield str(p["Container Identifier"]), p.get("Title", ""), p.get("Container Type", ""), item, i
 
 
 def media_services_tracks(spark: SparkSession, path: str) -> DataFrame:
-    def parse(where, raw):
-        for data in _wanted(where, raw, TRACKS_ENTRY):
-            for t in json.loads(data):
-                known, rest = _split({"Is Part of Compilation": False, **t}, MS_FIELDS)
-                yield {"source_id": str(t["Track Identifier"]), "known": known, "rest": rest}
-
-    return _source_tracks(_parsed(_files(spark, path), parse, "source_id string, known string, rest string"), "apple_ms")
+    return _source_tracks(records(spark, path, _media_tracks, re.escape(TRACKS_ENTRY), SPLIT), "apple_ms")
 
 
 def media_services_playlists(spark: SparkSession, path: str, skipped: tuple[str, ...] = SKIPPED_LISTS) -> DataFrame:
-    """(list_id, name, source_id, position): each list's items once, in order of first occurrence; empty lists and container types are left out."""
-
-    def parse(where, raw):
-        for data in _wanted(where, raw, PLAYLISTS_ENTRY):
-            for p in json.loads(data):
-                if p.get("Container Type", "") not in skipped:
-                    for i, item in enumerate(dict.fromkeys(map(str, p.get("Playlist Item Identifiers") or []))):
-                        yield {"list_id": str(p["Container Identifier"]), "name": p.get("Title", ""), "source_id": item, "at": i}
-
-    return _parsed(_files(spark, path), parse, "list_id string, name string, source_id string, at int")
+    """(list_id, name, source_id, at): each list's items once, in order of first occurrence; empty lists and container types are left out."""
+    rows = records(spark, path, _media_playlists, re.escape(PLAYLISTS_ENTRY), "list_id string, name string, kind string, source_id string, at int")
+    return rows.where(~F.col("kind").isin(*skipped)).drop("kind")
 
 
 def media_services_members(lists: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -281,27 +256,38 @@ def media_services_members(lists: DataFrame, tracks: DataFrame) -> DataFrame:
     return met.select("list_id", "source_id", F.row_number().over(W.partitionBy("list_id").orderBy("at")).alias("position"))
 
 
+ACTIVITY = {"Event Type": "kind", "Album Name": "album", "Song Name": "title", "Play Duration Milliseconds": "ms", "Event Timestamp": "ts", "Event End Timestamp": "end_ts"}
+
+
+def _text(stream) -> io.TextIOWrapper:
+    """A binary stream as text, quoted line ends kept as they are."""
+    return io.TextIOWrapper(io.BufferedReader(stream, CHUNK) if isinstance(stream, io.RawIOBase) else stream, encoding="utf-8-sig", newline="")
+
+
+def _activity(stream):
+    for row in csv.DictReader(_text(stream)):
+        yield tuple(row.get(k) or None for k in ACTIVITY)
+
+
 def play_activity(spark: SparkSession, path: str) -> DataFrame:
     """Ended plays of 30 s or more with a song name; this feed names no artist."""
+    rows = records(spark, path, _activity, re.escape(ACTIVITY_ENTRY), ", ".join(f"{n} string" for n in ACTIVITY.values()))
+    return rows.where((F.col("kind") == "PLAY_END") & (F.col("ms").try_cast("long") >= LEAST_MS) & F.col("title").isNotNull()).select(F.lit("apple_ms").alias("platform"), "title", F.lit(None).cast("string").alias("artist"), "album", F.try_to_timestamp(F.coalesce("ts", "end_ts")).alias("date"))
 
-    def parse(where, raw):
-        for data in _wanted(where, raw, ACTIVITY_ENTRY):
-            yield from csv.DictReader(io.StringIO(data.decode("utf-8-sig")))
 
-    columns = {"Event Type": "kind", "Album Name": "album", "Song Name": "title", "Play Duration Milliseconds": "ms", "Event Timestamp": "ts", "Event End Timestamp": "end_ts"}
-    pick = lambda where, raw: ({n: row.get(k) or None for k, n in columns.items()} for row in parse(where, raw))
-    rows = _parsed(_files(spark, path), pick, ", ".join(f"{n} string" for n in columns.values()))
-    return rows.where((F.col("kind") == "PLAY_END") & (F.col("ms").try_cast("long") >= LEAST_MS) & F.col("title").isNotNull()).select(F.lit("apple_ms").alias("platform"), "title", F.lit(None).cast("string").alias("artist"), "album", F.try_to_timestamp(F.coalesce("ts", "end_ts")).alias("date"))
+def _json_records(stream):
+    for _, x in json_items(stream):
+        yield (json.dumps(x),)
+
+
+def _json_lines(stream):
+    yield from ((x,) for x in lines(stream) if x.strip())
 
 
 def streaming_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Plays of 30 s or more, and the rows set apart because artist or album is missing."""
     schema = "ts string, ms_played long, master_metadata_track_name string, master_metadata_album_artist_name string, master_metadata_album_album_name string"
-    if path.endswith(".zip"):
-        parse = lambda where, raw: ({"j": d.decode()} for d in entries(raw, ".json"))
-        rows = _parsed(_files(spark, path), parse, "j string").select(F.explode(F.from_json("j", f"array<struct<{schema.replace(' string', ':string').replace(' long', ':long')}>>")).alias("r")).select("r.*")
-    else:
-        rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    rows = records(spark, path, _json_records, r"\.json", "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
     rows = rows.select(F.lit("spotify").alias("platform"), F.col("master_metadata_track_name").alias("title"), F.col("master_metadata_album_artist_name").alias("artist"), F.col("master_metadata_album_album_name").alias("album"), F.try_to_timestamp(F.col("ts")).alias("date"), "ms_played")
     whole = F.col("artist").isNotNull() & F.col("album").isNotNull()
     taken = rows.where((F.col("ms_played") >= LEAST_MS) & F.col("title").isNotNull())
@@ -312,39 +298,32 @@ def listens(spark: SparkSession, path: str) -> DataFrame:
     """Listens in JSON lines, from a folder or from ``listens/`` in an archive; epoch seconds or ISO times."""
     schema = "listened_at string, track_metadata struct<track_name:string, artist_name:string, release_name:string>"
     if path.endswith(".zip"):
-
-        def parse(_, raw):
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                for name in sorted(z.namelist()):
-                    if name.startswith("listens/") and name.endswith(".jsonl"):
-                        yield from ({"j": x} for x in z.read(name).decode().splitlines() if x.strip())
-
-        rows = _parsed(_files(spark, path), parse, "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
+        rows = records(spark, path, _json_lines, r"^listens/.*\.jsonl$", "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
     else:
         rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
     when = F.coalesce(F.timestamp_seconds(F.col("listened_at").try_cast("long")), F.try_to_timestamp(F.col("listened_at")))
     return rows.select(F.lit("listenbrainz").alias("platform"), F.col("track_metadata.track_name").alias("title"), F.col("track_metadata.artist_name").alias("artist"), F.col("track_metadata.release_name").alias("album"), when.alias("date"))
 
 
+def _scrobbles(stream):
+    bad = 0
+    for r in csv.reader(_text(stream)):
+        if len(r) < 4 or not r[2]:
+            continue
+        try:
+            when = datetime.strptime(r[3], "%d %b %Y %H:%M")
+        except ValueError:
+            when = None
+        if when and when.date() == date(1970, 1, 1):
+            when = datetime(2010, 1, 1) + bad * (datetime(2010, 1, 1, 0, 5) - datetime(2010, 1, 1))
+            bad += 1
+        yield r[0], r[1], r[2], when.isoformat() if when else None
+
+
 def scrobble_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless artist, album, title, 'd MMM yyyy HH:mm'; rows without a title go first, then dates on 1970-01-01 become 2010-01-01 plus
     five minutes for each such row before, in file order."""
-
-    def parse(_, raw):
-        bad = 0
-        for r in csv.reader(io.StringIO(raw.decode("utf-8-sig"))):
-            if len(r) < 4 or not r[2]:
-                continue
-            try:
-                when = datetime.strptime(r[3], "%d %b %Y %H:%M")
-            except ValueError:
-                when = None
-            if when and when.date() == date(1970, 1, 1):
-                when = datetime(2010, 1, 1) + bad * (datetime(2010, 1, 1, 0, 5) - datetime(2010, 1, 1))
-                bad += 1
-            yield {"artist": r[0], "album": r[1], "title": r[2], "date": when.isoformat() if when else None}
-
-    rows = _parsed(_files(spark, path), parse, "artist string, album string, title string, date string")
+    rows = records(spark, path, _scrobbles, "", "artist string, album string, title string, date string")
     return rows.select(F.lit("lastfm").alias("platform"), "title", "artist", "album", F.to_timestamp("date").alias("date"))
 
 
@@ -375,15 +354,14 @@ def server_table(spark: SparkSession, url: str, name: str, driver: str = "org.sq
     return spark.read.format("jdbc").options(url=url, dbtable=name, driver=driver).load()
 
 
-def dedup_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Stored decisions, JSON {label: {members: [...], canon_hashes: [...]}} with one canon hash or null beside each member: (group_id, member_hash, canon_hash)."""
+def _groups(stream):
+    for label, g in json_items(stream):
+        yield from ((label, m, c) for m, c in zip(g["members"], g["canon_hashes"], strict=True))
 
-    def parse(_, raw):
-        for label, g in json.loads(raw).items():
-            for m, c in zip(g["members"], g["canon_hashes"], strict=True):
-                yield {"group_id": label, "member_hash": m, "canon_hash": c}
 
-    return _parsed(_files(spark, path), parse, "group_id string, member_hash string, canon_hash string")
+def dedup_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Stored decisions, JSON {label: {members: [...], canon_hashes: [...]}} with one canon hash or null beside each member: (group_id, member_hash, canon_hash)."""
+    return records(spark, path, _groups, "", "group_id string, member_hash string, canon_hash string")
 
 
 def write_dedup_groups(members: DataFrame, path: str) -> None:
