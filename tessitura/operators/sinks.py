@@ -1,9 +1,7 @@
-"""Write operators as plans: what to insert, fill or change; writing is a separate call, so a dry run is free."""
+"""Write operators as plans: what to insert, fill or change; ``commits`` writes them, so a dry run is free."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,20 +76,6 @@ def rebuilt_playlists(playlists: DataFrame, items: DataFrame, links: DataFrame,
     return state, playlists.agg(F.count("*").alias("n_deleted"))
 
 
-def commit(plan: dict[str, DataFrame], folder: str, dry_run: bool = True) -> dict[str, str]:
-    """Write every table of a plan below ``folder``, each into a place of its own that is named only once it is whole; nothing with ``dry_run``.
-
-    Gives the new place of each table. A reader that has the old places is not disturbed, and a failed run leaves no half table behind a name.
-    """
-    places = {}
-    for name, rows in plan.items():
-        place = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        if not dry_run:
-            rows.write.parquet(place)
-        places[name] = place
-    return places
-
-
 def pending_tracks(tracks: DataFrame, files: DataFrame) -> DataFrame:
     """Tracks with any file that has no place in the library yet."""
     return tracks.join(files.where("library_path is null").select(F.col("track_id").alias("id")), "id", "left_semi")

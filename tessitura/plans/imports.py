@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as X
-from tessitura.operators import dedup, history, sinks, unify
+from tessitura.operators import commits, dedup, history, sinks, unify
 from tessitura.plans import views as V
 from tessitura.plans.oracle import ARTIST, DEDUP, FRESH, NAME, STORED, norm, part
 from tessitura.plans.scratch import shared_dir, shuffles_dropped
@@ -269,6 +269,25 @@ def rebuild_playlists(spark, sf):
     return deleted.crossJoin(count("playlist")).crossJoin(count("item")).crossJoin(count("link"))  # four single rows
 
 
+def committed_state(spark, sf):
+    """Lists and links committed, rebuilt in a second run that is repeated, and what both versions hold."""
+    folder, item, link = _folder(spark, "state"), _ours(spark, sf), _pairs(spark, sf, "theirs")
+    commits.commit(spark, {"item": item, "link": link}, folder, "first", dry_run=False)
+    now = commits.state(spark, folder)
+    new = _ours(spark, sf, "base")
+    lists = lambda x: x.select("playlist_id").distinct()
+    plan, _ = sinks.rebuilt_playlists(lists(item), now.read(spark, "item"), now.read(spark, "link"), lists(new), new)
+    for _ in range(2):
+        commits.commit(spark, {"item": plan["item"]}, folder, "second", dry_run=False)
+    out = None
+    for v in (1, 2):
+        one = commits.state(spark, folder, v)
+        rows = one.read(spark, "item").select("playlist_id", F.lit("item").alias("kind")).union(one.read(spark, "link").select("playlist_id", F.lit("link")))
+        rows = rows.groupBy("playlist_id", "kind").agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), "kind", "playlist_id", "n")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
     return V.file_v(spark, sf).withColumn("library_path", F.when(F.col("first_order") % 3 != 0, F.concat(F.lit("Library/Music/"), F.col("id").cast("string"))))
 
@@ -368,6 +387,8 @@ SQL = {
     "append_members": f"WITH {ITEM}, l AS (SELECT playlist_id, max(pos) AS n FROM item_v WHERE side = 'ours' GROUP BY 1) SELECT playlist_id, track_id, coalesce(n, 0) + row_number() OVER (PARTITION BY playlist_id ORDER BY pos) AS position FROM item_v LEFT JOIN l USING (playlist_id) WHERE side = 'theirs'",
     "overwrite_members": f"WITH {ITEM}, b AS (SELECT DISTINCT playlist_id FROM item_v WHERE side = 'base') SELECT playlist_id, track_id, pos AS position FROM item_v WHERE CASE WHEN playlist_id IN (FROM b) THEN side = 'base' ELSE side = 'ours' END",
     "rebuild_playlists": f"WITH {ITEM} SELECT count(DISTINCT playlist_id) FILTER (side = 'ours') AS n_deleted, count(DISTINCT playlist_id) FILTER (side = 'base') AS playlist, count(*) FILTER (side = 'base') AS item, 0::BIGINT AS link FROM item_v",
+    "committed_state": f"""WITH {ITEM}, v AS (SELECT unnest([1, 2]) AS version) SELECT version, 'item' AS kind, playlist_id, count(*) AS n FROM item_v, v WHERE side = CASE version WHEN 1 THEN 'ours' ELSE 'base' END GROUP BY ALL
+      UNION ALL SELECT version, 'link', playlist_id, 1 FROM (SELECT DISTINCT playlist_id FROM item_v WHERE side = 'theirs'), v""",
     "organize_pending": f"WITH {TRACK}, {FILE} SELECT DISTINCT track_id AS id FROM file_v WHERE first_order % 3 = 0 AND track_id IN (SELECT id FROM track_v)",
     "file_plan": f"""WITH {TRACK}, {FILE}, f AS (SELECT file_v.id AS file_id, ext, track_id, row_number() OVER (PARTITION BY track_id ORDER BY bitrate // 1000 DESC, CASE ext WHEN 'flac' THEN 3 WHEN 'm4a' THEN 2 WHEN 'mp3' THEN 1 ELSE 0 END DESC, file_v.id) = 1 AS main FROM file_v),
       n AS (SELECT *, row_number() OVER (PARTITION BY track_id, main ORDER BY file_id) - 1 AS k FROM f), j AS (SELECT file_id, main, title, album, artist, album_artist, t.id % 13 = 0 AS compilation, track_n AS track_number, disc_n AS d, CASE WHEN NOT main AND k > 0 THEN ' ' || k ELSE '' END || '.' || ext AS tail FROM n JOIN track_v t ON t.id = track_id)
@@ -383,5 +404,5 @@ SQL = {
 
 QUERIES = (
     plist_tracks, plist_members, media_services_tracks, archive_tracks, media_services_members, play_activity, streaming_history, history_quarantine, listens, scrobble_csv, dedup_json, detect_formats, get_or_create, fill_nulls, upsert_links, append_members, overwrite_members,
-    rebuild_playlists, organize_pending, file_plan, expected_files, replays, fresh_after_import, new_aliases, renormalized, masked_dsn,
+    rebuild_playlists, committed_state, organize_pending, file_plan, expected_files, replays, fresh_after_import, new_aliases, renormalized, masked_dsn,
 )
