@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.operators.ranked import numbered
 from tessitura.operators.playlists import conflicts, merge
 from tessitura.plans.scratch import written
 
@@ -253,9 +254,9 @@ def reconcile(playlists: DataFrame, ours: DataFrame, links: DataFrame, remotes:
         kept = kept.unionByName(after[r.name])
     for r in (r for r in remotes if r.writable):
         new = r.lists.join(after[r.name].select("external_id"), "external_id", "left_anti")
-        rank = F.row_number().over(W.orderBy("external_id"))  # only lists that are new to us
+        new = numbered(new, [], ["external_id"], "rank")
         last = playlists.agg(F.max("playlist_id")).first()[0] if pulled is None else pulled.agg(F.max("playlist_id")).first()[0] or playlists.agg(F.max("playlist_id")).first()[0]
-        own = written(new.select((rank + F.lit(last or 0)).cast("long").alias("playlist_id"), F.lit(r.name).alias("remote"), "external_id", "name"), "pulled")
+        own = written(new.select((F.col("rank") + F.lit(last or 0)).cast("long").alias("playlist_id"), F.lit(r.name).alias("remote"), "external_id", "name"), "pulled")
         done = pair_sync(now.where("false"), own.select("playlist_id", "external_id", empty.alias("base")), r)
         now = now.unionByName(done.merged)
         kept = kept.unionByName(done.links.select("playlist_id", F.lit(r.name).alias("remote"), "external_id", "base"))

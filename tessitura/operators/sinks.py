@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import library_path, path_album, path_artist
+from tessitura.operators.ranked import numbered
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -51,8 +52,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFra
 def appended(items: DataFrame, more: DataFrame, by: str = "playlist_id") -> DataFrame:
     """New members placed after each list's last position, in the order of ``more.ord``."""
     last = items.groupBy(by).agg(F.max("position").alias("last"))
-    rank = F.row_number().over(W.partitionBy(by).orderBy("ord"))
-    return more.withColumn("r", rank).join(last, by, "left").select(by, "track_id", (F.coalesce("last", F.lit(0)) + F.col("r")).alias("position"))
+    placed = numbered(more.select(by, "track_id", "ord"), [by], ["ord"], "r")
+    return placed.join(last, by, "left").select(by, "track_id", (F.coalesce("last", F.lit(0)) + F.col("r").cast("int")).alias("position"))
 
 
 def replaced(items: DataFrame, merged: DataFrame, by: str = "playlist_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import file_name, half_even_seconds, path_album, path_artist, path_part, tag_year
+from tessitura.operators.ranked import numbered
 from tessitura.plans.scratch import written
 
 KEY = ("title", "artist", "album", "album_artist")
@@ -200,5 +201,5 @@ def merge_playlists_by_name(playlists: DataFrame, items: DataFrame) -> DataFrame
     whole = anchored.select("k", F.col("o.id").alias("playlist_id"), "name", F.size("tracks").alias("n"), "tracks")
     own = whole.select("playlist_id", "name", F.posexplode("tracks").alias("i", "track_id")).select("playlist_id", "name", (F.col("i") + 1).alias("position"), "track_id")
     more = firsts.join(whole.drop("tracks"), "k").join(anchors, "k").where(F.col("at.o") > F.col("anchor"))
-    rank = F.row_number().over(W.partitionBy("k").orderBy("at"))
-    return own.union(more.select("playlist_id", "name", (F.col("n") + rank).cast("int").alias("position"), F.col("track").alias("track_id")))
+    more = numbered(more.select("k", "at", "playlist_id", "name", "n", "track"), ["k"], ["at"], "rank")
+    return own.union(more.select("playlist_id", "name", (F.col("n") + F.col("rank")).cast("int").alias("position"), F.col("track").alias("track_id")))

@@ -304,9 +304,9 @@ def file_plan(spark, sf):
 
 
 def expected_files(spark, sf):
-    """Source rows that should have a local file and have none bound."""
+    """Source rows that should have a local file and have none of the best kind bound."""
     s = V.source_track_v(spark, sf)
-    bound = V.file_v(spark, sf).where("first_order % 2 = 0").select((F.col("track_id") * 2).alias("source_id")).distinct()
+    bound = V.file_v(spark, sf).where("ext = 'flac' AND bitrate = 320000").select((F.col("track_id") * 2).alias("source_id")).distinct()
     return unify.missing_files(s.withColumn("apple_music", F.when(F.col("id") % 8 == 0, True)), bound).select("id")
 
 
@@ -393,7 +393,7 @@ SQL = {
     "file_plan": f"""WITH {TRACK}, {FILE}, f AS (SELECT file_v.id AS file_id, ext, track_id, row_number() OVER (PARTITION BY track_id ORDER BY bitrate // 1000 DESC, CASE ext WHEN 'flac' THEN 3 WHEN 'm4a' THEN 2 WHEN 'mp3' THEN 1 ELSE 0 END DESC, file_v.id) = 1 AS main FROM file_v),
       n AS (SELECT *, row_number() OVER (PARTITION BY track_id, main ORDER BY file_id) - 1 AS k FROM f), j AS (SELECT file_id, main, title, album, artist, album_artist, t.id % 13 = 0 AS compilation, track_n AS track_number, disc_n AS d, CASE WHEN NOT main AND k > 0 THEN ' ' || k ELSE '' END || '.' || ext AS tail FROM n JOIN track_v t ON t.id = track_id)
       SELECT file_id, CASE WHEN main THEN 'main' ELSE 'copy' END AS role, CASE WHEN main THEN 'Library/Music/' ELSE 'Copies/Music/' END || {part(ARTIST, '35')} || '/' || {part("coalesce(nullif(album, ''), 'Unknown Album')", '35')} || '/' || {part(NAME, '35 - length(tail)', True)} || tail AS target FROM j""",
-    "expected_files": f"WITH {TRACK}, {SOURCE}, {FILE} SELECT id FROM source_v WHERE provider = 'apple_xml' AND id % 8 <> 0 AND id NOT IN (SELECT track_id * 2 FROM file_v WHERE first_order % 2 = 0)",
+    "expected_files": f"WITH {TRACK}, {SOURCE}, {FILE} SELECT id FROM source_v WHERE provider = 'apple_xml' AND id % 8 <> 0 AND id NOT IN (SELECT track_id * 2 FROM file_v WHERE ext = 'flac' AND bitrate = 320000)",
     "replays": f"""WITH {TRACK}, {SCROBBLE}, {FRESH}, m AS (SELECT title, min(id) AS id FROM track_v GROUP BY 1) SELECT CASE WHEN epoch(date)::BIGINT % 100000 % 7 <> 0 THEN epoch(date)::BIGINT % 100000 END AS play_id, date AS played_at, m.id AS track_id, platform FROM fresh JOIN m USING (title) WHERE m.id % 4 <> 0
       UNION ALL SELECT epoch(date)::BIGINT % 100000, date, -1, platform FROM fresh JOIN m USING (title) WHERE m.id % 4 = 0 AND epoch(date)::BIGINT % 100000 % 7 <> 0""",
     "fresh_after_import": f"WITH {TRACK}, {SCROBBLE}, {FRESH} SELECT * FROM fresh WHERE date NOT IN (SELECT date FROM scrobble_v WHERE platform = 'lastfm')",
