@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessitura.llm.automaton import Automaton
-from tessitura.llm.scratch import written
+from tessitura.llm.scratch import small_batches, written
 
 UNKNOWN = "und"
 SHARD = 1_000_000  # words of one language in an automaton
@@ -152,7 +152,8 @@ def counted(texts: DataFrame, sizes: list[int], least: int, known=None) -> DataF
             yield from shard.rows(sizes, shared.value)
 
     rows = texts.mapInArrow(shards, SCHEMA).groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
-    return written(rows.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    with small_batches(texts.sparkSession):
+        return written(rows.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, share: int = 50, top: int = 2000) -> DataFrame:
