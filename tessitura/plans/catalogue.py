@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import text as X
 from tessitura.operators import dedup, history, match, playlists, review, unify
-from tessitura.plans import imports, syncing
+from tessitura.plans import databases, imports, streams, syncing
 from tessitura.plans import views as V
 from tessitura.plans.oracle import SQL
 from tessitura.plans.scratch import written
@@ -327,8 +327,8 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*QUERIES, *imports.QUERIES, *syncing.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *imports.QUERIES, *syncing.QUERIES, *streams.QUERIES, *databases.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**SQL, **imports.SQL, **syncing.SQL}
+    return {**SQL, **imports.SQL, **syncing.SQL, **streams.SQL, **databases.SQL}
