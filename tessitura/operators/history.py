@@ -82,3 +82,33 @@ def status(tracks: DataFrame, files: DataFrame, scrobbles: DataFrame, canon: Dat
     c = canon.agg(F.count_if(F.col("canon_id").isNotNull()).alias("twins"), F.countDistinct("canon_id").alias("groups"))
     one = t.crossJoin(f).crossJoin(s).crossJoin(c)  # four single rows
     return one.withColumn("bound_share", F.coalesce(F.try_divide(F.col("bound").cast("double"), F.col("files").cast("double")), F.lit(0.0)))
+
+
+def status_report(
+    source_tracks: DataFrame, source_playlists: DataFrame, scrobbles: DataFrame, tracks: DataFrame, aliases: DataFrame, plays: DataFrame, playlists: DataFrame, files: DataFrame, groups: DataFrame, links: DataFrame,
+) -> DataFrame:
+    """(section, item, part, n, of, share): where a library stands, a row for each count.
+
+    ``part`` is null for a total, else the provider or platform that it is of. ``of`` is what a count is a share of, null where it is none; the share of nothing is 0. Empty
+    tables count 0. ``source_playlists``: folder (null: none); ``tracks``: canon_id; ``aliases`` and ``files``: track_id; ``files``: library_path; ``groups``: group_id.
+    """
+    none = F.lit(None)
+
+    def row(section: str, item: str, rows: DataFrame, n=None, of=None) -> DataFrame:
+        return rows.agg((F.count("*") if n is None else n).cast("long").alias("n"), (none if of is None else of).cast("long").alias("of")).select(F.lit(section).alias("section"), F.lit(item).alias("item"), none.cast("string").alias("part"), "n", "of")
+
+    def parts(section: str, item: str, rows: DataFrame, by: str) -> DataFrame:
+        each = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"))
+        return each.select(F.lit(section).alias("section"), F.lit(item).alias("item"), F.col(by).alias("part"), "n", none.cast("long").alias("of"))
+
+    has = lambda c: F.count_if(F.col(c).isNotNull())
+    report = [
+        row("imported", "source tracks", source_tracks), parts("imported", "source tracks", source_tracks, "provider"), row("imported", "source playlists", source_playlists.where(~F.coalesce("folder", F.lit(False)))),
+        row("imported", "scrobbles", scrobbles), parts("imported", "scrobbles", scrobbles, "platform"), row("canonical", "tracks", tracks), row("canonical", "aliases matched", aliases, has("track_id"), F.count("*")), row("canonical", "plays", plays),
+        row("canonical", "playlists", playlists), row("files", "bound to tracks", files, has("track_id"), F.count("*")), row("files", "organised", files, has("library_path")), row("duplicates", "twins", tracks, has("canon_id")),
+        row("duplicates", "groups", tracks, F.countDistinct("canon_id")), row("duplicates", "confirmed groups", groups, F.countDistinct("group_id")), row("synced", "playlist links", links),
+    ]
+    out = report[0]
+    for r in report[1:]:
+        out = out.union(r)
+    return out.withColumn("share", F.when(F.col("of").isNotNull(), F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("of").cast("double")), F.lit(0.0))))

@@ -327,8 +327,12 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (*QUERIES, *imports.QUERIES, *syncing.QUERIES, *streams.QUERIES, *databases.QUERIES)}
+    from tessitura.plans import library
+
+    return {f.__name__: f for f in (*QUERIES, *imports.QUERIES, *syncing.QUERIES, *streams.QUERIES, *databases.QUERIES, *library.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**SQL, **imports.SQL, **syncing.SQL, **streams.SQL, **databases.SQL}
+    from tessitura.plans import library
+
+    return {**SQL, **imports.SQL, **syncing.SQL, **streams.SQL, **databases.SQL, **library.SQL}
