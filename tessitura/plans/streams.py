@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.plans import views as V
-from tessitura.plans.scratch import shared_dir
+from tessitura.plans.scratch import shared_dir, written
 from tessitura.plans.views import ITEM, SCROBBLE, TRACK
 from tessitura.streaming import keyed
 
@@ -26,7 +26,7 @@ def _run(spark: SparkSession, folder: str, schema: str, make) -> None:
 
 def stream_list_changes(spark, sf):
     """What three snapshots of every list change, one after the other; the stream is started anew for the third, and the second comes again with it."""
-    items = V.playlist_item_v(spark, sf).groupBy("playlist_id", "side", "track_id").agg(F.count("*").alias("n"))
+    items = written(V.playlist_item_v(spark, sf).groupBy("playlist_id", "side", "track_id").agg(F.count("*").alias("n")), "counts")
     version = F.array_position(F.array(*map(F.lit, SIDES)), F.col("side"))
     rows = items.select("playlist_id", F.lit("server").alias("remote"), version.cast("long").alias("version"), "track_id", "n")
     heads = items.select("playlist_id").distinct().select("playlist_id", F.lit("server").alias("remote"), F.explode(F.array(*[F.lit(v).cast("long") for v in (1, 2, 3)])).alias("version"), F.lit(None).cast("long").alias("track_id"), F.lit(0).cast("long").alias("n"))

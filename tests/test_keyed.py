@@ -52,3 +52,17 @@ def test_watermark_lets_go_of_dates(run):
     for f in ([row(1, day)], [row(2, day), row(3, day + timedelta(days=90))], [row(4, day + timedelta(days=90)), row(5, day)], [row(6, day + timedelta(days=91))]):
         got = run(lambda s: keyed.first_of_dates(s, "30 days"), keyed.SCROBBLE, f)
     assert sorted(r[0] for r in got) == [1, 3, 6]
+
+
+def test_many_lists_share_a_state(spark, run, tmp_path):
+    """There is a state, and a call of Python, for each of ``tables``, however many lists there are; large ids and lists that don't come again stay as they are."""
+    big = 2**60 + 1
+    make = lambda s: keyed.list_changes(s, 1, 3)
+    run(make, keyed.SNAPSHOT, [r for p in range(500) for r in snapshot(1, [p, big], p)])
+    spark.createDataFrame([r for p in range(0, 500, 2) for r in snapshot(2, [p], p)], keyed.SNAPSHOT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/s-in")
+    stream = keyed.append(make(keyed.watch(spark, f"{tmp_path}/s-in", keyed.SNAPSHOT, 1)), f"{tmp_path}/s-out", f"{tmp_path}/s-checkpoint")
+    stream.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress) <= 3
+    last = run(make, keyed.SNAPSHOT, [r for p in range(1, 500, 2) for r in snapshot(3, [big], p)] + snapshot(4, [], 8))
+    want = [(p, "a", 2, big, -1) for p in range(0, 500, 2)] + [(p, "a", 3, p, -1) for p in range(1, 500, 2)] + [(8, "a", 4, 8, -1)]
+    assert [r for r in last if r[2] > 1] == sorted(want, key=repr)
