@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessitura.plans.scratch import partitions
+
 COUNT = lambda side: F.count_if(F.col("side") == side)
 
 
@@ -15,21 +17,28 @@ def counts(items: DataFrame) -> DataFrame:
     return c
 
 
+def _target(use_base: bool) -> Column:
+    """Copies of a track that a merge keeps, from its numbers on the three sides and ``has_base``."""
+    larger, merged = F.greatest("ours", "theirs"), F.greatest(F.lit(0).cast("long"), F.col("ours") + F.col("theirs") - F.col("base"))
+    return F.when(F.col("has_base"), merged).otherwise(larger) if use_base else larger
+
+
 def targets(items: DataFrame, use_base: bool = True) -> DataFrame:
     """(playlist_id, track_id, target): ours + theirs - base, 0 at least; without a base (or with an empty one) the larger of both."""
     c = counts(items)
     has = c.groupBy("playlist_id").agg(F.max(F.col("base") > 0).alias("has_base"))
     c = c.join(has, "playlist_id")
-    merged = F.greatest(F.lit(0).cast("long"), F.col("ours") + F.col("theirs") - F.col("base"))
-    target = F.when(F.col("has_base"), merged).otherwise(F.greatest("ours", "theirs")) if use_base else F.greatest("ours", "theirs")
-    return c.select("playlist_id", "track_id", "base", "ours", "theirs", target.alias("target"))
+    return c.select("playlist_id", "track_id", "base", "ours", "theirs", _target(use_base).alias("target"))
 
 
 def merge(items: DataFrame, use_base: bool = True) -> DataFrame:
     """(playlist_id, position, track_id): ours kept up to the target, then what theirs has beyond, each in its own order."""
-    t = targets(items, use_base)
-    rows = items.where("side <> 'base'").withColumn("occ", F.row_number().over(W.partitionBy("playlist_id", "side", "track_id").orderBy("pos")))
-    rows = rows.join(t, ["playlist_id", "track_id"])
+    # one shuffle, by playlist: all windows below are within a playlist
+    rows = items.select("playlist_id", "side", "track_id", "pos").repartition(partitions(items.sparkSession), "playlist_id").withColumn("has_base", F.max(F.col("side") == "base").over(W.partitionBy("playlist_id")))
+    track = W.partitionBy("playlist_id", "track_id")
+    rows = rows.withColumns({n: COUNT(n).over(track) for n in ("base", "ours", "theirs")}).where("side <> 'base'")
+    rows = rows.withColumn("target", _target(use_base)).where("playlist_id is not null and track_id is not null and target > 0")
+    rows = rows.withColumn("occ", F.row_number().over(W.partitionBy("playlist_id", "side", "track_id").orderBy("pos")))
     keep = F.when(F.col("side") == "ours", F.col("occ") <= F.col("target")).otherwise(F.col("occ") <= F.col("target") - F.least("ours", "target"))
     return rows.where(keep).select("playlist_id", F.row_number().over(W.partitionBy("playlist_id").orderBy("side", "pos")).alias("position"), "track_id")
 

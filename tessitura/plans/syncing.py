@@ -9,6 +9,7 @@ from tessitura.functions import text as X
 from tessitura.operators import dedup, push, reconcile
 from tessitura.plans import views as V
 from tessitura.plans.oracle import DEDUP
+from tessitura.plans.scratch import written
 from tessitura.plans.views import FILE, ITEM, SCROBBLE
 
 
@@ -34,15 +35,15 @@ def _side(items: DataFrame, side: str) -> DataFrame:
 
 def _state(spark: SparkSession, sf: str):
     """Playlists, ours, links and two remotes: a source, then a server whose two translations are no inverses of each other."""
-    items = V.playlist_item_v(spark, sf)
+    items = written(V.playlist_item_v(spark, sf), "items")  # narrow rows, read many times
     ours, base, theirs = (_side(items, s) for s in ("ours", "base", "theirs"))
     ours, base = (x.withColumn("track_id", _root(F.col("track_id"))) for x in (ours, base))
-    playlists = items.select("playlist_id").distinct()
-    held = reconcile.in_order(base, "playlist_id", "pos", "track_id", "base")
+    playlists = written(items.select("playlist_id").distinct(), "playlists")
+    held = written(reconcile.in_order(base, "playlist_id", "pos", "track_id", "base"), "bases")
     k = F.col("playlist_id")
     links = held.select("playlist_id", F.lit("server").alias("remote"), _pair("x", k).alias("external_id"), "base")
     links = links.union(held.where("playlist_id % 2 = 0").select("playlist_id", F.lit("source").alias("remote"), _pair("s", k).alias("external_id"), "base"))
-    lists = theirs.select("playlist_id").distinct()
+    lists = written(theirs.select("playlist_id").distinct(), "lists")
     server_lists = lists.where("playlist_id % 11 <> 0").select(_pair("x", k).alias("external_id"), _pair("list ", k).alias("name"))
     server_items = theirs.where("playlist_id % 11 <> 0").select(_pair("x", k).alias("external_id"), "pos", _pair("m", F.col("track_id")).alias("ref"))
     t = spark.range(20).select(F.col("id").alias("t"))

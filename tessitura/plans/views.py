@@ -53,13 +53,16 @@ def playlist_item_v(spark: SparkSession, sf: str, side: str | None = None) -> Da
     c = F.col("o_custkey")
     on = {"base": (F.col("l_returnflag") != "R") & (c % 10 != 0), "ours": F.col("l_linestatus") == "F", "theirs": F.col("l_quantity") > 20}
     rows = j.withColumn("track_id", F.col("l_partkey") % 20)
-    if side:
-        rows = rows.where(on[side]).withColumn("side", F.lit(side))
-    else:
-        rows = rows.withColumn("side", F.explode(F.filter(F.array(*[F.when(x, n) for n, x in on.items()]), lambda x: x.isNotNull())))
     order = ["l_orderkey", "l_linenumber", "track_id", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
-    pos = F.row_number().over(W.partitionBy("o_custkey", "side").orderBy(*order))
-    return rows.select(c.alias("playlist_id"), "side", "track_id", pos.alias("pos"))
+    if side:
+        pos = F.row_number().over(W.partitionBy("o_custkey").orderBy(*order))
+        return rows.where(on[side]).select(c.alias("playlist_id"), F.lit(side).alias("side"), "track_id", pos.alias("pos"))
+    # each row moves and is sorted once, not once for each side that it is on; its place on a side is a running count
+    before = W.partitionBy("o_custkey").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select(c, "track_id", *order[:2], *order[3:], *[x.alias(f"on_{n}") for n, x in on.items()])
+    rows = rows.select("o_custkey", "track_id", *[F.when(F.col(f"on_{n}"), F.count_if(f"on_{n}").over(before)).cast("int").alias(n) for n in on])
+    places = F.filter(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("pos")) for n in on]), lambda x: x["pos"].isNotNull())
+    return rows.select(c.alias("playlist_id"), "track_id", F.explode(places).alias("x")).select("playlist_id", "x.side", "track_id", "x.pos")
 
 
 def source_track_v(spark: SparkSession, sf: str) -> DataFrame:

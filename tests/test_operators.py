@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.operators import components, dedup, history, match, playlists, sinks, unify
+from tessitura.plans import views as V
 
 TRACK = "id long, title string, artist string, album string, album_artist string, track_n int, disc_n int, year int, duration int, date_added timestamp, loved boolean, rating int"
 
@@ -290,3 +291,18 @@ def test_bounded_matches_equal_all_pairs(spark, monkeypatch, threshold, shard):
         monkeypatch.setattr(match, "ROUNDS", (1.1,))  # nothing is settled beforehand
     got = {r["alias_key"]: (r["track_id"], r["score"]) for r in match.match_fuzzy(a, t, threshold).collect()}
     assert got == want and len(got) > 20
+
+
+def test_merge_moves_rows_once(spark):
+    """A merge is one shuffle of the items, whatever it compares them by; lists without a base keep the larger number, null tracks go."""
+    rows = [(1, "base", 7, 1), (1, "ours", 7, 1), (1, "ours", 8, 2), (1, "theirs", 9, 1), (1, "ours", None, 3), (2, "ours", 5, 1), (2, "theirs", 5, 1), (2, "theirs", 5, 2), (None, "ours", 1, 1)]
+    items = spark.createDataFrame(rows, "playlist_id long, side string, track_id long, pos long")
+    merged = playlists.merge(items)
+    assert merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+    assert sorted(map(tuple, merged.collect())) == [(1, 1, 8), (1, 2, 9), (2, 1, 5), (2, 2, 5)]
+
+
+def test_items_are_placed_with_one_shuffle_of_the_join(spark, sf):
+    """The places on all sides come from one sort of the rows, not from one of a row for each side."""
+    plan = V.playlist_item_v(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window [")
