@@ -13,7 +13,8 @@ COUNT = lambda side: F.count_if(F.col("side") == side)
 
 def counts(items: DataFrame) -> DataFrame:
     """Copies of each track of each playlist in base, ours and theirs, in one shuffle, and whether the playlist has a base."""
-    c = items.groupBy("playlist_id", "track_id").agg(COUNT("base").alias("base"), COUNT("ours").alias("ours"), COUNT("theirs").alias("theirs"))
+    rows = items.select("playlist_id", "track_id", "side").repartition(partitions(items.sparkSession), "playlist_id", "track_id")
+    c = rows.groupBy("playlist_id", "track_id").agg(COUNT("base").alias("base"), COUNT("ours").alias("ours"), COUNT("theirs").alias("theirs"))
     return c
 
 
@@ -45,9 +46,11 @@ def merge(items: DataFrame, use_base: bool = True) -> DataFrame:
 
 def conflicts(states: DataFrame) -> DataFrame:
     """(playlist_id, track_id): added by one remote and removed by another. ``states``: playlist_id, remote, track_id, base, theirs (copies)."""
+    # windows sort and hold one track of one list; aggregates would hold all of a task's, and several times for a distinct count
+    w = W.partitionBy("playlist_id", "track_id")
     delta = F.col("theirs") - F.col("base")
-    d = states.groupBy("playlist_id", "track_id").agg(F.max(delta).alias("up"), F.min(delta).alias("down"), F.countDistinct("remote").alias("n"))
-    return d.where("up > 0 and down < 0").select("playlist_id", "track_id", F.col("n").alias("n_remotes"))
+    d = states.select("playlist_id", "track_id", "remote", F.max(delta).over(w).alias("up"), F.min(delta).over(w).alias("down"))
+    return d.where("up > 0 and down < 0").groupBy("playlist_id", "track_id").agg(F.countDistinct("remote").alias("n_remotes"))
 
 
 def touched(items: DataFrame) -> DataFrame:

@@ -257,8 +257,8 @@ def merge_no_base(spark, sf):
 def _states(spark, sf):
     """Two remotes: one is 'theirs', the other reads 'ours'; both share the base."""
     c = playlists.counts(V.playlist_item_v(spark, sf))
-    a = c.select("playlist_id", F.lit("a").alias("remote"), "track_id", "base", "theirs")
-    return a.union(c.select("playlist_id", F.lit("b").alias("remote"), "track_id", "base", F.col("ours").alias("theirs")))
+    two = F.explode(F.array(*[F.struct(F.lit(remote).alias("remote"), F.col(side).alias("theirs")) for remote, side in (("a", "theirs"), ("b", "ours"))]))
+    return c.select("playlist_id", "track_id", "base", two.alias("x")).select("playlist_id", "x.remote", "track_id", "base", "x.theirs")
 
 
 def conflicts_detect(spark, sf):

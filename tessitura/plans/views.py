@@ -60,9 +60,10 @@ def playlist_item_v(spark: SparkSession, sf: str, side: str | None = None) -> Da
     # each row moves and is sorted once, not once for each side that it is on; its place on a side is a running count
     before = W.partitionBy("o_custkey").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.select(c, "track_id", *order[:2], *order[3:], *[x.alias(f"on_{n}") for n, x in on.items()])
-    rows = rows.select("o_custkey", "track_id", *[F.when(F.col(f"on_{n}"), F.count_if(f"on_{n}").over(before)).cast("int").alias(n) for n in on])
-    places = F.filter(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("pos")) for n in on]), lambda x: x["pos"].isNotNull())
-    return rows.select(c.alias("playlist_id"), "track_id", F.explode(places).alias("x")).select("playlist_id", "x.side", "track_id", "x.pos")
+    rows = rows.select("o_custkey", "track_id", *[f"on_{n}" for n in on], *[F.count_if(f"on_{n}").over(before).cast("int").alias(n) for n in on])
+    sides = F.explode(F.filter(F.array(*[F.when(F.col(f"on_{n}"), n) for n in on]), lambda x: x.isNotNull()))  # not by place, so that who needs none sorts none
+    rows = rows.select(c.alias("playlist_id"), "track_id", *on, sides.alias("side"))
+    return rows.select("playlist_id", "side", "track_id", F.coalesce(*[F.when(F.col("side") == n, F.col(n)) for n in on]).alias("pos"))
 
 
 def source_track_v(spark: SparkSession, sf: str) -> DataFrame:

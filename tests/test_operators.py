@@ -306,3 +306,13 @@ def test_items_are_placed_with_one_shuffle_of_the_join(spark, sf):
     """The places on all sides come from one sort of the rows, not from one of a row for each side."""
     plan = V.playlist_item_v(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Window [")
+    assert "Window [" not in V.playlist_item_v(spark, sf).drop("pos")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_conflicts_hold_one_track_at_a_time(spark):
+    """Only tracks in conflict are aggregated; a remote's repeated rows count once, null keys are one group."""
+    rows = [(1, "a", 7, 1, 2), (1, "b", 7, 1, 0), (1, "b", 7, 1, 0), (1, "c", 7, 1, 1), (1, "a", 8, 0, 1), (1, "b", 8, 0, 1), (None, "a", None, 0, 1), (None, "b", None, 1, 0)]
+    found = playlists.conflicts(spark.createDataFrame(rows, "playlist_id long, remote string, track_id long, base long, theirs long"))
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 7, 3), (None, None, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter") < plan.index("Window")
