@@ -79,7 +79,8 @@ def bind_files(source: DataFrame, files: DataFrame) -> DataFrame:
 
     A path that another contains has its album folder as a whole folder there, and its file name, which ends with an extension, begins the next part.
     So both sides meet by folder and by what stands up to an extension, by 128 bits of the two; then the part before the folder has to end with the path's
-    artist. Of the tracks that have the same paths only the smallest is placed, and neither paths nor names move.
+    artist. Of the tracks that have the same paths only the smallest is placed, and neither paths nor names move. Many options come of each track, which Spark's
+    estimate from the tables' files doesn't see, so the join is told to be a merge: else one side may go through the driver as a broadcast.
     """
     same = ["title", "track_number", "discs", "pa", "pl"]
     keys = lambda folder, name: [F.xxhash64(folder, name).alias("k1"), F.xxhash64(F.lit(1), folder, name).alias("k2")]
@@ -91,7 +92,7 @@ def bind_files(source: DataFrame, files: DataFrame) -> DataFrame:
     pairs = F.transform(F.slice(own, F.lit(2), F.size(own)), lambda x, i: F.struct(F.get(own, i).alias("before"), x.alias("folder"), F.get(own, i + 2).alias("next")))
     f = f.select(F.col("id").alias("file_id"), F.explode(pairs).alias("p")).where(F.greatest(*[F.col("p.next").contains(f".{e}") for e in EXTENSIONS]))
     f = f.select("file_id", "p.before", "p.folder", F.explode(ends(F.col("p.next"))).alias("name")).select("file_id", "before", *keys(F.col("folder"), F.col("name")))
-    met = written(f.join(c, ["k1", "k2"]).where(F.col("before").endswith(F.col("artist"))).select("file_id", "id"), "bound")  # the join's shuffle files go
+    met = written(f.join(c.hint("merge"), ["k1", "k2"]).where(F.col("before").endswith(F.col("artist"))).select("file_id", "id"), "bound")  # the join's shuffle files go
     return met.groupBy("file_id").agg(F.min("id").alias("source_id"))
 
 

@@ -217,6 +217,16 @@ def test_bind_files_moves_no_paths(spark, monkeypatch):
     assert "k1" in seen[0] and "source_low" not in seen[0] and "Contains(" not in seen[0].split("Join Inner")[0]
 
 
+def test_bind_files_joins_without_broadcast(spark, sf, monkeypatch):
+    """Tables that look small to Spark give many options of each track: neither side may go through the driver."""
+    from tessitura.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(unify, "written", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    catalogue.bind_files(spark, sf)
+    assert "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
+
+
 def test_fold_by_name_equals_one_fold(spark):
     """Folding connected names apart gives what one fold over all lists gives."""
     rng = random.Random(5)
