@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.text import duration_bucket, duplicate_hash
 from tessitura.operators.components import components
-from tessitura.plans.scratch import written
+from tessitura.plans.scratch import partitions, written
 
 FIELDS = ("artist", "album_artist", "album", "track_n", "disc_n", "year", "duration")
 DEFAULT_SETS = (("artist", "duration"), ("artist", "year"), ("album_artist", "duration"))
@@ -74,15 +74,20 @@ def apply_overrides(canon: DataFrame, tracks: DataFrame, members: DataFrame) ->
     A group counts only if every member hash is there. A canon hash names the first track that has it; a track's own
     means none; an unknown one leaves the track as it is.
     """
-    t = hashed(tracks).groupBy("duplicate_hash").agg(F.min("id").alias("first"))
-    met = members.join(t, members["member_hash"] == t["duplicate_hash"], "left").select("group_id", "member_hash", "canon_hash", "first")
+    n = partitions(tracks.sparkSession)  # every join and group is dealt by number; no side is small enough for a broadcast at size
+    own = hashed(tracks).select("id", "duplicate_hash").repartition(n, "duplicate_hash")
+    first = own.groupBy("duplicate_hash").agg(F.min("id").alias("first"))
+    same = written(own.join(first.hint("merge"), "duplicate_hash").select("id", "duplicate_hash", "first"), "hashes")
+    # from here on a hash is the first track that has it
+    named = lambda rows, key, name: rows.repartition(n, key).join(same.where("id = first").select(F.col("duplicate_hash").alias(key), F.col("first").alias(name)).hint("merge"), key, "left")
+    met = named(members.select("group_id", "member_hash", "canon_hash"), "member_hash", "first").select("group_id", "first", "canon_hash")
+    met = written(named(met, "canon_hash", "target").select("group_id", "first", "target", F.col("canon_hash").isNull().alias("unsaid")), "decisions").repartition(n, "group_id")
     whole = met.groupBy("group_id").agg(F.bool_and(F.col("first").isNotNull()).alias("ok")).where("ok").select("group_id")
-    target = t.select(F.col("duplicate_hash").alias("canon_hash"), F.col("first").alias("target"))
-    decided = met.join(whole, "group_id").join(target, "canon_hash", "left").where(F.col("canon_hash").isNull() | F.col("target").isNotNull())
-    each = decided.select("member_hash", "group_id", "target")
-    last = each.groupBy("member_hash").agg(F.max_by(F.struct("target"), "group_id").alias("t"))
-    ids = hashed(tracks).join(last, F.col("duplicate_hash") == F.col("member_hash")).select(F.col("id").alias("own"), F.nullif(F.col("t.target"), F.col("id")).alias("chosen"))
-    return canon.join(ids, canon["id"] == ids["own"], "left").select("id", F.when(F.col("own").isNotNull(), F.col("chosen")).otherwise(F.col("canon_id")).alias("canon_id"))
+    decided = met.join(whole.hint("merge"), "group_id").where("unsaid or target is not null").select("first", F.struct("group_id", "target").alias("t"))
+    last = decided.repartition(n, "first").groupBy("first").agg(F.max("t").alias("t"))
+    ids = same.select("id", "first").join(last.hint("merge"), "first").select(F.col("id").alias("own"), F.nullif(F.col("t.target"), F.col("id")).alias("chosen"))
+    j = canon.repartition(n, "id").join(ids.hint("merge"), canon["id"] == ids["own"], "left")
+    return j.select("id", F.when(F.col("own").isNotNull(), F.col("chosen")).otherwise(F.col("canon_id")).alias("canon_id"))
 
 
 def flatten(canon: DataFrame, rounds: int = 40) -> DataFrame:

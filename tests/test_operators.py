@@ -227,6 +227,18 @@ def test_bind_files_joins_without_broadcast(spark, sf, monkeypatch):
     assert "SortMergeJoin" in seen[0] and "Broadcast" not in seen[0]
 
 
+def test_overrides_are_dealt_by_number(spark, sf):
+    """Stored decisions meet tracks in as many tasks as the session deals out, none of them by a broadcast; a group with an unknown member doesn't count, the last group of a track does."""
+    t = spark.createDataFrame([(i, f"t{i}", "a", None, "b", 1, 1, 2000, 100) for i in range(6)], "id long, title string, artist string, album_artist string, album string, track_n int, disc_n int, year int, duration int")
+    h = {r["id"]: r["duplicate_hash"] for r in dedup.hashed(t).collect()}
+    told = [(1, h[0], h[1]), (1, h[1], h[1]), (2, h[2], h[3]), (2, "gone", h[3]), (3, h[4], "gone"), (4, h[0], None), (5, h[5], h[0])]
+    canon = spark.createDataFrame([(0, None), (1, 0), (2, None), (3, 2), (4, 5), (5, None)], "id long, canon_id long")
+    out = dedup.apply_overrides(canon, t, spark.createDataFrame(told, "group_id long, member_hash string, canon_hash string"))
+    assert {r["id"]: r["canon_id"] for r in out.collect()} == {0: None, 1: None, 2: None, 3: 2, 4: 5, 5: 0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
+
+
 def test_fold_by_name_equals_one_fold(spark):
     """Folding connected names apart gives what one fold over all lists gives."""
     rng = random.Random(5)
