@@ -71,17 +71,18 @@ def unseen(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 PIECE = b"<dict>"  # where files of a property list are cut
+HELD = 4096  # bytes of a file that a row holds, or one piece: Python gets rows by number, so what it holds at once follows from this, not from the file
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(path, start, at, piece): files in pieces, so that none is ever held whole; those of a file lie in one partition, in order, and give it again with PIECE between them."""
+    """(path, start, at, piece): files in pieces of some HELD bytes, so that none is ever held whole; those of a file lie in one partition, in order, and give it again with PIECE between them."""
     rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", PIECE.decode()).text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"))
 
     def joined(batches):
         for b in batches:
-            for (file, start), x in b.groupby(["path", "start"], sort=False):
-                yield pd.DataFrame({"path": [file], "start": [start], "at": [x["at"].iloc[0]], "piece": [PIECE.join(x["piece"])]})
+            cut = b["piece"].map(len).groupby([b["path"], b["start"]], sort=False).cumsum() // HELD
+            yield b.groupby(["path", "start", cut.rename("cut")], sort=False).agg(at=("at", "first"), piece=("piece", PIECE.join)).reset_index()[list(b.columns)]
 
     return rows.mapInPandas(joined, rows.schema).repartition("path").sortWithinPartitions("path", "start", "at")
 

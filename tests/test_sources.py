@@ -7,6 +7,7 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.sources import exports, registry
 from tessitura.sources.detect import detect
@@ -109,6 +110,16 @@ def test_dedup_groups_round_trip(spark, folder):
     assert tuple(counts.first()) == (1, 1) and rows(state) == [("new", "a", ""), ("new", "b", ""), ('two "q"', "c", ""), ("x", "z", "")]
 
 
+def test_plist_rows_dont_grow_with_the_file(spark, tmp_path):
+    """What goes to Python at once is a number of rows, so each holds a fixed part of its file."""
+    tracks = {str(i): {"Track ID": i, "Name": f"song {i}" * (200 if i == 7 else 1)} for i in range(3_000)}
+    (tmp_path / "lib.xml").write_bytes(plistlib.dumps({"Tracks": tracks}, fmt=plistlib.FMT_XML))
+    most = exports._pieces(spark, str(tmp_path)).agg(F.max(F.length("piece")), F.count("*")).first()
+    assert most[0] < 2 * exports.HELD and most[1] > 60
+    got = exports.plist_tracks(spark, str(tmp_path)).select("source_id", "title").collect()
+    assert {r[0]: r[1] for r in got} == {k: v["Name"] for k, v in tracks.items()} and len(got) == 3_000
+
+
 def test_stream_takes_each_date_once(spark, tmp_path):
     d = lambda h: datetime(2020, 1, 1, h)
     put = lambda rows: spark.createDataFrame(rows, scrobbles.SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
