@@ -205,12 +205,27 @@ def _best_by_score(aliases: pd.DataFrame, tracks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["ref", "score", "sim", "id"]).astype({"ref": np.int64, "score": np.float64, "sim": np.float32, "id": np.int64})
 
 
+def _nearest_matches(open_: DataFrame, pairs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(ref, k): final matches by the most similar name of an alias's artist and by its own album: no other track scores as high, as with the artist itself in ``top_matches``."""
+    nearest = pairs.groupBy("x").agg(F.max("s").alias("most")).join(pairs, "x").where("s = most").select("x", "s", _signature(trigrams(F.col("y"))).alias("artist")).distinct()
+    own = open_.join(nearest, open_["a_artist"] == nearest["x"])
+    own = written(own.select("ref", "a", "g", "artist", _signature(trigrams(F.col("album"))).alias("album"), (F.col("album") == "").alias("blank"), "s"), "nearest")
+    scores = own.select("ref", (F.col("s").cast("double") * 0.75 + F.when(F.col("blank"), 0.125).otherwise(0.25)).alias("score")).distinct()
+    found = None
+    for least in ROUNDS:
+        more = written(top_matches(own.drop("s"), tracks, least), "matched")
+        found = more if found is None else found.union(more)
+        own = own.join(more.select("ref"), "ref", "left_anti")
+    return found.join(scores, "ref").select("ref", F.struct((-F.col("score")).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id")).alias("k"))
+
+
 def bounded_matches(aliases: DataFrame, tracks: DataFrame, threshold: float) -> DataFrame:
     """(ref, score, sim, id): the best track of each alias by score, similarity of title and id, if it scores ``threshold`` or more.
 
     Falling bounds: artists are tried from the most similar names down. A track whose artist is less similar than ``least`` scores less than 0.75 least + 0.25 (0.125 for an
     alias without album), so an alias whose best reaches that is done and leaves; the last bound is the one below which nothing is accepted. Titles are compared within a task only,
-    so no pair of titles is written, and an alias meets the tracks of the artists near its own instead of all. ``aliases``: ref, a, a_artist, a_album; ``tracks``: id, title_norm, artist_norm,
+    so no pair of titles is written, and an alias meets the tracks of the artists near its own instead of all. Before that, the name most similar to an alias's artist is taken for it: a similar
+    title with the alias's own album is final then, by far fewer comparisons (``_nearest_matches``). ``aliases``: ref, a, a_artist, a_album; ``tracks``: id, title_norm, artist_norm,
     album_artist_norm, album_norm. ``threshold`` must be over 0.25, or artists without anything in common would count.
     """
     hashed = lambda c: F.transform(trigrams(F.col(c)), lambda x: F.xxhash64(x))
@@ -219,12 +234,22 @@ def bounded_matches(aliases: DataFrame, tracks: DataFrame, threshold: float) ->
     named = by("artist_norm").union(by("album_artist_norm")).groupBy("y", "t", "album").agg(F.min("id").alias("id"))
     named = written(named.select("y", "t", "id", F.coalesce("album", F.lit("")).alias("album"), hashed("t").alias("g"), hashed("album").alias("ga")).where("size(g) > 0"), "named_tracks")
     names = written(named.groupBy("y").agg(F.count("*").alias("n")).withColumn("gy", hashed("y")).where("size(gy) > 0"), "names")
+    signed = tracks.where("title_norm <> ''").select("id", hashed("title_norm").alias("g"), *[_signature(trigrams(F.col(f"{c}_norm"))).alias(c) for c in ("artist", "album_artist", "album")])
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     order = F.struct((-F.col("score")).alias("a"), (-F.col("sim")).alias("b"), F.col("id").alias("id"))
-    last, best, above = (threshold - 0.25) / 0.75 - EDGE, None, None
+    last, best, above, tried = (threshold - 0.25) / 0.75 - EDGE, None, None, None
     for least in [x for x in NAMES if x > last] + [last]:
         pairs = name_pairs(open_.groupBy(F.col("a_artist").alias("x")).agg(F.first("gx").alias("gx")), names.select("y", "gy"), least)
         pairs = written(pairs if above is None else pairs.where(F.col("s").cast("double") < above), "name_pairs")
+        if pairs.isEmpty():
+            above = least
+            continue
+        nearest = written(_nearest_matches(open_, pairs if tried is None else pairs.join(tried, "x", "left_anti"), signed), "nearest_matches")
+        tried = pairs.select("x").distinct() if tried is None else tried.union(pairs.select("x").distinct())
+        best = nearest if best is None else best.union(nearest)
+        open_ = written(open_.join(nearest, "ref", "left_anti"), "open_aliases")
+        if open_.isEmpty():
+            break
         met = open_.join(pairs, open_["a_artist"] == pairs["x"])
         parts = written(met.groupBy("y").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(names.select("y", F.ceil(F.col("n") / SHARD).alias("shards")), "y"), "parts")
         left = met.select("y", "s", "ref", "a", "g", "album", "ga").join(parts, "y").withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).withColumn("shard", every("shards"))
@@ -232,12 +257,14 @@ def bounded_matches(aliases: DataFrame, tracks: DataFrame, threshold: float) ->
         keys = ["y", "shard", "block"]
         found = left.select(*keys, "s", "ref", "a", "g", "album", "ga").groupBy(*keys).cogroup(right.select(*keys, "t", "id", "album", "g", "ga").groupBy(*keys)).applyInPandas(_best_by_score, "ref long, score double, sim float, id long")
         found = found.groupBy("ref").agg(F.min(order).alias("k"))
-        best = written((found if best is None else found.union(best)).groupBy("ref").agg(F.min("k").alias("k")), "best")
+        best = written(found.union(best).groupBy("ref").agg(F.min("k").alias("k")), "best")
         bound = F.lit(0.75 * least) + F.when(F.col("album") == "", 0.125).otherwise(0.25)
         done = open_.join(best, "ref").where(-F.col("k.a") >= bound).select("ref")
         open_, above = written(open_.join(done, "ref", "left_anti"), "open_aliases"), least
         if open_.isEmpty():
             break
+    if best is None:
+        return open_.select("ref", F.lit(0.0).alias("score"), F.lit(0).cast("float").alias("sim"), F.lit(0).cast("long").alias("id")).where("false")
     return best.select("ref", (-F.col("k.a")).alias("score"), (-F.col("k.b")).alias("sim"), "k.id").where(F.col("score") >= threshold)
 
 

@@ -315,6 +315,22 @@ def test_bounded_matches_equal_all_pairs(spark, monkeypatch, threshold, shard):
     assert got == want and len(got) > 20
 
 
+@pytest.mark.parametrize("settled", [True, False])
+def test_nearest_artist_comes_first(spark, monkeypatch, settled):
+    """Misspelt artists' aliases with a similar title and their own album are settled by the nearest name alone; the others, ties among names and blank albums included, as all pairs would."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["large", "old", "cold", "blue", "ring", "bolt", "ringbolt", "seven", "winter"])
+    rows = [(i, " ".join([word(), word(), word(), str(i)]), rng.choice(["the long name", "other band"]), rng.choice(["", "the long names", "quite different"]), rng.choice(["", "one", "two", "three four"])) for i in range(200)]
+    t = spark.createDataFrame(rows, "id long, title_norm string, artist_norm string, album_artist_norm string, album_norm string")
+    wrong = [(f"k{r[0]}", r[1] if settled else r[1][rng.randrange(12) :], r[2].replace("a", "", 1), r[4] if settled else rng.choice(["", r[4], "one"])) for r in rows if r[0] % 3 == 0]
+    a = spark.createDataFrame([(i, *x) for i, x in enumerate(wrong)], "ref long, alias_key string, a string, a_artist string, a_album string")
+    want = {r["alias_key"]: (r["k"]["id"], -r["k"]["a"]) for r in match._match_all(a.drop("ref"), t).collect() if -r["k"]["a"] >= 0.4}
+    if settled:
+        monkeypatch.setattr(match, "_best_by_score", lambda aliases, tracks: 1 / 0)
+    got = {f"k{wrong[r['ref']][0][1:]}": (r["id"], r["score"]) for r in match.bounded_matches(a, t, 0.4).collect()}
+    assert got == want and len(got) > 40
+
+
 def test_merge_moves_rows_once(spark):
     """A merge is one shuffle of the items, whatever it compares them by; lists without a base keep the larger number, null tracks go."""
     rows = [(1, "base", 7, 1), (1, "ours", 7, 1), (1, "ours", 8, 2), (1, "theirs", 9, 1), (1, "ours", None, 3), (2, "ours", 5, 1), (2, "theirs", 5, 1), (2, "theirs", 5, 2), (None, "ours", 1, 1)]
