@@ -14,7 +14,7 @@ from tessitura.functions import text as X
 from tessitura.operators import commits, dedup, history, sinks, unify
 from tessitura.plans import views as V
 from tessitura.plans.oracle import ARTIST, DEDUP, FRESH, NAME, STORED, norm, part
-from tessitura.plans.scratch import shared_dir, shuffles_dropped
+from tessitura.plans.scratch import shared_dir, shuffles_dropped, written
 from tessitura.plans.views import FILE, ITEM, SCROBBLE, SOURCE, TRACK
 from tessitura.sources import detect as D
 from tessitura.sources import exports
@@ -44,8 +44,8 @@ def _lines(rows: DataFrame, value: Column, folder: str, suffix: str, key: str =
         each.repartition(BLOCKS, "b").sortWithinPartitions("b", "o", "k").select("b", "v").write.partitionBy("b").text(folder)
     # Spark's text writer names its files itself; the readers go by their suffix
     store, where = filesystem(folder)
-    written = [x.path for x in store.get_file_info(fs.FileSelector(where, recursive=True)) if "/part-" in x.path]
-    for i, f in enumerate(sorted(written)):
+    made = [x.path for x in store.get_file_info(fs.FileSelector(where, recursive=True)) if "/part-" in x.path]
+    for i, f in enumerate(sorted(made)):
         store.move(f, f"{where}/{i}.{suffix}")
     for x in store.get_file_info(fs.FileSelector(where)):
         if x.base_name.startswith("b="):
@@ -239,8 +239,8 @@ def fill_nulls(spark, sf):
     return sinks.fill_nulls(t, s, ["id"], ["artist", "year", "rating"])
 
 
-def _pairs(spark: SparkSession, sf: str, side: str) -> DataFrame:
-    rows = V.playlist_item_v(spark, sf).where(F.col("side") == side)
+def _pairs(spark: SparkSession, sf: str, side: str, items: DataFrame | None = None) -> DataFrame:
+    rows = (V.playlist_item_v(spark, sf) if items is None else items).where(F.col("side") == side)
     return rows.groupBy("playlist_id").agg(F.count("*").alias("n"), F.max("track_id").alias("last")).select("playlist_id", F.lit("server").alias("remote"), F.concat(F.lit(f"{side} "), F.col("n").cast("string")).alias("external_id"), "last")
 
 
@@ -248,8 +248,8 @@ def upsert_links(spark, sf):
     return sinks.upsert(_pairs(spark, sf, "base"), _pairs(spark, sf, "theirs"), ["playlist_id", "remote"])
 
 
-def _ours(spark: SparkSession, sf: str, side: str = "ours") -> DataFrame:
-    return V.playlist_item_v(spark, sf).where(F.col("side") == side).select("playlist_id", "track_id", F.col("pos").alias("position"))
+def _ours(spark: SparkSession, sf: str, side: str = "ours", items: DataFrame | None = None) -> DataFrame:
+    return (V.playlist_item_v(spark, sf) if items is None else items).where(F.col("side") == side).select("playlist_id", "track_id", F.col("pos").alias("position"))
 
 
 def append_members(spark, sf):
@@ -271,10 +271,11 @@ def rebuild_playlists(spark, sf):
 
 def committed_state(spark, sf):
     """Lists and links committed, rebuilt in a second run that is repeated, and what both versions hold."""
-    folder, item, link = _folder(spark, "state"), _ours(spark, sf), _pairs(spark, sf, "theirs")
+    items = written(V.playlist_item_v(spark, sf), "items")  # joined and placed once, for all sides
+    folder, item, link = _folder(spark, "state"), _ours(spark, sf, "ours", items), _pairs(spark, sf, "theirs", items)
     commits.commit(spark, {"item": item, "link": link}, folder, "first", dry_run=False)
     now = commits.state(spark, folder)
-    new = _ours(spark, sf, "base")
+    new = _ours(spark, sf, "base", items)
     lists = lambda x: x.select("playlist_id").distinct()
     plan, _ = sinks.rebuilt_playlists(lists(item), now.read(spark, "item"), now.read(spark, "link"), lists(new), new)
     for _ in range(2):

@@ -60,3 +60,13 @@ def test_two_runs_from_one_version(spark, tmp_path, monkeypatch):
     row = commits.manifests(spark, folder).where("version = 2").withColumn("run_id", F.lit("zz"))
     row.write.mode("append").json(f"{folder}/manifests/{2:012d}")
     assert commits.state(spark, folder).run_id == "two" and held(spark, folder) == (2, {"a": [0, 1]})
+
+
+def test_committed_state_places_items_once(spark, sf, monkeypatch):
+    """The versions' tables come from one join and one sort of the items, whatever they hold of them."""
+    from tessitura.plans import imports
+
+    calls, plain = [], imports.V.playlist_item_v
+    monkeypatch.setattr(imports.V, "playlist_item_v", lambda *a: calls.append(a) or plain(*a))
+    out = imports.committed_state(spark, sf)
+    assert len(calls) == 1 and {(r["version"], r["kind"]) for r in out.select("version", "kind").distinct().collect()} == {(v, k) for v in (1, 2) for k in ("item", "link")}
