@@ -151,6 +151,11 @@ def main_files(files: DataFrame, canon: DataFrame) -> DataFrame:
     """(root_id, file_id): the best file of each group. ``canon``: id, canon_id of all tracks that are twins."""
     twins = canon.where("canon_id is not null").select(F.col("id").alias("twin"), "canon_id")
     owned = files.join(twins, files["track_id"] == twins["twin"], "left").withColumn("root_id", F.coalesce("canon_id", "track_id"))
+    return best_files(owned)
+
+
+def best_files(owned: DataFrame) -> DataFrame:
+    """(root_id, file_id, n_files) of files that have their group's root_id."""
     return owned.groupBy("root_id").agg(F.min(file_rank()).alias("k"), F.count("*").alias("n_files")).select("root_id", F.col("k.id").alias("file_id"), "n_files")
 
 

@@ -82,14 +82,15 @@ def pending_tracks(tracks: DataFrame, files: DataFrame) -> DataFrame:
     return tracks.join(files.where("library_path is null").select(F.col("track_id").alias("id")), "id", "left_semi")
 
 
-def file_plan(files: DataFrame, tracks: DataFrame, mains: DataFrame) -> DataFrame:
+def file_plan(files: DataFrame, tracks: DataFrame, mains: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, role, target): the group's best file goes to Library/Music, the others to Copies/Music with a number from 0, which isn't shown.
 
-    A missing source or an existing target is for the executor of the plan to refuse. ``files``: id, root_id, ext.
+    A missing source or an existing target is for the executor of the plan to refuse. ``files``: id, root_id, ext. ``mains``: root_id, file_id. ``keep``: columns of the tracks, or root_id, that
+    the plan has too. All meet by group, so files that are dealt by group already don't move.
     """
-    f = files.join(mains.select(F.col("file_id").alias("id"), F.lit(True).alias("main")), "id", "left")
-    t = tracks.select(F.col("id").alias("root_id"), "title", path_artist(F.col("compilation"), F.col("album_artist"), F.col("artist")).alias("pa"), path_album(F.col("album")).alias("pl"), "track_n", "disc_n")
+    f = files.join(mains.select("root_id", F.col("file_id").alias("main_id")), "root_id", "left").withColumn("main", F.when(F.col("id") == F.col("main_id"), True))
+    t = tracks.select(F.col("id").alias("root_id"), "title", path_artist(F.col("compilation"), F.col("album_artist"), F.col("artist")).alias("pa"), path_album(F.col("album")).alias("pl"), "track_n", "disc_n", *[c for c in keep if c != "root_id"])
     j = f.join(t, "root_id").withColumn("n", F.row_number().over(W.partitionBy("root_id", "main").orderBy("id")) - 1)
     path = library_path(F.col("pa"), F.col("pl"), F.col("title"), F.col("ext"), F.col("track_n"), F.col("disc_n"), F.when(F.col("main"), 0).otherwise(F.col("n")), F.lit(35))
     role = F.when(F.col("main"), "main").otherwise("copy")
-    return j.select(F.col("id").alias("file_id"), role.alias("role"), F.concat(F.when(F.col("main"), "Library/Music/").otherwise("Copies/Music/"), path).alias("target"))
+    return j.select(F.col("id").alias("file_id"), role.alias("role"), F.concat(F.when(F.col("main"), "Library/Music/").otherwise("Copies/Music/"), path).alias("target"), *keep)

@@ -297,11 +297,15 @@ def organize_pending(spark, sf):
     return sinks.pending_tracks(V.track_v(spark, sf), _placed(spark, sf)).select("id")
 
 
+def _file_plan(spark, sf, **own):
+    """Where every file goes; tracks are their own groups. ``own``: columns worked out for each track, which the plan keeps, with root_id."""
+    files = V.file_v(spark, sf, by_track=True).withColumn("root_id", F.col("track_id"))
+    tracks = V.track_v(spark, sf).withColumns({"compilation": F.col("id") % 13 == 0, **own})
+    return sinks.file_plan(files, tracks, dedup.best_files(files), ("root_id", *own) if own else ())
+
+
 def file_plan(spark, sf):
-    """Where every file goes; tracks are their own groups."""
-    files = V.file_v(spark, sf).withColumn("root_id", F.col("track_id"))
-    mains = dedup.main_files(V.file_v(spark, sf), V.track_v(spark, sf).select("id", F.lit(None).cast("long").alias("canon_id")))
-    return sinks.file_plan(files, V.track_v(spark, sf).withColumn("compilation", F.col("id") % 13 == 0), mains)
+    return _file_plan(spark, sf)
 
 
 def expected_files(spark, sf):
