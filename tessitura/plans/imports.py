@@ -14,34 +14,36 @@ from tessitura.functions import text as X
 from tessitura.operators import commits, dedup, history, sinks, unify
 from tessitura.plans import views as V
 from tessitura.plans.oracle import ARTIST, DEDUP, FRESH, NAME, STORED, norm, part
-from tessitura.plans.scratch import shared_dir, shuffles_dropped, written
+from tessitura.plans.scratch import partitions, shared_dir, shuffles_dropped, written
 from tessitura.plans.views import FILE, ITEM, SCROBBLE, SOURCE, TRACK
 from tessitura.sources import detect as D
 from tessitura.sources import exports
 from tessitura.sources.records import filesystem
 
-BLOCKS = 8  # files of an export
+BLOCKS = 8  # files of an export, at least
 
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/export-{uuid.uuid4().hex}/{name}"
 
 
-def _lines(rows: DataFrame, value: Column, folder: str, suffix: str, key: str = "id", head: str = "", tail: str = "", between: str = "") -> str:
-    """Write ``value`` of every row, in order of ``key``, into one file for each of BLOCKS: rows stream into their files, each on a line of its own, between lines of head and tail,
-    ``between`` in front of every row but a file's first."""
-    spark, b = rows.sparkSession, (F.col(key) % BLOCKS).alias("b")
+def _lines(rows: DataFrame, value: Column, folder: str, suffix: str, key: str = "id", head: str = "", tail: str = "", between: str = "", blocks: int | None = None) -> str:
+    """Write ``value`` of every row, in order of ``key``, into one file for each of ``blocks``: rows stream into their files, each on a line of its own, between lines of head and tail,
+    ``between`` in front of every row but a file's first. A task writes, sorts and later reads one file, so there are as many as the session has partitions: what a task holds doesn't grow with the input alone."""
+    spark = rows.sparkSession
+    blocks = blocks or max(BLOCKS, partitions(spark))
+    b = (F.col(key) % blocks).cast("int").alias("b")
     if between:
         first = rows.groupBy(b).agg(F.min(key).alias("_first"))  # a row for each file
-        each = rows.join(F.broadcast(first), F.col(key) % BLOCKS == F.col("b"))
+        each = rows.join(F.broadcast(first), F.col(key) % blocks == F.col("b"))
         each = each.select("b", F.lit(1).alias("o"), F.col(key).alias("k"), F.concat(F.when(F.col(key) == F.col("_first"), "").otherwise(between), value).alias("v"))
     else:
         each = rows.select(b, F.lit(1).alias("o"), F.col(key).alias("k"), value.alias("v"))
     if head:
         ends = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("v")), F.struct(F.lit(2).alias("o"), F.lit(tail).alias("v")))).alias("x")
-        each = each.union(spark.range(BLOCKS).select(F.col("id").alias("b"), ends).select("b", "x.o", F.lit(0).alias("k"), "x.v"))
+        each = each.union(spark.range(blocks).select(F.col("id").cast("int").alias("b"), ends).select("b", "x.o", F.lit(0).alias("k"), "x.v"))
     with shuffles_dropped(spark):
-        each.repartition(BLOCKS, "b").sortWithinPartitions("b", "o", "k").select("b", "v").write.partitionBy("b").text(folder)
+        each.repartitionById(blocks, "b").sortWithinPartitions("b", "o", "k").select("b", "v").write.partitionBy("b").text(folder)
     # Spark's text writer names its files itself; the readers go by their suffix
     store, where = filesystem(folder)
     made = [x.path for x in store.get_file_info(fs.FileSelector(where, recursive=True)) if "/part-" in x.path]
@@ -195,7 +197,7 @@ def scrobble_csv(spark, sf):
     text = F.when(F.col("id") % 6 == 0, "01 Jan 1970 00:00").otherwise(F.date_format("date", "dd MMM yyyy HH:mm"))
     quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, e), F.lit('"'))
     row = F.concat_ws(",", quoted(F.col("artist")), quoted(F.col("album")), quoted(F.col("title")), text)
-    return exports.scrobble_csv(spark, _lines(h, row, _folder(spark, "scrobbles"), "csv"))
+    return exports.scrobble_csv(spark, _lines(h, row, _folder(spark, "scrobbles"), "csv", blocks=BLOCKS))  # its dates count within files, so which rows share one is fixed
 
 
 def dedup_json(spark, sf):

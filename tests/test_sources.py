@@ -152,3 +152,33 @@ def test_plist_is_parsed_as_it_is_read(spark, tmp_path):
     for at in range(0, len(data), 1000):
         most = max(most, len(parser.feed(data[at : at + 1000])), sum(len(x[0] or ()) for x in parser.open))
     assert most < 20
+
+
+@pytest.mark.parametrize("n", [5, 1000])
+def test_exports_have_a_file_for_each_partition(spark, tmp_path, n):
+    """No task writes more than one file, and there are as many as the session has partitions, so that none grows with the input alone."""
+    from tessitura.plans import imports
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = spark.range(n).withColumn("task", F.lit(0))
+        out = imports._lines(rows, F.to_json(F.struct("id")), str(tmp_path / "a"), "json", head="[", tail="]", between=",")
+        fixed = imports._lines(rows, F.col("id").cast("string"), str(tmp_path / "b"), "csv", blocks=8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = sorted([r["id"] for r in json.loads(f.read_text())] for f in (tmp_path / "a").glob("*.json"))
+    assert out == str(tmp_path / "a") and found == sorted(list(range(b, n, 12)) for b in range(12))
+    kept = sorted([int(x) for x in f.read_text().split()] for f in (tmp_path / "b").glob("*.csv"))
+    assert fixed == str(tmp_path / "b") and kept == [list(range(b, n, 8)) for b in range(min(n, 8))]
+
+
+def test_blocks_are_dealt_one_to_a_task(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tessitura.plans import imports
+
+    seen, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, **more: (seen.extend(map(tuple, self._df.select("b", F.spark_partition_id()).distinct().collect())), text(self, path, **more))[1])
+    imports._lines(spark.range(100), F.col("id").cast("string"), str(tmp_path / "a"), "txt")
+    assert sorted(seen) == [(b, b) for b in range(8)]
